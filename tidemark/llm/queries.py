@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from tidemark.llm.packing import op6_packing
 from tidemark.llm.quality_rules import op2_quality_rules
 from tidemark.llm.simhash_dedup import op8_simhash_dedup
+from tidemark.llm.source_mixing import op9_source_mixing
+from tidemark.llm.token_files import op7_token_files
+from tidemark.llm.toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op8_simhash_dedup)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_toxicity, op6_packing, op7_token_files, op8_simhash_dedup, op9_source_mixing)}
 
 ORACLES: dict[str, str] = {}
