@@ -5,8 +5,9 @@ Near vectors see the same reference points nearest, in much the same order. Ever
 pivots, pairs that share at least ``LEAST_SHARED`` are candidates, and each candidate is verified by its cosine in double
 precision. A pair is verified in one place only: the list of the least pivot it shares.
 
-The pivots are a bounded sample of the vectors, those of least hash, and grow with the square root of their number, so
-lists grow no faster than that. A list is cut into blocks (see ``deal_groups``), and a unit reports per vector its number
+The pivots are a bounded sample of the vectors, those of least hash that are not close to one another (pivots inside one
+dense group would split its members at random); they grow with the square root of the number of vectors, so lists grow
+no faster than that. A list is cut into blocks (see ``deal_groups``), and a unit reports per vector its number
 of links and the least vector it hangs together with: never its pairs.
 """
 
@@ -26,6 +27,8 @@ COSINE = 0.98
 PREFIX, LEAST_SHARED = 8, 2
 #: Pivots: PER_ROOT times the square root of the number of vectors, within these limits.
 PER_ROOT, LEAST_PIVOTS, MOST_PIVOTS = 4, 64, 65_536
+#: Pivots are less similar than this to each other.
+APART = 0.8
 
 
 def _unit_rows(vectors: pd.Series) -> np.ndarray:
@@ -35,6 +38,17 @@ def _unit_rows(vectors: pd.Series) -> np.ndarray:
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
+def spread(points: np.ndarray, apart: float = APART) -> np.ndarray:
+    """The points, in order, without those as similar as ``apart`` to one taken before."""
+    taken = np.empty_like(points)
+    n = 0
+    for p in points:
+        if not n or (taken[:n] @ p).max() < apart:
+            taken[n] = p
+            n += 1
+    return taken[:n]
+
+
 def _describe(pivots: dict[int, np.ndarray], prefix: int):
     """Adds the ordered nearest pivots to rows of (node, label, dim, copies, embedding)."""
 
@@ -111,7 +125,7 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     for dim, n in sizes.items():
         m = max(LEAST_PIVOTS, min(MOST_PIVOTS, PER_ROOT * isqrt(n)))
         few = nodes.where(F.col("dim") == dim).orderBy(F.xxhash64("embedding"), "node").limit(m).toPandas()
-        pivots[dim] = _unit_rows(few["embedding"])
+        pivots[dim] = spread(_unit_rows(few["embedding"]))
     described = nodes.select("node", "label", "dim", "copies", "embedding").mapInPandas(_describe(pivots, prefix), f"node long, label {dict(rows.dtypes)['label']}, dim int, copies long, embedding array<double>, pivots array<int>")
     postings = cut(described).select("*", F.explode("pivots").alias("pivot"))
     keys = ["label", "dim", "pivot", "ublock", "vblock"]
