@@ -1,0 +1 @@
+"""Tidemark: market-research analytics on Spark DataFrames."""
