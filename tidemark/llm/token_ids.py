@@ -42,6 +42,26 @@ def _byte_characters() -> dict[int, int]:
     return {b: b for b in visible} | {b: 256 + i for i, b in enumerate(rest)}
 
 
+class _Spaces(Exception):
+    """A space of the text is followed by white space, or ends it."""
+
+
+class _Words(dict):
+    """The ids of words with the space before them, worked out when first asked for."""
+
+    def __init__(self, code):
+        super().__init__()
+        self.code = code
+
+    def __missing__(self, word: str) -> bytes:
+        if not word or word[0].isspace():
+            raise _Spaces
+        ids = self.code(f" {word}")
+        if len(word) <= LONGEST_KEPT:
+            self[word] = ids
+        return ids
+
+
 class UnitEncoder:
     """Encodes texts to unsigned 32-bit ids by way of their units."""
 
@@ -53,7 +73,7 @@ class UnitEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
         self.characters = _byte_characters()
-        self.units: dict[str, bytes] = {}
+        self.words = _Words(self._unit)
         self.pieces: dict[str, bytes] = {}
 
     def _unit(self, unit: str) -> bytes:
@@ -71,26 +91,14 @@ class UnitEncoder:
             out.append(ids)
         return b"".join(out)
 
-    def _by_words(self, text: str) -> bytes | None:
-        """The ids of a text in which each space stands before a visible character, else None."""
-        words = text.split(" ")
-        first, known, long = words.pop(0), self.units, []
-        for w in [w for w in set(words) if w not in known]:
-            if not w or w[0].isspace():
-                return None
-            known[w] = self._unit(f" {w}")
-            if len(w) > LONGEST_KEPT:
-                long.append(w)
-        ids = self._unit(first) + b"".join(map(known.__getitem__, words))
-        for w in long:
-            del known[w]
-        if len(known) >= KEPT:
-            known.clear()
-        return ids
-
     def encode(self, text: str) -> bytes:
-        ids = self._by_words(text) if text else b""
-        return b"".join(map(self._unit, UNIT_START.split(text))) if ids is None else ids
+        if len(self.words) >= KEPT:
+            self.words.clear()
+        first, *words = text.split(" ")
+        try:
+            return self._unit(first) + b"".join(map(self.words.__getitem__, words))
+        except _Spaces:
+            return b"".join(map(self._unit, UNIT_START.split(text)))
 
 
 def encode(path: str, texts: list[str | None], end_id: int | None = None) -> list[bytes]:
