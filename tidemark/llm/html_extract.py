@@ -380,7 +380,8 @@ def trained() -> Trees:
     pages, labels, weights = [], [], []
     for _ in range(TRAINING_PAGES):
         source, texts = generate(rng)
-        page, left, good = parse(source), list(texts), [0.0] * len(page.kind)
+        page, left = parse(source), list(texts)
+        good = [0.0] * len(page.kind)
         for node, text in page.blocks:
             if left and text == left[0]:
                 left.pop(0)
