@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from tidemark import desk_queries  # noqa: F401
 from tidemark.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
