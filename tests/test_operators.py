@@ -179,3 +179,15 @@ def test_files(spark, tmp_path):
     for _ in range(2):
         write_partitioned(bars, str(tmp_path / "t"), "symbol")
     assert spark.read.parquet(str(tmp_path / "t")).count() == 6
+
+
+def test_formula_plans(spark):
+    """However deep its windows nest, a formula adds one shuffle; recursive averages of a depth share one pass."""
+    from tidemark.plans.formula import with_formulas
+
+    def plan(**formulas):
+        return with_formulas(panel(spark, [1.0, 2, 3]), formulas)._jdf.queryExecution().executedPlan().toString()
+
+    assert plan(f="ts_mean(ts_zscore(close / ts_delay(close, 1) - 1, 5), 3) - ts_std(close, 5)").count("Exchange hashpartitioning") == 1
+    assert plan(a="ema(close, 3)", b="ema(open, 5)", c="ema(close, 9) - ema(close, 3)").count("FlatMapGroupsInPandas") == 1
+    assert plan(a="ema(ema(close, 3), 3)", b="ema(open, 5)").count("FlatMapGroupsInPandas") == 2

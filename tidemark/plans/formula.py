@@ -112,8 +112,8 @@ class Compiler:
     def _call(self, node: ast.Call, key: str) -> Column:
         name = node.func.id
         if name in RECURSIVE:
-            alpha, adjust = RECURSIVE[name]
-            return self._recursive(key, self.column(node.args[0]), alpha(number(node.args[1])), adjust)
+            self._recursive({key: node})
+            return F.col(self.known[key])
         function, windowed = FUNCTIONS[name]
         plain = name.startswith("ts_") or name in ("clip", "signed_power")
         args = []
@@ -130,26 +130,52 @@ class Compiler:
             raise FormulaError(f"wrong arguments for {name}: {e}") from e
         return self._hold(key, value) if windowed else value
 
-    def _recursive(self, key: str, x: Column, alpha: float, adjust: bool) -> Column:
-        source, out = f"_x{len(self.known)}", f"_f{len(self.known)}"
-        df = self.df.withColumn(source, x.cast("double"))
-        schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
+    def prepare(self, trees: list[ast.expr]) -> None:
+        """Computes the recursive averages of some formulas, those of one nesting depth together."""
+        levels: dict[int, dict[str, ast.Call]] = {}
+
+        def depth(node: ast.AST) -> int:
+            inner = max((depth(c) for c in ast.iter_child_nodes(node)), default=0)
+            if isinstance(node, ast.Call) and node.func.id in RECURSIVE:
+                levels.setdefault(inner + 1, {})[ast.dump(node)] = node
+                return inner + 1
+            return inner
+
+        for t in trees:
+            depth(t)
+        for level in sorted(levels):
+            self._recursive({k: n for k, n in levels[level].items() if k not in self.known})
+
+    def _recursive(self, nodes: dict[str, ast.Call]) -> None:
+        """One grouped pass per symbol for averages whose arguments hold no average that is yet to come."""
+        if not nodes:
+            return
+        todo = []
+        for key, node in nodes.items():
+            if len(node.args) != 2 or number(node.args[1]) is None:
+                raise FormulaError(f"{node.func.id} takes a series and a number")
+            alpha, adjust = RECURSIVE[node.func.id]
+            x = self.column(node.args[0])
+            source, out = f"_x{len(self.known)}", f"_f{len(self.known)}"
+            self.df = self.df.withColumn(source, x.cast("double"))
+            self.known[key] = out
+            todo.append((source, out, alpha(number(node.args[1])), adjust))
+        schema = T.StructType([*self.df.schema.fields, *[T.StructField(out, T.DoubleType()) for _, out, *_ in todo]])
 
         def average(rows: pd.DataFrame) -> pd.DataFrame:
             rows = rows.sort_values("date")
-            return rows.assign(**{out: rows[source].ewm(alpha=alpha, adjust=adjust).mean()})
+            return rows.assign(**{out: rows[source].ewm(alpha=alpha, adjust=adjust).mean() for source, out, alpha, adjust in todo})
 
-        self.df = df.groupBy("symbol").applyInPandas(average, schema).drop(source)
-        self.df = self.df.withColumn(out, F.when(~F.isnan(out), F.col(out)))
-        self.known[key] = out
-        return F.col(out)
+        df = self.df.groupBy("symbol").applyInPandas(average, schema).drop(*[source for source, *_ in todo])
+        self.df = df.withColumns({out: F.when(~F.isnan(out), F.col(out)) for _, out, *_ in todo})
 
 
 def with_formulas(panel: DataFrame, formulas: dict[str, str]) -> DataFrame:
     """The panel with a column per formula; shared parts of the formulas are computed once."""
-    compiler = Compiler(panel)
-    for name, text in formulas.items():
-        value = compiler.column(parse(text))
+    compiler, trees = Compiler(panel), {name: parse(text) for name, text in formulas.items()}
+    compiler.prepare(list(trees.values()))
+    for name, tree in trees.items():
+        value = compiler.column(tree)
         compiler.df = compiler.df.withColumn(name, value.cast("double"))
     return compiler.df.select(*panel.columns, *formulas)
 
