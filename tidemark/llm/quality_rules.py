@@ -22,8 +22,8 @@ CHUNK_BYTES = 4096
 #: A rest of at least this many bytes counts as a chunk.
 LEAST_CHUNK = 2048
 #: (least bytes, lowest ratio, highest ratio) of compressed to plain size; shorter texts have no limits.
-WHOLE_BANDS = ((400, 0.45, 0.90), (800, 0.44, 0.80), (1600, 0.42, 0.72), (3200, 0.40, 0.66), (6400, 0.385, 0.62), (12800, 0.36, 0.60))
-CHUNK_BAND = (0.39, 0.66)
+WHOLE_BANDS = ((400, 0.47, 0.90), (800, 0.455, 0.80), (1600, 0.435, 0.72), (3200, 0.415, 0.66), (6400, 0.40, 0.62), (12800, 0.37, 0.60))
+CHUNK_BAND = (0.415, 0.66)
 #: More than this share of chunks outside the band rejects the document.
 BAD_CHUNKS = 0.3
 
