@@ -22,7 +22,7 @@ HOST_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "exampl
 
 #: Pattern rules; each blocks.
 PATTERNS = (
-    "^casino-win^", "^cheap-pills^", "^spam-farm^", "^ads-track^", "^adult-x^",
+    "^casino-win^", "^cheap-pills^", "^spam-farm^", "^ads-track^", "^adult-x^", "^free-bets^",
     "^online-casino^", "^casino.*/bonus^", "^poker-bonus^", "^free-slots^", "^payday-loans^", "^buy-followers^",
     "^adserver.*^", "/adserver^", "/banner^ad^", "/click^track^", "/affiliate^redirect^", "^doubleclick.net^",
     "^link-farm^", "^seo-spam^", "^xxx-*^video^", "^torrent^download^crack^", "^keygen^", "^phishing^",
