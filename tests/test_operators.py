@@ -191,3 +191,24 @@ def test_formula_plans(spark):
     assert plan(f="ts_mean(ts_zscore(close / ts_delay(close, 1) - 1, 5), 3) - ts_std(close, 5)").count("Exchange hashpartitioning") == 1
     assert plan(a="ema(close, 3)", b="ema(open, 5)", c="ema(close, 9) - ema(close, 3)").count("FlatMapGroupsInPandas") == 1
     assert plan(a="ema(ema(close, 3), 3)", b="ema(open, 5)").count("FlatMapGroupsInPandas") == 2
+
+
+def test_pack_dialect():
+    from tidemark.functions.pack import convert
+
+    assert convert("add(close, 1, neg(volume))") == "((close + 1) + (0 - volume))"
+    assert convert("signed_power(delta(close), exponent=2)") == "signed_power(ts_delta(close, 1), 2)"
+    for bad in ("foo(close)", "add(close)", "close[0]", "sub("):
+        with pytest.raises(FormulaError):
+            convert(bad)
+
+
+def test_strategy_names_and_conditions(spark):
+    from tidemark.operators import strategy as Y
+
+    assert Y.indicator_formula("sma5") == "ts_mean_full(close, 5)" and Y.indicator_formula("nonsense") == "close"
+    df = panel(spark, [1.0, 2, 3, 2, 1])
+    rule = {"entry": {"conditions": [{"indicator": "close", "operator": "cross_above", "value": 1.5}]}, "exit": {"conditions": [{"indicator": "close", "operator": "no_such", "value": 1}]}}
+    assert values(Y.signals(df, rule), "entry") == [False, True, False, False, False] and not any(values(Y.signals(df, rule), "exit"))
+    with pytest.raises(ValueError):
+        Y.signals(df, {"entry": {"conditions": [{"indicator": "close", "operator": "above", "indicator2": "open", "multiply_value": -1}]}})

@@ -6,14 +6,17 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.library import INDICATORS
+from tidemark.functions.pack import convert
 from tidemark.functions.series import seq
 from tidemark.operators import desk as D
 from tidemark.operators import quality as Q
 from tidemark.operators import simulate as S
+from tidemark.operators import strategy
 from tidemark.plans.formula import with_formulas
+from tidemark.plans.formula_sql import formulas_sql
 from tidemark.queries import _RES_SQL, RULES, _research, query, rounded
 from tidemark.sources.io import first_with_data, latest
-from tidemark.sources.market import BARS_SQL, bars_1d, bars_1h, panel_1d, table
+from tidemark.sources.market import BARS_SQL, PANEL_SQL, bars_1d, bars_1h, panel_1d, table
 
 _W = "OVER (PARTITION BY symbol ORDER BY date"
 
@@ -165,3 +168,35 @@ def forward_summary(spark, d):
 def recursive_walk(spark, d):
     table(spark, d, "region").createOrReplaceTempView("desk_region")
     return spark.sql("WITH RECURSIVE t(k, depth) AS (SELECT r_regionkey, 0 FROM desk_region WHERE r_regionkey = 0 UNION ALL SELECT k + 1, depth + 1 FROM t WHERE k < 4) SELECT r_name, depth FROM t JOIN desk_region ON r_regionkey = k")
+
+
+STRATEGY = {"entry": {"conditions": [{"indicator": "sma3", "operator": "cross_above", "indicator2": "sma7"}, {"indicator": "volume", "operator": "above", "indicator2": "volume_sma5", "multiply_value": 0.9}]}, "exit": {"conditions": [{"indicator": "close", "operator": "below", "indicator2": "sma7"}, {"indicator": "close", "operator": "between", "value": [95, 96]}], "logic": "or"}}
+_FULL = "CASE WHEN count({x}) {w} ROWS {p} PRECEDING) >= {n} THEN avg({x}) {w} ROWS {p} PRECEDING) END"
+
+
+@query(f"""SELECT symbol, date, coalesce(s0 <= l0 AND s > l AND volume > 0.9 * v, false) AS entry, coalesce(close < l, false) OR (close > 95 AND close < 96) AS exit FROM (SELECT *, lag(s) {_W}) AS s0, lag(l) {_W}) AS l0 FROM (
+ SELECT *, {_FULL.format(x="close", w=_W, p=2, n=3)} AS s, {_FULL.format(x="close", w=_W, p=6, n=7)} AS l, {_FULL.format(x="volume", w=_W, p=4, n=5)} AS v FROM ({BARS_SQL})))""")
+def strategy_signals(spark, d):
+    return strategy.signals(bars_1d(spark, d), STRATEGY).select("symbol", "date", "entry", "exit")
+
+
+@query()
+def strategy_backtest(spark, d):
+    return rounded(S.backtest_trades(strategy.signals(bars_1d(spark, d), STRATEGY), RULES))
+
+
+PACK = {"pack_a": "mul(amount, log(amplitude))", "pack_b": "neg(ts_maxmin(signed_power(volume, exponent=1.5), 11))", "pack_c": "add(open, delta(ts_sum(volume, 9)), ret_3)", "pack_d": "zscore(ts_pct_change(abs(volume), 7), 9)"}
+
+
+@query(formulas_sql(PANEL_SQL, {k: convert(v) for k, v in PACK.items()}, 6))
+def pack_factors(spark, d):
+    f = {k: convert(v) for k, v in PACK.items()}
+    return rounded(with_formulas(panel_1d(spark, d), f).select("symbol", "date", *f), 6)
+
+
+@query(f"""SELECT symbol, date, CASE WHEN lots = prev THEN 'hold' WHEN prev = 0 THEN 'entry' WHEN lots = 0 THEN 'exit' WHEN sign(lots) <> sign(prev) THEN 'flip' ELSE 'rebalance' END AS label FROM (
+ SELECT symbol, date, lots, lag(lots, 1, 0) {_W}) AS prev FROM (SELECT symbol, date, CAST(floor(close) % 5 - 2 AS INT) AS lots FROM ({BARS_SQL})))""")
+def order_labels(spark, d):
+    b = bars_1d(spark, d).withColumn("lots", (F.floor("close") % 5 - 2).cast("int"))
+    b = b.withColumn("prev", F.lag("lots", 1, 0).over(seq()))
+    return b.select("symbol", "date", strategy.order_labels(F.col("lots"), F.col("prev")).alias("label"))
