@@ -5,14 +5,13 @@ from itertools import product
 import numpy as np
 
 from tidemark.llm import packing as P
-from tidemark.llm.token_ids import default_tokenizer
+from tidemark.llm.token_ids import default_tokenizer, encode
 
 
 def library_ids(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(default_tokenizer())
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -75,3 +74,11 @@ def test_odd_rows(odd, empty):
         want[r.doc_id].append([*library_ids(r.text), P.END_ID])
     check(rows, want)
     assert P.pack(empty).count() == 0
+
+
+def test_encoder_agrees_with_the_library_on_spaces_and_added_tokens():
+    rng = np.random.default_rng(3)
+    parts = ["a", "Zb", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\u00a0", "\u3000", "'s", "9", "²", "é", "中", "😀", "-.", "<|endoftext|>", "<|"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 10))) for _ in range(2000)]
+    for text, ids in zip(texts, encode(default_tokenizer(), texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library_ids(text), repr(text)
