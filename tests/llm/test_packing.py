@@ -1,5 +1,6 @@
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 from itertools import product
 
 import numpy as np
@@ -8,11 +9,15 @@ from tidemark.llm import packing as P
 from tidemark.llm.token_ids import default_tokenizer, encode
 
 
-def library_ids(text):
+@lru_cache(maxsize=1)
+def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(default_tokenizer())
-    return t.encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(default_tokenizer())
+
+
+def library_ids(text):
+    return library().encode(text or "", add_special_tokens=False).ids
 
 
 def check(rows, want):
