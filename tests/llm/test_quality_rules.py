@@ -45,3 +45,36 @@ def test_odd_rows(odd, empty):
     got = {r.doc_id: r for r in Q.quality_report(odd).collect()}
     assert got[2].n_words == 0 and got[2].base_failed and got[5].n_words == 60_000 and not got[5].kept and 2**60 + 1 in got
     assert Q.quality_filter(odd).columns == odd.columns and Q.quality_filter(empty).count() == 0 and Q.quality_report(empty).count() == 0
+
+
+def test_clean_long_texts_are_kept(spark):
+    """Different texts labelled good, joined to 0.5 and 5 MB, and reference prose."""
+    from pydoc_data import topics
+
+    from tidemark.llm.shared import table
+
+    packer = zstandard.ZstdCompressor(level=Q.LEVEL)
+    data = "/root/testdata/sf0.1"
+    good = table(spark, data, "documents").join(table(spark, data, "labels").where("quality = 1"), "doc_id")
+    rows = [(r.lang, r.text) for r in good.select("lang", "text").collect() if r.text and 2 * Q.base_counts(r.text)[4] <= len(r.text.split())]
+    for lang, least in (("de", 500_000), ("fr", 500_000), (None, 5_000_000)):
+        joined = "\n".join(dict.fromkeys(t for k, t in rows if lang in (None, k)))[:least]
+        assert len(joined) == least and Q.compression(joined, packer)[4], lang
+    prose = "\n".join(topics.topics.values())
+    assert all(Q.compression(prose[:n], packer)[4] for n in (8_000, 20_000, 400_000))
+
+
+RUSSIAN = """Утром дождь прекратился, и над рекой медленно поднялся туман. Старый паромщик вышел на берег, проверил верёвки и долго смотрел на другую сторону, где уже собирались люди с корзинами и мешками. Он работал здесь почти сорок лет и знал каждого в обеих деревнях, их детей, собак и даже лошадей. Весной вода поднималась так высоко, что приходилось ждать по нескольку дней, зато летом мальчишки переходили реку вброд и смеялись над его медленной лодкой. В этот день первой пришла учительница с двумя связками книг для новой школы. Она рассказала, что мост всё-таки построят к осени, инженеры уже приезжали и мерили глубину. Паромщик только кивнул: о мосте говорили ещё при его отце, и каждый раз чего-нибудь не хватало — то брёвен, то денег, то согласия соседей. Когда лодка отошла от берега, солнце пробилось сквозь облака, и рыба начала плескаться у самых камышей. На середине реки учительница спросила, чем он займётся, если мост действительно появится. Он задумался, опустил весло и ответил, что тогда наконец починит крышу и научится читать."""
+HINDI = """सुबह होते ही बारिश थम गई और नदी के ऊपर धीरे-धीरे कोहरा उठने लगा। बूढ़ा मल्लाह किनारे पर आया, उसने रस्सियाँ जाँचीं और देर तक दूसरी ओर देखता रहा, जहाँ लोग टोकरियाँ और बोरे लेकर इकट्ठा हो रहे थे। वह यहाँ लगभग चालीस साल से काम कर रहा था और दोनों गाँवों के हर आदमी को, उनके बच्चों और जानवरों तक को पहचानता था। बरसात में पानी इतना चढ़ जाता कि कई दिन रुकना पड़ता, लेकिन गर्मियों में लड़के पैदल ही नदी पार कर लेते और उसकी धीमी नाव पर हँसते। उस दिन सबसे पहले अध्यापिका आई, जिसके पास नए विद्यालय के लिए पुस्तकों के दो बंडल थे।"""
+
+
+def test_clean_texts_of_other_scripts_are_kept():
+    packer = zstandard.ZstdCompressor(level=Q.LEVEL)
+    assert Q.compression(RUSSIAN, packer)[4] and Q.compression(HINDI, packer)[4]
+
+
+def test_repetition_is_still_rejected():
+    packer = zstandard.ZstdCompressor(level=Q.LEVEL)
+    loop = "".join(f"Item {i} of the list costs {i * 7} crowns and can be had in shop {i % 9} today.\n" for i in range(9000))
+    assert not any(Q.compression(loop[:n], packer)[4] for n in (1200, 5000, 50_000, 500_000))
+    assert not Q.compression(RUSSIAN * 40, packer)[4]
