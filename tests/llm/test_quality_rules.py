@@ -78,3 +78,30 @@ def test_repetition_is_still_rejected():
     loop = "".join(f"Item {i} of the list costs {i * 7} crowns and can be had in shop {i % 9} today.\n" for i in range(9000))
     assert not any(Q.compression(loop[:n], packer)[4] for n in (1200, 5000, 50_000, 500_000))
     assert not Q.compression(RUSSIAN * 40, packer)[4]
+
+
+def test_labelled_junk_is_caught(spark):
+    """Of the rows that pass the base, good ones stay and bad ones go, short ones among them."""
+    from tidemark.llm.shared import table
+
+    data = "/root/testdata/sf0.1"
+    got = Q.quality_report(table(spark, data, "documents")).join(table(spark, data, "labels"), "doc_id").where("not base_failed").select("quality", "kept", "n_bytes").collect()
+    for short in (False, True):
+        rows = [r for r in got if not short or r.n_bytes < 800]
+        bad, good = [r.kept for r in rows if r.quality == 0], [r.kept for r in rows if r.quality == 1]
+        assert sum(bad) <= 0.02 * len(bad) and sum(good) >= 0.99 * len(good), short
+
+
+def test_short_random_text_is_rejected():
+    import random
+
+    packer, rng = zstandard.ZstdCompressor(level=Q.LEVEL), random.Random(7)
+    noise = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=1000))
+    assert not any(Q.compression(noise[:n], packer)[4] for n in (300, 400, 500, 700, 800, 1000))
+
+
+def test_last_chunk_is_judged():
+    packer = zstandard.ZstdCompressor(level=Q.LEVEL)
+    words = RUSSIAN.split()
+    assert Q.compression(RUSSIAN, packer)[2:4] == (2, 0)
+    assert Q.compression(" ".join(words) + " ---" * 190, packer)[2:4] == (3, 1)
