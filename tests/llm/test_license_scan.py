@@ -34,3 +34,22 @@ def test_odd_rows(odd, empty):
     got = L.scan(odd).collect()
     assert len(got) == odd.count() and {r.licence for r in got} == {"none"} and sum(r.doc_id == 1 for r in got) == 2
     assert L.scan(empty).count() == 0
+
+
+SPELLINGS = ["This program is distributed under GPLv3", "GPLv2 or later", "Distributed under AGPLv3", "Available as Apache2", "an MIT-licensed library", "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: BSD-2-Clause", "SPDX-License-Identifier: LGPL-2.1-or-later", "SPDX-License-Identifier: EPL-2.0", "SPDX-License-Identifier: CC-BY-NC-SA-4.0", "SPDX-License-Identifier: Frobnitz-7.3", "(c) 2020, sublicensing under LGPLv2.1+ only", "covered by the MPLv2"]
+
+
+@pytest.mark.parametrize("text", SPELLINGS)
+def test_other_spellings_are_notices(text):
+    assert L.scan_text(text, L.trained())[0] != "none"
+
+
+@pytest.mark.parametrize(("text", "licence"), [("SPDX-License-Identifier: GPL-2.0-only", "GPL"), ("Distributed under AGPLv3", "AGPL"), ("SPDX-License-Identifier: BSD-2-Clause", "BSD"), ("SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL"), ("SPDX-License-Identifier: EPL-2.0", "unknown"), ("SPDX-License-Identifier: CC-BY-NC-SA-4.0", "unknown"), ("SPDX-License-Identifier: CC-BY-NC-4.0", "CC-BY-NC"), ("SPDX-License-Identifier: Frobnitz-7.3", "unknown")])
+def test_other_spellings_by_family(text, licence):
+    assert L.scan_text(text, L.trained())[0] == licence
+
+
+def test_gate_passes_every_word_with_a_feature(spark):
+    rows = [(i, t) for i, t in enumerate([*SPELLINGS, "x GPLv3", "3mit", "MPL2", "unlicensed", "Relicensed GPLx", "copyrighted"])]
+    got = {r.doc_id: (r.licence, r.n_notices, r.families) for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: L.scan_text(t, L.trained()) for i, t in rows}

@@ -46,10 +46,21 @@ OTHERWISE = ["his driving licence expired last year", "the poet took some licenc
 FAMILIES = list(TEMPLATES)
 CLASSES = [*FAMILIES, "unknown", "none"]
 
-#: A feature contains one of these words.
-ANCHORS = "license licence licensed licenses licensing spdx copyright gnu gpl agpl lgpl apache mit bsd mozilla mpl isc unlicense unencumbered creative commons cc cc0 cc-by cc-by-sa cc-by-nc cc-by-nd by-sa by-nc by-nd attribution-noncommercial attribution-sharealike attribution-noderivatives noncommercial sharealike apache-2.0 cc-by-4.0 cc-by-sa-4.0 cc-by-nc-4.0 mpl-2.0 bsd-3-clause gpl-3.0-or-later lgpl-3.0-only agpl-3.0-only redistribute redistribution proprietary confidential unauthorized rights reserved permission hereby waived reproduced".split()
-GATE = r"(?i)(?<![a-z0-9])(?:" + "|".join(sorted(map(re.escape, ANCHORS), key=len, reverse=True)) + r")(?![a-z0-9])"
-WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+#: Names in short spellings such as GPLv3 or Apache2, which classify, and what then confirms the family.
+SHORT = {"MIT": ["MIT"], "Apache-2.0": ["Apache2", "Apache-2.0", "ASL 2.0"], "GPL": ["GPL", "GPLv2", "GPLv3", "GPL-2.0", "GPL-2.0-only"], "LGPL": ["LGPL", "LGPLv2.1", "LGPLv3", "LGPL-2.1-or-later"], "AGPL": ["AGPL", "AGPLv3", "AGPL-3.0"], "BSD": ["BSD", "BSD-2-Clause", "BSD-3-Clause"], "MPL-2.0": ["MPL2", "MPL-2.0", "MPLv2"], "ISC": ["ISC"]}
+CONFIRMS = {"MIT": ["license identifier mit"], "Apache-2.0": ["identifier apache 2"], "GPL": ["license identifier gpl", "gpl v 2", "gpl v 3"], "LGPL": ["license identifier lgpl", "lgpl v 2", "lgpl v 3"], "AGPL": ["license identifier agpl", "agpl v 3"], "BSD": ["license identifier bsd", "bsd 2 clause", "bsd 3 clause"], "MPL-2.0": ["identifier mpl 2"], "ISC": ["license identifier isc"]}
+#: Word 3-grams of licences with more conditions, which have most of the words of a CC-BY-... family.
+REFUTES = ["by nc sa", "by nc nd", "attribution noncommercial sharealike", "attribution noncommercial noderivatives"]
+#: Names of licences that are no family here.
+OTHERS = ["EPL-2.0", "EPL-1.0", "EUPL-1.2", "CDDL-1.0", "WTFPL", "Zlib", "BSL-1.0", "OFL-1.1", "MS-PL", "Artistic-2.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0", "CC-BY-NC-SA-3.0", "ODbL-1.0", "OSL-3.0", "AFL-3.0", "PSF-2.0", "Python-2.0", "NCSA", "X11", "Vim", "Ruby"]
+
+#: A feature contains one of these words, or a word that begins with one of the stems.
+ANCHORS = "spdx gnu gpl agpl lgpl apache asl mit bsd mozilla mpl isc epl eupl cddl wtfpl zlib ofl odbl copyleft unencumbered creative commons cc attribution noncommercial sharealike noderivatives redistribute redistribution proprietary confidential unauthorized rights reserved permission hereby waived reproduced".split()
+STEMS = "licens licenc unlicens sublicens copyright".split()
+ANCHOR = re.compile("(?:" + "|".join(ANCHORS) + ")|(?:" + "|".join(STEMS) + ")[a-z]*")
+#: A word is letters or digits alone; the v of a version ends the word before it: gplv3 is gpl, v, 3.
+WORD = r"[a-z]+?(?=v[0-9])|[a-z]+|[0-9]+"
+GATE = r"(?i)(?<![a-z])(?:(?:" + "|".join(sorted(ANCHORS, key=len, reverse=True)) + r")(?:(?![a-z])|(?=v[0-9]))|" + "|".join(STEMS) + ")"
 #: Paragraphs end at empty lines, and at line ends after a sentence.
 PARAGRAPH_END = r"\n[ \t\r]*\n|(?<=[.!?:;])[ \t\r]*\n"
 #: Longer paragraphs are scanned in windows of so many words, so far apart.
@@ -65,8 +76,13 @@ def words_of(text: str) -> list[str]:
 
 def grams_of(words: list[str]) -> set[str]:
     grams = {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
-    anchors = set(ANCHORS)
-    return {g for g in grams if anchors & set(g.split())}
+    anchors = {w for w in set(words) if ANCHOR.fullmatch(w)}
+    return {g for g in grams if not anchors.isdisjoint(g.split())}
+
+
+def confirming() -> list[tuple[str, set[str]]]:
+    """Families with the shingles of each text that confirms them."""
+    return [(f, shingles_of(words_of(t))) for f in FAMILIES for t in [*TEMPLATES[f], *CONFIRMS.get(f, [])]]
 
 
 def shingles_of(words: list[str]) -> set[str]:
@@ -107,6 +123,13 @@ def _examples(rng: random.Random, each: int) -> list[tuple[list[str], int]]:
     forms = ["licensed under the {} license", "released under the {} public license version {}", "this work is licensed under the {} {} license", "spdx-license-identifier {}-1.0", "distributed under the {} community license agreement", "see the {} licence for the terms of use", "copyright {} {}", "use is governed by the {} license"]
     for _ in range(6 * each):
         rows.append((vary(words_of(rng.choice(forms).format(rng.choice(invented), rng.choice(invented))), 0), CLASSES.index("unknown")))
+    short = ["distributed under {}", "available as {}", "{} licensed", "a {} licensed library", "license {}", "the license is {}", "{} or later", "released under {}", "spdx-license-identifier {}", "spdx-license-identifier {}-or-later", "code under {} only"]
+    for _ in range(12 * each):
+        family = rng.choice(list(SHORT))
+        rows.append((vary(words_of(rng.choice(short).format(rng.choice(SHORT[family]))), 0), FAMILIES.index(family)))
+        rows.append((vary(words_of(rng.choice(short).format(rng.choice(OTHERS))), 0), CLASSES.index("unknown")))
+    for _ in range(4 * each):
+        rows.append((vary(words_of(f"spdx-license-identifier {rng.choice(invented)}-{rng.randint(1, 9)}.{rng.randint(0, 9)}"), 0), CLASSES.index("unknown")))
     for t in OTHERWISE:
         rows += [(vary(words_of(t), 0), CLASSES.index("none")) for _ in range(each // 2)]
     rows += [(rng.choices(filler + invented, k=rng.randint(3, 60)), CLASSES.index("none")) for _ in range(4 * each)]
@@ -189,9 +212,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     scored = scored.select(*key, (best / F.col("z")).alias("probability"), F.element_at(F.array(*map(F.lit, FAMILIES)), F.array_position(family, best).cast("int")).alias("family"), (F.element_at("e", -1) / F.col("z")).alias("none"))
     scored = scored.where("none < 0.5")
 
-    templates = spark.createDataFrame([(f, sorted(shingles_of(words_of(t)))) for f in FAMILIES for t in TEMPLATES[f]], "family string, template array<string>")
+    templates = spark.createDataFrame([(f, sorted(t)) for f, t in confirming()], "family string, template array<string>")
     likely = scored.join(parts.select(*key, "shingles"), key)
-    compared = likely.join(F.broadcast(templates), "family").withColumn("coverage", F.size(F.array_intersect("shingles", "template")) / F.size("template"))
+    compared = likely.join(F.broadcast(templates), "family").withColumn("coverage", F.when(F.col("family").startswith("CC-BY") & F.arrays_overlap("shingles", F.array(*map(F.lit, REFUTES))), 0.0).otherwise(F.size(F.array_intersect("shingles", "template")) / F.size("template")))
     notices = compared.groupBy(*key, "family", "probability").agg(F.max("coverage").alias("coverage"))
     notices = notices.withColumn("confirmed", (F.col("probability") >= model.threshold) & (F.col("coverage") >= COVERAGE))
 
@@ -215,7 +238,9 @@ def scan_text(text: str | None, model: LicenseModel) -> tuple[str, int, str]:
             notices.add(k)
             top = max(range(len(FAMILIES)), key=lambda i: (p[i], -i))
             have = shingles_of(part)
-            coverage = max(len(have & t) / len(t) for t in (shingles_of(words_of(x)) for x in TEMPLATES[FAMILIES[top]]))
+            coverage = max(len(have & t) / len(t) for f, t in confirming() if f == FAMILIES[top])
+            if FAMILIES[top].startswith("CC-BY") and not have.isdisjoint(REFUTES):
+                coverage = 0.0
             sure = p[top] >= model.threshold and coverage >= COVERAGE
             if sure:
                 families.add(FAMILIES[top])
