@@ -63,3 +63,9 @@ def test_odd_rows(odd, empty, model):
 def test_without_labels(spark, odd):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert X.fit(odd, labels).score("anything") < 0.5
+
+
+def test_language_model_counts_every_document(spark):
+    docs = spark.createDataFrame([(1, "good day"), (2, "awful day"), (3, "zyzzyx zyzzyx"), (4, "zyzzyx"), (5, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    assert X.fit(docs, labels).letters.grams["zyz"] == 2

@@ -6,8 +6,8 @@ a character trigram model, with a cost per change, is the restored word. Restore
 features of a logistic regression, fitted to labelled rows. A token that shows none of these signs has a lattice of one
 path, itself, so only tokens with signs are decoded.
 
-Language model, features and regression are fitted to a bounded sample: ``SAMPLE`` labelled documents, those of least id
-hash among the ones that may be learned from. Every text is scored whole.
+The language model counts the trigrams of all documents. Features and regression are fitted to a bounded sample:
+``SAMPLE`` labelled documents, those of least id hash among the ones that may be learned from. Every text is scored whole.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from tidemark.llm.shared import spare_name, staged, struct, table
 
 #: Labelled documents to learn from at most; features kept at most; contexts a feature needs in toxic documents.
 SAMPLE, MOST_FEATURES, LEAST_CONTEXTS = 20_000, 4_000, 6
+#: A trigram is noise if it is not more than one of so many of the corpus, or seen once.
+NOISE = 50_000_000
 #: How many times likelier in toxic documents a feature must be.
 LEAST_ODDS = 8.0
 #: Lengths of the word beginnings that are features besides the whole word.
@@ -121,14 +123,18 @@ def features(word: str) -> list[str]:
 
 
 def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Partial counts of trigrams; a word counts once per document."""
     for batch in batches:
-        words = {w for t in batch["text"] if t for w in set(t.lower().split())}
+        words: Counter = Counter()
+        for t in batch["text"]:
+            words.update(set((t or "").lower().split()))
         counts: Counter = Counter()
-        for w in words:
+        for w, n in words.items():
             w = EDGES.sub("", w)
             if w.isalpha():
                 w = f"  {w} "
-                counts.update(w[i : i + 3] for i in range(len(w) - 2))
+                for i in range(len(w) - 2):
+                    counts[w[i : i + 3]] += n
         yield pd.DataFrame({"gram": list(counts), "n": list(counts.values())})
 
 
@@ -205,6 +211,14 @@ def logistic(rows: list[list[int]], labels: np.ndarray, n: int, l2: float = 1e-4
     return w, float(b)
 
 
+def letter_model(docs: DataFrame, text_col: str = "text") -> LetterModel:
+    """The trigrams of all texts, without noise."""
+    grams = docs.select(F.col(text_col).alias("text")).mapInPandas(_grams, struct("gram string, n long")).groupBy("gram").agg(F.sum("n").alias("n"))
+    grams = staged(grams, "toxicity-trigrams")
+    least = max(1, (grams.agg(F.sum("n")).first()[0] or 0) // NOISE)
+    return LetterModel({r[0]: r[1] for r in grams.where(F.col("n") > least).orderBy("gram").collect()})
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> ToxicityModel:
     """Learns from ``labels`` (doc_id, toxic 0 or 1) of rows that are not held out. Without both classes, a constant model."""
     may = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)").where(crc_fold(F.col("id")) != 0)
@@ -215,8 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if len(counts) < 2:
         return ToxicityModel(LetterModel(), {}, -5.0 if 1 not in counts else 5.0)
 
-    grams = rows.mapInPandas(_grams, struct("gram string, n long")).groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
-    letters = LetterModel({r[0]: r[1] for r in grams.orderBy(F.desc("n"), "gram").limit(50_000).collect()})
+    letters = letter_model(docs, text_col)
 
     def contexts(toxic: int, only: frozenset | None) -> DataFrame:
         found = rows.where(F.col("toxic") == toxic).mapInPandas(_contexts(letters, only), struct("feature string, context long"))
