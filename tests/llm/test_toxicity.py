@@ -65,6 +65,16 @@ def test_without_labels(spark, odd):
     assert X.fit(odd, labels).score("anything") < 0.5
 
 
+@pytest.mark.parametrize(("written", "meant"), [("a i d i o t", "idiot"), ("s t u p i d m o r o n", "stupid"), ("s t u p i d m o r o n", "moron"), ("well-1d10t", "idiot"), ("idiot,moron", "idiot"), ("idiot,moron", "moron"), ("idi" + 40 * "o" + "t", "idiot")])
+def test_breaks_are_decoded(model, written, meant):
+    assert meant in X.readings(written, model.letters)
+    assert model.score(f"you are {written}") > model.score("you are here")
+
+
+def test_long_tokens_are_decoded_in_linear_time(model):
+    assert X.restore("1d10t-" * 20_000 + "m0r0n", model.letters).split()[-1] == "moron"
+
+
 def test_language_model_counts_every_document(spark):
     docs = spark.createDataFrame([(1, "good day"), (2, "awful day"), (3, "zyzzyx zyzzyx"), (4, "zyzzyx"), (5, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")

@@ -3,8 +3,9 @@
 The writer is seen as a noisy channel: letters turn into look-alikes (1d10t), are spaced or dotted out (i d i o t),
 starred, or repeated (idiooot). A disguised token spans a lattice of possible letters; the Viterbi path through it under
 a character trigram model, with a cost per change, is the restored word. Restored words and their beginnings are the
-features of a logistic regression, fitted to labelled rows. A token that shows none of these signs has a lattice of one
-path, itself, so only tokens with signs are decoded.
+features of a logistic regression, fitted to labelled rows. Each dot, hyphen, comma or space inside a token or a run of
+single characters is a word break or nothing, as the path decides. A token that shows none of these signs has a lattice
+of one path, itself, so only tokens with signs are decoded.
 
 The language model counts the trigrams of all documents. Features and regression are fitted to a bounded sample:
 ``SAMPLE`` labelled documents, those of least id hash among the ones that may be learned from. Every text is scored whole.
@@ -43,9 +44,13 @@ LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 CHANGE = -1.0  # log cost of a look-alike or a shortened run
 
 EDGES = re.compile(r"^[^\w@$(|+]+|[^\w@$|+]+$")
-SIGNS = re.compile(r"[0-9@$!|+(€*#._\-]|(.)\1\1")
+SIGNS = re.compile(r"[0-9@$!|+(€*#._\-·,;:/ ]|(.)\1\1")
 SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
-DOTTED = re.compile(r"[.\-_·]")
+GAP = re.compile(r"[.\-_·,;:/ \t]")
+#: Readings of a token with gaps, and the log cost by which they may be worse than the best.
+PATHS, NEAR = 8, 8.0
+#: Gaps, which are a word break or nothing, or a run of one character.
+PARTS = re.compile(r"([.\-_·,;:/ \t]+)|(.)\2*", re.DOTALL)
 
 
 def crc_fold(doc_id: Column) -> Column:
@@ -70,10 +75,13 @@ class LetterModel:
 
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each run of equal characters its readings with their log costs."""
+    """For each gap and each run of equal characters its readings with their log costs."""
     steps = []
-    for run in re.finditer(r"(.)\1*", token):
-        c, n = run[1], len(run[0])
+    for part in PARTS.finditer(token):
+        if part[1]:
+            steps.append([("", 0.0), (" ", 0.0)])
+            continue
+        c, n = part[2], len(part[0])
         readings = [c] if c.isalpha() else list(LOOKALIKES.get(c, ""))
         cost = 0.0 if c.isalpha() else CHANGE
         step = []
@@ -88,34 +96,70 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return steps
 
 
-def viterbi(token: str, model: LetterModel) -> str:
-    """The likeliest word behind a token: the best path of its lattice, by states of two letters."""
-    states = {"  ": (0.0, "")}
+def best_paths(token: str, model: LetterModel, k: int) -> list[tuple[float, str]]:
+    """The k likeliest readings behind a token with their scores, best first, by states of two letters.
+
+    A path is a chain of its last letters and the path before, so time and memory are linear in the token's length.
+    """
+    states: dict[str, list[tuple[float, tuple | None]]] = {"  ": [(0.0, None)]}
     for step in [*lattice(token), [(" ", 0.0)]]:
-        new: dict[str, tuple[float, str]] = {}
-        for two, (score, word) in states.items():
+        new: dict[str, list[tuple[float, tuple | None]]] = {}
+        for two, paths in states.items():
             for letters, cost in step:
-                now, state = score + cost, two
+                more, state = cost, two
                 for c in letters:
-                    now += model.log(state, c)
-                    state = state[1] + c
-                if state not in new or now > new[state][0]:
-                    new[state] = (now, word + letters)
-        states = new
-    return max(states.values())[1].strip()
+                    if c == " " and state == "  ":
+                        continue  # no empty words
+                    more += model.log(state, c)
+                    state = "  " if c == " " else state[1] + c
+                new.setdefault(state, []).extend((score + more, (letters, path) if letters else path) for score, path in paths)
+        states = {state: sorted(paths, key=lambda p: -p[0])[:k] if len(paths) > 1 else paths for state, paths in new.items()}
+    found = []
+    for score, path in states["  "]:
+        letters = []
+        while path:
+            letters.append(path[0])
+            path = path[1]
+        found.append((score, " ".join("".join(reversed(letters)).split())))
+    return found
+
+
+def viterbi(token: str, model: LetterModel) -> str:
+    """The likeliest words behind a token."""
+    return best_paths(token, model, 1)[0][1]
+
+
+def disguised(token: str) -> bool:
+    return bool(SIGNS.search(token)) and any(c.isalpha() for c in token)
 
 
 def restore(token: str, model: LetterModel) -> str:
-    """A lower-case token without outer punctuation, decoded if it shows signs of disguise and has a letter."""
+    """A lower-case token or spaced run without outer punctuation; decoded, maybe to several words, if it shows signs of
+    disguise and has a letter."""
     token = EDGES.sub("", token)
-    if not SIGNS.search(token) or not any(c.isalpha() for c in token) or len(token) > 40:
-        return token
-    return viterbi(DOTTED.sub("", token), model)
+    return viterbi(token, model) if disguised(token) else token
+
+
+def readings(token: str, model: LetterModel) -> set[str]:
+    """The words of the likeliest reading; where gaps may be breaks, of each of ``PATHS`` within ``NEAR`` of it.
+
+    Letters alone do not tell "a idiot" from "ai diot", so both are looked at.
+    """
+    token = EDGES.sub("", token)
+    if not disguised(token) or not GAP.search(token):
+        return set(restore(token, model).split())
+    found = best_paths(token, model, PATHS)
+    return {w for score, words in found if score >= found[0][0] - NEAR for w in words.split()}
+
+
+def spaced_runs(text: str) -> list[str]:
+    """Runs of three or more single characters, a space between each two."""
+    return [m[0].replace("\t", " ") for m in SPACED.finditer(text)]
 
 
 def spaced_words(text: str) -> list[str]:
-    """Words spelled out as three or more single characters."""
-    return [m[0].replace(" ", "").replace("\t", "") for m in SPACED.finditer(text)]
+    """The characters of each such run."""
+    return [run.replace(" ", "") for run in spaced_runs(text)]
 
 
 def features(word: str) -> list[str]:
@@ -144,16 +188,16 @@ def _contexts(model: LetterModel, only: frozenset | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text in (t for batch in batches for t in batch["text"]):
             text = (text or "").lower()
-            words = [restore(w, model) for w in text.split()]
+            words = [w for token in text.split() for w in restore(token, model).split()]
             around = ["", *words, ""]
             found = set()
             for i, w in enumerate(words):
-                if w and (has := features(w) if only is None else [f for f in features(w) if f in only]):
+                if (has := features(w) if only is None else [f for f in features(w) if f in only]):
                     context = xxhash.xxh64_intdigest(f"{around[i]} {around[i + 2]}") >> 1
                     found.update((f, context) for f in has)
-            for w in spaced_words(text):
+            for w in (w for run in spaced_runs(text) for w in restore(run, model).split()):
                 context = xxhash.xxh64_intdigest(text) >> 1
-                found.update((f, context) for f in features(restore(w, model)) if only is None or f in only)
+                found.update((f, context) for f in features(w) if only is None or f in only)
             if found:
                 yield pd.DataFrame(list(found), columns=["feature", "context"])
 
@@ -175,8 +219,7 @@ class ToxicityModel:
         """The numbers of the model's features in a token."""
         hit = self.known.get(token)
         if hit is None:
-            word = restore(token, self.letters)
-            hit = tuple(self.numbers[f] for f in features(word) if f in self.numbers) if word else ()
+            hit = tuple(self.numbers[f] for word in sorted(readings(token, self.letters)) for f in features(word) if f in self.numbers)
             if len(self.known) >= KEPT:
                 self.known.clear()
             self.known[token] = hit
@@ -187,7 +230,7 @@ class ToxicityModel:
         hits: set[int] = set()
         for t in set(text.split()):
             hits.update(self.token(t))
-        for s in spaced_words(text):
+        for s in spaced_runs(text):
             hits.update(self.token(s))
         return sorted(hits)
 
