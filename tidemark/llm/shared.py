@@ -22,19 +22,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's, else a temporary one (local sessions)."""
+    """The folder that driver and executors share: the cluster's, else (local masters only) a temporary one.
+
+    On a cluster that names no folder this raises: executors would not see each other's temporary files.
+    """
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         known = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
 
 
+def staging_dir(spark: SparkSession) -> str:
+    """The application's own folder in the shared one, for all that it stages."""
+    return f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}"
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{staging_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark can reach."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Deletes all that the application has staged. For when no result of its operators is to be read any more."""
+    drop_path(spark, staging_dir(spark))
+
+
 def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back: cuts lineage, survives executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
