@@ -4,14 +4,17 @@ A byte-level BPE splits a text into pre-tokens before it merges anything, and a
 starts a pre-token. So a text can be cut there and each unit encoded on its own, with the same ids; units recur, and a
 worker keeps the ids of those it has seen, and of their pre-tokens. The library's model therefore runs once per distinct
 pre-token of a worker's texts, not once per occurrence. A text that holds the string of an added token is left to the
-library as a whole. The tests hold the result against the library's own ``encode``.
+library as a whole, and so is every text if the tokenizer is of another kind than this byte-level BPE. The tests hold the
+result against the library's own ``encode``.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import regex
@@ -19,8 +22,8 @@ import regex
 UNIT_START = re.compile(r"(?= \S)")
 #: Fixed value: the pre-token pattern of this byte-level BPE.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Units and pre-tokens kept per worker; a table starts anew beyond it. Bounds memory to some 300 MB.
-KEPT = 600_000
+#: Units and pre-tokens kept per worker; a table starts anew beyond it. Bounds memory to some 200 MB.
+KEPT = 400_000
 #: Longer ones are encoded without being kept.
 LONGEST_KEPT = 48
 
@@ -63,6 +66,15 @@ class _Words(dict):
         return ids
 
 
+def splits_at_spaces(tokenizer) -> bool:
+    """Whether a tokenizer is a byte-level BPE as above: no normalizer, the usual pre-tokens, no options of its model."""
+    spec = json.loads(tokenizer.to_str())
+    before, model = spec["pre_tokenizer"] or {}, spec["model"]
+    plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    options = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    return plain and spec["normalizer"] is None and model["type"] == "BPE" and not any(model.get(o) for o in options)
+
+
 class UnitEncoder:
     """Encodes texts to unsigned 32-bit ids by way of their units."""
 
@@ -72,6 +84,7 @@ class UnitEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.by_units = splits_at_spaces(self.tokenizer)
         added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.characters = _byte_characters()
@@ -94,7 +107,7 @@ class UnitEncoder:
         return b"".join(out)
 
     def encode(self, text: str) -> bytes:
-        if self.added and self.added.search(text):  # the library finds its added tokens before it splits a text
+        if not self.by_units or (self.added and self.added.search(text)):  # added tokens are found before a text is split
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self.words) >= KEPT:
             self.words.clear()
@@ -105,8 +118,18 @@ class UnitEncoder:
             return b"".join(map(self._unit, UNIT_START.split(text)))
 
 
-def encode(path: str, texts: list[str | None], end_id: int | None = None) -> list[bytes]:
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id of a tokenizer, added tokens included."""
+    return max(_encoder(path).tokenizer.get_vocab(with_added_tokens=True).values()) + 1
+
+
+def encoded(path: str, texts: Iterable[str | None], end_id: int | None = None) -> Iterator[bytes]:
     """The ids of each text as little-endian unsigned 32-bit integers, ``end_id`` appended; a null text is empty."""
     end = b"" if end_id is None else array("I", [end_id]).tobytes()
     one = _encoder(path).encode
-    return [one(t or "") + end for t in texts]
+    for text in texts:
+        yield one(text or "") + end
+
+
+def encode(path: str, texts: Iterable[str | None], end_id: int | None = None) -> list[bytes]:
+    return list(encoded(path, texts, end_id))
