@@ -34,3 +34,11 @@ def odd(spark):
 @pytest.fixture(scope="session")
 def empty(odd):
     return odd.limit(0)
+
+
+@pytest.fixture(scope="session")
+def large_ids(spark):
+    """Ids that a float cannot hold, beside a null, in one partition; texts of 80 words each."""
+    rows = [(None, 0), (2**60 + 1, 1), (2**60 + 2, 2), (None, 3)]
+    text = lambda k: " ".join(f"w{(k + 1) * i * i % 997}x{i}" for i in range(80))
+    return spark.createDataFrame([(i, text(k), "en", "a", 9) for i, k in rows], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)

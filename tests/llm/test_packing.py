@@ -87,3 +87,33 @@ def test_encoder_agrees_with_the_library_on_spaces_and_added_tokens():
     texts = ["".join(rng.choice(parts, rng.integers(0, 10))) for _ in range(2000)]
     for text, ids in zip(texts, encode(default_tokenizer(), texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == library_ids(text), repr(text)
+
+
+def test_large_ids_beside_nulls(large_ids):
+    rows = P.pack(large_ids, with_ids=False).collect()
+    assert sorted(str(r.doc_id) for r in rows) == sorted(["None", "None", str(2**60 + 1), str(2**60 + 2)])
+    want = defaultdict(list)
+    for r in large_ids.collect():
+        want[r.doc_id].append([*library_ids(r.text), P.END_ID])
+    check(rows, want)
+
+
+def test_long_texts_are_handed_on_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(P, "BATCH_BYTES", 1000)
+    docs = spark.createDataFrame([(i, "some words " * (i * 300)) for i in range(9)], "doc_id long, text string").coalesce(1)
+    check(P.pack(docs, with_ids=False).collect(), {i: [[*library_ids("some words " * (i * 300)), P.END_ID]] for i in range(9)})
+
+
+def test_bases_are_merged_not_broadcast(documents):
+    plan = P.pack(documents, with_ids=False)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+
+
+def test_other_tokenizers_are_left_to_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own = Tokenizer.from_file(path)
+    texts = ["Some Words, don't  split\n here", "日本 語", "", "a" * 50]
+    assert [np.frombuffer(i, "<u4").tolist() for i in encode(path, texts)] == [own.encode(t, add_special_tokens=False).ids for t in texts]

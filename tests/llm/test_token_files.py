@@ -49,3 +49,23 @@ def test_odd_rows(spark, odd, empty, path):
 @pytest.mark.parametrize("text", ["", " ", "  ", "a  b", " a", "a ", "\n\n a  b", "a \n b", "x\x1c y\x85 z\xa0 w", "<|endoftext|> and <|endoftext|>", "don't we'll I'M", "12 345,6  7", "日本語 テキスト", "é combining", "🙂 🙃  x", "\t tab", "a" * 300 + " b"])
 def test_units_encode_as_the_library(text):
     assert np.frombuffer(_encoder(default_tokenizer()).encode(text), "<u4").tolist() == library_ids(text)
+
+
+def test_large_ids_beside_nulls(spark, large_ids, path, monkeypatch):
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        T.write_container(large_ids, path)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    rows = T.read_container(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [None, None, 2**60 + 1, 2**60 + 2]
+    by_id = {r.doc_id: r.text for r in large_ids.collect()}
+    for doc in (2**60 + 1, 2**60 + 2):
+        assert T.read_document(spark, path, doc) == [[*library_ids(by_id[doc]), T.END_ID]]
+
+
+def test_large_vocabularies_take_four_bytes(spark, documents, path, monkeypatch):
+    monkeypatch.setattr(T, "vocabulary_size", lambda p: 100_000)
+    T.write_container(documents.limit(3), path)
+    row = T.read_container(spark, path).first()
+    assert spark.read.parquet(f"{path}/blocks").first().width == 4 and zlib.crc32(bytes(row.ids)) == row.ids_crc32

@@ -19,32 +19,39 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import staged, struct, table
-from tidemark.llm.token_ids import default_tokenizer, encode
+from tidemark.llm.token_ids import default_tokenizer, encoded
 
 WINDOW, END_ID = 2048, 1
-PIECES = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, part int, rank long"
+#: Bytes of ids after which a task hands its pieces on.
+BATCH_BYTES = 4 << 20
+#: Ids of documents travel as text: beside a null, pandas would turn large ones into floats.
+PIECES = "doc_id string, start long, length long, ids binary, ids_crc32 long, doc_tokens long, part int, rank long"
 
 
 def cut_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, window: int, end_id: int) -> DataFrame:
     """The pieces of all documents. ``rank`` counts those of a length within a task's partition ``part``."""
 
+    names = [f.split()[0] for f in PIECES.split(", ")]
+
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, seen = TaskContext.get().partitionId(), np.zeros(window + 1, dtype=np.int64)
+        rows, held = [], 0
         for batch in batches:
-            for i in range(0, len(batch), 512):
-                rows = []
-                for doc, ids in zip(batch["doc_id"][i : i + 512], encode(tokenizer, list(batch["text"][i : i + 512]), end_id), strict=True):
-                    for at in range(0, len(ids), 4 * window):
-                        own = ids[at : at + 4 * window]
-                        n = len(own) // 4
-                        rows.append((doc, at // 4, n, own, zlib.crc32(own), len(ids) // 4, part, seen[n]))
-                        seen[n] += 1
-                out = pd.DataFrame(rows, columns=[f.split()[0] for f in PIECES.split(", ")])
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
-
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInPandas(pieces, struct(PIECES))
+            for doc, ids in zip(batch["doc_id"], encoded(tokenizer, batch["text"], end_id), strict=True):
+                for at in range(0, len(ids), 4 * window):
+                    own = ids[at : at + 4 * window]
+                    n = len(own) // 4
+                    rows.append((doc, at // 4, n, own, zlib.crc32(own), len(ids) // 4, part, seen[n]))
+                    seen[n] += 1
+                held += len(ids)
+                if held >= BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
+
+    slim = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text"))
+    return slim.mapInPandas(pieces, struct(PIECES)).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def fill(counts: np.ndarray, room: int) -> dict[int, int]:

@@ -11,7 +11,6 @@ last_id find it) and one frame.
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -22,11 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import shared_dir, struct, table
-from tidemark.llm.token_ids import default_tokenizer, encode
+from tidemark.llm.shared import new_path, struct, table
+from tidemark.llm.token_ids import default_tokenizer, encoded, vocabulary_size
 
 END_ID, LEVEL = 2, 3
 BLOCK_BYTES = 1 << 20
+#: Bytes of text in a shard, the part of a container that one task writes.
+SHARD_BYTES = 64 << 20
 #: The dictionary's size, and the bound of its training sample: documents (those of least id hash) and bytes of each.
 DICTIONARY_BYTES, SAMPLE_DOCS, SAMPLE_BYTES = 64 << 10, 800, 16 << 10
 BLOCKS = "shard int, block int, first_id long, last_id long, doc_ids array<long>, counts array<long>, offsets array<long>, tokens_before long, n_tokens long, width int, dict_hash string, payload binary"
@@ -48,8 +49,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int) -
 
     def ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            coded = encode(tokenizer, list(batch["text"]), end_id)
-            yield pd.DataFrame({"ids": [serialize(c, width)[:SAMPLE_BYTES] for c in coded]})
+            yield pd.DataFrame({"ids": [serialize(c, width)[:SAMPLE_BYTES] for c in encoded(tokenizer, batch["text"], end_id)]})
 
     few = docs.join(F.broadcast(chosen), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     samples = [bytes(r[0]) for r in few.mapInPandas(ids, struct("ids binary")).collect()]
@@ -64,9 +64,15 @@ def _codec(dictionary: bytes) -> dict:
     return {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
 
 
-def write_container(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, vocabulary: int = 50_257) -> None:
-    """Writes the ids of all documents to ``path``, null ids first, then by ascending id; equal ids in input order."""
-    spark, tokenizer, width = docs.sparkSession, tokenizer or default_tokenizer(), 2 if vocabulary <= 1 << 16 else 4
+def write_container(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID) -> None:
+    """Writes the ids of all documents to ``path``, null ids first, then by ascending id; equal ids in input order.
+
+    A null or empty text is the end id alone. Ids are kept in two bytes if the tokenizer has no larger ones, else in four.
+    Other columns are ignored; an empty table gives a container without blocks. The texts are dealt to as many shards as
+    their bytes ask for.
+    """
+    spark, tokenizer = docs.sparkSession, tokenizer or default_tokenizer()
+    width = 2 if max(vocabulary_size(tokenizer), end_id + 1) <= 1 << 16 else 4
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     dictionary = train_dictionary(docs, tokenizer, end_id, width)
     digest = hashlib.sha256(dictionary).hexdigest()
@@ -89,23 +95,24 @@ def write_container(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
 
         size = 0
         for batch in batches:
-            for i in range(0, len(batch), 512):
-                part = batch.iloc[i : i + 512]
-                for doc, ids in zip(part["doc_id"].astype("Int64"), encode(tokenizer, list(part["text"]), end_id), strict=True):
-                    frame = packer.compress(serialize(ids, width))
-                    held.append((None if doc is pd.NA else int(doc), len(ids) // 4, frame))
-                    size += len(frame)
-                    if size >= BLOCK_BYTES:
-                        yield block()
-                        size = 0
+            for doc, ids in zip(batch["doc_id"], encoded(tokenizer, batch["text"], end_id), strict=True):
+                frame = packer.compress(serialize(ids, width))
+                held.append((None if doc is None else int(doc), len(ids) // 4, frame))
+                size += len(frame)
+                if size >= BLOCK_BYTES:
+                    yield block()
+                    size = 0
         if held:
             yield block()
 
-    # documents are dealt and sorted as texts, so that they are tokenized once, after the shuffle
+    # documents are dealt and sorted as texts, so that they are tokenized once, after the shuffle; their ids go to Python
+    # as text, as pandas would turn large ones beside a null into floats
     order = [F.col("doc_id").asc_nulls_first(), F.col("row")]
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES)
     rows = docs.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(shards, *order).sortWithinPartitions(*order)
-    rows.drop("row").mapInPandas(blocks, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    rows = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    rows.mapInPandas(blocks, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
 def _dictionary(spark: SparkSession, path: str) -> tuple[str, bytes]:
@@ -122,7 +129,7 @@ def read_container(spark: SparkSession, path: str, with_ids: bool = True) -> Dat
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = stored.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # a row per shard
     bases = shards.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    stored = stored.join(F.broadcast(bases), "shard").select("doc_ids", "counts", "offsets", "width", "dict_hash", "payload", (F.col("base") + F.col("tokens_before")).alias("start"))
+    stored = stored.join(F.broadcast(bases), "shard").select(F.col("doc_ids").cast("array<string>").alias("doc_ids"), "counts", "offsets", "width", "dict_hash", "payload", (F.col("base") + F.col("tokens_before")).alias("start"))
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
 
     def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -135,7 +142,7 @@ def read_container(spark: SparkSession, path: str, with_ids: bool = True) -> Dat
                 sizes = np.array([len(t) // 4 for t in texts])
                 if sizes.tolist() != list(b.counts):
                     raise ValueError("a document does not have the number of ids its block states")
-                out = pd.DataFrame({"doc_id": pd.array([None if d is None or d != d else int(d) for d in b.doc_ids], dtype="Int64"), "start": b.start + np.cumsum(sizes) - sizes, "n_tokens": sizes, "ids_crc32": [zlib.crc32(t) for t in texts]})
+                out = pd.DataFrame({"doc_id": pd.array([None if d is None else int(d) for d in b.doc_ids], dtype="Int64"), "start": b.start + np.cumsum(sizes) - sizes, "n_tokens": sizes, "ids_crc32": [zlib.crc32(t) for t in texts]})
                 if with_ids:
                     out["ids"] = texts
                 yield out
@@ -154,6 +161,6 @@ def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    path = new_path(spark, "token-files")
     write_container(table(spark, sf_dir, "documents"), path)
     return read_container(spark, path, with_ids=False)
