@@ -7,17 +7,20 @@ source's documents lie in hash blocks; a pass takes the blocks in an order that
 partial pass ends where the source's token budget does, inside one block. Without a budget the smallest one is used at
 which every source gets at least one whole pass, so nothing is lost and small sources are repeated.
 
-No weight, block or row is gathered on the driver: exponents are judged by aggregating the table of source totals.
+Tokens are those of the tokenizer, counted once per row. No weight, block or row is gathered on the driver: exponents are judged by aggregating the table of source totals.
 """
 
 from __future__ import annotations
 
 from math import log
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.shared import cut, spare_name, table
+from tidemark.llm.token_ids import default_tokenizer, encoded
 
 #: Hash blocks per source.
 BLOCKS = 4096
@@ -30,10 +33,15 @@ SECTIONS, ROUNDS = 16, 7
 MOST_BROADCAST = 100_000
 
 
-def n_words(text: Column) -> Column:
-    """Words of a whole text by ASCII white space, the token measure here; 0 for null."""
-    trimmed = F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.when(F.length(trimmed) > 0, F.size(F.split(trimmed, r"[\x20\x09-\x0D]+"))).otherwise(0).cast("long")
+def n_tokens(text: Column, tokenizer: str | None = None) -> Column:
+    """Token ids of a whole text; 0 for null."""
+    path = tokenizer or default_tokenizer()
+
+    @F.pandas_udf(T.LongType())
+    def count(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(ids) // 4 for ids in encoded(path, texts)], dtype="int64")
+
+    return count(text)
 
 
 def fit_exponent(totals: DataFrame, target_entropy: float, repeat_limit: float) -> float:
@@ -68,21 +76,31 @@ def fit_exponent(totals: DataFrame, target_entropy: float, repeat_limit: float)
     return min(1.0, max(low, by_limit, 0.0))
 
 
-def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", *, budget: float | None = None, target_entropy: float = TARGET_ENTROPY, repeat_limit: float = REPEAT_LIMIT, seed: int = SEED, plan_columns: bool = True) -> DataFrame:
+def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", *, tokens_col: str | None = None, tokenizer: str | None = None, budget: float | None = None, target_entropy: float = TARGET_ENTROPY, repeat_limit: float = REPEAT_LIMIT, seed: int = SEED, plan_columns: bool = True) -> DataFrame:
     """The rows of ``docs``, each as often as its source's passes reach it, with all their columns.
 
-    With ``plan_columns``: also mix_tokens, mix_weight (of the source), mix_pass (from 1), mix_block (the block's
-    place in the pass, a hash order) and mix_place (the row's in its block); sorting by the last three interleaves a pass.
+    ``tokens_col`` is a column of ``docs`` with token counts; without it the texts are counted. With ``plan_columns``:
+    also mix_tokens, mix_weight (of the source), mix_pass (from 1), mix_block (the block's place in the pass, a hash
+    order) and mix_place (the row's in its block); sorting by the last three interleaves a pass. Without them the rows
+    come in that order, dealt to partitions by range, so that a reader of the files meets the blocks as permuted.
+
     A null source is a source of its own. A null or empty text has no tokens; its row takes part in whole passes, and
     a source without any tokens gets one pass. Rows of equal id in a source share their place, so a partial pass takes all
-    or none of them. Plan columns are named apart from any column that ``docs`` has already.
+    or none of them. A row without an id is placed by its text and its number in the scan, so each has a place of its
+    own; where the rows of ``docs`` come in a changing order, the partial pass may take others of them. Plan columns are
+    named apart from any column that ``docs`` has already. An empty table gives an empty result.
     """
     key = F.struct(F.col(source_col).isNull().alias("none"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("name"))
-    place = F.xxhash64(F.lit(seed), F.col(id_col))
-    names = {n: spare_name(docs, f"mix_{n}") for n in ("source", "tokens", "place", "block", "weight", "pass")}
-    block = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(id_col)), F.lit(BLOCKS))
+    names = {n: spare_name(docs, f"mix_{n}") for n in ("source", "tokens", "place", "block", "weight", "pass", "row", "plan")}
+    numbered = docs.withColumn(names["row"], F.monotonically_increasing_id())
+
+    def by_id(seed: int) -> Column:
+        return F.when(F.col(id_col).isNotNull(), F.xxhash64(F.lit(seed), F.col(id_col))).otherwise(F.xxhash64(F.lit(seed), F.col(text_col) if text_col in docs.columns else F.lit(""), F.col(names["row"])))
+
+    place, block = by_id(seed), F.pmod(by_id(seed + 1), F.lit(BLOCKS))
+    tokens = F.coalesce(F.col(tokens_col).cast("long"), F.lit(0).cast("long")) if tokens_col else n_tokens(F.col(text_col), tokenizer)
 
-    slim = cut(docs.select(key.alias("source"), block.alias("block"), place.alias("place"), n_words(F.col(text_col)).alias("tokens")))
+    slim = cut(numbered.select(key.alias("source"), block.alias("block"), place.alias("place"), tokens.alias("tokens")))
     blocks = cut(slim.groupBy("source", "block").agg(F.sum("tokens").alias("tokens")))
     totals = cut(blocks.groupBy("source").agg(F.sum("tokens").alias("tokens")))
     exponent = fit_exponent(totals, target_entropy, repeat_limit)
@@ -110,19 +128,24 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_
     if plan.count() <= MOST_BROADCAST:
         plan = F.broadcast(plan)
 
-    plan = plan.select(F.col("source").alias(names["source"]), F.struct("weight", "whole", "rest", "turn", "last_block", "cutoff").alias("plan__"))
-    rows = docs.withColumn(names["source"], key).join(plan, names["source"])
-    p = F.col("plan__")
+    plan = plan.select(F.col("source").alias(names["source"]), F.struct("weight", "whole", "rest", "turn", "last_block", "cutoff").alias(names["plan"]))
+    rows = numbered.withColumn(names["source"], key).join(plan, names["source"])
+    p = F.col(names["plan"])
     own_turn = order(F.col(names["source"]), p["whole"] + 1, block)
     before = (own_turn < p["turn"]) | ((own_turn == p["turn"]) & (block < p["last_block"]))
     more = F.when(before | ((block == p["last_block"]) & (place <= p["cutoff"])), 1).otherwise(0)
     more = F.when(p["rest"] > 0, F.when(p["turn"].isNull(), 1).otherwise(F.coalesce(more, F.lit(0)))).otherwise(0)
     rows = rows.withColumn(names["pass"], F.explode(F.when(p["whole"] + more > 0, F.sequence(F.lit(1).cast("long"), p["whole"] + more))))
+    turned = order(F.col(names["source"]), F.col(names["pass"]), block)
     if not plan_columns:
-        return rows.select(docs.columns)
-    return rows.select(*docs.columns, n_words(F.col(text_col)).alias(names["tokens"]), p["weight"].alias(names["weight"]), F.col(names["pass"]), order(F.col(names["source"]), F.col(names["pass"]), block).alias(names["block"]), place.alias(names["place"]))
+        rows = rows.withColumn(names["block"], turned).withColumn(names["place"], place)
+        by = [names[n] for n in ("pass", "block", "place", "row")]
+        return rows.repartitionByRange(*by).sortWithinPartitions(*by).select(docs.columns)
+    return rows.select(*docs.columns, tokens.alias(names["tokens"]), p["weight"].alias(names["weight"]), F.col(names["pass"]), turned.alias(names["block"]), place.alias(names["place"]))
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return docs.select("doc_id", "source", F.col("mix_tokens").alias("n_tokens"), F.col("mix_weight").alias("weight"), F.col("mix_pass").alias("pass"), F.col("mix_block").alias("block_order"), F.col("mix_place").alias("place"))
+    docs = table(spark, sf_dir, "documents")
+    counted = cut(docs.select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens")))
+    mixed = mix(counted, tokens_col="n_tokens")
+    return mixed.select("doc_id", "source", "n_tokens", F.col("mix_weight").alias("weight"), F.col("mix_pass").alias("pass"), F.col("mix_block").alias("block_order"), F.col("mix_place").alias("place"))
