@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 
 import pytest
 
@@ -26,7 +27,7 @@ def test_pages(spark):
 def test_held_out_layouts():
     rng = random.Random(4242)
     made = [H.generate(rng) for _ in range(200)]
-    got = H.main_texts([s for s, _ in made], H.trained())
+    got = list(H.main_texts([s for s, _ in made], H.trained()))
     assert sum(g == "\n".join(t) for g, (_, t) in zip(got, made, strict=True)) / len(made) > 0.93
 
 
@@ -44,12 +45,12 @@ PAGE = "<html><body><nav><ul><li><a href=x>Home</a></li><li><a href=y>About us</
 
 @pytest.mark.parametrize("extra", ["", "<script>var a='<p>no</p>';</script>", "<!-- <p>no</p> -->", "<style>p{}</style>"])
 def test_markup(extra):
-    assert H.main_texts([PAGE.format(extra=extra)], H.trained()) == ["A title & more\nFirst paragraph, with some words in it.\nSecond <one> here."]
+    assert list(H.main_texts([PAGE.format(extra=extra)], H.trained())) == ["A title & more\nFirst paragraph, with some words in it.\nSecond <one> here."]
 
 
 @pytest.mark.parametrize("source", [None, "", " ", "<", "<p", "<p title=\"x>y", "</div></div>", "<!-- open", "<script>", "a < b", "&#x110000; &bogus;", "<div>" * 3000])
 def test_broken_markup_does_not_fail(source):
-    assert isinstance(H.main_texts([source], H.trained())[0], str)
+    assert isinstance(next(H.main_texts([source], H.trained())), str)
 
 
 def test_odd_rows(spark):
@@ -57,3 +58,38 @@ def test_odd_rows(spark):
     got = H.extract(df).collect()
     assert sorted(r.n_chars for r in got)[:3] == [0, 0, 0] and any(r.page_id == 2**60 + 1 and r.n_chars > 50 for r in got)
     assert H.extract(df.limit(0)).count() == 0
+
+
+HOSTILE = {
+    "unclosed elements": "<button>" * 200_000, "mixed unclosed": "<svg><select><iframe>" * 60_000, "nested": "<div>" * 200_000, "nested and closed": "<div>" * 100_000 + "text" + "</div>" * 100_000,
+    "stray ends": "<div>" * 50_000 + "</nav>" * 50_000, "open quotes": "<a title=\"x " * 100_000, "odd quotes": "<p class='a>b " * 100_001, "no ends": "<p <p " * 100_000, "open scripts": "<script " * 100_000, "comments": "<!-- " * 100_000 + "<!-->", "entities": "&amp" * 200_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_time_is_linear(name):
+    trees, began = H.trained(), time.process_time()
+    assert isinstance(next(H.main_texts([HOSTILE[name]], trees)), str)
+    assert time.process_time() - began < 6  # a slow machine's two seconds
+
+
+def test_subtree_sums():
+    rng = random.Random(8)
+    for _ in range(20):
+        page = H.parse(H.generate(rng)[0])
+        for i in range(len(page.kind)):
+            inside = [j for j in range(len(page.kind)) if i in ancestors(page, j) or i == j]
+            assert inside == list(range(i, page.end[i])) and page.depth[i] == len(ancestors(page, i))
+
+
+def ancestors(page, node):
+    out = set()
+    while page.parent[node] >= 0:
+        node = page.parent[node]
+        out.add(node)
+    return out
+
+
+@pytest.mark.parametrize(("source", "want"), [("<svg/><p>a</p>", "a"), ("<button>b<p>a</p>", "b\na"), ("<button>b</button><p>a</p>", "a"), ("x<p title='1>2'>a</p>", "x\na"), ("a < b", "a < b"), ("<!doctype html>a<!-- b -->c", "ac"), ("<p>a<style>b", "a"), ("<p title='it>a</p>", "a")])
+def test_tokens(source, want):
+    assert "\n".join(t for _, t in H.parse(source).blocks) == want

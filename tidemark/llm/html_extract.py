@@ -13,7 +13,7 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -25,16 +25,17 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import struct, table
 
 TRAINING_PAGES, TREES, DEPTH, RATE, BINS = 500, 60, 4, 0.2, 24
-
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|title|template|noscript)\b[^>]*+>.*?(?:</\1\s*+>|\Z)"
-    r"|<(svg|textarea|select|button|iframe|object|canvas|datalist)\b[^>]*+>.*?</\2\s*+>"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*+)(?P<attrs>(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|</?[a-zA-Z!?][^>]*+>|<[!?][^>]*+>"
-    r"|(?P<text>[^<]++|<)",
-    re.S | re.I,
-)
+#: Nodes that a task describes at once (a page's own are not split).
+MOST_NODES = 20_000
+
+#: A tag's name, and what of a tag lies outside and inside quotes up to its end.
+TAG = re.compile(r"<(/?)([a-zA-Z][\w:-]*+)")
+QUOTED = re.compile(r"(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+")
+#: Elements without text of the page: of the first ones all is skipped to their end tag or the end of the page, of the
+#: second ones only if they have an end tag.
+SKIPPED = frozenset("script style title template noscript".split())
+SKIPPED_IF_CLOSED = frozenset("svg textarea select button iframe object canvas datalist".split())
+CLOSE = {t: re.compile(rf"</{t}\s*+>", re.I) for t in SKIPPED | SKIPPED_IF_CLOSED}
 ATTRIBUTE = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 #: Block elements by kind; a kind is a feature.
@@ -69,13 +70,64 @@ class Page:
     kind: list[int]
     parent: list[int]
     hints: list[int]  # bits
+    depth: list[int]
+    above: list[int]  # bits of the kinds, then of the hints, of all ancestors
+    end: list[int]  # the node after the last of the subtree
     text: list[list[float]]  # per node: characters, of them in links, words, marks, symbols
     blocks: list[tuple[int, str]]
 
 
+def tags_and_texts(source: str) -> Iterator[tuple[str | None, str, str]]:
+    """(text, "", "") and (None, tag with a / if it ends, attributes), in page order, in one forward pass.
+
+    Nothing is looked for again in what has been found to lack it, so the time is linear in the page's length whatever
+    is left unclosed. A quote that is never closed is an ordinary character.
+    """
+    at, n, quotes, lacking = 0, len(source), True, set()
+    while at < n:
+        start = source.find("<", at)
+        if start < 0:
+            start = n
+        if start > at:
+            yield source[at:start], "", ""
+        if start == n:
+            return
+        m = TAG.match(source, start)
+        if m is None:
+            following = source[start + 1 : start + 4]
+            if following == "!--":
+                end, width = source.find("-->", start + 4), 3
+            elif following[:1] in ("!", "?") or (following[:1] == "/" and following[1:2] in ("!", "?")):
+                end, width = source.find(">", start), 1
+            else:
+                yield "<", "", ""
+                at = start + 1
+                continue
+            at = n if end < 0 else end + width
+            continue
+        end = QUOTED.match(source, m.end()).end() if quotes else -1
+        if not 0 <= end < n or source[end] != ">":
+            quotes = quotes and 0 <= end < n and source[end] not in "'\""
+            end = source.find(">", m.end())
+        if end < 0:  # an unfinished tag ends the page
+            return
+        tag, attributes, at = m[2].lower(), source[m.end() : end], end + 1
+        if not m[1] and tag in CLOSE and tag not in lacking and not (tag == "svg" and attributes.endswith("/")):
+            close = CLOSE[tag].search(source, at)
+            if close:
+                at = close.end()
+            elif tag in SKIPPED:
+                return
+            else:
+                lacking.add(tag)
+            continue
+        yield None, m[1] + tag, attributes
+
+
 def parse(source: str | None) -> Page:
-    page = Page([KIND["body"]], [-1], [0], [[0.0] * 5], [])
+    page = Page([KIND["body"]], [-1], [0], [0], [0], [0], [[0.0] * 5], [])
     stack, tags, pieces, link, linked = [0], ["body"], [], False, 0
+    opened = dict.fromkeys(KIND, 0)
 
     def flush() -> None:
         nonlocal pieces, linked
@@ -93,18 +145,22 @@ def parse(source: str | None) -> Page:
                 t[4] += text.count("|") + text.count("©") + text.count("·") + text.count("»")
             pieces, linked = [], 0
 
-    for m in TOKEN.finditer(source or ""):
-        if (piece := m["text"]) is not None:
+    def leave() -> str:
+        page.end[stack.pop()] = len(page.kind)
+        tag = tags.pop()
+        opened[tag] -= 1
+        return tag
+
+    for piece, tag, attributes in tags_and_texts(source or ""):
+        if piece is not None:
             pieces.append(piece)
             if link:
                 linked += len(piece)
             continue
-        tag = m["tag"]
-        if tag is None:
-            continue
-        tag = tag.lower()
+        ends = tag[0] == "/"
+        tag = tag[1:] if ends else tag
         if tag == "a":
-            link = not m["end"]
+            link = not ends
         elif tag in ("br", "hr"):
             pieces.append(" ")
             if tag == "hr":
@@ -112,60 +168,54 @@ def parse(source: str | None) -> Page:
         elif tag in KIND:
             flush()
             link = False
-            if m["end"]:
-                if tag in tags[1:]:
-                    while tags.pop() != tag:
-                        stack.pop()
-                    stack.pop()
+            if ends:
+                if opened[tag]:
+                    while leave() != tag:
+                        pass
                 continue
             if tag in ("html", "body", "head"):
                 continue
             while len(stack) > 1 and tag in ENDED.get(tags[-1], ()):
-                stack.pop()
-                tags.pop()
+                leave()
             bits = 0
-            if m["attrs"]:
-                for a in ATTRIBUTE.finditer(m["attrs"]):
+            if attributes:
+                for a in ATTRIBUTE.finditer(attributes):
                     for word in re.split(r"[^a-z]+", (a[1] or a[2] or a[3] or "").lower()):
                         if word in HINT:
                             bits |= 1 << HINT[word]
+            up = stack[-1]
             page.kind.append(KIND[tag])
-            page.parent.append(stack[-1])
+            page.parent.append(up)
             page.hints.append(bits)
+            page.depth.append(page.depth[up] + 1)
+            page.above.append(page.above[up] | 1 << page.kind[up] | page.hints[up] << len(KINDS))
+            page.end.append(0)
             page.text.append([0.0] * 5)
             stack.append(len(page.kind) - 1)
             tags.append(tag)
+            opened[tag] += 1
     flush()
+    for node in stack:
+        page.end[node] = len(page.kind)
     return page
 
 
 def describe(pages: list[Page]) -> np.ndarray:
-    """The features of all nodes of some pages, in order."""
+    """The features of all nodes of some pages, in order. A node's subtree is a range of nodes, so its sums are differences."""
     size = np.array([len(p.kind) for p in pages])
     base = np.repeat(np.cumsum(size) - size, size)
-    kind = np.concatenate([p.kind for p in pages])
-    parent = np.concatenate([p.parent for p in pages])
+    kind, parent, hints, above, depth, end = (np.concatenate([getattr(p, part) for p in pages]).astype(np.int64) for part in ("kind", "parent", "hints", "above", "depth", "end"))
     root = parent < 0
     up = np.where(root, np.arange(len(kind)), parent + base)
-    hints = np.concatenate([p.hints for p in pages])
     own = np.array([t for p in pages for t in p.text])
-    depth = (~root).astype(np.int64)
-    at = up.copy()
-    while (moved := at != up[at]).any():  # distance to the root, a step at a time for all nodes
-        depth += moved
-        at = up[at]
-    level = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)]
-    total, nodes = own.copy(), np.ones(len(kind))
-    for rows in level[:0:-1]:
-        np.add.at(total, up[rows], total[rows])
-        np.add.at(nodes, up[rows], nodes[rows])
+    upto = np.vstack([np.zeros(own.shape[1]), own.cumsum(axis=0)])
+    total = upto[end + base] - upto[:-1]
+    nodes = end + base - np.arange(len(kind))
     n_kinds, n_hints = len(KINDS), len(HINTS)
     kinds = np.eye(n_kinds)[kind]
     hinted = (hints[:, None] >> np.arange(n_hints)) & 1
-    above_k, above_h = np.zeros_like(kinds), np.zeros(hinted.shape)
-    for rows in level[1:]:
-        above_k[rows] = np.maximum(above_k[up[rows]], kinds[up[rows]])
-        above_h[rows] = np.maximum(above_h[up[rows]], hinted[up[rows]])
+    above_k = (above[:, None] >> np.arange(n_kinds)) & 1
+    above_h = (above[:, None] >> np.arange(n_kinds, n_kinds + n_hints)) & 1
     children = np.bincount(up[~root], minlength=len(kind))
     order = np.lexsort((np.arange(len(kind)), np.where(root, -1, up)))
     first = np.ones(len(kind), dtype=bool)
@@ -398,30 +448,39 @@ def trained() -> Trees:
     return boost(x[w > 0], y[w > 0], w[w > 0])
 
 
-def main_texts(sources: list[str | None], trees: Trees) -> list[str]:
-    """The main text of each page: blocks in page order, joined by a line break."""
-    out: list[str] = []
-    for i in range(0, len(sources), 256):
-        pages = [parse(s) for s in sources[i : i + 256]]
+def main_texts(sources: Iterable[str | None], trees: Trees) -> Iterator[str]:
+    """The main text of each page: blocks in page order, joined by a line break. Holds the nodes of a few pages."""
+    pages, nodes = [], 0
+
+    def decided() -> Iterator[str]:
         p, at = trees.probability(describe(pages)), 0
         for page in pages:
             label = decode(page, p[at : at + len(page.kind)])
             at += len(page.kind)
-            out.append("\n".join(text for node, text in page.blocks if label[node] == ARTICLE))
-    return out
+            yield "\n".join(text for node, text in page.blocks if label[node] == ARTICLE)
+
+    for source in sources:
+        pages.append(parse(source))
+        nodes += len(pages[-1].kind)
+        if nodes >= MOST_NODES:
+            yield from decided()
+            pages, nodes = [], 0
+    if pages:
+        yield from decided()
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", trees: Trees | None = None) -> DataFrame:
     """One row per page: page_id, url, text (empty if there is none), n_chars (its code points).
 
-    Null or empty html gives an empty text. Null ids and urls stay null; repeated rows give repeated rows; other columns
+    Null or empty html gives an empty text. Time is linear in a page's length, however deep it nests and whatever it leaves
+    unclosed. Null ids and urls stay null; repeated rows give repeated rows; other columns
     are ignored. White space inside a block, line breaks of ``<br>`` included, becomes one space.
     """
     trees = trees or trained()
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = main_texts(list(batch["html"]), trees)
+            found = list(main_texts(batch["html"], trees))
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": found, "n_chars": [len(t) for t in found]})
 
     # ids go as text: a batch with nulls would turn large ones into floats
