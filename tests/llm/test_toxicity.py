@@ -27,13 +27,14 @@ def test_fold_is_crc32(spark):
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in got)
 
 
-@pytest.mark.parametrize(("written", "meant"), [("1d10t", "idiot"), ("i.d.i.o.t", "idiot"), ("idioooot", "idiot"), ("m0r0n", "moron"), ("st*pid", "stupid"), ("p4th3t1c", "pathetic"), ("plain", "plain"), ("2024", "2024")])
+@pytest.mark.parametrize(("written", "meant"), [("1d10t", "idiot"), ("i.d.i.o.t", "idiot"), ("idioooot", "idiot"), ("m0r0n", "moron"), ("st*pid", "stupid"), ("p4th3t1c", "pathetic"), ("plain", "plain"), ("2024", "2024"), ("iddiot", "idiot"), ("1d10t" + 40 * "0", "idioto"), ("@n1m@l", "animal"), ("", ""), ("***", "")])
 def test_restores(model, written, meant):
     assert X.restore(written, model.letters) == meant
 
 
 def test_spaced_out(model):
-    assert X.spaced_words("an i d i o t here") == ["idiot"]
+    assert X.spaced_words("an i d i o t here") == ["anidiot"] and X.spaced_words("here i  d\ti o t there") == ["idiot"]
+    assert X.spaced_words("you id io t") == ["idiot"] and X.spaced_words("it is so") == [] and X.spaced_words("i am") == []
     assert model.score("you are an i d i o t") > model.score("you are an animal")
 
 
@@ -79,3 +80,53 @@ def test_language_model_counts_every_document(spark):
     docs = spark.createDataFrame([(1, "good day"), (2, "awful day"), (3, "zyzzyx zyzzyx"), (4, "zyzzyx"), (5, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
     assert X.fit(docs, labels).letters.grams["zyz"] == 2
+
+
+@pytest.mark.parametrize("written", ["id io t", "i  d  i  o  t", "iddiot", "iidiiot", "m o r on", "1ddiot"])
+def test_fragments_and_double_letters_are_read(model, written):
+    plain = model.score("you are here and there")
+    assert model.score(f"you are {written} there") > plain + 0.1
+
+
+def test_tokens_of_marks_alone_are_decoded(model):
+    assert X.disguised("@$$") and not X.disguised("455") and X.restore("@$$", model.letters) in ("as", "ass")
+
+
+def test_score_equals_brute_force(model):
+    """All paths of each token, those near the best, the features of their words, the sigmoid of the sum of weights."""
+    from itertools import product
+    from math import exp
+
+    def paths(token):
+        found = {}
+        for path in product(*X.lattice(token)):
+            word, score, two = "".join(p[0] for p in path), sum(p[1] for p in path), "  "
+            for c in word + " ":
+                if c == " " and two == "  ":
+                    continue
+                score += model.letters.log(two, c)
+                two = "  " if c == " " else two[1] + c
+            word = " ".join(word.split())
+            found[word] = max(score, found.get(word, score))
+        return sorted(((s, w) for w, s in found.items()), reverse=True)
+
+    def brute(text):
+        hits = set()
+        for token in {*text.split(), *X.spaced_runs(text)}:
+            token = X.EDGES.sub("", token)
+            if not token:
+                continue
+            found = paths(token) if any(c.isalpha() or c in "@$" for c in token) else [(0, token)]
+            near = [w for s, w in found[: X.PATHS] if X.GAP.search(token) and s >= found[0][0] - X.NEAR] or [found[0][1]]
+            words = {w for n in near for w in n.split()} | ({token} if token.isalpha() else set())
+            hits |= {f for w in words for f in X.features(w) if f in model.weights}
+        return 1 / (1 + exp(-max(-30, min(30, model.bias + sum(model.weights[f] for f in hits)))))
+
+    for text in ("you are an idiot", "you iddiot go", "a 1d10t and a m0r0n", "well i d i o t here", "st*pid, letter book", "nothing of note here", "1990 or 12,5", "", "@$$ off"):
+        assert model.score(text) == pytest.approx(brute(text), abs=1e-9), text
+
+
+def test_conflicting_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (3, None), (None, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 0), (2, 1), (3, 1), (3, 1), (None, 1), (9, 1)], "doc_id long, toxic int")
+    assert 0 <= X.fit(docs, labels).score("a") <= 1

@@ -1,14 +1,15 @@
 """Toxicity scores of texts whose offensive words may be disguised.
 
-The writer is seen as a noisy channel: letters turn into look-alikes (1d10t), are spaced or dotted out (i d i o t),
-starred, or repeated (idiooot). A disguised token spans a lattice of possible letters; the Viterbi path through it under
-a character trigram model, with a cost per change, is the restored word. Restored words and their beginnings are the
-features of a logistic regression, fitted to labelled rows. Each dot, hyphen, comma or space inside a token or a run of
-single characters is a word break or nothing, as the path decides. A token that shows none of these signs has a lattice
-of one path, itself, so only tokens with signs are decoded.
+The writer is seen as a noisy channel: letters turn into look-alikes (1d10t, @$$), are spaced or dotted out (i d i o t,
+id io t), starred, or repeated (iddiot, idiooot). A token spans a lattice of possible letters; the Viterbi path through
+it under a character trigram model, with a cost per change, is the restored word. Restored words and their beginnings are
+the features of a logistic regression, fitted to labelled rows. Each dot, hyphen, comma or space inside a token or a run
+of one or two characters is a word break or nothing, as the path decides. A token without a sign, gap or double letter
+has a lattice of one path, itself, so only the others are decoded; a number stays a number.
 
 The language model counts the trigrams of all documents. Features and regression are fitted to a bounded sample:
-``SAMPLE`` labelled documents, those of least id hash among the ones that may be learned from. Every text is scored whole.
+``SAMPLE`` labelled documents, those of least id hash among the ones that may be learned from; all features that are
+common and toxic enough there are kept. Every text is scored whole.
 """
 
 from __future__ import annotations
@@ -28,16 +29,18 @@ from pyspark.sql import types as T
 
 from tidemark.llm.shared import spare_name, staged, struct, table
 
-#: Labelled documents to learn from at most; features kept at most; contexts a feature needs in toxic documents.
-SAMPLE, MOST_FEATURES, LEAST_CONTEXTS = 20_000, 4_000, 6
+#: Labelled documents to learn from at most; contexts a feature needs in toxic documents.
+SAMPLE, LEAST_CONTEXTS = 20_000, 6
+#: Partitions of the sample at least, and bytes of its texts in one.
+LEAST_PARTS, PART_BYTES = 24, 4 << 20
 #: A trigram is noise if it is not more than one of so many of the corpus, or seen once.
 NOISE = 50_000_000
 #: How many times likelier in toxic documents a feature must be.
 LEAST_ODDS = 8.0
 #: Lengths of the word beginnings that are features besides the whole word.
 PREFIXES = (4, 5, 6)
-#: Tokens whose features a worker keeps.
-KEPT = 400_000
+#: Tokens whose features a worker keeps; contexts of features that it gathers before it hands them on.
+KEPT, CONTEXTS = 200_000, 100_000
 
 #: Letters that a look-alike may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "*": "aeiou", "#": "aeiou"}
@@ -45,7 +48,11 @@ CHANGE = -1.0  # log cost of a look-alike or a shortened run
 
 EDGES = re.compile(r"^[^\w@$(|+]+|[^\w@$|+]+$")
 SIGNS = re.compile(r"[0-9@$!|+(€*#._\-·,;:/ ]|(.)\1\1")
-SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
+DOUBLED = re.compile(r"(.)\1")
+#: What stands for letters in a token that has none, if there are two of them; digits alone are a number.
+MARKS = re.compile(r"[@$!|+(€#*].*[@$!|+(€#*]")
+#: Three or more words of one or two characters, one of them of one.
+SPACED = re.compile(r"(?<!\S)(?=(?:\S{2}[ \t]+)*\S(?:\s|$))\S{1,2}(?:[ \t]+\S{1,2}){2,}(?!\S)")
 GAP = re.compile(r"[.\-_·,;:/ \t]")
 #: Readings of a token with gaps, and the log cost by which they may be worse than the best.
 PATHS, NEAR = 8, 8.0
@@ -130,31 +137,45 @@ def viterbi(token: str, model: LetterModel) -> str:
 
 
 def disguised(token: str) -> bool:
-    return bool(SIGNS.search(token)) and any(c.isalpha() for c in token)
+    """Whether a token has signs besides double letters."""
+    return bool(SIGNS.search(token)) and (any(c.isalpha() for c in token) or bool(MARKS.search(token)))
 
 
 def restore(token: str, model: LetterModel) -> str:
-    """A lower-case token or spaced run without outer punctuation; decoded, maybe to several words, if it shows signs of
-    disguise and has a letter."""
+    """A lower-case token or spaced run without outer punctuation, decoded, maybe to several words."""
+    token = EDGES.sub("", token)
+    return viterbi(token, model) if disguised(token) or (DOUBLED.search(token) and token.isalpha()) else token
+
+
+def written(token: str, model: LetterModel) -> str:
+    """As restored, but double letters as they are: what to learn from."""
     token = EDGES.sub("", token)
     return viterbi(token, model) if disguised(token) else token
 
 
 def readings(token: str, model: LetterModel) -> set[str]:
-    """The words of the likeliest reading; where gaps may be breaks, of each of ``PATHS`` within ``NEAR`` of it.
+    """The words of the likeliest reading; where gaps may be breaks, of each of ``PATHS`` within ``NEAR`` of it; of a
+    token with no sign but double letters, itself too.
 
-    Letters alone do not tell "a idiot" from "ai diot", so both are looked at.
+    Letters alone do not tell "a idiot" from "ai diot", or "off" from "of", so both are looked at.
     """
     token = EDGES.sub("", token)
-    if not disguised(token) or not GAP.search(token):
-        return set(restore(token, model).split())
+    if not disguised(token):
+        return {token, restore(token, model)} if token else set()
+    if not GAP.search(token):
+        return set(viterbi(token, model).split())
     found = best_paths(token, model, PATHS)
     return {w for score, words in found if score >= found[0][0] - NEAR for w in words.split()}
 
 
+def single(word: str) -> str:
+    """The word with each run of a character cut to one."""
+    return PARTS.sub(lambda m: m[2] or m[0], word)
+
+
 def spaced_runs(text: str) -> list[str]:
-    """Runs of three or more single characters, a space between each two."""
-    return [m[0].replace("\t", " ") for m in SPACED.finditer(text)]
+    """Runs of three or more words of one or two characters, one blank between each two."""
+    return [" ".join(m[0].split()) for m in SPACED.finditer(text)]
 
 
 def spaced_words(text: str) -> list[str]:
@@ -183,23 +204,35 @@ def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _contexts(model: LetterModel, only: frozenset | None):
-    """Rows (feature, hash of the words around it), a batch per document, so that copies of one document count once."""
+    """Rows (feature, hash of the words around it), each once per batch; copies of a document have the same ones."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, list[str]] = {}
+
+        def words_of(token: str) -> list[str]:
+            if token not in known:
+                if len(known) >= KEPT:
+                    known.clear()
+                known[token] = written(token, model).split()
+            return known[token]
+
+        found = set()
         for text in (t for batch in batches for t in batch["text"]):
             text = (text or "").lower()
-            words = [w for token in text.split() for w in restore(token, model).split()]
+            words = [w for token in text.split() for w in words_of(token)]
             around = ["", *words, ""]
-            found = set()
             for i, w in enumerate(words):
                 if (has := features(w) if only is None else [f for f in features(w) if f in only]):
                     context = xxhash.xxh64_intdigest(f"{around[i]} {around[i + 2]}") >> 1
                     found.update((f, context) for f in has)
-            for w in (w for run in spaced_runs(text) for w in restore(run, model).split()):
+            for w in (w for run in spaced_runs(text) for w in words_of(run)):
                 context = xxhash.xxh64_intdigest(text) >> 1
                 found.update((f, context) for f in features(w) if only is None or f in only)
-            if found:
+            if len(found) >= CONTEXTS:
                 yield pd.DataFrame(list(found), columns=["feature", "context"])
+                found = set()
+        if found:
+            yield pd.DataFrame(list(found), columns=["feature", "context"])
 
     return run
 
@@ -214,12 +247,25 @@ class ToxicityModel:
         self.numbers = {f: i for i, f in enumerate(self.weights)}
         self.values = np.array(list(self.weights.values()), dtype=float)
         self.known: dict[str, tuple[int, ...]] = {}
+        self.singles = {("=" if f[0] == "=" else "") + single(f.lstrip("=")) for f in self.weights}
+
+    def worth(self, token: str) -> bool:
+        """False if no reading of a token without signs but double letters can have a feature that it has not itself.
+
+        All readings are the same once runs are cut to one letter, so a feature cut likewise must begin them.
+        """
+        if not DOUBLED.search(token):
+            return False
+        cut = single(token)
+        return f"={cut}" in self.singles or any(cut[:n] in self.singles for n in range(1, max(PREFIXES) + 1))
 
     def token(self, token: str) -> tuple[int, ...]:
         """The numbers of the model's features in a token."""
         hit = self.known.get(token)
         if hit is None:
-            hit = tuple(self.numbers[f] for word in sorted(readings(token, self.letters)) for f in features(word) if f in self.numbers)
+            bare = EDGES.sub("", token)
+            words = readings(bare, self.letters) if disguised(bare) or self.worth(bare) else {bare}
+            hit = tuple(self.numbers[f] for word in sorted(words) for f in features(word) if f in self.numbers)
             if len(self.known) >= KEPT:
                 self.known.clear()
             self.known[token] = hit
@@ -263,26 +309,40 @@ def letter_model(docs: DataFrame, text_col: str = "text") -> LetterModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> ToxicityModel:
-    """Learns from ``labels`` (doc_id, toxic 0 or 1) of rows that are not held out. Without both classes, a constant model."""
+    """Learns from ``labels`` (doc_id, toxic 0 or 1) of rows that are not held out. Without both classes, a constant model.
+
+    An id with labels of both kinds teaches nothing. Of an id that ``docs`` has more than once the least text is taken.
+    Null ids, and ids without a document, are left out; a null text counts as empty.
+    """
     may = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)").where(crc_fold(F.col("id")) != 0)
-    chosen = may.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    rows = staged(rows.repartition(24, F.xxhash64("id", "text")), "toxicity-sample")
+    agreed = may.groupBy("id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other")
+    chosen = agreed.select("id", "toxic").orderBy(F.xxhash64("id"), "id").limit(sample)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    rows = staged(rows.groupBy("id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic")), "toxicity-sample")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = rows.repartition(max(LEAST_PARTS, size // PART_BYTES), "id")
     counts = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     if len(counts) < 2:
         return ToxicityModel(LetterModel(), {}, -5.0 if 1 not in counts else 5.0)
 
     letters = letter_model(docs, text_col)
 
-    def contexts(toxic: int, only: frozenset | None) -> DataFrame:
-        found = rows.where(F.col("toxic") == toxic).mapInPandas(_contexts(letters, only), struct("feature string, context long"))
+    def contexts(toxic: int, only: frozenset | None, of: int = 1) -> DataFrame:
+        part = rows.where((F.col("toxic") == toxic) & (F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(of)) == 0))
+        found = part.mapInPandas(_contexts(letters, only), struct("feature string, context long"))
         return found.distinct().groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
 
-    bad = {r[0]: r[1] for r in contexts(1, None).where(F.col("n") >= LEAST_CONTEXTS).orderBy(F.desc("n"), "feature").limit(10 * MOST_FEATURES).collect()}
-    good = {r[0]: r[1] for r in contexts(0, frozenset(bad)).collect()}
-    scale = counts[0] / counts[1]
-    odds = {f: (n * scale + 0.5) / (good.get(f, 0) + 0.5) for f, n in bad.items()}
-    kept = sorted((f for f in bad if odds[f] >= LEAST_ODDS), key=lambda f: (-bad[f] * math.log(odds[f]), f))[:MOST_FEATURES]
+    bad = {r[0]: r[1] for r in contexts(1, None).where(F.col("n") >= LEAST_CONTEXTS).collect()}  # bounded by the sample
+    scale, good = counts[0] / counts[1], {}
+
+    def odds(f: str) -> float:
+        return (bad[f] * scale + 0.5) / (good.get(f, 0) + 0.5)
+
+    # what part of the clean rows shows to be common there cannot reach the odds any more: its contexts are not gathered
+    for of in (16, 1):
+        good = {r[0]: r[1] for r in contexts(0, frozenset(bad), of).collect()}
+        bad = {f: n for f, n in bad.items() if odds(f) >= LEAST_ODDS}
+    kept = sorted(bad, key=lambda f: (-bad[f] * math.log(odds(f)), f))
 
     model = ToxicityModel(letters, dict.fromkeys(kept, 0.0), 0.0)
 
