@@ -117,7 +117,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     bases = staged(counts.select("length", "part", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
     lengths = {r[0]: r[1] for r in bases.groupBy("length").agg(F.sum("n")).collect()}  # a row per length at most
     plan = spark.createDataFrame(plan_patterns(lengths, window), "length long, first long, end long, sequence long, per long, at long")
-    ranked = pieces.join(bases.drop("n"), ["length", "part"]).withColumn("rank", F.col("base") + F.col("rank"))
+    # a row per length and partition grows with the corpus, so it is never broadcast
+    ranked = pieces.join(bases.drop("n").hint("merge"), ["length", "part"]).withColumn("rank", F.col("base") + F.col("rank"))
     placed = ranked.join(F.broadcast(plan), (ranked["length"] == plan["length"]) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end"))).drop(plan["length"])
     nth = F.col("rank") - F.col("first")
     columns = ["doc_id", "start", "length", *(["ids"] if with_ids else []), "ids_crc32", "doc_tokens"]
