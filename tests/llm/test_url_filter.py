@@ -27,11 +27,13 @@ def test_cases(spark):
     assert U.judge_urls(df.limit(0)).count() == 0
 
 
+def rules_of(spark, *rules):
+    return U.parse_rules(spark.createDataFrame([(r,) for r in rules], "rule string"))
+
+
 def test_index_uses_the_rarest_literal(spark):
     df = spark.createDataFrame([("http://a.b/spam/x",), ("http://a.b/spam/farm",), ("http://a.b/spam/y",)], "url string")
-    index = U.index_rules(df, "url", ("^spam-farm^",))
-    tokens = {t.token for b in df.select(index.alias("i")).first().i for t in b}
-    assert tokens == {"farm"}
+    assert [r.token for r in U.index_rules(rules_of(spark, "^spam-farm^"), df, "url").collect()] == ["farm"]
 
 
 def test_no_python(spark):
@@ -39,7 +41,61 @@ def test_no_python(spark):
     assert "Python" not in plan and "Exchange" not in plan
 
 
-def test_rules_need_a_literal(spark):
-    df = spark.createDataFrame([("x",)], "url string")
-    with pytest.raises(ValueError):
-        U.index_rules(df, "url", ("*abc*",))
+SYNTAX = [
+    ("||casino^", "http://casino.com/", True), ("||casino^", "http://www.casino-x.com/", True), ("||casino^", "http://x.com/casino", False), ("||casino^", "http://mycasino.com/", False),
+    ("|http://a^", "http://a.b", True), ("|http://a^", "x?http://a.b", False), ("^txt|", "http://a/b.txt", True), ("^txt|", "http://a/b.txt?x", False), ("*abc*", "http://xabcy", True), ("/a(b)[c]+d$", "http://x/a(b)[c]+d$e", True),
+    ("^a*^z^", "http://x/a1/z", True), ("^a*^z^", "http://x/a1/zz", False), ("é^x^", "http://q/é/x", True), ("ABC^", "http://q/xabc", True), ("^a^b^", "http://q/a/b", True), ("a_b`c^", "http://q/a_b`c", True), ("^q^", None, False), ("^x\\y^", "http://q/x\\y", True),
+]
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_syntax(spark, monkeypatch, most):
+    """In the plan and joined as a table alike; ``regex_of`` makes the same expressions."""
+    monkeypatch.setattr(U, "PLAN_RULES", most)
+    for rule, url, hit in SYNTAX[:: 3 if most else 1]:  # both ways take the same expressions
+        df = spark.createDataFrame([(1, url)], "page_id long, url string")
+        assert U.judge_urls(df, host_rules=(), patterns=(rule,)).first().verdict == ("block" if hit else "allow"), (rule, url)
+
+
+def test_regexes_agree(spark):
+    rules = [r for r, *_ in SYNTAX] + list(U.PATTERNS)
+    made = {r.rule: r.regex for r in rules_of(spark, *rules).collect()}
+    assert made == {r.lower(): U.regex_of(r.lower()) for r in rules}
+
+
+def test_exceptions_comments_and_repeats(spark):
+    df = spark.createDataFrame([(1, "http://a/ads/x"), (2, "http://a/ads.txt"), (3, "http://a/b")], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in U.judge_urls(df, patterns=("^ads^", "^ads^", "@@^ads.txt|", "! ^b^", "", "  ")).collect()}
+    assert got == {1: "block", 2: "allow", 3: "allow"}
+
+
+@pytest.mark.parametrize("most", [0, 10_000])
+def test_thousands_of_rules(spark, monkeypatch, most):
+    """Random rules over the tokens of the urls and others, against every rule on every url."""
+    import random
+    import re
+
+    monkeypatch.setattr(U, "PLAN_RULES", most)
+    rng = random.Random(5)
+    pages = table(spark, DATA, "pages")
+    urls = {r.page_id: r.url for r in pages.collect()}
+    tokens = sorted({t for u in urls.values() for t in re.findall("[a-z0-9]+", (u or "").lower())})
+    word = lambda: rng.choice(tokens) if rng.random() < 0.3 else f"zz{rng.randint(0, 10**6)}"
+    near = [t for u in urls.values() if u for t in [re.findall("[a-z0-9]+", u.lower())] for _ in range(2)]
+    rules = [rng.choice(("", "", "@@")) + rng.choice(("^", "||", "")) + rng.choice(("^", "*")).join(t[k : k + 2]) + rng.choice(("^", "*", "|")) for t in rng.sample(near, 120) for k in [rng.randrange(len(t))]]
+    rules += [rng.choice(("", "", "", "@@")) + rng.choice(("^", "||", "/", "")) + rng.choice(("^", "*", "*^", "/", ".", "-")).join(word() for _ in range(rng.randint(2, 3))) + rng.choice(("^", "*", "|", "/")) for _ in range(3000)]
+    made = [(r.startswith("@@"), re.compile(U.regex_of(r).replace(r"\z", r"\Z"))) for r in rules]
+
+    def brute(url):
+        hits = [allow for allow, x in made if x.search((url or "").lower())]
+        return "block" if False in hits and True not in hits else "allow"
+
+    got = {r.page_id: r.verdict for r in U.judge_urls(pages, host_rules=(), patterns=tuple(rules)).collect()}
+    assert got == {i: brute(u) for i, u in urls.items()} and "block" in got.values()
+
+
+def test_rules_from_a_file(spark, tmp_path):
+    (tmp_path / "rules.txt").write_text("! a list\n^casino^\n@@^casino^royale^\n")
+    rules = spark.read.text(str(tmp_path)).withColumnRenamed("value", "rule")
+    df = spark.createDataFrame([(1, "http://casino.x/"), (2, "http://x/casino-royale"), (None, None), (4, "http://x/" + "a/" * 100_000 + "casino")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in U.judge_urls(df, host_rules=(), patterns=rules).collect()} == {1: "block", 2: "allow", None: "allow", 4: "block"}

@@ -1,53 +1,73 @@
 """URL filters: host and path rules, and pattern rules indexed by their rarest literal token.
 
-A pattern is plain text in which ``*`` stands for any characters and ``^`` for a separator or an end. Its literal tokens
-are the runs of letters and digits that must stand in a matching url as whole tokens. Each rule is filed under the one
-that is rarest among the tokens of all urls. A url's tokens look up their buckets of the index, an array of constant
-size in the plan, and only the rules found there run their regular expressions. One narrow pass, without a shuffle.
+A pattern is text in which ``*`` stands for any characters and ``^`` for a separator or an end of the url; ``||`` before it
+ties it to the start of a host name or of one of its labels, ``|`` to the start or, behind it, to the end of the url. A
+pattern blocks; with ``@@`` before it, it is an exception. Lines that begin with ``!`` are comments.
+
+The literal tokens of a rule are the runs of letters and digits that must stand in a matching url as whole tokens. Each
+rule is filed under the one that is rarest among the tokens of all urls. A url's tokens fetch the rules filed under them,
+and only those run their regular expressions. A few rules make an index of constant size in the plan, which serves a
+narrow pass; any more are a table that is joined by token. A rule without a literal token runs against every url.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
-
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import table
+from tidemark.llm.shared import staged, table
 
 #: (verdict, host and path): a rule fits its host and all subdomains if the url's path starts with the rule's.
 HOST_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
-#: Pattern rules; each blocks.
+#: Pattern rules by what such lists block everywhere, whatever the host.
 PATTERNS = (
-    "^casino-win^", "^cheap-pills^", "^spam-farm^", "^ads-track^", "^adult-x^", "^free-bets^",
-    "^online-casino^", "^casino.*/bonus^", "^poker-bonus^", "^free-slots^", "^payday-loans^", "^buy-followers^",
-    "^adserver.*^", "/adserver^", "/banner^ad^", "/click^track^", "/affiliate^redirect^", "^doubleclick.net^",
-    "^link-farm^", "^seo-spam^", "^xxx-*^video^", "^torrent^download^crack^", "^keygen^", "^phishing^",
+    # gambling
+    "^casino^", "^poker^", "^slots^", "^betting^", "^bets^", "^roulette^", "@@^poker^face^",
+    # goods and services that are advertised in bulk
+    "^pills^", "^viagra^", "^pharma*^discount^", "^payday^loans^", "^buy^followers^", "^seo^backlinks^", "^link^farm^", "^replica^watches^",
+    # adult
+    "^adult^", "^porn^", "^xxx^", "||sex^", "@@^adult^education^",
+    # advertising and tracking
+    "^ads^", "||adserver^", "||adservice^", "||doubleclick.net^", "^banner^ad^", "^click^track^", "^affiliate^redirect^", "@@^ads.txt|",
+    # abuse
+    "^spam^", "@@^anti^spam^", "@@^spam^filter^", "^torrent^*^crack^", "^keygen^", "^warez^", "^phishing^",
 )
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: More rules than this do not belong into a plan.
-MOST_RULES = 20_000
-
-
-@dataclass(frozen=True)
-class PatternRule:
-    text: str
-
-    @property
-    def regex(self) -> str:
-        parts = {"*": ".*", "^": "(?:[^a-z0-9]|$)"}
-        body = "".join(parts.get(c, c if c.isalnum() else re.escape(c)) for c in self.text)
-        return "(?s)" + ("(?:^|[^a-z0-9])" + body[len(parts["^"]) :] if self.text.startswith("^") else body)
-
-    @property
-    def literals(self) -> list[str]:
-        """Runs of letters and digits that no ``*`` and no end of the pattern can extend."""
-        runs = re.finditer(r"[a-z0-9]+", self.text)
-        return [m[0] for m in runs if 0 < m.start() and m.end() < len(self.text) and "*" not in (self.text[m.start() - 1], self.text[m.end()])]
+#: Rules up to this many are an index in the plan, more are a joined table.
+PLAN_RULES = 1_000
+#: Regular expressions for what a separator, and the start of a host's label, are.
+SEPARATOR, LEFT, LABEL = r"(?:[^a-z0-9]|\z)", r"(?:\A|[^a-z0-9])", r"\A[^/?#]*://(?:[^/?#]*[.@])?"
+
+
+def regex_of(rule: str) -> str:
+    """The regular expression of one rule, for the SQL twin; ``parse_rules`` makes the same of a table of them."""
+    body = rule.removeprefix("@@")
+    start = LABEL if body.startswith("||") else r"\A" if body.startswith("|") else ""
+    body, end = body.lstrip("|"), r"\z" if body.endswith("|") else ""
+    body = body.rstrip("|")
+    if body.startswith("^") and not start:
+        start, body = LEFT, body[1:]
+    parts = {"*": ".*", "^": SEPARATOR}
+    return "(?s)" + start + "".join(parts.get(c) or (c if c.isalnum() or not c.isascii() else "\\" + c) for c in body) + end
+
+
+def parse_rules(rules: DataFrame, rule_col: str = "rule") -> DataFrame:
+    """(rule, allow, regex, literals) of the distinct rules; nulls, empty lines and comments are none."""
+    rows = rules.select(F.trim(lower_ascii(F.col(rule_col))).alias("rule")).where("rule <> '' and not startswith(rule, '!')").distinct()
+    rows = rows.select("rule", F.col("rule").startswith("@@").alias("allow"), F.regexp_replace("rule", "^@@", "").alias("body"))
+    start = F.when(F.col("body").startswith("||"), LABEL).when(F.col("body").startswith("|"), r"\A").otherwise("")
+    end = F.when(F.col("body").endswith("|"), r"\z").otherwise("")
+    rows = rows.select("rule", "allow", start.alias("start"), end.alias("end"), F.regexp_replace("body", r"^\|+|\|+$", "").alias("core"))
+    free = (F.col("start") == "") & F.col("core").startswith("^")
+    escaped = F.regexp_replace(F.when(free, F.expr("substring(core, 2)")).otherwise(F.col("core")), r"([!-)+-/:-@\[-\]_-`{-~])", r"\\$1")
+    body = F.regexp_replace(F.regexp_replace(escaped, r"\*", ".*"), r"(?<!\[)\^", SEPARATOR.replace("\\", "\\\\"))
+    # a run of letters and digits is a whole token unless a * or an open end can extend it
+    marked = F.concat(F.when(F.col("start") == "", "*").otherwise("|"), F.col("core"), F.when(F.col("end") == "", "*").otherwise("|"))
+    literals = F.array_distinct(F.regexp_extract_all(marked, F.lit("(?<=[^a-z0-9*])[a-z0-9]+(?=[^a-z0-9*])"), F.lit(0)))
+    return rows.select("rule", "allow", F.concat(F.lit("(?s)"), F.when(free, LEFT).otherwise(F.col("start")), body, F.col("end")).alias("regex"), literals.alias("literals"))
 
 
 def lower_ascii(text: Column) -> Column:
@@ -76,45 +96,62 @@ def host_rule(host: Column, path: Column, rules: tuple) -> tuple[Column, Column]
     return rule, verdict
 
 
-def index_rules(pages: DataFrame, url_col: str, patterns: tuple) -> Column:
-    """The index: an array of buckets of (token, regex), by a hash of the token."""
-    if len(patterns) > MOST_RULES:
-        raise ValueError(f"{len(patterns)} pattern rules; at most {MOST_RULES} fit a plan")
-    rules = [PatternRule(p) for p in patterns]
-    if missing := [r.text for r in rules if not r.literals]:
-        raise ValueError(f"patterns without a literal token: {missing}")
-    literals = sorted({t for r in rules for t in r.literals})
-    tokens = pages.select(F.explode(F.array_distinct(url_tokens(F.col(url_col)))).alias("token")).where(F.col("token").isin(literals))
-    often = {r[0]: r[1] for r in tokens.groupBy("token").count().collect()}  # a row per literal at most
-    size = 1 << max(4, (2 * len(rules)).bit_length())
-    buckets: list[list[tuple[str, str]]] = [[] for _ in range(size)]
-    for r in rules:
-        token = min(r.literals, key=lambda t: (often.get(t, 0), -len(t), t))
-        buckets[xxhash.xxh64_intdigest(token.encode(), 42) % size].append((token, r.regex))
-    empty = F.array().cast("array<struct<token:string,regex:string>>")
-    return F.array(*[F.array(*[F.struct(F.lit(t).alias("token"), F.lit(x).alias("regex")) for t, x in b]) if b else empty for b in buckets])
-
-
-def matches_pattern(url: Column, index: Column) -> Column:
-    """Whether a rule fetched by the url's tokens matches; false for null."""
-    size = F.size(index)
-    fetched = F.flatten(F.transform(url_tokens(url), lambda t: F.filter(F.element_at(index, (F.pmod(F.xxhash64(t), size) + 1).cast("int")), lambda r: r["token"] == t)))
-    return F.coalesce(F.exists(fetched, lambda r: F.rlike(lower_ascii(url), r["regex"])), F.lit(False))
-
-
-def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", host_rules: tuple = HOST_RULES, patterns: tuple = PATTERNS) -> DataFrame:
+def index_rules(rules: DataFrame, pages: DataFrame, url_col: str) -> DataFrame:
+    """(token, regex, allow) of the rules with a literal token, each under the one that is in the fewest urls."""
+    literals = rules.select("rule", F.explode("literals").alias("token"))
+    tokens = pages.select(F.explode(F.array_distinct(url_tokens(F.col(url_col)))).alias("token"))
+    often = tokens.join(literals.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.struct(F.coalesce("n", F.lit(0)).alias("n"), (-F.length("token")).alias("short"), "token")
+    rarest = literals.join(often, "token", "left").groupBy("rule").agg(F.min(rank)["token"].alias("token"))
+    return rules.join(rarest, "rule").select("token", "regex", "allow")
+
+
+def plan_index(index: list) -> Column:
+    """The index as an array of buckets of (token, regex, allow), by a hash of the token."""
+    size = 1 << max(4, (2 * len(index)).bit_length())
+    buckets: list[list] = [[] for _ in range(size)]
+    for r in sorted(index):
+        buckets[xxhash.xxh64_intdigest(r["token"].encode(), 42) % size].append(r)
+    empty = F.array().cast("array<struct<token:string,regex:string,allow:boolean>>")
+    return F.array(*[F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("token", "regex", "allow")]) for r in b]) if b else empty for b in buckets])
+
+
+def _any(rules: Column, url: Column, allow: bool) -> Column:
+    return F.coalesce(F.exists(rules, lambda r: (r["allow"] == allow) & F.rlike(url, r["regex"])), F.lit(False))
+
+
+def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", host_rules: tuple = HOST_RULES, patterns: tuple | DataFrame = PATTERNS) -> DataFrame:
     """One row per page: page_id, host, path, rule (null if none fits), verdict (allow or block).
 
-    The longest fitting host rule decides; where none fits, a url that matches a pattern rule is blocked and any other
-    allowed. A null url, or one without ``://``, has an empty host and path, and patterns alone can block it. Repeated
-    rows are judged alike; other columns are ignored.
+    The longest fitting host rule decides (of equally long ones with different verdicts the last in ``host_rules``); where
+    none fits, a url that matches a pattern rule and no exception is blocked and any other allowed. ``patterns`` are rules
+    or a table of them with a column ``rule``; repeated rules count once. A null url, or one without ``://``, has an empty
+    host and path, and patterns alone can block it. Urls of any length are matched whole. Null ids stay null; repeated
+    rows are judged alike; other columns are ignored. An empty table gives an empty result.
     """
-    url = F.col(url_col)
-    index = index_rules(pages, url_col, patterns)
-    host, path = host_and_path(url)
-    rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), matches_pattern(url, index).alias("bad"))
+    spark = pages.sparkSession
+    if not isinstance(patterns, DataFrame):
+        patterns = spark.createDataFrame([(p,) for p in patterns], "rule string")
+    rules = staged(parse_rules(patterns), "url-rules")
+    index = index_rules(rules.where("size(literals) > 0"), pages, url_col)
+    loose = rules.where("size(literals) = 0").select("regex", "allow").collect()
+    low = lower_ascii(F.coalesce(F.col(url_col), F.lit("")))
+    host, path = host_and_path(F.col(url_col))
+    id_ = F.col(id_col).alias("page_id")
+    if rules.count() <= PLAN_RULES:
+        held = plan_index(index.collect())
+        fetched = F.flatten(F.transform(url_tokens(low), lambda t: F.filter(F.element_at(held, (F.pmod(F.xxhash64(t), F.size(held)) + 1).cast("int")), lambda r: r["token"] == t)))
+        rows = pages.select(id_, host.alias("host"), path.alias("path"), low.alias("low"), _any(fetched, low, False).alias("bad"), _any(fetched, low, True).alias("good"))
+    else:
+        rows = staged(pages.select(id_, host.alias("host"), path.alias("path"), low.alias("low"), F.monotonically_increasing_id().alias("row")), "urls")
+        tokens = rows.select("row", "low", F.explode(F.array_distinct(url_tokens(F.col("low")))).alias("token"))
+        hits = tokens.join(staged(index, "url-index"), "token").where("rlike(low, regex)").groupBy("row").agg(F.bool_or(~F.col("allow")).alias("bad"), F.bool_or("allow").alias("good"))
+        rows = rows.join(hits, "row", "left").withColumn("bad", F.coalesce("bad", F.lit(False))).withColumn("good", F.coalesce("good", F.lit(False)))
+    if loose:
+        more = F.array(*[F.struct(F.lit(r["regex"]).alias("regex"), F.lit(r["allow"]).alias("allow")) for r in loose])
+        rows = rows.withColumn("bad", F.col("bad") | _any(more, F.col("low"), False)).withColumn("good", F.col("good") | _any(more, F.col("low"), True))
     rule, verdict = host_rule(F.col("host"), F.col("path"), host_rules)
-    return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"))
+    return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("bad") & ~F.col("good"), "block").otherwise("allow")).alias("verdict"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +162,8 @@ def oracle_sql() -> str:
     """The same verdicts without an index: every pattern against every url."""
     by_length = sorted(HOST_RULES, key=lambda r: -len(r[1]))
     when = lambda value: " ".join(f"WHEN (host = '{t.partition('/')[0]}' OR host LIKE '%.{t.partition('/')[0]}') AND starts_with(path, '/{t.partition('/')[2]}') THEN '{value(v, t)}'" for v, t in by_length)
-    bad = " OR ".join(f"regexp_matches(low, '{PatternRule(p).regex}')" for p in PATTERNS)
+    matches = lambda allow: " OR ".join(f"regexp_matches(low, '{regex_of(p)}')" for p in PATTERNS if p.startswith("@@") == allow)
+    bad = f"({matches(False)}) AND NOT ({matches(True)})"
     low = lambda c: f"translate({c}, '{UPPER}', '{LOWER}')"
     return f"""
 WITH parts AS (
