@@ -7,9 +7,9 @@ temperature and the probability under which a licence-like paragraph counts as `
 if enough of one of its templates is in the paragraph.
 
 Scanning uses DataFrame operations alone. A paragraph without any n-gram that speaks for some class more than for
-``none`` scores at least as surely ``none`` as an empty one, and the intercept makes that ``none``. Each such n-gram holds
-a word of ``LicenseModel.gate``, so texts without one are settled by one regular expression, exactly, and only the others
-are taken apart. The weights, whose number the training texts bound, are broadcast.
+``none`` scores at least as surely ``none`` as an empty one, and the intercept makes that ``none``. ``LicenseModel.gate``
+finds these n-grams, so texts without one are settled by one regular expression, exactly, and only the others are taken
+apart. The weights, whose number the training texts bound, are broadcast.
 """
 
 from __future__ import annotations
@@ -75,7 +75,8 @@ PARAGRAPH_END = r"\n[ \t\r]*\n|(?<=[.!?:;])[ \t\r]*\n"
 WINDOW, STEP = 160, 120
 #: A feature is in so many training paragraphs, so many times oftener in licences than elsewhere; the L1 penalty.
 LEAST_COUNT, LEAST_ODDS, PENALTY, STEPS = 4, 5.0, 5e-4, 120
-#: Words that say nothing by themselves; a feature has another one, of two letters at least.
+#: Words that say nothing by themselves; a feature has another one, of two letters at least
+#: or, alone, of three.
 EMPTY = frozenset("a an the this that these those it its he she they we you his her their our your who which what and or but nor not no if as at by for from in into of off on onto out over to up upon with without under within about after before all any both each either even every few more most neither none only other others own same so some such than then there too very when where while is are was were be been being has have had do does did may might can could shall should will would must how however here new first one two also just like well see use used using make made him them us me my anyone part use get including included include".split())
 #: The share of a template's word 3-grams that confirms it.
 COVERAGE = 0.6
@@ -89,20 +90,46 @@ def grams_of(words: list[str]) -> set[str]:
     return {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
 
 
-def any_of(words: set[str]) -> str:
-    """A regular expression of a tree of letters for any of some words of letters."""
-    tree: dict = {}
-    for w in words:
-        node = tree
-        for c in w:
-            node = node.setdefault(c, {})
-        node[""] = {}
+def _atoms(gram: str) -> list[str]:
+    """Regular expressions of the letters of an n-gram, of what may lie between its words in a text, and of its end."""
+    words = gram.split()
+    out = list(words[0])
+    for a, b in zip(words, words[1:], strict=False):
+        out += ["[^a-z0-9]*" if b == "v" or a[-1].isdigit() != b[0].isdigit() else "[^a-z0-9]+", *b]
+    return [*out, "(?![0-9])" if out[-1].isdigit() else "(?:(?![a-z])|(?=v[0-9]))"]
 
-    def branch(node: dict) -> str:
-        more = [c + branch(node[c]) for c in sorted(node) if c]
-        return "" if not more else more[0] if len(more) == 1 and "" not in node else f"(?:{'|'.join(more)}){'?' * ('' in node)}"
 
-    return branch(tree)
+def any_of(grams: set[str]) -> str:
+    """A regular expression, shaped as a tree, for any of some n-grams in a lower-case text."""
+
+    def branch(some: list[list[str]]) -> str:
+        tree: dict = {}
+        for atoms in some:
+            node = tree
+            for a in atoms:
+                node = node.setdefault(a, {})
+
+        def text(node: dict) -> str:
+            more = [a + text(node[a]) for a in sorted(node)]
+            return more[0] if len(more) == 1 else f"(?:{'|'.join(more)})" if more else ""
+
+        return text(tree)
+
+    kinds: dict[str, list[list[str]]] = {}
+    for g in sorted(grams):  # a v that begins an n-gram may end a word: gplv3
+        start = "" if g.split()[0] == "v" else "(?<![0-9])" if g[0].isdigit() else "(?<![a-z])"
+        kinds.setdefault(start, []).append(_atoms(g))
+    return "(?:" + "|".join(start + branch(some) for start, some in kinds.items()) + ")"
+
+
+def least_grams(grams: set[str]) -> set[str]:
+    """Those that hold no other one."""
+
+    def parts(g: str) -> set[str]:
+        words = g.split()
+        return {" ".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, len(words) + 1)} - {g}
+
+    return {g for g in grams if parts(g).isdisjoint(grams)}
 
 
 def confirming() -> list[tuple[str, set[str]]]:
@@ -121,7 +148,7 @@ class LicenseModel:
     bias: tuple[float, ...]
     temperature: float
     threshold: float
-    gate: str  #: finds a word of each n-gram that speaks for some class more than for none, in lower case
+    gate: str  #: finds any n-gram that speaks for some class more than for none, in lower-case text
 
     def probabilities(self, words: list[str]) -> np.ndarray:
         s = np.array(self.bias)
@@ -197,7 +224,7 @@ def trained(seed: int = 5) -> LicenseModel:
         (plain if c == none else count).update(s)
     others = sum(c == none for _, c in train)
     scale = others / (len(train) - others)
-    telling = lambda g: [u for u in g.split() if u not in EMPTY and re.match("[a-z]{2}", u)]
+    telling = lambda g: [u for u in g.split() if u not in EMPTY and re.match("[a-z]{2}" if " " in g else "[a-z]{3}", u)]
     vocabulary = {g: i for i, g in enumerate(sorted(g for g, n in count.items() if n >= LEAST_COUNT and n * scale >= LEAST_ODDS * (plain[g] + 0.5) and telling(g)))}
     x = np.zeros((len(train), len(vocabulary) + 1), dtype=np.float32)
     x[:, -1] = 1
@@ -209,9 +236,7 @@ def trained(seed: int = 5) -> LicenseModel:
     if np.exp(bias).sum() > 2 * np.exp(bias[none]):
         raise ValueError("a paragraph without a feature must be none")
 
-    speaking = [g for g, v in weights.items() if max(v) > v[none]]
-    rarest = {min(telling(g), key=lambda u: (plain[u], -len(u), u)) for g in speaking}
-    gate = rf"(?<![a-z]){any_of(rarest)}(?:(?![a-z])|(?=v[0-9]))"
+    gate = any_of(least_grams({g for g, v in weights.items() if max(v) > v[none]}))
     model = LicenseModel(weights, tuple(bias.tolist()), 1.0, 0.0, gate)
     found = [(model.probabilities(words), c) for words, c in held]
 
