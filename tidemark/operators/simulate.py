@@ -31,14 +31,18 @@ def compare(a: Column, op: str, b: Column | float | tuple[float, float]) -> Colu
     return F.coalesce(found, F.lit(False))
 
 
-def ma_cross_signals(bars: DataFrame, short: int, long: int) -> DataFrame:
-    """``entry`` and ``exit`` of a moving-average cross; averages need full windows."""
-    def ma(n):
-        w = seq().rowsBetween(-(n - 1), 0)
-        return F.when(F.count("close").over(w) >= n, F.avg("close").over(w))
+def moving_average(n: int) -> Column:
+    """The mean of the last n closes, null before there are n."""
+    w = seq().rowsBetween(-(n - 1), 0)
+    return F.when(F.count("close").over(w) >= n, F.avg("close").over(w))
+
 
-    r = bars.withColumn("_s", ma(short)).withColumn("_l", ma(long))
-    return r.withColumn("entry", compare(F.col("_s"), "cross_above", F.col("_l"))).withColumn("exit", compare(F.col("_s"), "cross_below", F.col("_l"))).drop("_s", "_l")
+def ma_cross_signals(bars: DataFrame, short: int, long: int, direction: str = "long") -> DataFrame:
+    """``entry`` and ``exit`` of a moving-average cross; averages need full windows. A short enters where a long exits."""
+    r = bars.withColumn("_s", moving_average(short)).withColumn("_l", moving_average(long))
+    up, down = compare(F.col("_s"), "cross_above", F.col("_l")), compare(F.col("_s"), "cross_below", F.col("_l"))
+    enter, leave = (down, up) if direction == "short" else (up, down)
+    return r.withColumn("entry", enter).withColumn("exit", leave).drop("_s", "_l")
 
 
 # ---------------------------------------------------------------- single position
@@ -55,32 +59,35 @@ class Rules:
     target: tuple[str, float] | None = None  # target_price, percent_below, percent_above, risk_reward_ratio
 
 
-TRADES = "symbol string, entry_date date, exit_date date, entry_price double, exit_price double, pnl double, fee double, reason string"
-EQUITY = "symbol string, date date, equity double, close double"
+RUN = "date date, equity double, close double, entry_date date, entry_price double, exit_price double, pnl double, fee double, reason string"
 
 
 def stop_levels(rules: Rules, entry: float, atr: float) -> tuple[float | None, float | None]:
+    """Stop and target of a position; a kind that is not known sets none."""
     sign = 1 if rules.direction == "long" else -1
     stop = target = None
     if rules.stop:
         kind, v = rules.stop
-        stop = {"fixed_price": v, "percent_below": entry * (1 - v), "percent_above": entry * (1 + v), "atr_multiple": entry - sign * (0.0 if atr != atr else atr) * v}[kind]
+        stop = {"fixed_price": v, "percent_below": entry * (1 - v), "percent_above": entry * (1 + v), "atr_multiple": entry - sign * (0.0 if atr != atr else atr) * v}.get(kind)
     if rules.target:
         kind, v = rules.target
         if kind == "risk_reward_ratio":
             target = None if stop is None else entry + sign * abs(entry - stop) * v
         else:
-            target = {"target_price": v, "percent_below": entry * (1 - v), "percent_above": entry * (1 + v)}[kind]
+            target = {"target_price": v, "percent_below": entry * (1 - v), "percent_above": entry * (1 + v)}.get(kind)
     return stop, target
 
 
-def walk(bars: pd.DataFrame, rules: Rules) -> tuple[list[tuple], list[tuple]]:
-    """Trades and equity of one symbol: a signal at a bar's close fills at the next open; a stop comes before a target."""
+def walk(bars: pd.DataFrame, rules: Rules) -> list[tuple]:
+    """Per bar after the first of one key: equity, and the trade that closed at it if one did (``RUN``).
+
+    A signal at a bar's close fills at the next open; a stop comes before a target.
+    """
     sign, cash, size = (1 if rules.direction == "long" else -1), rules.initial_cash, rules.quantity * rules.multiplier
-    held, since, trades, curve = None, None, [], []
+    held, since, out = None, None, []
     rows = bars.sort_values("date").to_dict("records")
     for before, bar in zip(rows, rows[1:], strict=False):
-        price, reason = bar["open"], None
+        price, reason, closed = bar["open"], None, (None,) * 6
         if held is not None:
             stop, target = stop_levels(rules, held, bar["atr"])
             worst, best = (bar["low"], bar["high"]) if sign > 0 else (bar["high"], bar["low"])
@@ -95,10 +102,10 @@ def walk(bars: pd.DataFrame, rules: Rules) -> tuple[list[tuple], list[tuple]]:
             fee = (held + price) * size * rules.fee_rate
             pnl = sign * (price - held) * size - fee
             cash += pnl
-            trades.append((since, bar["date"], held, price, pnl, fee, reason or "signal"))
+            closed = (since, held, price, pnl, fee, reason or "signal")
             held = None
-        curve.append((bar["date"], cash + (0.0 if held is None else sign * (bar["close"] - held) * size), bar["close"]))
-    return trades, curve
+        out.append((bar["date"], cash + (0.0 if held is None else sign * (bar["close"] - held) * size), bar["close"], *closed))
+    return out
 
 
 def with_atr(signals: DataFrame, n: int = 14) -> DataFrame:
@@ -108,33 +115,46 @@ def with_atr(signals: DataFrame, n: int = 14) -> DataFrame:
     return tr.withColumn("atr", F.when(F.count("_tr").over(w) >= n, F.avg("_tr").over(w))).drop("_tr")
 
 
-def backtest_trades(signals: DataFrame, rules: Rules) -> DataFrame:
+def backtest(signals: DataFrame, rules: Rules, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """One row per key and bar after its first, columns ``by`` and ``RUN``: equity and trades of one grouped pass.
+
+    ``signals`` has the bars with entry, exit and, for ATR stops, atr. A key is one group, as each fill depends on the
+    fills before it.
+    """
+    names = [*by, *(c.split()[0] for c in RUN.split(", "))]
+    slim = signals if "atr" in signals.columns else signals.withColumn("atr", F.lit(None).cast("double"))
+    slim = slim.select(*by, "date", "open", "high", "low", "close", "entry", "exit", "atr")
+    kinds = dict(slim.dtypes)
+
     def run(bars: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(bars["symbol"].iloc[0], *t) for t in walk(bars, rules)[0]], columns=[c.split()[0] for c in TRADES.split(", ")])
+        key = tuple(bars[k].iloc[0] for k in by)
+        return pd.DataFrame([(*key, *r) for r in walk(bars, rules)], columns=names)
 
-    return with_atr(signals).groupBy("symbol").applyInPandas(run, TRADES)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in by) + ", " + RUN.replace("date date", f"date {kinds['date']}").replace("entry_date date", f"entry_date {kinds['date']}")
+    return slim.groupBy(*by).applyInPandas(run, schema)
 
 
-def backtest_equity(signals: DataFrame, rules: Rules) -> DataFrame:
-    def run(bars: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(bars["symbol"].iloc[0], *e) for e in walk(bars, rules)[1]], columns=[c.split()[0] for c in EQUITY.split(", ")])
+def trades_of(run: DataFrame, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    return run.where("reason IS NOT NULL").select(*by, "entry_date", F.col("date").alias("exit_date"), "entry_price", "exit_price", "pnl", "fee", "reason")
+
 
-    return with_atr(signals).groupBy("symbol").applyInPandas(run, EQUITY)
+def backtest_trades(signals: DataFrame, rules: Rules) -> DataFrame:
+    return trades_of(backtest(with_atr(signals), rules))
 
 
-def equity_metrics(equity: DataFrame, trades: DataFrame, initial_cash: float, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Return, drawdown, Sharpe and trade statistics per key: windows for peaks and returns, then one aggregation."""
+def equity_metrics(run: DataFrame, initial_cash: float, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Return, drawdown, Sharpe and trade statistics per key of a run: windows for peaks and returns, one aggregation."""
     seq = Window.partitionBy(*by).orderBy("date")
     peak = F.max("equity").over(seq.rowsBetween(Window.unboundedPreceding, 0))
-    e = equity.withColumn("_dd", div(F.col("equity"), peak) - 1).withColumn("_r", div(F.col("equity"), F.lag("equity").over(seq)) - 1)
-    last = F.max_by("equity", "date")
-    grown = last / initial_cash
-    curve = e.groupBy(*by).agg(((grown - 1) * 100).alias("total_return_pct"), F.when(grown <= 0, -100.0).otherwise((F.pow(grown, 252 / F.count("equity")) - 1) * 100).alias("annualized_return_pct"), (-F.min("_dd") * 100).alias("max_drawdown_pct"),
-                               F.coalesce(F.avg("_r") / (F.stddev_pop("_r") + 1e-12) * F.sqrt(F.lit(252.0)), F.lit(0.0)).alias("sharpe"))
+    e = run.withColumn("_dd", div(F.col("equity"), peak) - 1).withColumn("_r", div(F.col("equity"), F.lag("equity").over(seq)) - 1)
+    grown = F.max_by("equity", "date") / initial_cash
     won, lost = F.when(F.col("pnl") > 0, F.col("pnl")), F.when(F.col("pnl") < 0, F.col("pnl"))
+    n, per = F.count("reason"), lambda c: F.coalesce(F.try_divide(F.count(c), F.count("reason")) * 100, F.lit(0.0))
     factor = F.coalesce(div(F.sum(won), F.abs(F.sum(lost))), F.count(won).cast("double"))
-    t = trades.groupBy(*by).agg(F.count("pnl").alias("trade_count"), (F.count(won) / F.count("pnl") * 100).alias("win_rate_pct"), factor.alias("profit_factor"), F.sum("fee").alias("total_fee"))
-    m = curve.join(t, list(by), "left").fillna(0, ["trade_count", "win_rate_pct", "profit_factor", "total_fee"])
+    m = e.groupBy(*by).agg(
+        ((grown - 1) * 100).alias("total_return_pct"), F.when(grown <= 0, -100.0).otherwise((F.pow(grown, 252 / F.count("equity")) - 1) * 100).alias("annualized_return_pct"), (-F.min("_dd") * 100).alias("max_drawdown_pct"),
+        F.coalesce(F.avg("_r") / (F.stddev_pop("_r") + 1e-12) * F.sqrt(F.lit(252.0)), F.lit(0.0)).alias("sharpe"), n.alias("trade_count"), per(won).alias("win_rate_pct"), per(lost).alias("loss_rate_pct"), factor.alias("profit_factor"),
+        F.coalesce(div(F.avg(won), F.abs(F.avg(lost))), F.lit(0.0)).alias("profit_loss_ratio"), F.coalesce(F.sum("fee"), F.lit(0.0)).alias("total_fee"), F.coalesce(F.avg("fee"), F.lit(0.0)).alias("mean_fee"))
     return m.withColumn("score", trade_score(F.col("total_return_pct"), F.col("max_drawdown_pct"), F.col("win_rate_pct"), F.col("profit_factor"), F.col("trade_count")))
 
 
@@ -191,55 +211,85 @@ def target_lots(entry: list[bool], exit_: list[bool], lots: int) -> list[int]:
     return out
 
 
+ACCOUNT = "date date, close double, lots long, equity double, margin double, realized double, fee double, fill double, closed long, entry_date date, entry_price double, reason string"
+
+
 def run_account(bars: pd.DataFrame, contract: Contract, account: Account) -> list[tuple]:
-    """(date, lots, equity, realized, fee) per bar of one symbol; column ``target`` has the lots wanted at its close."""
+    """``ACCOUNT`` per bar of one symbol; column ``target`` has the lots wanted at its close.
+
+    ``closed`` lots of a position of ``entry_date`` and ``entry_price`` ended at ``fill``; ``reason`` names a margin call.
+    """
     rows = bars.sort_values("date").to_dict("records")
-    cash, lots, price, out = account.cash, 0, 0.0, []
+    cash, lots, price, since, out = account.cash, 0, 0.0, None, []
 
-    def trade(to: int, at: float) -> tuple[float, float]:
-        nonlocal cash, lots, price
+    def trade(to: int, at: float, date) -> tuple:
+        nonlocal cash, lots, price, since
         step = to - lots
         fill = at + (1 if step > 0 else -1) * contract.slippage_ticks * contract.tick
         fee = abs(step) * (fill * contract.multiplier * contract.fee_rate + contract.fee_per_lot)
         closed = min(abs(lots), abs(step)) * (1 if lots > 0 else -1) if lots * step < 0 else 0
         won = closed * (fill - price) * contract.multiplier
+        ended = (closed, since, price) if closed else (0, None, None)
         if lots * to <= 0:
-            price = fill if to else 0.0  # closed or flipped
+            price, since = (fill, date) if to else (0.0, None)  # closed or flipped
         elif abs(to) > abs(lots):
             price = (price * abs(lots) + fill * (abs(to) - abs(lots))) / abs(to)
         cash += won - fee
         lots = to
-        return won, fee
+        return won, fee, fill, ended
 
     for i, bar in enumerate(rows):
-        won = fee = 0.0
+        won, fee, fill, ended, reason = 0.0, 0.0, None, (0, None, None), None
         if i >= account.lag:
             want = int(rows[i - account.lag]["target"])
             want = max(want, 0) if not account.allow_short else want
             if account.clamp and contract.margin_rate > 0:
                 equity = cash + lots * (bar["open"] - price) * contract.multiplier
-                most = max(0, floor(equity / (abs(bar["open"]) * contract.multiplier * contract.margin_rate)))
-                want = max(-most, min(most, want))
+                needed = abs(bar["open"]) * contract.multiplier * contract.margin_rate
+                if needed > 0:
+                    most = max(0, floor(equity / needed))
+                    want = max(-most, min(most, want))
             if want != lots:
-                won, fee = trade(want, bar["open"])
+                won, fee, fill, ended = trade(want, bar["open"], bar["date"])
         equity = cash + lots * (bar["close"] - price) * contract.multiplier
         margin = abs(lots) * bar["close"] * contract.multiplier * contract.margin_rate
         if lots and margin > 0 and equity <= margin * account.maintenance:
-            more = trade(0, bar["close"])
-            won, fee, equity = won + more[0], fee + more[1], cash
-        out.append((bar["date"], lots, equity, won, fee))
+            more = trade(0, bar["close"], bar["date"])
+            won, fee, fill, ended, reason = won + more[0], fee + more[1], more[2], more[3], "margin_call"
+            equity, margin = cash, 0.0
+        out.append((bar["date"], bar["close"], lots, equity, margin, won, fee, fill, *ended, reason))
     return out
 
 
 def futures_account(signals: DataFrame, contract: Contract, account: Account, lots: int = 1) -> DataFrame:
-    """The account of each symbol from its entry and exit signals."""
+    """The account of each symbol (``ACCOUNT``) from its entry and exit signals."""
+    names = ["symbol", *(c.split()[0] for c in ACCOUNT.split(", "))]
 
     def run(bars: pd.DataFrame) -> pd.DataFrame:
         bars = bars.sort_values("date")
         bars["target"] = target_lots(bars["entry"].tolist(), bars["exit"].tolist(), lots)
-        return pd.DataFrame([(bars["symbol"].iloc[0], *r) for r in run_account(bars, contract, account)], columns=["symbol", "date", "lots", "equity", "realized", "fee"])
+        return pd.DataFrame([(bars["symbol"].iloc[0], *r) for r in run_account(bars, contract, account)], columns=names)
+
+    slim = signals.select("symbol", "date", "open", "close", "entry", "exit")
+    return slim.groupBy("symbol").applyInPandas(run, f"symbol string, {ACCOUNT}")
+
+
+def futures_orders(run: DataFrame) -> DataFrame:
+    """(symbol, date, before, lots, traded, fill, fee, reason): a row per bar that changed the position."""
+    before = F.coalesce(F.lag("lots").over(seq()), F.lit(0).cast("long"))
+    r = run.withColumn("before", before).where("lots <> before OR closed <> 0")
+    return r.select("symbol", "date", "before", "lots", F.abs(F.col("lots") - F.col("before")).alias("traded"), "fill", "fee", F.coalesce("reason", F.lit("signal")).alias("reason"))
+
+
+def futures_trades(run: DataFrame) -> DataFrame:
+    """(symbol, entry_date, exit_date, side, lots, entry_price, exit_price, pnl, reason) of what each bar closed."""
+    side = F.when(F.col("closed") > 0, "long").otherwise("short")
+    return run.where("closed <> 0").select("symbol", "entry_date", F.col("date").alias("exit_date"), side.alias("side"), F.abs("closed").alias("lots"), "entry_price", F.col("fill").alias("exit_price"), F.col("realized").alias("pnl"), F.coalesce("reason", F.lit("signal")).alias("reason"))
 
-    return signals.groupBy("symbol").applyInPandas(run, "symbol string, date date, lots long, equity double, realized double, fee double")
+
+def futures_metrics(run: DataFrame, initial_cash: float) -> DataFrame:
+    """Return, drawdown, Sharpe, trades, fees and score per symbol of an account."""
+    return equity_metrics(run.withColumn("pnl", F.when(F.col("closed") != 0, F.col("realized"))).withColumn("reason", F.when(F.col("closed") != 0, F.coalesce("reason", F.lit("signal")))), initial_cash)
 
 
 # ---------------------------------------------------------------- experiments
@@ -271,15 +321,106 @@ def grid(spark, **values: list) -> DataFrame:
     return out.withColumn("param_id", F.concat_ws("_", *values))
 
 
+def with_parameters(rows: DataFrame, params: list, **values) -> DataFrame:
+    """Each row once per parameter set (at most 1000), with its fields and columns that depend on it.
+
+    ``values`` are functions of a parameter set that give Columns over ``rows``; what sets share is computed once.
+    """
+    sets = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in p.asDict().items()], *[f(p).alias(k) for k, f in values.items()]) for p in params])
+    return rows.select("*", F.inline(sets))
+
+
 def grid_cross_returns(bars: DataFrame, params: DataFrame) -> DataFrame:
-    """Per parameter set and symbol: the return of holding while the short average is above the long one, a bar late."""
-    pairs = bars.join(F.broadcast(params), F.lit(True))  # at most 1000 parameter rows
-    seq = Window.partitionBy("param_id", "symbol").orderBy("date")
-    history = F.collect_list("close").over(seq.rowsBetween(-119, 0))
-    mean = lambda n: F.when(F.size("_h") >= n, F.aggregate(F.slice("_h", -n, n), F.lit(0.0), lambda a, x: a + x) / n)
-    r = pairs.withColumn("_h", history).withColumn("_in", F.coalesce((mean(F.col("short")) > mean(F.col("long"))).cast("int"), F.lit(0)))
-    r = r.withColumn("_ret", F.coalesce((div(F.col("close"), F.lag("close").over(seq)) - 1) * F.lag("_in").over(seq), F.lit(0.0)))
-    return r.groupBy("param_id", "short", "long", "symbol").agg(F.sum("_ret").alias("total"), F.sum("_in").alias("bars_in"))
+    """Per parameter set and symbol: the return of holding while the short average is above the long one, a bar late.
+
+    Each distinct average, of however many bars, is one window over the bars; parameter sets only pick from them.
+    """
+    sets = params.collect()  # at most 1000 rows
+    lengths = sorted({p[c] for p in sets for c in ("short", "long")})
+    r = bars.select("symbol", "date", (div(F.col("close"), F.lag("close").over(seq())) - 1).alias("_ret"), *[moving_average(n).alias(f"_ma{n}") for n in lengths])
+    before = r.select("symbol", "_ret", *[F.struct(F.col(f"_ma{n}").alias("now"), F.lag(f"_ma{n}").over(seq()).alias("before")).alias(f"_ma{n}") for n in lengths])
+    above = lambda p, at: F.coalesce((F.col(f"_ma{p['short']}")[at] > F.col(f"_ma{p['long']}")[at]).cast("int"), F.lit(0))
+    held = with_parameters(before, sets, _in=lambda p: above(p, "now"), _was=lambda p: above(p, "before"))
+    return held.groupBy("param_id", "short", "long", "symbol").agg(F.sum(F.coalesce(F.col("_ret") * F.col("_was"), F.lit(0.0))).alias("total"), F.sum("_in").alias("bars_in"))
+
+
+# ---------------------------------------------------------------- optimisation and walk-forward
+
+#: What each metric adds to the score of a parameter set.
+WEIGHTS = {"sharpe": 0.4, "total_return_pct": 0.3, "max_drawdown_pct": -0.2, "win_rate_pct": 0.1}
+
+
+def composite_score(weights: dict[str, float] | None = None) -> Column:
+    """The weighted sum of metrics, less 20 below three trades and 5 below five."""
+    total = F.lit(0.0)
+    for name, w in (weights or WEIGHTS).items():
+        total = total + F.coalesce(F.col(name).cast("double"), F.lit(0.0)) * w
+    return total - F.when(F.col("trade_count") < 3, 20.0).when(F.col("trade_count") < 5, 5.0).otherwise(0.0)
+
+
+def optimise_cross(bars: DataFrame, params: DataFrame, rules: Rules, weights: dict[str, float] | None = None) -> DataFrame:
+    """Metrics and score of a moving-average cross for every parameter set and symbol, each a backtest of its own.
+
+    Averages are computed once per distinct length; the sets of a symbol run as groups in parallel.
+    """
+    sets = params.collect()  # at most 1000 rows
+    lengths = sorted({p[c] for p in sets for c in ("short", "long")})
+    r = with_atr(bars).withColumns({f"_ma{n}": moving_average(n) for n in lengths})
+    r = r.withColumns({f"_was{n}": F.lag(f"_ma{n}").over(seq()) for n in lengths})
+
+    def cross(up: bool):
+        def column(p) -> Column:
+            a, b, a0, b0 = (F.col(f"{c}{p[k]}") for c in ("_ma", "_was") for k in ("short", "long"))
+            return F.coalesce((a0 <= b0) & (a > b) if up else (a0 >= b0) & (a < b), F.lit(False))
+
+        return column
+
+    enter, leave = (cross(True), cross(False)) if rules.direction == "long" else (cross(False), cross(True))
+    runs = backtest(with_parameters(r, sets, entry=enter, exit=leave), rules, ("param_id", "symbol"))
+    scored = equity_metrics(runs, rules.initial_cash, ("param_id", "symbol")).withColumn("composite", composite_score(weights))
+    return scored
+
+
+def best_parameters(scored: DataFrame, n: int = 5) -> DataFrame:
+    """The n parameter sets of highest composite score per symbol; of equal ones the first by id."""
+    w = Window.partitionBy("symbol").orderBy(F.desc("composite"), "param_id")
+    return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+
+
+def in_windows(bars: DataFrame, windows: DataFrame) -> DataFrame:
+    """The bars of each window's training and test span: columns window_id and phase (train, test) are added.
+
+    Windows and dates are small; bars join by date.
+    """
+    spans = windows.select("window_id", F.inline(F.array(*[F.struct(F.lit(p).alias("phase"), F.col(f"{p}_start").alias("start"), F.col(f"{p}_end").alias("end")) for p in ("train", "test")])))
+    days = spans.select("window_id", "phase", F.explode(F.sequence(F.col("start").cast("date"), F.col("end").cast("date"))).alias("day"))
+    return bars.join(days, F.col("date").cast("date") == F.col("day")).drop("day")
+
+
+def walk_forward(bars: DataFrame, windows: DataFrame, signals, rules: Rules) -> DataFrame:
+    """Metrics per window, phase and symbol of a fixed strategy; ``signals`` adds entry and exit to bars by symbol.
+
+    Indicators start anew in every window, as it is run on its own bars.
+    """
+    mark = F.concat_ws("/", F.col("window_id").cast("string"), "phase", "symbol")
+    keyed = in_windows(bars, windows).withColumn("_own", F.col("symbol")).withColumn("symbol", mark)
+    run = backtest(with_atr(signals(keyed)), rules)
+    m = equity_metrics(run, rules.initial_cash)
+    parts = F.split("symbol", "/", 3)
+    return m.select(parts[0].cast("int").alias("window_id"), parts[1].alias("phase"), parts[2].alias("symbol"), *[c for c in m.columns if c != "symbol"])
+
+
+def stability(results: DataFrame) -> DataFrame:
+    """Per symbol: out-of-sample means and medians, shares of positive windows, consistency and whether it is stable.
+
+    Stable is a strategy with 60 % of test windows in profit and a median test Sharpe that is not negative.
+    """
+    test, train = (results.where(F.col("phase") == p).select("symbol", "window_id", *[F.col(c).alias(f"{p}_{c}") for c in ("total_return_pct", "sharpe", "score")]) for p in ("test", "train"))
+    r, sharpe = F.col("test_total_return_pct"), F.col("test_sharpe")
+    s = test.join(train, ["symbol", "window_id"]).groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("windows"), F.avg(r).alias("return_mean"), F.median(r).alias("return_median"), F.avg(sharpe).alias("sharpe_mean"), F.median(sharpe).alias("sharpe_median"), F.avg("test_score").alias("score_mean"),
+        F.avg((r > 0).cast("double")).alias("positive_return_rate"), F.avg((sharpe > 0).cast("double")).alias("positive_sharpe_rate"), F.greatest(F.lit(0.0), 100 - F.avg(F.abs(F.col("train_sharpe") - sharpe)) * 20).alias("consistency"))
+    return s.withColumn("stable", (F.col("positive_return_rate") >= 0.6) & (F.col("sharpe_median") >= 0))
 
 
 def sensitivity(results: DataFrame, params: list[str], score: str) -> DataFrame:

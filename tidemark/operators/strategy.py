@@ -9,21 +9,34 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.library import TR_SKIP, _rsi, _rsv
+from tidemark.functions.library import TR_SKIP, TYPICAL, _rsi, _rsv
 from tidemark.operators.simulate import compare
 from tidemark.plans.formula import with_formulas
 
 FIELDS = ("open", "high", "low", "close", "volume", "amount")
 _K = f"ewm({_rsv(9)}, 0.3333333333333333)"
+
+
+def _kdj(line: str, n: int) -> str:
+    k = f"ewm({_rsv(n)}, 0.3333333333333333)"
+    d = f"ewm({k}, 0.3333333333333333)"
+    return {"k": k, "d": d, "j": f"3 * {k} - 2 * {d}"}[line]
+
+
+def _cci(n: int) -> str:
+    mean = f"ts_mean_full({TYPICAL}, {n})"
+    return f"({TYPICAL} - {mean}) / (0.015 * ts_mean_full(abs({TYPICAL} - {mean}), {n}) + 0.000000000001)"
+
+
 #: Names without a period.
 PLAIN = {
     "sma": "ts_mean_full(close, 20)", "ema": "ema_adjusted(close, 20)", "rsi": _rsi(14, "ts_mean_full", "0"), "macd_dif": "ema_adjusted(close, 12) - ema_adjusted(close, 26)", "macd_dea": "ema_adjusted(ema_adjusted(close, 12) - ema_adjusted(close, 26), 9)",
     "macd": "ema_adjusted(close, 12) - ema_adjusted(close, 26) - ema_adjusted(ema_adjusted(close, 12) - ema_adjusted(close, 26), 9)", "boll_mid": "ts_mean_full(close, 20)", "boll_upper": "ts_mean_full(close, 20) + 2 * ts_std_full(close, 20)", "boll_lower": "ts_mean_full(close, 20) - 2 * ts_std_full(close, 20)",
-    "atr": f"ts_mean_full({TR_SKIP}, 14)", "kdj_k": _K, "kdj_d": f"ewm({_K}, 0.3333333333333333)", "kdj_j": f"3 * {_K} - 2 * ewm({_K}, 0.3333333333333333)",
+    "atr": f"ts_mean_full({TR_SKIP}, 14)", "kdj_k": _K, "kdj_d": f"ewm({_K}, 0.3333333333333333)", "kdj_j": f"3 * {_K} - 2 * ewm({_K}, 0.3333333333333333)", "cci": _cci(20),
 }
 #: (pattern of the name, formula of its numbers).
 NUMBERED = (
-    (r"volume_sma(\d+)", "ts_mean_full(volume, {0})"), (r"sma(\d+)", "ts_mean_full(close, {0})"), (r"ema(\d+)", "ema_adjusted(close, {0})"), (r"rsi(\d+)", None), (r"high_(\d+)", "ts_max_full(high, {0})"), (r"low_(\d+)", "ts_min_full(low, {0})"), (r"volume(\d+)", "ts_mean_full(volume, {0})"),
+    (r"volume_sma(\d+)", "ts_mean_full(volume, {0})"), (r"sma(\d+)", "ts_mean_full(close, {0})"), (r"ema(\d+)", "ema_adjusted(close, {0})"), (r"rsi(\d+)", lambda n: _rsi(int(n), "ts_mean_full", "0")), (r"cci(\d+)", lambda n: _cci(int(n))), (r"kdj_([kdj])[_-]?(\d+)", lambda line, n: _kdj(line, int(n))), (r"boll[_-]?(\d+)", "ts_mean_full(close, {0})"), (r"high_(\d+)", "ts_max_full(high, {0})"), (r"low_(\d+)", "ts_min_full(low, {0})"), (r"volume(\d+)", "ts_mean_full(volume, {0})"),
     (r"boll_upper_(\d+)_(\d+)", "ts_mean_full(close, {0}) + {1} * ts_std_full(close, {0})"), (r"boll_lower_(\d+)_(\d+)", "ts_mean_full(close, {0}) - {1} * ts_std_full(close, {0})"), (r"boll_mid_(\d+)_(\d+)", "ts_mean_full(close, {0})"),
     (r"atr_upper_(\d+)_(\d+)", f"close + {{1}} * ts_mean_full({TR_SKIP}, {{0}})"), (r"atr_lower_(\d+)_(\d+)", f"close - {{1}} * ts_mean_full({TR_SKIP}, {{0}})"),
 )
@@ -37,7 +50,7 @@ def indicator_formula(name: str) -> str:
         return PLAIN[name]
     for pattern, formula in NUMBERED:
         if m := re.fullmatch(pattern, name):
-            return _rsi(int(m[1]), "ts_mean_full", "0") if formula is None else formula.format(*m.groups())
+            return formula(*m.groups()) if callable(formula) else formula.format(*m.groups())
     return "close"
 
 
