@@ -1,9 +1,7 @@
-"""Desk operators: scores of strategies, price levels, market regime, stops and targets, access views, alerts, calendars."""
+"""Desk operators: scores of strategies, stops and targets, plans, access views, alerts, exposures, calendars."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,132 +14,165 @@ def bounded(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
     return F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high)))
 
 
-def fitness_scores(m: DataFrame) -> DataFrame:
-    """Component scores from 0 to 100 of (sharpe, annualized_return_pct, max_drawdown_pct, win_rate_pct, profit_factor, trade_count)."""
-    sharpe, ret, dd, win, pf, n = (F.col(c) for c in ("sharpe", "annualized_return_pct", "max_drawdown_pct", "win_rate_pct", "profit_factor", "trade_count"))
-    return m.withColumns({
+#: What each component adds to the fitness of a strategy.
+FITNESS = {"sharpe_score": 0.30, "calmar_score": 0.25, "win_score": 0.10, "profit_score": 0.10, "count_score": 0.10, "simplicity_score": 0.15}
+
+
+def fitness_scores(m: DataFrame, conditions: Column | int = 1, weights: dict[str, float] | None = None) -> DataFrame:
+    """Component scores from 0 to 100 and their weighted ``fitness``.
+
+    ``m`` has sharpe, annualized_return_pct, max_drawdown_pct, win_rate_pct, profit_factor and trade_count; ``conditions``
+    is the number of a strategy's conditions.
+    """
+    sharpe, ret, dd, win, pf, n = (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("sharpe", "annualized_return_pct", "max_drawdown_pct", "win_rate_pct", "profit_factor", "trade_count"))
+    k = conditions if isinstance(conditions, Column) else F.lit(conditions)
+    r = m.withColumns({
         "sharpe_score": F.when(sharpe <= 0, F.greatest(F.lit(0.0), 25 + sharpe * 10)).otherwise(F.least(F.lit(100.0), 50 + sharpe * 25)),
         "calmar_score": F.when(ret < 0, 0.0).otherwise(F.least(F.lit(100.0), F.abs(ret) / F.greatest(dd, F.lit(0.1)) * 25)),
         "win_score": F.when(win <= 30, F.greatest(F.lit(0.0), win)).otherwise(F.least(F.lit(100.0), 30 + (win - 30) * 2.5)),
         "profit_score": F.when(pf <= 1, F.greatest(F.lit(0.0), pf * 20)).otherwise(F.least(F.lit(100.0), 30 + pf * 24)),
-        "count_score": F.when(n < 3, 20.0).when(n < 5, 50.0).when(n <= 30, 100.0).when(n <= 60, 80.0).otherwise(50.0),
+        "count_score": F.when(n < 3, 20.0).when(n < 5, 50.0).when(n <= 30, 100.0).when(n <= 60, F.greatest(F.lit(50.0), 100 - (n - 30) * 1.5)).otherwise(F.greatest(F.lit(20.0), 50 - (n - 60) * 0.3)),
+        "simplicity_score": F.when(k <= 2, 100.0).when(k == 3, 85.0).when(k == 4, 65.0).when(k == 5, 40.0).otherwise(F.greatest(F.lit(5.0), 100.0 - k * 18.0)),
     })
+    total = sum((F.col(c) * w for c, w in (weights or FITNESS).items()), F.lit(0.0))
+    return r.withColumn("fitness", F.round(bounded(total), 2))
+
+
+#: What each part adds to the decay of a strategy, and the scores from which it is no more kept as it is.
+DECAY = {"sharpe": 0.40, "profit_factor": 0.25, "win_rate_pct": 0.15, "trade_count": 0.20}
+DECAY_STEPS = ((20, "active"), (40, "paper"), (70, "degraded"))
 
 
 def decay_score(before: DataFrame, now: DataFrame, key: str) -> DataFrame:
-    """(key, decay, status): how far sharpe, profit factor, win rate and trade count fell, weighted .40 .25 .15 .20."""
+    """(key, decay, status): how far a strategy fell behind its base, from 0 to 100.
+
+    Sharpe falls relative to the base's size; with a base near 0 only a clear loss counts. Profit factor and trade count
+    count as ratios. The win rate's fall is absolute: 20 points are all.
+    """
     j = before.alias("b").join(now.alias("n"), key)
+    b, n = (lambda c: F.coalesce(F.col(f"b.{c}").cast("double"), F.lit(0.0))), (lambda c: F.coalesce(F.col(f"n.{c}").cast("double"), F.lit(0.0)))
+    ratio = lambda c: bounded((1 - div(n(c), b(c))) * 100)
+    parts = {
+        "sharpe": F.when(F.abs(b("sharpe")) < 0.01, F.when(n("sharpe") < -0.1, 100.0).otherwise(0.0)).otherwise(bounded(div(b("sharpe") - n("sharpe"), F.abs(b("sharpe"))) * 100)),
+        "profit_factor": F.when(F.abs(b("profit_factor")) < 0.01, F.when(n("profit_factor") < 0.5, 100.0).otherwise(0.0)).otherwise(ratio("profit_factor")),
+        "win_rate_pct": bounded((b("win_rate_pct") - n("win_rate_pct")) / 20 * 100), "trade_count": F.when(b("trade_count") <= 0, 0.0).otherwise(ratio("trade_count")),
+    }
+    score = sum((parts[c] * w for c, w in DECAY.items()), F.lit(0.0))
+    status = F.lit("retired")
+    for limit, name in reversed(DECAY_STEPS):
+        status = F.when(F.col("decay") < limit, name).otherwise(status)
+    return j.select(key, F.round(score, 2).alias("decay")).withColumn("status", status)
+
 
-    def fall(c: str) -> Column:
-        return F.when(F.col(f"b.{c}") > 0, bounded(div(F.col(f"b.{c}") - F.col(f"n.{c}"), F.col(f"b.{c}")) * 100)).otherwise(0.0)
+def trend_signal(values: Column, at: Column) -> Column:
+    """Aggregate: whether values by time improve, worsen or stay, from their least-squares slope."""
+    slope = F.coalesce(F.regr_slope(values, at), F.lit(0.0))
+    return F.when(slope > 1e-9, "improving").when(slope < -1e-9, "worsening").otherwise("steady")
 
-    score = 0.40 * fall("sharpe") + 0.25 * fall("profit_factor") + 0.15 * fall("win_rate_pct") + 0.20 * fall("trade_count")
-    return j.select(key, F.round(score, 2).alias("decay")).withColumn("status", F.when(F.col("decay") < 20, "active").when(F.col("decay") < 40, "paper").when(F.col("decay") < 70, "degraded").otherwise("retired"))
 
+def lifecycle_ranking(strategies: DataFrame) -> DataFrame:
+    """Strategies by decay, least first; those never judged come last."""
+    return strategies.orderBy(F.asc_nulls_last("decay"), "symbol")
 
-def risk_ratios(equity: DataFrame, trades: DataFrame, initial_cash: float) -> DataFrame:
-    """(symbol, calmar, sortino, mean_hold_days): ratios of return to drawdown and to downside deviation."""
+
+def risk_ratios(run: DataFrame, initial_cash: float) -> DataFrame:
+    """(symbol, calmar, sortino, excess_return_pct, information_ratio, mean_hold_days) of a backtest's rows.
+
+    Excess and information are against holding the symbol.
+    """
     by = Window.partitionBy("symbol").orderBy("date")
-    e = equity.withColumn("_r", div(F.col("equity"), F.lag("equity").over(by)) - 1).withColumn("_dd", div(F.col("equity"), F.max("equity").over(by.rowsBetween(Window.unboundedPreceding, 0))) - 1)
-    down = F.stddev_pop(F.when(F.col("_r") < 0, F.col("_r")))
+    e = run.withColumns({"_r": div(F.col("equity"), F.lag("equity").over(by)) - 1, "_b": div(F.col("close"), F.lag("close").over(by)) - 1, "_dd": div(F.col("equity"), F.max("equity").over(by.rowsBetween(Window.unboundedPreceding, 0))) - 1})
+    down, active = F.stddev_pop(F.when(F.col("_r") < 0, F.col("_r"))), F.col("_r") - F.col("_b")
     grown = F.max_by("equity", "date") / initial_cash
     annual = F.when(grown > 0, (F.pow(grown, 252 / F.count("equity")) - 1) * 100).otherwise(-100.0)
-    r = e.groupBy("symbol").agg(div(annual, F.when(F.min("_dd") < 0, -F.min("_dd") * 100)).alias("calmar"), F.when(down > 0, F.avg("_r") / (down + 1e-12) * F.sqrt(F.lit(252.0))).alias("sortino"))
-    hold = trades.groupBy("symbol").agg(F.avg(F.datediff("exit_date", "entry_date").cast("double")).alias("mean_hold_days"))
-    return r.join(hold, "symbol", "left")
+    return e.groupBy("symbol").agg(
+        div(annual, F.when(F.min("_dd") < 0, -F.min("_dd") * 100)).alias("calmar"), F.when(down > 0, F.avg("_r") / (down + 1e-12) * F.sqrt(F.lit(252.0))).alias("sortino"),
+        ((grown - div(F.max_by("close", "date"), F.min_by("close", "date"))) * 100).alias("excess_return_pct"), F.when(F.stddev_pop(active) > 0, F.avg(active) / (F.stddev_pop(active) + 1e-12) * F.sqrt(F.lit(252.0))).alias("information_ratio"),
+        F.avg(F.datediff(F.when(F.col("reason").isNotNull(), F.col("date")).cast("date"), F.col("entry_date").cast("date")).cast("double")).alias("mean_hold_days"))
+
 
+def rolling_year(run: DataFrame, bars: int = 252) -> DataFrame:
+    """(symbol, date, year_return): the change of equity over a year of bars."""
+    return run.select("symbol", "date", (div(F.col("equity"), F.lag("equity", bars).over(seq())) - 1).alias("year_return"))
 
-# ---------------------------------------------------------------- levels and regime
 
+def alignment(trends: DataFrame) -> DataFrame:
+    """(symbol, alignment, agreed) from rows (symbol, timeframe, direction -1 0 1): weights 1, .8, .6, .4, .2 from long to short."""
+    weight = F.element_at(F.create_map(*[F.lit(x) for p in (("1w", 1.0), ("1d", 0.8), ("4h", 0.6), ("1h", 0.4), ("15m", 0.2)) for x in p]), F.col("timeframe"))
+    return trends.withColumn("_w", weight).groupBy("symbol").agg(div(F.sum(F.col("_w") * F.col("direction")), F.sum("_w")).alias("alignment"), (F.countDistinct("direction") == 1).alias("agreed"))
 
-def price_levels(bars: DataFrame, touches: int = 2) -> DataFrame:
-    """(symbol, side, level, touches): turning points merged in order when within 0.3 deviations of a level's mean.
 
-    Which level a point joins depends on the points before it, so a symbol is one group.
+# ---------------------------------------------------------------- stops and targets
+
+
+def stop_methods(latest: DataFrame, levels: DataFrame, side: str = "long", tick: float = 0.01, atr_multiple: float = 2.0, fixed_pct: float = 3.0) -> DataFrame:
+    """(symbol, method, used, stop, risk, risk_pct): the stop of a position at the latest close, by each of five methods.
+
+    ``latest`` has symbol, close, atr14, low5, high5 and std20, ``levels`` (symbol, level). What lacks its data falls back
+    to the fixed share. Stops are rounded to ticks.
     """
+    sign = 1 if side == "long" else -1
+    c = F.col("close")
+    beyond = F.when(sign * (c - F.col("level")) > 0, F.col("level"))
+    near = levels.join(latest.select("symbol", "close"), "symbol").groupBy("symbol").agg((F.max(beyond) if sign > 0 else F.min(beyond)).alias("near"))
+    r = latest.join(near, "symbol", "left")
+    swing = F.col("low5") if sign > 0 else F.col("high5")
+    stops = {"atr": c - sign * F.col("atr14") * atr_multiple, "fixed_pct": c * (1 - sign * fixed_pct / 100), "swing": swing - sign * 2 * tick, "level": F.col("near") - sign * 2 * tick, "volatility": c - sign * 2 * F.col("std20")}
+    fixed = stops["fixed_pct"]
+    each = F.array(*[F.struct(F.lit(k).alias("method"), F.when(v.isNull(), "fixed_pct").otherwise(k).alias("used"), F.coalesce(v, fixed).cast("double").alias("stop")) for k, v in stops.items()])
+    r = r.select("symbol", "close", F.inline(each)).withColumn("stop", F.bround(F.col("stop") / tick) * tick)
+    risk = F.abs(F.col("close") - F.col("stop"))
+    return r.select("symbol", "close", "method", "used", "stop", risk.alias("risk"), F.coalesce(div(risk, F.when(c > 0, c)) * 100, F.lit(0.0)).alias("risk_pct"))
+
+
+def target_methods(stops: DataFrame, latest: DataFrame, levels: DataFrame, side: str = "long", reward: float = 2.0, atr_multiple: float = 3.0, trailing_pct: float = 5.0, fixed_pct: float = 6.0) -> DataFrame:
+    """(symbol, method, used, target, trailing_stop, reward_ratio): the target that goes with a stop, by five methods.
+
+    A trailing target triggers at 0.7 of the wanted reward and then follows by a share.
+    """
+    sign = 1 if side == "long" else -1
+    c, risk = F.col("close"), F.col("risk")
+    ahead = F.when(sign * (F.col("level") - c) > 0, F.col("level"))
+    near = levels.join(latest.select("symbol", "close"), "symbol").groupBy("symbol").agg((F.min(ahead) if sign > 0 else F.max(ahead)).alias("near"))
+    r = stops.select("symbol", "close", "risk").join(latest.select("symbol", "atr14"), "symbol").join(near, "symbol", "left")
+    by_risk = c + sign * risk * reward
+    targets = {"risk_reward": by_risk, "atr": c + sign * F.col("atr14") * atr_multiple, "level": F.col("near"), "trailing": c + sign * risk * reward * 0.7, "fixed_pct": c * (1 + sign * fixed_pct / 100)}
+    each = F.array(*[F.struct(F.lit(k).alias("method"), F.when(v.isNull(), "risk_reward").otherwise(k).alias("used"), F.coalesce(v, by_risk).cast("double").alias("target")) for k, v in targets.items()])
+    r = r.select("symbol", "close", "risk", F.inline(each))
+    trail = F.when(F.col("method") == "trailing", F.col("target") * (1 - sign * trailing_pct / 100))
+    return r.select("symbol", "method", "used", "target", trail.alias("trailing_stop"), F.coalesce(div(F.abs(F.col("target") - c), F.when(risk > 0, risk)), F.lit(0.0)).alias("reward_ratio"))
 
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, out = rows.sort_values("date"), []
-        for side, column, sign in (("resistance", "high", 1), ("support", "low", -1)):
-            v = rows[column].to_numpy(dtype=float)
-            near = 0.3 * v.std() if v.std() > 0 else v.mean() * 0.005
-            levels: list[list[float]] = []
-            for a, b, c in zip(v, v[1:], v[2:], strict=False):
-                if sign * b > sign * a and sign * b > sign * c:
-                    at = next((x for x in levels if abs(x[0] - b) <= near), None)
-                    if at is None:
-                        levels.append([b, 1])
-                    else:
-                        at[0], at[1] = (at[0] * at[1] + b) / (at[1] + 1), at[1] + 1
-            out += [(rows["symbol"].iloc[0], side, x[0], int(x[1])) for x in levels if x[1] >= touches]
-        return pd.DataFrame(out, columns=["symbol", "side", "level", "touches"])
-
-    return bars.groupBy("symbol").applyInPandas(merge, "symbol string, side string, level double, touches long")
-
-
-def hurst(v: np.ndarray, most: int = 20) -> float:
-    """The rescaled-range exponent of the last 252 values; 0.5 if there are too few."""
-    v, points = v[-252:], []
-    if len(v) < 2 * most:
-        return 0.5
-    for lag in range(2, min(most + 1, len(v) // 2)):
-        chunks = v[: len(v) // lag * lag].reshape(-1, lag)
-        walk = np.cumsum(chunks - chunks.mean(1, keepdims=True), axis=1)
-        span, dev = walk.max(1) - walk.min(1), chunks.std(1)
-        ok = (dev > 1e-12) & (span > 0)
-        if ok.any():
-            points.append((np.log(lag), np.log((span[ok] / dev[ok]).mean())))
-    return 0.5 if len(points) < 3 else float(np.polyfit(*np.array(points).T, 1)[0])
-
-
-def regime(bars: DataFrame) -> DataFrame:
-    """(symbol, adx, slope, atr_share, hurst, regime): Wilder's trend strength, slope, volatility and persistence."""
-
-    def judge(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("date")
-        h, low, c = (rows[x].astype(float) for x in ("high", "low", "close"))
-        tr = pd.concat([h - low, (h - c.shift()).abs(), (low - c.shift()).abs()], axis=1).max(axis=1)
-        up, down = h.diff(), -low.diff()
-        smooth = lambda s: s.ewm(alpha=1 / 14, adjust=False).mean()
-        atr = smooth(tr)
-        plus, minus = (100 * smooth(m) / atr.where(atr != 0) for m in (up.where((up > down) & (up > 0), 0.0), down.where((down > up) & (down > 0), 0.0)))
-        adx = smooth(100 * (plus - minus).abs() / (plus + minus).where(plus + minus != 0)).iloc[-1]
-        y = c.rolling(20, min_periods=1).mean().tail(5).to_numpy()
-        slope = float(np.polyfit(np.arange(len(y)), y, 1)[0] / (np.abs(y).mean() or 1.0)) if len(y) >= 3 else 0.0
-        share = atr / c.where(c != 0)
-        calm, exponent = float((share <= share.iloc[-1]).mean()), hurst(c.to_numpy())
-        kind = "volatile" if calm > 0.9 else "trending_up" if adx >= 25 and slope > 0 else "trending_down" if adx >= 25 and slope < 0 else "quiet" if calm < 0.2 else "ranging"
-        return pd.DataFrame([(rows["symbol"].iloc[0], float(adx), slope, calm, exponent, kind)], columns=["symbol", "adx", "slope", "atr_share", "hurst", "regime"])
-
-    return bars.groupBy("symbol").applyInPandas(judge, "symbol string, adx double, slope double, atr_share double, hurst double, regime string")
 
+def entry_rows(bars_with_atr: DataFrame) -> DataFrame:
+    """What stops and targets need of each symbol's latest bar."""
+    last = lambda n: seq().rowsBetween(-(n - 1), 0)
+    full = lambda n, v: F.when(F.count("close").over(last(n)) >= n, v)
+    r = bars_with_atr.withColumns({"low5": full(5, F.min("low").over(last(5))), "high5": full(5, F.max("high").over(last(5))), "std20": full(20, F.stddev_samp("close").over(last(20)))})
+    return r.groupBy("symbol").agg(F.max_by(F.struct("close", "atr14", "low5", "high5", "std20"), "date").alias("x")).select("symbol", "x.*")
 
-def alignment(trends: DataFrame) -> DataFrame:
-    """(symbol, alignment, agreed) from rows (symbol, timeframe, direction -1 0 1): weights 1, .8, .6, .4, .2 from long to short."""
-    weight = F.element_at(F.create_map(*[F.lit(x) for p in (("1w", 1.0), ("1d", 0.8), ("4h", 0.6), ("1h", 0.4), ("15m", 0.2)) for x in p]), F.col("timeframe"))
-    return trends.withColumn("_w", weight).groupBy("symbol").agg(div(F.sum(F.col("_w") * F.col("direction")), F.sum("_w")).alias("alignment"), (F.countDistinct("direction") == 1).alias("agreed"))
 
+#: Daily loss, drawdown and halt in percent by risk level.
+DRAWDOWN = {"low": (2.0, 10.0, 15.0), "medium": (3.0, 20.0, 30.0), "high": (5.0, 30.0, 40.0)}
 
-def composite(rows: DataFrame) -> DataFrame:
-    """``score`` and ``rating`` of the latest row per symbol from (close, ma5, ma20, macd_bar, rsi24, kdj_j, vol_ratio, boll_upper, boll_lower)."""
-    cols = ("close", "ma5", "ma20", "macd_bar", "rsi24", "kdj_j", "vol_ratio", "boll_upper", "boll_lower")
-    last = rows.groupBy("symbol").agg(F.max_by(F.struct(*cols), "date").alias("x")).select("symbol", "x.*")
-    trend = 15 + F.when((F.col("close") > F.col("ma5")) & (F.col("ma5") > F.col("ma20")), 10).when((F.col("close") < F.col("ma5")) & (F.col("ma5") < F.col("ma20")), -10).otherwise(0)
-    momentum = 12.5 + F.when(F.col("macd_bar") > 0, 3).otherwise(-3) + F.when(F.col("rsi24") > 70, -2).when(F.col("rsi24") > 50, 2).when(F.col("rsi24") < 30, 2).otherwise(-2) + F.when(F.col("kdj_j") > 80, -2).when(F.col("kdj_j") < 20, 2).otherwise(0)
-    volume = 7.5 + F.when(F.col("vol_ratio") > 1.2, 4).when(F.col("vol_ratio") < 0.8, -3).otherwise(0)
-    volatility = 7.5 + F.when(F.col("close") > F.col("boll_upper"), -3).when(F.col("close") < F.col("boll_lower"), 3).otherwise(0)
-    score = bounded(trend, 0, 30) + bounded(momentum, 0, 25) + bounded(volume, 0, 15) + bounded(volatility, 0, 15) + 7.5
-    return last.withColumn("score", score.cast("double")).select("symbol", "score", F.when(F.col("score") >= 70, "strong").when(F.col("score") >= 55, "firm").when(F.col("score") >= 45, "neutral").when(F.col("score") >= 30, "soft").otherwise("weak").alias("rating"))
 
+def drawdown_control(accounts: DataFrame) -> DataFrame:
+    """Limits of accounts (owner, balance, level): daily loss and drawdown in money, halt, losses in a row (3 to 15)."""
+    limit = F.element_at(F.create_map(*[x for k, v in DRAWDOWN.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), F.col("level"))
+    return accounts.select("owner", "level", (F.col("balance") * limit[0] / 100).alias("daily_loss"), (F.col("balance") * limit[1] / 100).alias("drawdown"), (limit[2] / 100).alias("halt"), bounded((limit[1] / 3).cast("int"), 3, 15).cast("int").alias("losses"))
 
-# ---------------------------------------------------------------- stops and targets
 
+def trade_plan(structure: DataFrame, stops: DataFrame, targets: DataFrame, strength: DataFrame, least_reward: float = 1.5) -> DataFrame:
+    """(symbol, action, entry, stop, target, confidence, allowed): one plan per symbol from its structure, stop and target.
 
-def stops(bars: DataFrame, tick: float = 0.01) -> DataFrame:
-    """Per bar, for a long entry at the close: stops by share, recent low and volatility, and the target at twice the risk."""
-    low5, std20 = F.min("low").over(seq().rowsBetween(-4, 0)), F.stddev_samp("close").over(seq().rowsBetween(-19, 0))
-    r = bars.withColumns({"stop_pct": F.col("close") * 0.97, "stop_swing": low5 - 2 * tick, "stop_vol": F.col("close") - 2 * std20})
-    return r.withColumn("target_rr", F.col("close") + 2 * (F.col("close") - F.col("stop_pct"))).select("symbol", "date", "stop_pct", "stop_swing", "stop_vol", "target_rr")
+    Trade with the trend if the latest bar does not speak against it; the risk check asks for a reward of ``least_reward``
+    times the risk and a risk of at most 10 %.
+    """
+    r = structure.select("symbol", "direction", F.col("strength").alias("trend_strength")).join(strength.select("symbol", "score", "confirmed"), "symbol").join(stops, "symbol").join(targets.select("symbol", "target", "reward_ratio"), "symbol")
+    against = F.when(F.col("direction") == "up", F.col("score") < -0.3).when(F.col("direction") == "down", F.col("score") > 0.3)
+    action = F.when((F.col("direction") == "neutral") | against, "wait").when(F.col("direction") == "up", "buy").otherwise("sell")
+    confidence = bounded(F.col("trend_strength") * 0.7 + F.abs("score") * 20 + F.when(F.col("confirmed"), 10).otherwise(0))
+    ok = (F.col("reward_ratio") >= least_reward) & (F.col("risk_pct") <= 10) & (action != "wait")
+    return r.select("symbol", action.alias("action"), F.col("close").alias("entry"), "stop", "target", confidence.alias("confidence"), ok.alias("allowed"))
 
 
 # ---------------------------------------------------------------- access, alerts, calendar
@@ -176,3 +207,16 @@ def exposure(positions: DataFrame, quotes: DataFrame, multiplier: float = 10.0)
     j = positions.join(quotes.withColumnRenamed("price", "now"), "symbol", "left")
     pnl = sign * (F.col("now") - F.col("price")) * F.col("lots") * multiplier
     return j.groupBy("owner").agg(F.sum(pnl).alias("floating"), F.sum(F.col("price") * F.col("lots") * multiplier).alias("notional"), F.sum(F.col("now").isNull().cast("long")).alias("unpriced"))
+
+
+def account_state(exposure: DataFrame, balance: float = 100_000.0) -> DataFrame:
+    """Adds balance and drawdown_pct, the floating loss as a share of the balance, to exposures."""
+    loss = F.greatest(F.lit(0.0), -F.coalesce("floating", F.lit(0.0)))
+    return exposure.withColumn("balance", F.lit(balance)).withColumn("drawdown_pct", loss / balance * 100)
+
+
+def unrealised(positions: DataFrame, multiplier: float = 10.0) -> DataFrame:
+    """Positions (owner, side, lots, price, now) with profit in money and as a share of their notional."""
+    sign = F.when(F.col("side") == "long", 1).otherwise(-1)
+    r = positions.withColumn("pnl", sign * (F.col("now") - F.col("price")) * F.col("lots") * multiplier).withColumn("notional", F.col("price") * F.col("lots") * multiplier)
+    return r.withColumn("pnl_pct", F.coalesce(div(F.col("pnl"), F.when(F.col("notional") > 0, F.col("notional"))) * 100, F.lit(0.0)))

@@ -9,8 +9,6 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,21 +93,34 @@ def residual(rows: DataFrame, value: str, industry: str, cap: str, least: int =
 
 
 def residual_general(rows: DataFrame, value: str, regressors: list[str], least: int = 10) -> DataFrame:
-    """``neutral``: least-squares residuals on any numeric regressors and a constant, one date at a time."""
+    """``neutral``: least-squares residuals on a few numeric regressors and a constant, of each date.
 
-    def solve(day: pd.DataFrame) -> pd.DataFrame:
-        ok = day[[value, *regressors]].notna().all(axis=1).to_numpy()
-        out = day[value].to_numpy(dtype=float, copy=True)
-        if ok.sum() >= least and ok.sum() > len(regressors) + 1:
-            a = np.column_stack([np.ones(ok.sum()), day.loc[ok, regressors].to_numpy(dtype=float)])
-            out = np.full(len(day), np.nan)
-            y = day.loc[ok, value].to_numpy(dtype=float)
-            out[ok] = y - a @ np.linalg.lstsq(a, y, rcond=None)[0]
-        return day.assign(neutral=out)
-
-    types = dict(rows.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in rows.columns) + ", neutral double"
-    return rows.groupBy("date").applyInPandas(solve, schema)
+    A date is reduced to its means and second moments by one aggregation, from which elimination gives the coefficients; no
+    date is ever gathered. A regressor that is constant, or follows from those before it, has coefficient 0. Dates with
+    fewer than ``least`` whole rows, or too few for the regressors, keep their values; other incomplete rows have none.
+    """
+    k = len(regressors)
+    ok = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (value, *regressors)])
+    r = rows.withColumns({f"_v{i}": F.when(ok, F.col(c).cast("double")) for i, c in enumerate((*regressors, value))})
+    pairs = [(i, j) for i in range(k) for j in range(i, k + 1)]
+    m = r.groupBy("date").agg(F.count("_v0").alias("_n"), *[F.avg(f"_v{i}").alias(f"_m{i}") for i in range(k + 1)], *[F.covar_pop(f"_v{i}", f"_v{j}").alias(f"_s{i}_{j}") for i, j in pairs])
+    # elimination of the normal equations, a column per step: a[i][j] with the right side as column k
+    name = lambda i, j: f"_s{min(i, j)}_{max(i, j)}" if j < k else f"_s{i}_{k}"
+    a = {(i, j): F.col(name(i, j)) for i in range(k) for j in range(k + 1)}
+    for p in range(k):
+        flat = a[p, p] <= 1e-12 * F.abs(F.col(name(p, p)))
+        for i in range(p + 1, k):
+            f = F.when(flat, 0.0).otherwise(div(a[i, p], a[p, p]))
+            step = {f"_e{p}_{i}_{j}": a[i, j] - f * a[p, j] for j in range(p, k + 1)}
+            m = m.withColumns(step)
+            a |= {(i, j): F.col(f"_e{p}_{i}_{j}") for j in range(p, k + 1)}
+    for p in reversed(range(k)):
+        known = sum((a[p, j] * F.col(f"_b{j}") for j in range(p + 1, k)), F.lit(0.0))
+        m = m.withColumn(f"_b{p}", F.when(a[p, p] <= 1e-12 * F.abs(F.col(name(p, p))), 0.0).otherwise(F.coalesce(div(a[p, k] - known, a[p, p]), F.lit(0.0))))
+    m = m.select("date", "_n", *[f"_m{i}" for i in range(k + 1)], *[f"_b{i}" for i in range(k)])
+    fitted = sum((F.col(f"_b{i}") * (F.col(f"_v{i}") - F.col(f"_m{i}")) for i in range(k)), F.col(f"_m{k}"))
+    enough = (F.col("_n") >= least) & (F.col("_n") > k + 1)
+    return r.join(m, "date").withColumn("neutral", F.when(enough, F.col(f"_v{k}") - fitted).otherwise(F.col(value))).select(*rows.columns, "neutral")
 
 
 # ---------------------------------------------------------------- evaluation
@@ -152,14 +163,58 @@ def coverage(rows: DataFrame, value: str) -> DataFrame:
     return rows.groupBy("symbol").agg(F.avg(F.col(value).isNotNull().cast("double")).alias("share")).agg(F.avg("share").alias("coverage"))
 
 
-def report(rows: DataFrame, value: str, fwd: str = "fwd") -> DataFrame:
-    """One row: IC statistics of both kinds, mean long-short return, turnover and coverage."""
+def ic_by_year(ic: DataFrame) -> DataFrame:
+    return ic.groupBy(F.year("date").alias("year")).agg(F.avg("ic").alias("ic_mean"))
+
+
+def grown(days: DataFrame, columns: list[str]) -> DataFrame:
+    """Daily returns compounded from the first date on, less 1; a row per date."""
+    w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    return days.select("date", *[(F.product(1 + F.col(c)).over(w) - 1).alias(c) for c in columns])
+
+
+def curve_statistics(curve: DataFrame, column: str) -> DataFrame:
+    """One row of a compounded curve: its end, yearly mean and Sharpe of its daily steps, and the deepest drawdown."""
+    w = Window.orderBy("date")
+    peak = F.max(column).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    r = curve.withColumn("_step", F.col(column) - F.lag(column).over(w)).withColumn("_down", div(F.col(column) - peak, 1 + peak))
+    dev = F.stddev_samp("_step")
+    return r.agg(F.max_by(column, "date").alias("long_short_return"), (F.avg("_step") * 252).alias("long_short_annual_return"), F.when(dev > 0, F.avg("_step") / dev * F.sqrt(F.lit(252.0))).alias("long_short_sharpe"), F.min("_down").alias("long_short_max_drawdown"))
+
+
+def report(rows: DataFrame, value: str, fwd: str = "fwd", n: int = 5) -> DataFrame:
+    """One row: span, IC statistics of both kinds, compounded returns of buckets and of long less short, turnover, coverage.
+
+    The panel is read more than once; callers persist it if it is costly.
+    """
+    span = rows.agg(F.min("date").alias("start_date"), F.max("date").alias("end_date"), F.countDistinct("date").alias("periods"), F.countDistinct("symbol").alias("symbols"))
     s = ic_summary(daily_ic(rows, value, fwd)).select(*[F.col(c).alias(f"rank_{c}") for c in ("n_dates", "ic_mean", "ic_std", "icir", "positive_ratio")])
-    p = ic_summary(daily_ic(rows, value, fwd, "pearson")).select("ic_mean", "ic_std", "icir")
-    q = quantile_returns(rows, value, fwd).agg(F.avg("long_short").alias("long_short_mean"), *[F.avg(f"q{k}").alias(f"q{k}_mean") for k in range(1, 6)])
+    p = ic_summary(daily_ic(rows, value, fwd, "pearson")).select("ic_mean", "ic_std", "icir", "positive_ratio")
+    buckets = [f"q{k}" for k in range(1, n + 1)]
+    curve = grown(quantile_returns(rows, value, fwd, n), [*buckets, "long_short"])
+    q = curve.agg(*[F.max_by(b, "date").alias(f"{b}_return") for b in buckets])
     t = turnover(rows, value).agg(F.coalesce(F.avg("turnover"), F.lit(0.0)).alias("turnover"))
     one = F.lit(True)
-    return s.join(p, one).join(q, one).join(t, one).join(coverage(rows, value), one)  # five tables of one row
+    out = span
+    for part in (s, p, q, curve_statistics(curve, "long_short"), t, coverage(rows, value)):
+        out = out.join(part, one)  # tables of one row
+    return out
+
+
+def greedy_decorrelated(scores: DataFrame, correlations: DataFrame, most: float = 0.7) -> list[str]:
+    """Names of factors kept: from the highest score (name, score) on, each that no kept one correlates with above ``most``.
+
+    ``correlations`` (a, b, corr) has a row per pair of factors, a number that a search bounds; both are small.
+    """
+    near: dict[str, set[str]] = {}
+    for a, b in correlations.where(F.abs("corr") > most).select("a", "b").collect():
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    kept: list[str] = []
+    for (name,) in scores.orderBy(F.desc("score"), "name").select("name").collect():
+        if near.get(name, set()).isdisjoint(kept):
+            kept.append(name)
+    return kept
 
 
 # ---------------------------------------------------------------- composition

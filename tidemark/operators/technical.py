@@ -1,4 +1,4 @@
-"""Technical patterns by window predicates: pivots, candles, divergence, trend, breakout."""
+"""Technical patterns by window predicates: pivots, candles, trend, breakout; position sizes and Pareto fronts."""
 
 from __future__ import annotations
 
@@ -50,20 +50,6 @@ def breakouts(bars: DataFrame, n: int = 10) -> DataFrame:
     return r.select("symbol", "date", "close", "side", F.coalesce(fake, F.lit(False)).alias("fakeout"))
 
 
-def divergence(rows: DataFrame, indicator: str, k: int = 2) -> DataFrame:
-    """Per symbol: whether the last two price highs rise while the indicator falls (bearish), or lows the reverse (bullish)."""
-    p = pivots(rows, k)
-
-    def last_two(flag: str, price: str):
-        ranked = p.where(flag).withColumn("_n", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))).where("_n <= 2")
-        return ranked.groupBy("symbol").agg(*[F.max(F.when(F.col("_n") == i, F.col(c))).alias(f"{n}{i}") for i in (1, 2) for c, n in ((price, f"{price}_"), (indicator, f"{price}_ind_"))])
-
-    both = rows.select("symbol").distinct().join(last_two("pivot_high", "high"), "symbol", "left").join(last_two("pivot_low", "low"), "symbol", "left")
-    bear = (F.col("high_1") > F.col("high_2")) & (F.col("high_ind_1") < F.col("high_ind_2"))
-    bull = (F.col("low_1") < F.col("low_2")) & (F.col("low_ind_1") > F.col("low_ind_2"))
-    return both.select("symbol", F.coalesce(bear, F.lit(False)).alias("bearish"), F.coalesce(bull, F.lit(False)).alias("bullish"))
-
-
 def position_size(equity: float, profile: str, entry, stop, multiplier: float = 10.0):
     """Lots so that a stop costs the profile's share of equity, and exposure stays under its cap."""
     risk, cap = {"conservative": (0.01, 0.3), "balanced": (0.02, 0.5), "aggressive": (0.03, 0.7)}[profile]
@@ -73,13 +59,45 @@ def position_size(equity: float, profile: str, entry, stop, multiplier: float =
 
 
 def pareto_front(points: DataFrame, key: str, larger: list[str]) -> DataFrame:
-    """Rows that none dominates; of equal rows all stay. Meant for populations of a search, not for corpora.
+    """Rows that none dominates; of equal rows all stay.
 
-    A point can only be dominated by one that is at least as good in the first measure, so a sort by it and a running
-    comparison would do for two measures; for any number the anti-join below compares within the population.
+    For two measures a point is on the front if none with a larger first measure has as large a second: one aggregation
+    and one running maximum, without pairs. For more measures each row is held against the distinct points, which suits
+    a search's population.
     """
-    other = points.select(*[F.col(c).alias(f"_{c}") for c in larger])
+    if len(larger) == 2:
+        a, b = larger
+        best = points.groupBy(a).agg(F.max(b).alias("_own"))
+        ahead = Window.orderBy(F.desc(a)).rowsBetween(Window.unboundedPreceding, -1)  # a row per distinct first measure
+        front = best.withColumn("_ahead", F.max("_own").over(ahead)).where("_ahead IS NULL OR _own > _ahead").select(F.col(a).alias("_a"), F.col("_own").alias("_b"))
+        return points.join(front, (F.col(a) == F.col("_a")) & (F.col(b) == F.col("_b"))).select(points.columns)
+    other = points.select(*[F.col(c).alias(f"_{c}") for c in larger]).distinct()
     geq, gt = F.lit(True), F.lit(False)
     for c in larger:
         geq, gt = geq & (F.col(f"_{c}") >= F.col(c)), gt | (F.col(f"_{c}") > F.col(c))
     return points.join(other, geq & gt, "left_anti")
+
+
+def crowding(front: DataFrame, measures: list[str]) -> DataFrame:
+    """``crowding``: over all measures, the sum of gaps between a row's neighbours as shares of the range; ends are infinite."""
+    r = front
+    for c in measures:
+        w = Window.orderBy(c)  # a front is small
+        span = F.max(c).over(Window.partitionBy()) - F.min(c).over(Window.partitionBy())
+        gap = F.try_divide(F.lead(c).over(w) - F.lag(c).over(w), span)
+        r = r.withColumn(f"_{c}", F.when(F.lag(c).over(w).isNull() | F.lead(c).over(w).isNull(), F.lit(float("inf"))).otherwise(F.coalesce(gap, F.lit(0.0))))
+    return r.withColumn("crowding", sum((F.col(f"_{c}") for c in measures), F.lit(0.0))).drop(*[f"_{c}" for c in measures])
+
+
+def pareto_ranks(points: DataFrame, key: str, larger: list[str]) -> DataFrame:
+    """``front``: 0 for rows that none dominates, 1 for those only front 0 dominates, and so on.
+
+    For the population of a search, which its driver holds anyway: a round peels one front and starts from its rows anew.
+    """
+    out, left = None, points.withColumn("front", F.lit(None).cast("int"))
+    while not (todo := left.where("front IS NULL")).isEmpty():
+        now = pareto_front(todo, key, larger).select(F.col(key).alias("_k"))
+        n = 0 if out is None else out + 1
+        marked = left.join(now, F.col(key) == F.col("_k"), "left").withColumn("front", F.when(F.col("front").isNull() & F.col("_k").isNotNull(), n).otherwise(F.col("front")))
+        left, out = points.sparkSession.createDataFrame(marked.drop("_k").collect(), left.schema), n  # a population is small
+    return left

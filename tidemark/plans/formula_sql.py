@@ -130,3 +130,10 @@ def formulas_sql(source: str, formulas: dict[str, str], digits: int = 6, relativ
         value = compiler.text(parse(formula))
         columns.append((name, compiler.hold("out" + name, f"CAST({value} AS DOUBLE)")))
     return f"SELECT symbol, date, {', '.join(f'round({c}, {digits}) + 0.0 AS {n}' for n, c in columns)} FROM ({compiler.sql})"
+
+
+def with_formulas_sql(source: str, formulas: dict[str, str]) -> str:
+    """The rows of ``source`` with a column per formula, unrounded."""
+    compiler = SqlCompiler(source)
+    columns = [(name, compiler.hold("out" + name, f"CAST({compiler.text(parse(f))} AS DOUBLE)")) for name, f in formulas.items()]
+    return f"SELECT *, {', '.join(f'{c} AS {n}' for n, c in columns)} FROM ({compiler.sql})"
