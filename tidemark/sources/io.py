@@ -55,10 +55,40 @@ def upsert(stored: DataFrame, new: DataFrame, keys: list[str], seq: str) -> Data
 
 
 def insert_new(stored: DataFrame, new: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    """New rows whose key is not stored, the first by ``seq`` of each, to append."""
-    return latest(new, keys, F.col(seq).asc()).join(stored.select(*keys), keys, "left_anti")
+    """New rows whose key is not stored, the first by ``seq`` of each, to append. Null keys are equal."""
+    fresh = latest(new, keys, F.col(seq).asc())
+    match = reduce(lambda a, b: a & b, [fresh[k].eqNullSafe(stored[k]) for k in keys])
+    return fresh.join(stored, match, "left_anti")
 
 
 def write_partitioned(rows: DataFrame, path: str, *by: str) -> None:
     """Replaces only the partitions that ``rows`` has: rebuilding a window twice gives the same table."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """Rows as CSV with a header, UTF-8."""
+    rows.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+
+
+def write_report(rows: DataFrame, path: str, most_bytes: int = 256 << 10) -> None:
+    """A small result as lines of JSON; refused if it is larger than a report may be. Written by Spark's committer, whole or
+    not at all."""
+    lines = rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
+    size = lines.agg(F.sum(F.octet_length("value") + 1)).first()[0] or 0
+    if size > most_bytes:
+        raise ValueError(f"the report has {size} bytes, at most {most_bytes} are allowed")
+    lines.coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_manifest(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """Factor-pack rows (name, formula, category) of a CSV manifest; blank names go."""
+    rows = spark.read.option("header", True).csv(path).where("trim(name) <> ''")
+    rows = rows.select(F.trim("name").alias("name"), F.trim("formula").alias("formula"), F.coalesce(F.nullif(F.trim("category"), F.lit("")), F.lit("other")).alias("category"))
+    return rows if limit is None else rows.orderBy("name").limit(limit)
+
+
+def record_run(spark: SparkSession, path: str, job: str, status: str, rows: int, started, ended) -> None:
+    """Appends one row to the log of ingestion runs."""
+    one = [(job, status, rows, started, ended, (ended - started).total_seconds())]
+    spark.createDataFrame(one, "job string, status string, rows long, started timestamp, ended timestamp, seconds double").write.mode("append").parquet(path)

@@ -14,9 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bars(ticks: DataFrame, symbol, period) -> DataFrame:
-    """OHLC bars of ``value`` by ``ts``: volume counts ticks, amount sums them."""
+    """OHLC bars of ``value`` by ``ts``, of equal times by ``event_id``: volume counts ticks, amount sums them."""
+    order = F.struct("ts", "event_id")
     return ticks.groupBy(symbol.alias("symbol"), period.alias("date")).agg(
-        F.min_by("value", "ts").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "ts").alias("close"),
+        F.min_by("value", order).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", order).alias("close"),
         F.count(F.lit(1)).cast("double").alias("volume"), F.sum("value").alias("amount"))
 
 
@@ -52,9 +53,9 @@ def contract_of(date):
     return F.least(F.floor((F.dayofmonth(date) - 1) / 10), F.lit(2)).cast("int")
 
 
-BARS_SQL = """SELECT printf('S%02d', user_id % 20) AS symbol, CAST(ts AS DATE) AS date, arg_min(value, ts) AS open, max(value) AS high,
- min(value) AS low, arg_max(value, ts) AS close, CAST(count(*) AS DOUBLE) AS volume, sum(value) AS amount FROM events GROUP BY 1, 2"""
-HOURS_SQL = """SELECT event_type AS symbol, date_trunc('hour', ts) AS date, arg_min(value, ts) AS open, max(value) AS high,
- min(value) AS low, arg_max(value, ts) AS close, CAST(count(*) AS DOUBLE) AS volume, sum(value) AS amount FROM events GROUP BY 1, 2"""
+BARS_SQL = """SELECT printf('S%02d', user_id % 20) AS symbol, CAST(ts AS DATE) AS date, first(value ORDER BY ts, event_id) AS open, max(value) AS high,
+ min(value) AS low, last(value ORDER BY ts, event_id) AS close, CAST(count(*) AS DOUBLE) AS volume, sum(value) AS amount FROM events GROUP BY 1, 2"""
+HOURS_SQL = """SELECT event_type AS symbol, date_trunc('hour', ts) AS date, first(value ORDER BY ts, event_id) AS open, max(value) AS high,
+ min(value) AS low, last(value ORDER BY ts, event_id) AS close, CAST(count(*) AS DOUBLE) AS volume, sum(value) AS amount FROM events GROUP BY 1, 2"""
 PANEL_SQL = f"""SELECT s.symbol, d.date, open, high, low, close, volume, amount FROM (SELECT DISTINCT symbol FROM ({BARS_SQL})) s
  CROSS JOIN (SELECT DISTINCT date FROM ({BARS_SQL})) d LEFT JOIN ({BARS_SQL}) b ON b.symbol = s.symbol AND b.date = d.date"""
