@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -81,19 +82,19 @@ def account(opens, targets, contract, acct=S.Account()):
 
 def test_futures_long():
     rows = account([100, 101, 105, 110, 111], [1, 1, 0, 0, 0], S.Contract(10, 0.1))
-    assert rows[-1][2] == pytest.approx(100_090) and sum(r[3] for r in rows) == pytest.approx(90)
+    assert rows[-1][3] == pytest.approx(100_090) and sum(r[5] for r in rows) == pytest.approx(90)
 
 
 def test_futures_short():
-    assert sum(r[3] for r in account([100, 99, 94, 90, 89], [-2, -2, 0, 0, 0], S.Contract(5, 0.1))) == pytest.approx(90)
+    assert sum(r[5] for r in account([100, 99, 94, 90, 89], [-2, -2, 0, 0, 0], S.Contract(5, 0.1))) == pytest.approx(90)
 
 
 def test_futures_margin_clamp():
-    assert [r[1] for r in account([100, 101, 102], [100] * 3, S.Contract(100, 0.2), S.Account(cash=10_000))][:2] == [0, 4]
+    assert [r[2] for r in account([100, 101, 102], [100] * 3, S.Contract(100, 0.2), S.Account(cash=10_000))][:2] == [0, 4]
 
 
 def test_futures_slippage():
-    assert sum(r[3] for r in account([100, 100, 105, 105], [1, 0, 0, 0], S.Contract(1, 0.1, tick=0.2, slippage_ticks=2))) == pytest.approx(4.2)
+    assert sum(r[5] for r in account([100, 100, 105, 105], [1, 0, 0, 0], S.Contract(1, 0.1, tick=0.2, slippage_ticks=2))) == pytest.approx(4.2)
 
 
 def test_target_lots():
@@ -212,3 +213,191 @@ def test_strategy_names_and_conditions(spark):
     assert values(Y.signals(df, rule), "entry") == [False, True, False, False, False] and not any(values(Y.signals(df, rule), "exit"))
     with pytest.raises(ValueError):
         Y.signals(df, {"entry": {"conditions": [{"indicator": "close", "operator": "above", "indicator2": "open", "multiply_value": -1}]}})
+
+
+# ---------------------------------------------------------------- stored bars
+
+
+def test_lookup_prunes_and_falls_back(spark, tmp_path):
+    from tidemark.sources import store
+
+    rows = [(f"S{k}", p, dt.datetime(2024, 1, 1) + dt.timedelta(hours=h), float(h + k)) for k in range(3) for p in ("1d", "60") for h in range(5)]
+    store.write_bars(spark.createDataFrame(rows, "symbol string, period string, date timestamp_ntz, close double"), str(tmp_path / "bars"))
+    bars = store.read_bars(spark, str(tmp_path / "bars"))
+    got = store.lookup(bars, "S1", "1h", start=dt.datetime(2024, 1, 1, 1), limit=2)
+    assert [(r.period, r.close) for r in got.collect()] == [("60", 5.0), ("60", 4.0)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters") :]
+    assert "symbol" in filters.split("PushedFilters")[0] and "period" in filters.split("PushedFilters")[0] and "GreaterThanOrEqual(date" in plan
+    assert [r.close for r in store.lookup(bars, "S2", "60", limit=3, newest_first=False).collect()] == [4.0, 5.0, 6.0]
+    assert store.lookup(bars, "S1", "5m").count() == 0 and store.lookup(bars, "S9", "1d").count() == 0
+    assert store.multi_period(bars, "S0", ["D", "1h"], 2).count() == 4
+
+
+def test_view_order_and_build(spark, tmp_path):
+    from tidemark.sources import store
+
+    assert store.build_order(["main_back_adjusted", "raw_contract"]) == ["raw_contract", "main_continuous", "main_back_adjusted"]
+    with pytest.raises(ValueError):
+        store.build_order(["nothing"])
+    failed = []
+
+    def shaky(before):
+        if not failed:
+            failed.append(1)
+            raise OSError("lost")
+        return before.withColumn("b", F.lit(1))
+
+    views = {"raw_contract": lambda _: spark.range(3), "main_continuous": shaky}
+    runs = {r.view: (r.attempt, r.rows, r.status) for r in store.build_views(views, ["main_continuous"], str(tmp_path)).collect()}
+    assert runs == {"raw_contract": (1, 3, "success"), "main_continuous": (2, 3, "success")} and spark.read.parquet(f"{tmp_path}/main_continuous").count() == 3
+    assert store.build_views(views, ["raw_contract"], str(tmp_path / "dry"), dry_run=True).first().status == "dry_run" and not (tmp_path / "dry").exists()
+
+
+def test_late_rolls_extend_the_rebuild(spark):
+    from tidemark.sources import store
+
+    rolls = spark.createDataFrame([(dt.date(2024, 1, 5), dt.datetime(2024, 2, 2)), (dt.date(2024, 1, 3), dt.datetime(2024, 1, 4))], "effective date, created_at timestamp")
+    assert store.late_start(dt.date(2024, 1, 20), dt.datetime(2024, 2, 1), rolls) == dt.date(2024, 1, 5)
+    assert store.late_start(dt.date(2024, 1, 20), dt.datetime(2024, 2, 3), rolls) == dt.date(2024, 1, 20)
+
+
+def test_sinks_and_logs(spark, tmp_path):
+    from tidemark.sources import io
+
+    rows = spark.createDataFrame([("a", 1.5), ("ü", None)], "k string, v double")
+    io.write_csv(rows, str(tmp_path / "c"))
+    assert sorted(map(tuple, spark.read.option("header", True).csv(str(tmp_path / "c")).collect())) == [("a", "1.5"), ("ü", None)]
+    io.write_report(rows, str(tmp_path / "r"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "r")).collect()) == ['{"k":"a","v":1.5}', '{"k":"ü"}']
+    with pytest.raises(ValueError):
+        io.write_report(rows, str(tmp_path / "big"), 10)
+    (tmp_path / "m.csv").write_text("name,formula,category\nb,close,\n a ,open,x\n ,,\n")
+    assert list(map(tuple, io.read_manifest(spark, str(tmp_path / "m.csv"), 5).collect())) == [("a", "open", "x"), ("b", "close", "other")]
+    for _ in range(2):
+        io.record_run(spark, str(tmp_path / "log"), "bars", "success", 5, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1, 0, 0, 3))
+    assert [r.seconds for r in spark.read.parquet(str(tmp_path / "log")).collect()] == [3.0, 3.0]
+
+
+def test_null_keys_are_not_new(spark):
+    from tidemark.sources.io import insert_new
+
+    old = spark.createDataFrame([(None, 1), ("a", 1)], "k string, s int")
+    assert [r.k for r in insert_new(old, spark.createDataFrame([(None, 2), ("b", 1), ("b", 2)], "k string, s int"), ["k"], "s").collect()] == ["b"]
+
+
+# ---------------------------------------------------------------- simulation and analysis
+
+
+def test_grid_windows_of_any_length(spark):
+    up = panel(spark, [100.0 + i for i in range(300)])
+    got = {r.param_id: r.bars_in for r in S.grid_cross_returns(up, S.grid(spark, short=[5], long=[100, 150])).collect()}
+    assert got == {"5_100": 201, "5_150": 151}
+
+
+def test_short_swaps_the_cross(spark):
+    bars = panel(spark, [5.0, 5, 5, 4, 3, 2, 3, 5, 7, 9])
+    long, short = (S.ma_cross_signals(bars, 2, 3, side) for side in ("long", "short"))
+    assert values(long, "entry") == values(short, "exit") and values(long, "exit") == values(short, "entry") and any(values(short, "entry"))
+
+
+def test_unknown_stop_kinds_set_none():
+    assert S.stop_levels(S.Rules(stop=("moon", 1.0), target=("stars", 1.0)), 100.0, 1.0) == (None, None)
+
+
+def test_futures_open_at_zero():
+    assert len(account([100, 0, 5], [1, 1, 1], S.Contract(10, 0.1))) == 3
+
+
+def test_strategy_indicator_names(spark):
+    from tidemark.operators import strategy as Y
+
+    for name in ("cci", "cci14", "kdj_k9", "kdj_j_5", "boll20"):
+        assert Y.indicator_formula(name) != "close"
+    assert Y.indicator_formula("boll20") == Y.indicator_formula("sma20") == "ts_mean_full(close, 20)"
+
+
+def brute_levels(highs, lows, volumes):
+    """Turning points of the last 20 bars joined, in order, to the first level whose mean is near."""
+    out = []
+    for side, v, sign in (("resistance", highs[-20:], 1), ("support", lows[-20:], -1)):
+        near, levels, vol = 0.3 * np.std(v) if np.std(v) > 0 else np.mean(v) * 0.005, [], volumes[-20:]
+        for i in range(1, 19):
+            if sign * v[i] > sign * v[i - 1] and sign * v[i] > sign * v[i + 1]:
+                home = next((m for m in levels if abs(np.float64(m[0]) - v[i]) <= near), None)
+                if home is None:
+                    levels.append([v[i], [i]])
+                else:
+                    home[0] = (home[0] * len(home[1]) + v[i]) / (len(home[1]) + 1)
+                    home[1].append(i)
+        for mean, at in levels:
+            if len(at) >= 2:
+                strength = min(50, len(at) * 15) + min(50, np.mean([vol[i] for i in at]) / np.mean(vol) * 20)
+                out.append((side, round(mean, 2), len(at), round(float(strength), 1)))
+    return sorted(out, key=lambda x: -x[3])[:5]
+
+
+def test_price_levels(spark):
+    from tidemark.operators import analysis as A
+
+    rng = np.random.default_rng(4)
+    rows = [(f"S{k}", DAY + dt.timedelta(i), float(h := rng.integers(100, 112)), float(h - rng.integers(1, 6)), float(rng.integers(50, 150))) for k in range(6) for i in range(30)]
+    df = spark.createDataFrame(rows, "symbol string, date date, high double, low double, volume double")
+    got = A.price_levels(df).orderBy("symbol", "place").collect()
+    assert got
+    for k in range(6):
+        own = [r for r in rows if r[0] == f"S{k}"]
+        want = brute_levels([r[2] for r in own], [r[3] for r in own], [r[4] for r in own])
+        mine = [(r.side, r.level, r.touches, r.strength) for r in got if r.symbol == f"S{k}"]
+        assert [x[3] for x in mine] == [x[3] for x in want] and len(mine) == len(want)
+        assert all(m in want or [w[3] for w in want].count(m[3]) > 1 for m in mine)
+
+
+def test_decay_rules(spark):
+    from tidemark.operators import desk as D
+
+    cols = "symbol string, sharpe double, profit_factor double, win_rate_pct double, trade_count long"
+    before = spark.createDataFrame([("a", 2.0, 2.0, 60.0, 10), ("b", 0.0, 0.0, 50.0, 0), ("c", -1.0, 1.0, 40.0, 5)], cols)
+    now = spark.createDataFrame([("a", 1.0, 1.0, 50.0, 5), ("b", -0.2, 0.4, 60.0, 3), ("c", -2.0, 2.0, 20.0, 9)], cols)
+    got = {r.symbol: (r.decay, r.status) for r in D.decay_score(before, now, "symbol").collect()}
+    assert got == {"a": (50.0, "degraded"), "b": (65.0, "degraded"), "c": (55.0, "degraded")}
+
+
+def test_fitness_counts_fall_linearly(spark):
+    from tidemark.operators import desk as D
+
+    m = spark.createDataFrame([(n, 1.0, 10.0, 5.0, 50.0, 1.5) for n in (2, 4, 30, 40, 60, 100, 300)], "trade_count long, sharpe double, annualized_return_pct double, max_drawdown_pct double, win_rate_pct double, profit_factor double")
+    assert [r.count_score for r in D.fitness_scores(m, 7).orderBy("trade_count").collect()] == [20.0, 50.0, 100.0, 85.0, 55.0, 38.0, 20.0]
+    assert {r.simplicity_score for r in D.fitness_scores(m, 7).collect()} == {5.0}
+
+
+def test_greedy_decorrelation(spark):
+    scores = spark.createDataFrame([("a", 3.0), ("b", 2.0), ("c", 1.0), ("d", 1.0)], "name string, score double")
+    corr = spark.createDataFrame([("a", "b", 0.9), ("b", "c", 0.9), ("c", "d", -0.8), ("a", "d", 0.1)], "a string, b string, corr double")
+    assert R.greedy_decorrelated(scores, corr) == ["a", "c"]
+
+
+def test_pareto_of_two_and_three_measures(spark):
+    from tidemark.operators import technical as T
+
+    rng = np.random.default_rng(2)
+    rows = [(i, *map(float, rng.integers(0, 6, 3))) for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, a double, b double, c double")
+    for cols in (["a", "b"], ["a", "b", "c"]):
+        at = [1 + "abc".index(c) for c in cols]
+        better = lambda x, y: all(x[j] >= y[j] for j in at) and any(x[j] > y[j] for j in at)
+        want = {r[0] for r in rows if not any(better(o, r) for o in rows)}
+        assert {r.k for r in T.pareto_front(df, "k", cols).collect()} == want
+    ranks = {r.k: r.front for r in T.pareto_ranks(df, "k", ["a", "b"]).collect()}
+    assert len(ranks) == 60 and min(ranks.values()) == 0
+    crowd = T.crowding(T.pareto_front(df, "k", ["a", "b"]), ["a", "b"]).collect()
+    assert any(r.crowding == float("inf") for r in crowd)
+
+
+def test_regression_with_dependent_regressors(spark):
+    rows = [("d", f"s{i}", float(i % 7), float(i % 7) * 2, float(i * i % 11)) for i in range(20)]
+    df = spark.createDataFrame(rows, "date string, symbol string, x double, z double, v double")
+    one, two = ({r.symbol: r.neutral for r in R.residual_general(df, "v", c).collect()} for c in (["x"], ["x", "z"]))
+    x, v = np.array([r[2] for r in rows]), np.array([r[4] for r in rows])
+    fit = np.polyfit(x, v, 1)
+    assert one == pytest.approx(two) and [one[f"s{i}"] for i in range(20)] == pytest.approx((v - np.polyval(fit, x)).tolist())

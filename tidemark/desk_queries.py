@@ -5,80 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.library import INDICATORS
 from tidemark.functions.pack import convert
 from tidemark.functions.series import seq
 from tidemark.operators import desk as D
 from tidemark.operators import quality as Q
-from tidemark.operators import simulate as S
 from tidemark.operators import strategy
 from tidemark.plans.formula import with_formulas
 from tidemark.plans.formula_sql import formulas_sql
-from tidemark.queries import _RES_SQL, RULES, _research, query, rounded
+from tidemark.queries import _RES_SQL, _research, query, rounded
 from tidemark.sources.io import first_with_data, latest
 from tidemark.sources.market import BARS_SQL, PANEL_SQL, bars_1d, bars_1h, panel_1d, table
 
 _W = "OVER (PARTITION BY symbol ORDER BY date"
 
 
-def _equity(spark, d, short=3, long=7):
-    signals = S.ma_cross_signals(bars_1d(spark, d), short, long)
-    return S.backtest_equity(signals, RULES), S.backtest_trades(signals, RULES)
-
-
-def _metrics(spark, d, short=3, long=7):
-    return S.equity_metrics(*_equity(spark, d, short, long), RULES.initial_cash)
-
-
-@query()
-def fitness_scores(spark, d):
-    return rounded(D.fitness_scores(_metrics(spark, d)))
-
-
-@query()
-def strategy_decay(spark, d):
-    return rounded(D.decay_score(_metrics(spark, d), _metrics(spark, d, 5, 10), "symbol"))
-
-
-@query()
-def risk_ratios(spark, d):
-    return rounded(D.risk_ratios(*_equity(spark, d), RULES.initial_cash))
-
-
-@query()
-def price_levels(spark, d):
-    return rounded(D.price_levels(bars_1d(spark, d)))
-
-
-@query()
-def market_regime(spark, d):
-    return rounded(D.regime(bars_1d(spark, d)))
-
-
-_DIR = "CASE WHEN close > lag(close, {n}) OVER w THEN 1 WHEN close < lag(close, {n}) OVER w THEN -1 ELSE 0 END"
-
-
-@query(f"""SELECT symbol, round(sum(weight * dir) / sum(weight), 6) + 0.0 AS alignment, count(DISTINCT dir) = 1 AS agreed FROM (
- SELECT symbol, weight, dir FROM (SELECT symbol, date, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn, {', '.join(f"{_DIR.format(n=n)} AS d{n}" for n in (1, 5, 10))} FROM ({BARS_SQL}) WINDOW w AS (PARTITION BY symbol ORDER BY date)),
- LATERAL (SELECT unnest([CAST(1.0 AS DOUBLE), 0.8, 0.4]) AS weight, unnest([d10, d5, d1]) AS dir) WHERE rn = 1) GROUP BY symbol""")
-def timeframe_alignment(spark, d):
-    b = bars_1d(spark, d)
-    sign = lambda n: F.when(F.col("close") > F.lag("close", n).over(seq()), 1).when(F.col("close") < F.lag("close", n).over(seq()), -1).otherwise(0)
-    last = latest(b.withColumns({"1h": sign(1), "1d": sign(5), "1w": sign(10)}), ["symbol"], F.desc("date"))
-    return rounded(D.alignment(last.unpivot(["symbol"], ["1h", "1d", "1w"], "timeframe", "direction")))
-
-
-@query()
-def composite_score(spark, d):
-    names = ("ma5", "ma20", "macd_bar", "rsi24", "kdj_j", "vol_ratio", "boll_upper", "boll_lower")
-    return rounded(D.composite(with_formulas(panel_1d(spark, d), {n: INDICATORS[n] for n in names})))
-
-
-@query(f"SELECT symbol, date, round(close * 0.97, 6) AS stop_pct, round(min(low) {_W} ROWS 4 PRECEDING) - 0.02, 6) AS stop_swing, round(close - 2 * (CASE WHEN count(*) {_W} ROWS 19 PRECEDING) > 1 THEN stddev_samp(close) {_W} ROWS 19 PRECEDING) END), 6) AS stop_vol, round(close + 2 * (close - close * 0.97), 6) AS target_rr FROM ({BARS_SQL})")
-def stop_levels(spark, d):
-    return rounded(D.stops(bars_1d(spark, d)))
-
-
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 7")
 def own_rows(spark, d):
     D.access_views(spark, {"desk_orders": table(spark, d, "orders")}, {"desk_orders": "o_custkey"}, 7)
@@ -125,12 +65,6 @@ def quote_freshness(spark, d):
     return e.groupBy("user_id").agg(F.max("s").alias("s")).join(F.broadcast(now), F.lit(True)).select("user_id", Q.freshness(F.col("now") - F.col("s"), 86400).alias("state"))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(text, 'idiot|moron') THEN 'critical' WHEN regexp_matches(text, 'clown|trash') THEN 'high' END AS severity FROM documents")
-def keyword_severity(spark, d):
-    t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", F.when(t.rlike("idiot|moron"), "critical").when(t.rlike("clown|trash"), "high").alias("severity"))
-
-
 @query(f"SELECT symbol, date, side, place FROM (SELECT symbol, date, 'long' AS side, row_number() OVER (PARTITION BY date ORDER BY volume DESC, symbol) AS place FROM ({BARS_SQL}) UNION ALL SELECT symbol, date, 'short', row_number() OVER (PARTITION BY date ORDER BY volume, symbol) FROM ({BARS_SQL})) WHERE place <= 3")
 def top_longs_shorts(spark, d):
     b = bars_1d(spark, d)
@@ -164,12 +98,6 @@ def forward_summary(spark, d):
     return rounded(r.groupBy("symbol").agg(F.median("fwd").alias("median_fwd"), F.avg((F.col("fwd") > 0).cast("double")).alias("positive")))
 
 
-@query("WITH RECURSIVE t(k, depth) AS (SELECT r_regionkey, 0 FROM region WHERE r_regionkey = 0 UNION ALL SELECT k + 1, depth + 1 FROM t WHERE k < 4) SELECT r_name, depth FROM t JOIN region ON r_regionkey = k")
-def recursive_walk(spark, d):
-    table(spark, d, "region").createOrReplaceTempView("desk_region")
-    return spark.sql("WITH RECURSIVE t(k, depth) AS (SELECT r_regionkey, 0 FROM desk_region WHERE r_regionkey = 0 UNION ALL SELECT k + 1, depth + 1 FROM t WHERE k < 4) SELECT r_name, depth FROM t JOIN desk_region ON r_regionkey = k")
-
-
 STRATEGY = {"entry": {"conditions": [{"indicator": "sma3", "operator": "cross_above", "indicator2": "sma7"}, {"indicator": "volume", "operator": "above", "indicator2": "volume_sma5", "multiply_value": 0.9}]}, "exit": {"conditions": [{"indicator": "close", "operator": "below", "indicator2": "sma7"}, {"indicator": "close", "operator": "between", "value": [95, 96]}], "logic": "or"}}
 _FULL = "CASE WHEN count({x}) {w} ROWS {p} PRECEDING) >= {n} THEN avg({x}) {w} ROWS {p} PRECEDING) END"
 
@@ -180,11 +108,6 @@ def strategy_signals(spark, d):
     return strategy.signals(bars_1d(spark, d), STRATEGY).select("symbol", "date", "entry", "exit")
 
 
-@query()
-def strategy_backtest(spark, d):
-    return rounded(S.backtest_trades(strategy.signals(bars_1d(spark, d), STRATEGY), RULES))
-
-
 PACK = {"pack_a": "mul(amount, log(amplitude))", "pack_b": "neg(ts_maxmin(signed_power(volume, exponent=1.5), 11))", "pack_c": "add(open, delta(ts_sum(volume, 9)), ret_3)", "pack_d": "zscore(ts_pct_change(abs(volume), 7), 9)"}
 
 

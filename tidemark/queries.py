@@ -223,11 +223,28 @@ def factor_coverage(spark, d):
     return rounded(R.coverage(_research(spark, d), "momentum"))
 
 
-@query()
+_R6 = lambda *names: ", ".join(f"round({n}, 6) + 0.0 AS {a}" for n, a in names)
+_IC_ROW = "SELECT count(ic) AS n, avg(ic) AS mean, stddev_samp(ic) AS std, avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END) AS pos FROM ({})"
+_DAYS_SQL = f"SELECT date, q1, q2, q3, q4, q5, q5 - q1 AS ls FROM (SELECT date, {_LAYERS} FROM ({_BUCKET_SQL}) GROUP BY date HAVING count(*) >= 5)"
+_CURVE_SQL = "SELECT date, " + ", ".join(f"product(1 + {c}) OVER (ORDER BY date) - 1 AS {c}" for c in ("q1", "q2", "q3", "q4", "q5", "ls")) + f" FROM ({_DAYS_SQL})"
+
+
+@query(f"""SELECT start_date, end_date, periods, symbols, r.n AS rank_n_dates, {_R6(("r.mean", "rank_ic_mean"), ("r.std", "rank_ic_std"), ("r.mean / r.std", "rank_icir"), ("r.pos", "rank_positive_ratio"), ("p.mean", "ic_mean"), ("p.std", "ic_std"), ("p.mean / p.std", "icir"), ("p.pos", "positive_ratio"), *[(f"q{k}", f"q{k}_return") for k in range(1, 6)],
+ ("ls", "long_short_return"), ("annual", "long_short_annual_return"), ("sharpe", "long_short_sharpe"), ("deepest", "long_short_max_drawdown"), ("turnover", "turnover"), ("coverage", "coverage"))}
+ FROM (SELECT min(date) AS start_date, max(date) AS end_date, count(DISTINCT date) AS periods, count(DISTINCT symbol) AS symbols FROM ({_RES_SQL})), ({_IC_ROW.format(_ic_sql("spearman"))}) r, ({_IC_ROW.format(_ic_sql("pearson"))}) p,
+ (SELECT {", ".join(f"arg_max({c}, date) AS {c}" for c in ("q1", "q2", "q3", "q4", "q5", "ls"))} FROM ({_CURVE_SQL})),
+ (SELECT avg(step) * 252 AS annual, avg(step) / stddev_samp(step) * sqrt(252) AS sharpe, min((ls - peak) / (1 + peak)) AS deepest FROM (SELECT ls, ls - lag(ls) OVER (ORDER BY date) AS step, max(ls) OVER (ORDER BY date) AS peak FROM ({_CURVE_SQL}))),
+ (SELECT coalesce(avg(t), 0) AS turnover FROM (SELECT 1 - corr(r, p) AS t FROM (SELECT *, lag(r) {_W}) AS p FROM (SELECT symbol, date, CASE WHEN momentum IS NOT NULL THEN {_rank_sql("momentum").replace("ORDER BY momentum", "ORDER BY momentum NULLS LAST")} END AS r FROM ({_RES_SQL}))) WHERE r IS NOT NULL AND p IS NOT NULL GROUP BY date HAVING count(*) >= 2 AND NOT isnan(corr(r, p)))),
+ (SELECT avg(share) AS coverage FROM (SELECT avg(CASE WHEN momentum IS NULL THEN 0.0 ELSE 1.0 END) AS share FROM ({_RES_SQL}) GROUP BY symbol))""")
 def factor_report(spark, d):
     return rounded(R.report(_research(spark, d), "momentum"))
 
 
+@query(f"SELECT CAST(year(date) AS INT) AS year, round(avg(ic), 6) AS ic_mean FROM ({_ic_sql('spearman')}) GROUP BY 1")
+def ic_by_year(spark, d):
+    return rounded(R.ic_by_year(R.daily_ic(_research(spark, d), "momentum")))
+
+
 @query(f"SELECT symbol, date, round(momentum - avg(momentum) OVER (PARTITION BY date, industry), 6) + 0.0 AS neutral FROM ({_RES_SQL})")
 def neutral_industry(spark, d):
     return rounded(R.demean_by(_research(spark, d), "momentum", "industry").select("symbol", "date", "neutral"))
@@ -250,7 +267,11 @@ def neutral_residual(spark, d):
     return rounded(R.residual(_research(spark, d), "momentum", "industry", "cap").select("symbol", "date", "neutral"))
 
 
-@query()
+_MOMENTS = ", ".join(f"covar_pop({a}, {b}) AS s{i}{j}" for i, a in enumerate(("surge", "spread")) for j, b in enumerate(("surge", "spread", "momentum")) if j >= i)
+
+
+@query(f"""SELECT symbol, date, round(CASE WHEN n < 10 THEN p.momentum WHEN p.momentum IS NOT NULL AND p.surge IS NOT NULL AND p.spread IS NOT NULL THEN p.momentum - my - (s02 * s11 - s12 * s01) / (s00 * s11 - s01 * s01) * (p.surge - m0) - (s12 * s00 - s02 * s01) / (s00 * s11 - s01 * s01) * (p.spread - m1) END, 6) + 0.0 AS neutral
+ FROM ({_RES_SQL}) p LEFT JOIN (SELECT date, count(*) AS n, avg(surge) AS m0, avg(spread) AS m1, avg(momentum) AS my, {_MOMENTS} FROM ({_RES_SQL}) WHERE momentum IS NOT NULL AND surge IS NOT NULL AND spread IS NOT NULL GROUP BY date) USING (date)""")
 def neutral_regression(spark, d):
     rows = _research(spark, d).select("symbol", "date", "momentum", "surge", "spread")
     return rounded(R.residual_general(rows, "momentum", ["surge", "spread"]).select("symbol", "date", "neutral"))
@@ -299,35 +320,6 @@ def cross_signals(spark, d):
     return S.ma_cross_signals(bars_1d(spark, d), 3, 7).select("symbol", "date", "entry", "exit")
 
 
-RULES = S.Rules(stop=("percent_below", 0.3), target=("risk_reward_ratio", 2.0))
-
-
-@query()
-def backtest_trades(spark, d):
-    return rounded(S.backtest_trades(S.ma_cross_signals(bars_1d(spark, d), 3, 7), RULES))
-
-
-@query()
-def backtest_metrics(spark, d):
-    signals = S.ma_cross_signals(bars_1d(spark, d), 3, 7)
-    return rounded(S.equity_metrics(S.backtest_equity(signals, RULES), S.backtest_trades(signals, RULES), RULES.initial_cash))
-
-
-@query()
-def backtest_months(spark, d):
-    return rounded(S.period_returns(S.backtest_equity(S.ma_cross_signals(bars_1d(spark, d), 3, 7), RULES), "month"))
-
-
-@query()
-def backtest_streaks(spark, d):
-    return S.streaks(S.backtest_trades(S.ma_cross_signals(bars_1d(spark, d), 3, 7), RULES))
-
-
-@query()
-def futures_account(spark, d):
-    return rounded(S.futures_account(S.ma_cross_signals(bars_1d(spark, d), 3, 7), S.Contract(fee_per_lot=1.0, tick=0.2, slippage_ticks=1), S.Account(), 2))
-
-
 @query(f"""SELECT w AS window_id, (SELECT date FROM n WHERE i = 0) AS train_start, (SELECT date FROM n WHERE i = w * 5 + 9) AS train_end, (SELECT date FROM n WHERE i = w * 5 + 10) AS test_start, (SELECT date FROM n WHERE i = w * 5 + 14) AS test_end
  FROM (SELECT CAST(unnest(range(0, (SELECT count(*) - 15 FROM n) // 5 + 1)) AS INT) AS w)""".replace("SELECT w AS", f"WITH n AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM ({BARS_SQL}))) SELECT w AS", 1))
 def walk_forward(spark, d):
@@ -337,7 +329,7 @@ def walk_forward(spark, d):
 _GRID = f"SELECT b.*, s.short, l.long, s.short || '_' || l.long AS param_id FROM ({BARS_SQL}) b, (SELECT unnest([2, 3, 5]) AS short) s, (SELECT unnest([7, 10]) AS long) l"
 _GW = "OVER (PARTITION BY param_id, symbol ORDER BY date"
 _GRID_RESULT = f"""SELECT param_id, short, long, symbol, sum(ret) AS total, sum(held) AS bars_in FROM (SELECT *, coalesce((close / lag(close) {_GW}) - 1) * lag(held) {_GW}), 0) AS ret FROM (
- SELECT *, CASE WHEN len(h) >= long AND list_avg(h[-short:]) > list_avg(h[-long:]) THEN 1 ELSE 0 END AS held FROM (SELECT *, list(close) {_GW} ROWS 119 PRECEDING) AS h FROM ({_GRID})))) GROUP BY ALL"""
+ SELECT *, CASE WHEN len(h) >= long AND list_avg(h[-short:]) > list_avg(h[-long:]) THEN 1 ELSE 0 END AS held FROM (SELECT *, list(close) {_GW} ROWS UNBOUNDED PRECEDING) AS h FROM ({_GRID})))) GROUP BY ALL"""
 
 
 def _grid_result(spark, d):
@@ -391,12 +383,6 @@ def breakouts(spark, d):
     return T.breakouts(bars_1d(spark, d), 5)
 
 
-@query()
-def divergence(spark, d):
-    f = with_formulas(panel_1d(spark, d), {"rsi": INDICATORS["rsi6"]})
-    return T.divergence(f, "rsi", 2)
-
-
 @query(f"SELECT symbol, date, CAST(greatest(0, floor(least(2000.0 / nullif(abs(close - low) * 10, 0), 50000.0 / nullif(close * 10, 0)))) AS BIGINT) AS lots FROM ({BARS_SQL})")
 def position_sizes(spark, d):
     return bars_1d(spark, d).select("symbol", "date", T.position_size(100_000.0, "balanced", F.col("close"), F.col("low")).alias("lots"))
@@ -410,9 +396,10 @@ def ohlc_anomalies(spark, d):
     return bars_1d(spark, d).withColumn("high", F.col("high") - 0.2).select("symbol", "date", Q.anomaly().alias("anomaly"))
 
 
-@query(f"WITH b AS ({HOURS_SQL}), days AS (SELECT DISTINCT symbol, CAST(date AS DATE) AS date FROM b), span AS (SELECT symbol, min(date) AS a, max(date) AS z FROM days GROUP BY symbol) SELECT symbol, date FROM (SELECT symbol, CAST(unnest(generate_series(a, z, INTERVAL 1 DAY)) AS DATE) AS date FROM span) ANTI JOIN days USING (symbol, date) WHERE dayofweek(date) BETWEEN 1 AND 5")
+@query(f"WITH b AS ({HOURS_SQL}), days AS (SELECT DISTINCT symbol, CAST(date AS DATE) AS date FROM b WHERE day(date) % 7 <> 3), span AS (SELECT symbol, min(date) AS a, max(date) AS z FROM days GROUP BY symbol) SELECT symbol, date FROM (SELECT symbol, CAST(unnest(generate_series(a, z, INTERVAL 1 DAY)) AS DATE) AS date FROM span) ANTI JOIN days USING (symbol, date) WHERE dayofweek(date) BETWEEN 1 AND 5")
 def missing_weekdays(spark, d):
-    return Q.missing_dates(bars_1h(spark, d).select("symbol", F.to_date("date").alias("date")).distinct())
+    days = bars_1h(spark, d).select("symbol", F.to_date("date").alias("date")).distinct()
+    return Q.missing_dates(days.where(F.dayofmonth("date") % 7 != 3))
 
 
 @query("SELECT count(*) AS groups, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS surplus FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)")
@@ -425,12 +412,18 @@ def catalog_coverage(spark, d):
     return Q.coverage(table(spark, d, "events").withColumn("date", F.to_date("ts")), ["user_id"])
 
 
-@query()
+_BAD_ROW = "NOT coalesce(low >= 0 AND high >= greatest(open, close, low) AND low <= least(open, close), false)"
+_GAPS = f"SELECT count(*) FROM (SELECT symbol, CAST(unnest(generate_series(a, z, INTERVAL 1 DAY)) AS DATE) AS date FROM (SELECT symbol, min(date) AS a, max(date) AS z FROM ({BARS_SQL}) GROUP BY symbol)) ANTI JOIN ({BARS_SQL}) USING (symbol, date) WHERE dayofweek(date) BETWEEN 1 AND 5"
+_CHECKS = f"""SELECT 'ohlc' AS "check", 'bad' AS severity, (SELECT count(*) FROM ({BARS_SQL}) WHERE {_BAD_ROW}) AS count UNION ALL SELECT 'no_volume', 'warning', (SELECT count(*) FROM ({BARS_SQL}) WHERE coalesce(volume, 0) <= 0)
+ UNION ALL SELECT 'duplicate', 'bad', (SELECT count(*) FROM (SELECT symbol, date FROM ({BARS_SQL}) GROUP BY ALL HAVING count(*) > 1)) UNION ALL SELECT 'missing_weekday', 'info', ({_GAPS})"""
+
+
+@query(_CHECKS)
 def quality_checks(spark, d):
     return Q.checks(bars_1d(spark, d))
 
 
-@query()
+@query(f"SELECT score, CASE WHEN bad = 1 THEN 'bad' WHEN score < 90 THEN 'warning' ELSE 'good' END AS status FROM (SELECT CAST(greatest(0, 100 - sum(CASE WHEN count > 0 THEN CASE severity WHEN 'bad' THEN 30 WHEN 'warning' THEN 12 ELSE 3 END ELSE 0 END)) AS INT) AS score, max(CASE WHEN severity = 'bad' AND count > 0 THEN 1 ELSE 0 END) AS bad FROM ({_CHECKS}))")
 def quality_score(spark, d):
     return Q.score(Q.checks(bars_1d(spark, d)))
 
@@ -469,9 +462,9 @@ def zero_filled_days(spark, d):
     return days.join(e, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("SELECT c_custkey FROM customer ANTI JOIN orders ON o_custkey = c_custkey")
+@query("SELECT c_custkey FROM customer ANTI JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT') ON o_custkey = c_custkey")
 def customers_without_orders(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return table(spark, d, "customer").join(table(spark, d, "orders").where("o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders SEMI JOIN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 50) ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O'")
