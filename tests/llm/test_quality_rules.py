@@ -16,6 +16,31 @@ def brute(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), repeated
 
 
+def brute_kept(text):
+    """The whole verdict, written out: base rules, then the ratio of the text and of its chunks, and symbols of chunks."""
+    base = brute(text)
+    if base[0] < 50 or 100 * base[4] > 50 * base[0]:
+        return False
+    data = text.encode()
+
+    def sound(part):
+        k, wide = 1024 / len(part), sum(b > 127 for b in part) / len(part)
+        ratio = len(zstandard.compress(part, Q.LEVEL)) / len(part)
+        return Q.FLOOR * k**Q.FALL * (1 - Q.SEVERAL * wide) <= ratio <= (Q.TOP + Q.MORE * k**Q.SINK) * (1 + Q.RAISE * wide)
+
+    chunks = [data[i : i + 1024] for i in range(0, len(data), 1024)]
+    if len(data) > 1024:
+        chunks[-1] = data[-1024:]  # the last one overlaps the one before
+    symbols = lambda c: sum(b in b"#*$%&|<>" for b in c) / max(1, sum(b not in b"\x20\x09\x0a\x0b\x0c\x0d" for b in c))
+    bad = sum(symbols(c) > Q.MOST_SYMBOLS or not sound(c) for c in chunks)
+    return sound(data) and bad <= Q.BAD_CHUNKS * len(chunks)
+
+
+def test_verdict_matches_brute_force(spark, documents, texts):
+    rows = Q.quality_report(documents).collect()
+    assert all(r.kept == brute_kept(texts[r.doc_id]) for r in rows) and {r.kept for r in rows} == {True, False}
+
+
 def test_base_matches_brute_force(documents, texts):
     for r in Q.quality_report(documents).collect():
         base = brute(texts[r.doc_id])

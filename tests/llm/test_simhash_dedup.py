@@ -84,3 +84,19 @@ def test_odd_rows(odd, empty):
 @pytest.mark.parametrize("text", ["", None, "One", "one TWO", "É É é x", "a\xa0b c d"])
 def test_fingerprint(text):
     assert S.fingerprint(text) == brute_print(text)
+
+
+@pytest.mark.parametrize("radius", [1, 2])
+def test_other_radii(spark, radius):
+    rng = random.Random(radius)
+    fps = {rng.getrandbits(62) for _ in range(20)}
+    fps |= {f ^ (1 << rng.randrange(62)) ^ (1 << rng.randrange(62)) for f in fps} | {f ^ (1 << rng.randrange(62)) for f in fps}
+    got = {r.node: r.component for r in S.fingerprint_groups(spark.createDataFrame([(f,) for f in fps], "fp long"), radius).collect()}
+    near = {f: {g for g in fps if g != f and bin(f ^ g).count("1") <= radius} for f in fps}
+    assert {f for f in fps if near[f]} == set(got) and all(got[f] == got[g] for f in fps for g in near[f])
+
+
+def test_repeated_ids_keep_the_least_text(spark):
+    rows = [(1, "b c d e", "x"), (1, "a c d e f", "y"), (1, "a c d e f", "w"), (2, "q r s t u v", "z")]
+    kept = S.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string, `a.b` string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, "a c d e f"), (2, "q r s t u v")]

@@ -135,3 +135,8 @@ def test_order_of_the_files(spark):
     planned = mixed(spark, target_entropy=1.0, repeat_limit=3.0).orderBy("mix_pass", "mix_block", "mix_place").collect()
     plain = mixed(spark, target_entropy=1.0, repeat_limit=3.0, plan_columns=False).collect()
     assert [r.doc_id for r in plain] == [r.doc_id for r in planned]
+
+
+def test_names_with_dots(spark):
+    df = spark.createDataFrame([(i, "a", "w", 1) for i in range(5)], "doc_id long, source string, text string, `a.b` int")
+    assert M.mix(df, plan_columns=False).columns == df.columns and M.mix(df).count() == 5

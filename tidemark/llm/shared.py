@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,6 +70,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def own_columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` under their names, dots and all."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def spare_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have, whatever case its own names use."""
     taken = {c.lower() for c in df.columns}

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.shared import components, cut, deal_groups, least_roots, table, whole_groups
+from tidemark.llm.shared import components, cut, deal_groups, least_roots, own_columns, table, whole_groups
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 #: The bits of each value of an octet, lowest first.
@@ -59,7 +59,7 @@ def fingerprints(texts: pd.Series) -> pd.Series:
     return pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
 
 
-def _bucket_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _bucket_links(batches: Iterator[pd.DataFrame], radius: int = RADIUS) -> Iterator[pd.DataFrame]:
     """A spanning forest of the links inside each unit of ``deal_groups``: edges (a, b) to the least of each part."""
     keys = ["mask", "bits", "ublock", "vblock"]
     for rows in whole_groups(batches, keys):
@@ -75,11 +75,11 @@ def _bucket_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in range(1, min(int(size.max()), 17)):
             i = np.flatnonzero(group[d:] == group[:-d])
             i = i[(size[group[i]] <= 16)]
-            i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= RADIUS]
+            i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= radius]
             i = i[~cross[i] | (own[i] != own[i + d])]
             found.append(np.stack([i, i + d], axis=1))
         for s, n in zip(start[size > 16], size[size > 16], strict=True):
-            near = np.bitwise_count(fp[s : s + n, None] ^ fp[None, s : s + n]) <= RADIUS
+            near = np.bitwise_count(fp[s : s + n, None] ^ fp[None, s : s + n]) <= radius
             if cross[s]:
                 near &= own[s : s + n, None] != own[None, s : s + n]
             found.append(np.argwhere(np.triu(near, 1)) + s)
@@ -97,7 +97,7 @@ def fingerprint_groups(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     units = deal_groups(postings, ["mask", "bits"], "fp")
     keys = ["mask", "bits", "ublock", "vblock"]
     links = units.select("fp", "own", *keys).repartition(*keys).sortWithinPartitions(*keys)
-    return components(links.mapInPandas(_bucket_links, "a long, b long"))
+    return components(links.mapInPandas(lambda batches: _bucket_links(batches, radius), "a long, b long"))
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,14 +120,17 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id names their group: one document of each group stays, with its columns.
 
-    Rows without an id cannot be named and stay. Where an id is repeated, one of its rows stays.
+    Rows without an id cannot be named and stay. Where an id is repeated, the row of its least text
+    stays, of equal texts the one of least hash over all columns (columns of maps aside).
     """
     groups = simhash_groups(docs.select(id_col, text_col), id_col, text_col)
     keep = cut(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias(id_col)).agg(F.count(F.lit(1)).alias("times")))
-    kept = docs.join(keep.select(id_col), id_col, "left_semi").select(docs.columns)
-    if keep.where("times > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_col])
-    return kept.union(docs.where(F.col(id_col).isNull()))
+    named = docs.join(keep.where("times = 1").select(id_col), id_col, "left_semi").select(own_columns(docs))
+    again = docs.join(keep.where("times > 1").select(id_col), id_col, "left_semi")
+    hashed = [c for c, (_, t) in zip(own_columns(docs), docs.dtypes, strict=True) if "map<" not in t and "variant" not in t]
+    first = F.min_by(F.struct(*own_columns(docs)), F.struct(F.col(text_col), F.xxhash64(*hashed)))
+    one = again.groupBy(id_col).agg(first.alias("__row")).select("__row.*").select(own_columns(docs))
+    return named.union(one).union(docs.where(F.col(id_col).isNull()))
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

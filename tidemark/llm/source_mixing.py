@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.shared import cut, spare_name, table
+from tidemark.llm.shared import cut, own_columns, spare_name, table
 from tidemark.llm.token_ids import default_tokenizer, encoded
 
 #: Hash blocks per source.
@@ -140,8 +140,8 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_
     if not plan_columns:
         rows = rows.withColumn(names["block"], turned).withColumn(names["place"], place)
         by = [names[n] for n in ("pass", "block", "place", "row")]
-        return rows.repartitionByRange(*by).sortWithinPartitions(*by).select(docs.columns)
-    return rows.select(*docs.columns, tokens.alias(names["tokens"]), p["weight"].alias(names["weight"]), F.col(names["pass"]), turned.alias(names["block"]), place.alias(names["place"]))
+        return rows.repartitionByRange(*by).sortWithinPartitions(*by).select(own_columns(docs))
+    return rows.select(*own_columns(docs), tokens.alias(names["tokens"]), p["weight"].alias(names["weight"]), F.col(names["pass"]), turned.alias(names["block"]), place.alias(names["place"]))
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
