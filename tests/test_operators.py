@@ -401,3 +401,57 @@ def test_regression_with_dependent_regressors(spark):
     x, v = np.array([r[2] for r in rows]), np.array([r[4] for r in rows])
     fit = np.polyfit(x, v, 1)
     assert one == pytest.approx(two) and [one[f"s{i}"] for i in range(20)] == pytest.approx((v - np.polyval(fit, x)).tolist())
+
+
+# ---------------------------------------------------------------- search and registry
+
+
+def test_evolution_and_suggestions():
+    import random
+
+    from tidemark.operators import search as E
+
+    bounds = {"short": (2, 20), "long": (21, 60)}
+    peak = lambda xs: [-((x["short"] - 7) ** 2) - (x["long"] - 40) ** 2 / 10 for x in xs]
+    best, score, course = E.evolve(peak, bounds, 24, 12)
+    assert course == sorted(course) and score > course[0] and abs(best["short"] - 7) <= 2 and abs(best["long"] - 40) <= 6
+    first = E.initial(bounds, 19, random.Random(3))
+    assert len({E.key(x) for x in first}) == 19 and len({x["short"] for x in first}) == 19
+    more = E.suggested(first, peak(first), bounds, 5)
+    assert np.mean(peak(more)) > np.mean(peak(first)) and not {E.key(x) for x in more} & {E.key(x) for x in first}
+
+
+def test_evolution_on_backtests(spark):
+    from tidemark.operators import search as E
+
+    rng = np.random.default_rng(1)
+    bars = panel(spark, (100 + np.cumsum(rng.normal(size=60))).tolist())
+
+    def score(population):
+        sets = spark.createDataFrame([(f"{x['short']}_{x['long']}", x["short"], x["long"]) for x in population], "param_id string, short int, long int")
+        got = {r.param_id: r.composite for r in S.optimise_cross(bars, sets, S.Rules()).collect()}
+        return [got[f"{x['short']}_{x['long']}"] for x in population]
+
+    best, top, course = E.evolve(score, {"short": (2, 5), "long": (6, 12)}, 6, 2)
+    assert top == max(course) and set(best) == {"short", "long"}
+
+
+def test_registry(spark):
+    from tidemark.functions.registry import Registry
+
+    r = Registry()
+    r.add("mom_3", "close / ts_delay(close, 3) - 1", "momentum")
+    r.add("vol", "ts_std(close, 5)")
+    with pytest.raises(FormulaError):
+        r.add("bad", "nothing(close)")
+    assert r.search("MOM") == ["mom_3"] and r.search(category="other") == ["vol"] and Registry.load(r.table(spark)).factors == r.factors
+    assert r.columns(panel(spark, [1.0, 2, 3, 4]), ["mom_3"]).columns[-1] == "mom_3"
+    r.remove("vol")
+    assert r.search() == ["mom_3"]
+
+
+def test_strategy_parameters():
+    from tidemark.operators import strategy as Y
+
+    doc = {"entry": {"conditions": [{"indicator": "sma{n}", "operator": "above", "value": "{limit}", "note": "{other}"}]}}
+    assert Y.with_values(doc, {"n": 5, "limit": 2.5})["entry"]["conditions"] == [{"indicator": "sma5", "operator": "above", "value": 2.5, "note": "{other}"}]

@@ -33,3 +33,22 @@ def test_alerts_fire_once(spark, tmp_path):
     rules = spark.createDataFrame([(1, "S00", "above", 15.0), (2, "S01", "below", 0.0)], "alert_id long, symbol string, side string, target double")
     got = M.drain(M.alerts_once(stream, rules), "alerts", "append").collect()
     assert [(r.alert_id, r.value) for r in got] == [(1, 16.0)]
+
+
+def test_new_items(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1, 10)
+    rows = [(u, t + dt.timedelta(minutes=i)) for i, u in enumerate(["a", "b", "a", "c", "b"])]
+    spark.createDataFrame(rows, "url string, ts timestamp").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("url string, ts timestamp").parquet(str(tmp_path / "in"))
+    stored = spark.createDataFrame([("c",)], "url string")
+    assert sorted(r.url for r in M.drain(M.new_items(stream, stored), "items", "append").collect()) == ["a", "b"]
+
+
+def test_polled(spark, tmp_path):
+    stream, rows = feed(spark, tmp_path)
+    query = M.polled(stream.select("event_id", "symbol"), str(tmp_path / "out"), str(tmp_path / "state"), 1)
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == len(rows)

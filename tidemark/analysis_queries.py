@@ -179,6 +179,15 @@ def optimise_cross(spark, d):
     return rounded(best.select("symbol", "place", "param_id", "trade_count", "composite", "sharpe"))
 
 
+_TEMPLATE = {"entry": {"conditions": [{"indicator": "sma{short}", "operator": "cross_above", "indicator2": "sma{long}"}]}, "exit": {"conditions": [{"indicator": "sma{short}", "operator": "cross_below", "indicator2": "sma{long}"}]}}
+
+
+@query(f"SELECT symbol, param_id, trade_count, score, {r6('total_return_pct', 'composite')} FROM (SELECT *, {_COMPOSITE} AS composite FROM ({_OPTIMISED}))")
+def optimise_strategy(spark, d):
+    scored = strategy.optimise(bars_1d(spark, d), _TEMPLATE, S.grid(spark, short=[2, 3, 5], long=[7, 10]), RULES)
+    return rounded(scored.select("symbol", "param_id", "trade_count", "score", "total_return_pct", "composite"))
+
+
 _DATES = f"SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM ({BARS_SQL}))"
 _PHASES = f"""SELECT w AS window_id, phase, (SELECT date FROM n WHERE i = a) AS a, (SELECT date FROM n WHERE i = z) AS z FROM (SELECT w, unnest(['train', 'test']) AS phase, unnest([0, w * 5 + 10]) AS a, unnest([w * 5 + 9, w * 5 + 14]) AS z FROM (SELECT unnest(range(0, (SELECT count(*) - 15 FROM n) // 5 + 1)) AS w))"""
 _FORWARD_BARS = f"WITH n AS ({_DATES}), p AS ({_PHASES}) SELECT concat(window_id, '/', phase, '/', symbol) AS symbol, b.* EXCLUDE (symbol) FROM ({BARS_SQL}) b JOIN p ON b.date BETWEEN p.a AND p.z"

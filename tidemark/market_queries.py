@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.library import FACTORS
+from tidemark.operators import continuous as C
 from tidemark.operators import desk as D
 from tidemark.operators import market as M
 from tidemark.operators import quality as Q
@@ -360,3 +361,25 @@ _ALL = formulas_sql(PANEL_SQL, {n: FACTORS[n] for n in FACTORS}, 12)
 def all_factors(spark, d):
     r = with_formulas(panel_1d(spark, d), FACTORS)
     return r.select("symbol", "date", *[(F.round(n, DIGITS.get(f"factor_{n}", 6)) + F.lit(0.0)).alias(n) for n in FACTORS])
+
+
+_CODE = "printf('%s25%02d', symbol, c)"
+
+
+@query(f"SELECT symbol, date AS effective, {_CODE.replace('c)', '1)')} AS old_contract, {_CODE} AS new_contract FROM ({_CONTRACT_BARS}) WHERE c = 2 AND k % 4 <> 0")
+def mapped_rolls(spark, d):
+    b = _contract_bars(spark, d)
+    mapping = b.select("symbol", F.format_string("%s25%02d", "symbol", "c").alias("mapped"), "date")
+    current = b.select("symbol").distinct().select("symbol", F.concat("symbol", F.lit("2501")).alias("contract"))
+    known = b.where("k % 4 <> 0").select(F.format_string("%s25%02d", "symbol", "c").alias("code"))
+    return C.mapped_rolls(mapping, current, known)
+
+
+@query(f"SELECT DISTINCT date, CASE WHEN nxt = DATE '2024-01-15' THEN DATE '2024-01-16' ELSE nxt END AS next_date FROM (SELECT date, CAST(date + CASE isodow(date) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END AS DATE) AS nxt FROM ({BARS_SQL}))")
+def next_trading_days(spark, d):
+    return bars_1d(spark, d).select("date").distinct().select("date", C.next_trading_day(F.col("date"), [dt.date(2024, 1, 15)]).alias("next_date"))
+
+
+@query("SELECT event_id, CASE WHEN m >= 540 AND m < 615 OR m >= 630 AND m < 690 THEN 'morning' WHEN m >= 810 AND m < 900 THEN 'afternoon' WHEN m >= 1260 OR m < 150 THEN 'night' ELSE 'closed' END AS session FROM (SELECT event_id, (hour(ts) * 60 + minute(ts) + 480) % 1440 AS m FROM events)")
+def session_states(spark, d):
+    return table(spark, d, "events").select("event_id", C.session_state(F.col("ts")).alias("session"))

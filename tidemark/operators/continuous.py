@@ -18,6 +18,15 @@ def detect_rolls(main: DataFrame) -> DataFrame:
     return rows.where("old_contract is not null and old_contract <> contract").select("symbol", F.col("date").alias("effective"), "old_contract", F.col("contract").alias("new_contract"))
 
 
+def mapped_rolls(mapping: DataFrame, current: DataFrame, contracts: DataFrame) -> DataFrame:
+    """(symbol, effective, old_contract, new_contract) where a provider's mapping (symbol, mapped, date) names another main
+    contract than the ``current`` one (symbol, contract). Codes of month 00 and contracts that are not known are skipped."""
+    month = F.regexp_extract("mapped", r"([0-9]{2})$", 1)
+    known = contracts.select(F.col("code").alias("mapped")).distinct()
+    r = mapping.where(month != "00").join(known, "mapped", "left_semi").join(current, "symbol")
+    return r.where(~F.col("mapped").eqNullSafe(F.col("contract"))).select("symbol", F.col("date").alias("effective"), F.col("contract").alias("old_contract"), F.col("mapped").alias("new_contract"))
+
+
 def segments(rolls: DataFrame, start, end) -> DataFrame:
     """Half-open segments [start, end) per symbol with their contract; the first has the first roll's old contract."""
     by = Window.partitionBy("symbol").orderBy("effective")
@@ -85,6 +94,26 @@ def panel_features(bars: DataFrame) -> DataFrame:
                              "intraday_range": div(c - F.col("open"), F.col("open")), "volume_ratio_20": div(F.col("volume"), F.avg("volume").over(w)), "quality": quality})
 
 
+def next_trading_day(date, holidays: list | None = None):
+    """The next weekday that is no holiday, at most a fortnight on."""
+    days = F.transform(F.sequence(F.lit(1), F.lit(14)), lambda i: F.date_add(date, i))
+    free = F.array(*[F.lit(h) for h in holidays]) if holidays else F.array().cast("array<date>")
+    return F.element_at(F.filter(days, lambda x: (F.weekday(x) < 5) & ~F.array_contains(free, x)), 1)
+
+
+#: Minutes of the day, in Shanghai, in which futures trade: morning with its break, afternoon, night.
+SESSIONS = ((540, 615, "morning"), (630, 690, "morning"), (810, 900, "afternoon"), (1260, 1440, "night"), (0, 150, "night"))
+
+
+def session_state(ts):
+    """The trading session that a UTC time is in, or closed."""
+    local = F.from_utc_timestamp(ts.cast("timestamp"), "Asia/Shanghai")
+    minute, state = F.hour(local) * 60 + F.minute(local), F.lit("closed")
+    for start, end, name in SESSIONS:
+        state = F.when((minute >= start) & (minute < end), name).otherwise(state)
+    return state
+
+
 def trading_date(ts):
     """The trading date of a UTC time: from 20:00 in Shanghai on, the next calendar day."""
     local = F.from_utc_timestamp(ts.cast("timestamp"), "Asia/Shanghai")

@@ -25,6 +25,13 @@ def clean(bars: DataFrame, order: str = "amount") -> DataFrame:
     return ok.groupBy("symbol", "date").agg(first).select("r.*")
 
 
+def normalised(candles: DataFrame, order: str) -> DataFrame:
+    """Candles as a chart needs them: the last by ``order`` per symbol and date, high and low around open and close, volume
+    not negative."""
+    last = candles.groupBy("symbol", "date").agg(F.max_by(F.struct(*[c for c in candles.columns if c not in ("symbol", "date")]), order).alias("r")).select("symbol", "date", "r.*")
+    return last.withColumns({"high": F.greatest("high", "open", "close"), "low": F.least("low", "open", "close"), "volume": F.greatest("volume", F.lit(0.0))})
+
+
 def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 

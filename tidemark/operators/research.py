@@ -53,6 +53,12 @@ def filter_rows(rows: DataFrame, conditions: list[tuple[str, str, bool]]) -> Dat
     return ranked.withColumn("kept", kept).select(*rows.columns, "kept")
 
 
+def filter_statistics(filtered: DataFrame) -> DataFrame:
+    """One row of what ``filter_rows`` kept and removed."""
+    kept = F.col("kept")
+    return filtered.agg(F.count(F.lit(1)).alias("total"), F.count(F.when(kept, 1)).alias("retained"), F.count(F.when(~kept, 1)).alias("removed"), F.coalesce(F.avg(kept.cast("double")), F.lit(0.0)).alias("retained_share"))
+
+
 # ---------------------------------------------------------------- neutralisation
 
 

@@ -327,7 +327,7 @@ def with_parameters(rows: DataFrame, params: list, **values) -> DataFrame:
     ``values`` are functions of a parameter set that give Columns over ``rows``; what sets share is computed once.
     """
     sets = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in p.asDict().items()], *[f(p).alias(k) for k, f in values.items()]) for p in params])
-    return rows.select("*", F.inline(sets))
+    return rows.withColumn("_sets", sets).select(*rows.columns, F.inline("_sets"))
 
 
 def grid_cross_returns(bars: DataFrame, params: DataFrame) -> DataFrame:

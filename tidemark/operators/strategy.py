@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.library import TR_SKIP, TYPICAL, _rsi, _rsv
-from tidemark.operators.simulate import compare
+from tidemark.operators.simulate import Rules, backtest, compare, composite_score, equity_metrics, with_atr, with_parameters
 from tidemark.plans.formula import with_formulas
 
 FIELDS = ("open", "high", "low", "close", "volume", "amount")
@@ -88,6 +88,37 @@ def signals(bars: DataFrame, strategy: dict) -> DataFrame:
     return rows.select(*bars.columns, "entry", "exit")
 
 
+def with_values(part, values: dict):
+    """A strategy document with each text ``{name}`` replaced by a value; a text that is nothing else becomes the value."""
+    if isinstance(part, dict):
+        return {k: with_values(v, values) for k, v in part.items()}
+    if isinstance(part, list):
+        return [with_values(v, values) for v in part]
+    if isinstance(part, str):
+        whole = re.fullmatch(r"\{(\w+)\}", part)
+        if whole and whole[1] in values:
+            return values[whole[1]]
+        return re.sub(r"\{(\w+)\}", lambda m: str(values.get(m[1], m[0])), part)
+    return part
+
+
+def optimise(bars: DataFrame, template: dict, params: DataFrame, rules: Rules) -> DataFrame:
+    """Metrics and composite score of a strategy document with ``{parameters}``, per parameter set (at most 1000) and symbol.
+
+    Every indicator that any set uses is computed once; the sets of a symbol are backtested as groups in parallel.
+    """
+    sets = params.collect()
+    documents = {p["param_id"]: with_values(template, p.asDict()) for p in sets}
+    names = sorted(set().union(*[_names(doc.get(side, {}).get("conditions", [])) for doc in documents.values() for side in ("entry", "exit")]))
+    rows = with_atr(with_formulas(bars, {_column(n): indicator_formula(n) for n in names}))
+
+    def signal(side: str):
+        return lambda p: combine(documents[p["param_id"]].get(side, {}).get("conditions", []), documents[p["param_id"]].get(side, {}).get("logic", "and"))
+
+    runs = backtest(with_parameters(rows, sets, entry=signal("entry"), exit=signal("exit")), rules, ("param_id", "symbol"))
+    return equity_metrics(runs, rules.initial_cash, ("param_id", "symbol")).withColumn("composite", composite_score())
+
+
 def fee_rate(stored: Column) -> Column:
     """A stored commission of 0.05 or more is an amount per lot and stands for the usual rate."""
     return F.when(stored < 0.05, stored).otherwise(0.0001)

@@ -298,6 +298,12 @@ def filter_pipeline(spark, d):
     return R.filter_rows(rows, [("volume", "val:>=15", True), ("close", "val:<110", True), ("amount", "pct:>=0.8", False)]).select("symbol", "date", "kept")
 
 
+@query(f"SELECT count(*) AS total, count(*) FILTER (WHERE kept) AS retained, count(*) FILTER (WHERE NOT kept) AS removed, round(avg(CASE WHEN kept THEN 1.0 ELSE 0.0 END), 6) AS retained_share FROM (SELECT (volume >= 15 AND close < 110) OR coalesce({_rank_sql('amount')} >= 0.8, false) AS kept FROM ({BARS_SQL}))")
+def filter_statistics(spark, d):
+    rows = bars_1d(spark, d).select("symbol", "date", "close", "volume", "amount")
+    return rounded(R.filter_statistics(R.filter_rows(rows, [("volume", "val:>=15", True), ("close", "val:<110", True), ("amount", "pct:>=0.8", False)])))
+
+
 @query(f"SELECT symbol, date, factor, rn FROM (SELECT symbol, date, round(momentum, 6) AS factor, row_number() OVER (PARTITION BY date ORDER BY momentum DESC, symbol) AS rn FROM ({_RES_SQL}) WHERE momentum IS NOT NULL) WHERE rn <= 3")
 def top_momentum(spark, d):
     f = with_formulas(panel_1d(spark, d), {"factor": "close / ts_delay(close, 3) - 1"}).where("factor is not null")
@@ -428,9 +434,9 @@ def quality_score(spark, d):
     return Q.score(Q.checks(bars_1d(spark, d)))
 
 
-@query("SELECT doc_id, length(text) AS chars FROM documents WHERE regexp_matches(text, '&&&|%%%')")
+@query("SELECT doc_id, regexp_matches(replace(text, 'é', 'Ã©'), 'Ã[\u0080-¿]|â€|\ufffd|锟斤拷') AS broken FROM documents WHERE text IS NOT NULL")
 def text_marks(spark, d):
-    return table(spark, d, "documents").where(F.col("text").rlike("&&&|%%%")).select("doc_id", F.length("text").cast("long").alias("chars"))
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", Q.mojibake(F.replace("text", F.lit("é"), F.lit("Ã©"))).alias("broken"))
 
 
 # ---------------------------------------------------------------- relational family

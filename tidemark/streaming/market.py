@@ -38,6 +38,17 @@ def alerts_once(stream: DataFrame, alerts: DataFrame) -> DataFrame:
     return hit.select("alert_id", "symbol", "ts", "value").groupBy("alert_id").applyInPandasWithState(first, "alert_id long, symbol string, ts timestamp, value double", "fired boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+def new_items(stream: DataFrame, stored: DataFrame, key: str = "url", time: str = "ts", late: str = "1 day") -> DataFrame:
+    """Items of a stream, each key once within the watermark, whose key is not stored already."""
+    once = stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+    return once.join(stored.select(key).distinct(), key, "left_anti")
+
+
+def polled(result: DataFrame, path: str, checkpoint: str, seconds: int, mode: str = "append"):
+    """Starts a stream that looks for new input every so many seconds and appends to a table; returns the running query."""
+    return result.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(processingTime=f"{seconds} seconds").start()
+
+
 def drain(result: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> DataFrame:
     """Runs a stream over what is there now into a memory table and returns that."""
     writer = result.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
