@@ -46,6 +46,9 @@ def test_odd_vectors(spark):
     got = sorted(map(tuple, E.embedding_groups(df).collect()))
     assert got == [(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), *[(k, 0, k, True) for k in (3, 4, 5, 6, 7, 8, 9, 10)], (2**60 + 1, 3, 1, False)]
     assert E.embedding_groups(df.limit(0)).count() == 0
+    more = df.union(spark.createDataFrame([(None, [1.0, 0.0], 1), (None, None, 1), (2**60 + 2, [0.0, 1.0], 1)], "vec_id long, embedding array<float>, label int").selectExpr("*", "1", "2")).coalesce(1)
+    got = {(r.vec_id, r.n_links, r.component_id, r.kept) for r in E.embedding_groups(more).collect()}
+    assert {(None, 4, 1, False), (None, 0, None, False), (2, 4, 1, False), (2**60 + 1, 4, 1, False), (2**60 + 2, 0, 2**60 + 2, True)} <= got
 
 
 def test_spread_leaves_out_near_pivots():

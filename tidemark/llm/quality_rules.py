@@ -108,7 +108,9 @@ def judge_texts(texts: pd.Series) -> pd.DataFrame:
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, the counts of ``RESULT`` and the verdict ``kept``.
 
-    A null or empty text has no words and fails the base; a null id stays null; repeated rows are judged alike, each
+    Every text with a word is judged whole and by its chunks: a text up to ``CHUNK_BYTES`` is one chunk, the last chunk of
+    a longer one overlaps the one before. The limits widen as texts get shorter, since few bytes say little: under some 400
+    bytes even random letters are within them. A null or empty text has no words and fails the base; a null id stays null; repeated rows are judged alike, each
     on its own; other columns are ignored. An empty table gives an empty result.
     """
     return docs.select(F.col(id_col).alias("doc_id"), judge_texts(text_col).alias("q")).select("doc_id", "q.*")
