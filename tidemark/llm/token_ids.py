@@ -22,8 +22,8 @@ import regex
 UNIT_START = re.compile(r"(?= \S)")
 #: Fixed value: the pre-token pattern of this byte-level BPE.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Units and pre-tokens kept per worker; a table starts anew beyond it. Bounds memory to some 200 MB.
-KEPT = 400_000
+#: Units and pre-tokens kept per worker; a table starts anew beyond it. Bounds memory to some 300 MB.
+KEPT = 600_000
 #: Longer ones are encoded without being kept.
 LONGEST_KEPT = 48
 
