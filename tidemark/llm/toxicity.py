@@ -39,8 +39,10 @@ NOISE = 50_000_000
 LEAST_ODDS = 8.0
 #: Lengths of the word beginnings that are features besides the whole word.
 PREFIXES = (4, 5, 6)
+#: Every feature of a word begins as the word does, for so many letters at least.
+HEAD = min(PREFIXES)
 #: Tokens whose features a worker keeps; contexts of features that it gathers before it hands them on.
-KEPT, CONTEXTS = 200_000, 100_000
+KEPT, CONTEXTS = 400_000, 100_000
 
 #: Letters that a look-alike may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "*": "aeiou", "#": "aeiou"}
@@ -51,8 +53,9 @@ SIGNS = re.compile(r"[0-9@$!|+(€*#._\-·,;:/ ]|(.)\1\1")
 DOUBLED = re.compile(r"(.)\1")
 #: What stands for letters in a token that has none, if there are two of them; digits alone are a number.
 MARKS = re.compile(r"[@$!|+(€#*].*[@$!|+(€#*]")
-#: Three or more words of one or two characters, one of them of one.
-SPACED = re.compile(r"(?<!\S)(?=(?:\S{2}[ \t]+)*\S(?:\s|$))\S{1,2}(?:[ \t]+\S{1,2}){2,}(?!\S)")
+#: Three or more words of one or two characters, of which one must have one, in a text that begins and ends with a space.
+SPACED = re.compile(r"\s(\S{1,2}(?:[ \t]+\S{1,2}){2,})(?=\s)")
+RUN = re.compile(r"(.)\1+", re.DOTALL)
 GAP = re.compile(r"[.\-_·,;:/ \t]")
 #: Readings of a token with gaps, and the log cost by which they may be worse than the best.
 PATHS, NEAR = 8, 8.0
@@ -170,12 +173,13 @@ def readings(token: str, model: LetterModel) -> set[str]:
 
 def single(word: str) -> str:
     """The word with each run of a character cut to one."""
-    return PARTS.sub(lambda m: m[2] or m[0], word)
+    return RUN.sub(r"\1", word)
 
 
 def spaced_runs(text: str) -> list[str]:
     """Runs of three or more words of one or two characters, one blank between each two."""
-    return [" ".join(m[0].split()) for m in SPACED.finditer(text)]
+    runs = [m[1].split() for m in SPACED.finditer(f" {text} ")]
+    return [" ".join(r) for r in runs if min(map(len, r)) == 1]
 
 
 def spaced_words(text: str) -> list[str]:
@@ -247,6 +251,7 @@ class ToxicityModel:
         self.numbers = {f: i for i, f in enumerate(self.weights)}
         self.values = np.array(list(self.weights.values()), dtype=float)
         self.known: dict[str, tuple[int, ...]] = {}
+        self.heads = {f.lstrip("=")[:HEAD] for f in self.weights}
         self.singles = {("=" if f[0] == "=" else "") + single(f.lstrip("=")) for f in self.weights}
 
     def worth(self, token: str) -> bool:
@@ -262,10 +267,10 @@ class ToxicityModel:
     def token(self, token: str) -> tuple[int, ...]:
         """The numbers of the model's features in a token."""
         hit = self.known.get(token)
-        if hit is None:
+        if hit is None:  # most tokens are neither disguised nor begin like a feature
             bare = EDGES.sub("", token)
-            words = readings(bare, self.letters) if disguised(bare) or self.worth(bare) else {bare}
-            hit = tuple(self.numbers[f] for word in sorted(words) for f in features(word) if f in self.numbers)
+            words = sorted(readings(bare, self.letters)) if disguised(bare) or self.worth(bare) else (bare,)
+            hit = tuple([self.numbers[f] for word in words if word[:HEAD] in self.heads for f in features(word) if f in self.numbers])
             if len(self.known) >= KEPT:
                 self.known.clear()
             self.known[token] = hit
@@ -274,8 +279,13 @@ class ToxicityModel:
     def found(self, text: str | None) -> list[int]:
         text = (text or "").lower()
         hits: set[int] = set()
+        known = self.known.get
         for t in set(text.split()):
-            hits.update(self.token(t))
+            hit = known(t)
+            if hit is None:
+                hit = self.token(t)
+            if hit:
+                hits.update(hit)
         for s in spaced_runs(text):
             hits.update(self.token(s))
         return sorted(hits)
