@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.series import div, seq
+from tidemark.operators.intervals import interval_join
 
 
 def detect_rolls(main: DataFrame) -> DataFrame:
@@ -36,21 +37,31 @@ def segments(rolls: DataFrame, start, end) -> DataFrame:
     return clipped.where("seg_start < seg_end")
 
 
+#: Days of a bucket in which bars and the segments between rolls meet: about as long as a contract is the main one.
+SEGMENT_DAYS = 32
+
+
 def continuous(bars: DataFrame, segs: DataFrame) -> DataFrame:
-    """The bars of each symbol's contract in force: an interval join."""
-    s = segs.withColumnRenamed("symbol", "_s").withColumnRenamed("contract", "_c")
-    on = (F.col("symbol") == F.col("_s")) & (F.col("contract") == F.col("_c")) & (F.col("date") >= F.col("seg_start")) & (F.col("date") < F.col("seg_end"))
-    return bars.join(s, on).drop("_s", "_c", "seg_start", "seg_end")
+    """The bars of each symbol's contract in force: an interval join by symbol, contract and bucket of days."""
+    width = SEGMENT_DAYS if dict(bars.dtypes)["date"] == "date" else SEGMENT_DAYS * 86_400
+    return interval_join(bars, segs, ["symbol", "contract"], "date", "seg_start", "seg_end", width).select(bars.columns)
 
 
 def gaps(bars: DataFrame, rolls: DataFrame) -> DataFrame:
-    """(symbol, effective, gap): the new contract's first close from the roll on, less the old one's last before it."""
-    r = rolls.withColumnRenamed("symbol", "_s")
-    old = bars.join(r, (F.col("symbol") == F.col("_s")) & (F.col("contract") == F.col("old_contract")) & (F.col("date") < F.col("effective")))
-    old = old.groupBy(F.col("_s").alias("symbol"), "effective").agg(F.max_by("close", "date").alias("old_close"))
-    new = bars.join(r, (F.col("symbol") == F.col("_s")) & (F.col("contract") == F.col("new_contract")) & (F.col("date") >= F.col("effective")))
-    new = new.groupBy(F.col("_s").alias("symbol"), "effective").agg(F.min_by("close", "date").alias("new_close"))
-    return rolls.select("symbol", "effective").join(old, ["symbol", "effective"], "left").join(new, ["symbol", "effective"], "left").select("symbol", "effective", F.coalesce(F.col("new_close") - F.col("old_close"), F.lit(0.0)).alias("gap"))
+    """(symbol, effective, gap): the new contract's first close from the roll on, less the old one's last before it.
+
+    Rolls are laid among the bars of their two contracts and read the close before or after them: no bar meets a roll that
+    it does not border. Of bars of equal date the one of least close counts. Without both closes the gap is 0.
+    """
+    sides = F.array(F.struct(F.col("old_contract").alias("contract"), F.lit("old").alias("side")), F.struct(F.col("new_contract").alias("contract"), F.lit("new").alias("side")))
+    marks = rolls.select("symbol", "effective", F.inline(sides)).select("symbol", "contract", F.col("effective").alias("date"), "side", F.lit(None).cast("double").alias("close"))
+    one = bars.groupBy("symbol", "contract", "date").agg(F.min(F.col("close").cast("double")).alias("close")).select("symbol", "contract", "date", F.lit(None).cast("string").alias("side"), "close")
+    by = Window.partitionBy("symbol", "contract")
+    before = F.last("close", ignorenulls=True).over(by.orderBy("date", F.col("side").desc_nulls_last()))  # marks of a date come before its bar
+    after = F.last("close", ignorenulls=True).over(by.orderBy(F.desc("date"), F.col("side").asc_nulls_first()))
+    seen = marks.unionByName(one).select("*", before.alias("before"), after.alias("after")).where("side is not null")
+    found = seen.groupBy("symbol", F.col("date").alias("effective")).agg(F.max(F.when(F.col("side") == "old", F.col("before"))).alias("old"), F.max(F.when(F.col("side") == "new", F.col("after"))).alias("new"))
+    return rolls.select("symbol", "effective").join(found, ["symbol", "effective"], "left").select("symbol", "effective", F.coalesce(F.col("new") - F.col("old"), F.lit(0.0)).alias("gap"))
 
 
 def adjusted(series: DataFrame, gap: DataFrame, direction: str) -> DataFrame:
@@ -61,7 +72,8 @@ def adjusted(series: DataFrame, gap: DataFrame, direction: str) -> DataFrame:
     events = series.select("symbol", "date", F.lit(None).cast("double").alias("_gap")).unionByName(gap.select("symbol", F.col("effective").alias("date"), F.col("gap").alias("_gap")))
     by_date = events.groupBy("symbol", "date").agg(F.coalesce(F.sum("_gap"), F.lit(0.0)).alias("_gap"))
     if direction == "backward":
-        total = F.sum("_gap").over(seq().rowsBetween(1, Window.unboundedFollowing))
+        later = Window.partitionBy("symbol").orderBy(F.desc("date"))  # a frame of following rows would be summed anew per row
+        total = F.sum("_gap").over(later.rowsBetween(Window.unboundedPreceding, -1))
     else:
         total = F.sum("_gap").over(seq().rowsBetween(Window.unboundedPreceding, 0))
     shift = by_date.select("symbol", "date", (-F.coalesce(total, F.lit(0.0))).alias("adjustment"))

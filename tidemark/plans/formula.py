@@ -17,10 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.series import FIELDS, FUNCTIONS, MACROS, RECURSIVE, div
+from tidemark.operators.blocks import BLOCK, order_statistics
 
 OPERATORS = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Div: div, ast.Pow: F.pow, ast.Mod: lambda a, b: F.pmod(a, b)}
 COMPARISONS = {ast.Gt: "__gt__", ast.Lt: "__lt__", ast.GtE: "__ge__", ast.LtE: "__le__", ast.Eq: "__eq__", ast.NotEq: "__ne__"}
 
+#: Order statistics of a window, by the kind of ``blocks.sliding`` that computes them where it is longer than so many rows.
+ORDERED, LONG_WINDOW = {"ts_median": "median", "ts_rank": "last_max", "ts_rank_pct": "rank_pct", "ts_deviation": "deviation"}, 64
+
 
 class FormulaError(ValueError):
     """A formula that is empty, malformed, or uses what the language does not have."""
@@ -124,6 +128,11 @@ class Compiler:
             else:
                 c = self.column(a)
                 args.append(self._hold(ast.dump(a), c) if windowed and not isinstance(a, ast.Name) else c)
+        if name in ORDERED and len(args) == 2 and args[1] > LONG_WINDOW:  # a sorted window instead of a sort per row
+            self.known[key] = out = f"_f{len(self.known)}"
+            ranked = order_statistics(self.df.withColumns({BLOCK: F.lit(0), "_x": args[0]}), {out: (ORDERED[name], "_x", args[1])})
+            self.df = ranked.select(*self.df.columns, out)
+            return F.col(out)
         try:
             value = function(*args)
         except TypeError as e:

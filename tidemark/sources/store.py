@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.continuous import SEGMENT_DAYS
+from tidemark.operators.intervals import interval_join
+
 #: The names under which bars of a period may be stored.
 PERIODS = {name: group for group in (("1m", "1"), ("5m", "5"), ("15m", "15"), ("30m", "30"), ("1h", "60"), ("1d", "D"), ("1w", "W"), ("M",)) for name in group}
 
@@ -181,6 +184,7 @@ def with_enough_bars(panel: DataFrame, least: int) -> DataFrame:
 
 def backfill_contracts(bars: DataFrame, segments: DataFrame) -> DataFrame:
     """Bars without a contract get that of the segment (symbol, contract, start, end; half-open) they lie in."""
-    s = segments.select(F.col("symbol").alias("_s"), F.col("contract").alias("_c"), F.col("start").alias("_a"), F.col("end").alias("_z"))
-    j = bars.join(s, (F.col("symbol") == F.col("_s")) & (F.col("date") >= F.col("_a")) & (F.col("_z").isNull() | (F.col("date") < F.col("_z"))), "left")
-    return j.withColumn("contract", F.coalesce("contract", "_c")).select(bars.columns)
+    width = SEGMENT_DAYS if dict(bars.dtypes)["date"] == "date" else SEGMENT_DAYS * 86_400
+    spans = segments.select("symbol", F.col("contract").alias("_contract"), F.col("start").alias("_start"), F.col("end").alias("_end"))
+    j = interval_join(bars, spans, ["symbol"], "date", "_start", "_end", width, "left")
+    return j.withColumn("contract", F.coalesce("contract", "_contract")).select(bars.columns)
