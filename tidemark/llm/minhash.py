@@ -37,6 +37,8 @@ BANDS, BAND_NUMBERS = 25, 5
 SIMILARITY = 0.8
 #: Pairs whose fingerprints agree in less than this share are not verified: five standard deviations below 0.8.
 LEAST_ESTIMATE = 0.62
+#: Nodes of half a unit in which the pairs of a large bucket are verified.
+UNIT = 512
 #: Cells of ids per shuffle partition; words whose hash a worker keeps; shingles hashed at once.
 CELLS, KEPT, CHUNK = 4, 400_000, 512
 #: A-Z count as a-z; words are parted by ASCII white space.
@@ -260,19 +262,36 @@ def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of a unit of ``deal_groups`` in different components whose fingerprints are near enough to be verified."""
-    for rows in whole_groups(batches, ["bucket", "ublock", "vblock"]):
-        for (_, u, v), unit in rows.groupby(["bucket", "ublock", "vblock"], sort=False):
-            prints = np.frombuffer(b"".join(unit["print"]), ">u2").reshape(len(unit), -1)
-            keys, own, part = unit["key"].to_numpy(), unit["own"].to_numpy(), pd.factorize(unit["component"])[0]
-            found = []
-            for i in range(len(unit) - 1):
-                near = ((prints[i] == prints[i + 1 :]).mean(axis=1) >= LEAST_ESTIMATE) & (part[i] != part[i + 1 :])
-                if u != v:
-                    near &= own[i] != own[i + 1 :]
-                found += [(min(keys[i], keys[j]), max(keys[i], keys[j])) for j in np.flatnonzero(near) + i + 1]
-            yield pd.DataFrame(found, columns=["a", "b"])
+def _unit_links(similarity: float):
+    """A spanning forest of the verified links in each unit of ``deal_groups``, over the components known before.
+
+    A pair is looked at in the first band that it shares and if its fingerprints are near enough; pairs that are
+    connected already are not verified.
+    """
+    keys = ["band", "bucket", "ublock", "vblock"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some in whole_groups(batches, keys):
+            for (band, _, u, v), unit in some.groupby(keys, sort=False):
+                prints = np.frombuffer(b"".join(unit["print"]), ">u2").reshape(len(unit), -1)
+                bands = np.ascontiguousarray(prints[:, : band * BAND_NUMBERS]).reshape(len(unit), band, BAND_NUMBERS)
+                sets = [np.frombuffer(x, "<u8") for x in unit["shingles"]]
+                own, key, part = unit["own"].to_numpy(), unit["key"].to_numpy(), pd.factorize(unit["component"])[0]
+                found = []
+                for i in range(len(unit) - 1):
+                    near = (part[i + 1 :] != part[i]) & ((own[i + 1 :] != own[i]) | (u == v))
+                    at = np.flatnonzero(near) + i + 1
+                    at = at[(prints[at] == prints[i]).mean(axis=1) >= LEAST_ESTIMATE]
+                    at = at[~(bands[at] == bands[i]).all(axis=2).any(axis=1)]
+                    for j in at:
+                        if part[j] != part[i]:
+                            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                            if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                                part[part == part[j]] = part[i]
+                                found.append((min(key[i], key[j]), max(key[i], key[j])))
+                yield pd.DataFrame(found, columns=["a", "b"])
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -290,28 +309,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = staged(rows.mapInArrow(_prints, struct("doc_id long, key binary, print binary")), "minhash-prints")
     nodes = staged(prints.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("print").alias("print")), "minhash-nodes")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs)
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(nodes.select("key", F.col("doc_id").alias("of")), "key")
-        texts = rows.join(needed, F.col("doc_id").eqNullSafe(F.col("of"))).select("key", "text")
-        sets = staged(texts.mapInArrow(_sets, struct("key binary, shingles binary")).groupBy("key").agg(F.first("shingles").alias("shingles")), "minhash-shingles")
-        both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("of_b")), "b")
-        return cut(both.where(jaccard("of_a", "of_b") >= similarity).select("a", "b"))
-
     width = 2 * BAND_NUMBERS
-    bands = F.array(*[F.xxhash64(F.lit(i), F.substring("print", i * width + 1, width)) for i in range(BANDS)])
-    postings = nodes.select("key", F.explode(bands).alias("bucket"))
-    buckets = postings.groupBy("bucket").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    shared = staged(postings.join(buckets, "bucket"), "minhash-buckets")
+    bands = F.array(*[F.xxhash64(F.substring("print", i * width + 1, width)) for i in range(BANDS)])
+    postings = nodes.select("key", F.posexplode(bands).alias("band", "bucket"))
+    buckets = postings.groupBy("band", "bucket").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    shared = staged(postings.join(buckets, ["band", "bucket"]), "minhash-buckets")
     stars = cut(shared.where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b")).distinct())
-    links = verified(stars)
+
+    # the shingles of the nodes that share a bucket, from one text of each
+    needed = shared.select("key").distinct().join(nodes.select("key", F.col("doc_id").alias("of")), "key")
+    texts = rows.join(needed, F.col("doc_id").eqNullSafe(F.col("of"))).select("key", "text")
+    sets = staged(texts.mapInArrow(_sets, struct("key binary, shingles binary")).groupBy("key").agg(F.first("shingles").alias("shingles")), "minhash-shingles")
+    of = lambda c: sets.select(F.col("key").alias(c), F.col("shingles").alias(f"of_{c}"))
+    links = cut(stars.join(of("a"), "a").join(of("b"), "b").where(jaccard("of_a", "of_b") >= similarity).select("a", "b"))
+
     placed = shared.join(components(links).withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    placed = cut(placed.select("bucket", "key", "component"))
-    open_buckets = cut(placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket"))
-    units = deal_groups(placed.join(open_buckets, "bucket").join(nodes.select("key", "print"), "key"), ["bucket"], "key")
-    keys = ["bucket", "ublock", "vblock"]
-    more = units.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_candidates, struct("a binary, b binary")).distinct()
-    links = links.union(verified(more.join(stars, ["a", "b"], "left_anti")))
+    placed = cut(placed.select("band", "bucket", "key", "component"))
+    open_buckets = cut(placed.groupBy("band", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "bucket"))
+    units = deal_groups(placed.join(open_buckets, ["band", "bucket"]), ["band", "bucket"], "key", UNIT)
+    units = units.join(nodes.select("key", "print"), "key").join(sets, "key")
+    keys = ["band", "bucket", "ublock", "vblock"]
+    more = units.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_unit_links(similarity), struct("a binary, b binary")).distinct()
+    links = cut(links.union(more))
     groups = cut(nodes.select("key", "doc_id").join(components(links).withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")))
     named = groups.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     names = cut(groups.join(named, "component").select("key", "component_id"))
