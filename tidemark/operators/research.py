@@ -208,12 +208,12 @@ def report(rows: DataFrame, value: str, fwd: str = "fwd", n: int = 5) -> DataFra
 
 
 def greedy_decorrelated(scores: DataFrame, correlations: DataFrame, most: float = 0.7) -> list[str]:
-    """Names of factors kept: from the highest score (name, score) on, each that no kept one correlates with above ``most``.
+    """Names of factors kept: from the highest score (name, score) on, each that no kept one correlates with by ``most`` or more.
 
     ``correlations`` (a, b, corr) has a row per pair of factors, a number that a search bounds; both are small.
     """
     near: dict[str, set[str]] = {}
-    for a, b in correlations.where(F.abs("corr") > most).select("a", "b").collect():
+    for a, b in correlations.where(F.abs("corr") >= most).select("a", "b").collect():
         near.setdefault(a, set()).add(b)
         near.setdefault(b, set()).add(a)
     kept: list[str] = []
