@@ -234,24 +234,12 @@ def test_lookup_prunes_and_falls_back(spark, tmp_path):
     assert store.multi_period(bars, "S0", ["D", "1h"], 2).count() == 4
 
 
-def test_view_order_and_build(spark, tmp_path):
+def test_view_order():
     from tidemark.sources import store
 
     assert store.build_order(["main_back_adjusted", "raw_contract"]) == ["raw_contract", "main_continuous", "main_back_adjusted"]
     with pytest.raises(ValueError):
         store.build_order(["nothing"])
-    failed = []
-
-    def shaky(before):
-        if not failed:
-            failed.append(1)
-            raise OSError("lost")
-        return before.withColumn("b", F.lit(1))
-
-    views = {"raw_contract": lambda _: spark.range(3), "main_continuous": shaky}
-    runs = {r.view: (r.attempt, r.rows, r.status) for r in store.build_views(views, ["main_continuous"], str(tmp_path)).collect()}
-    assert runs == {"raw_contract": (1, 3, "success"), "main_continuous": (2, 3, "success")} and spark.read.parquet(f"{tmp_path}/main_continuous").count() == 3
-    assert store.build_views(views, ["raw_contract"], str(tmp_path / "dry"), dry_run=True).first().status == "dry_run" and not (tmp_path / "dry").exists()
 
 
 def test_late_rolls_extend_the_rebuild(spark):

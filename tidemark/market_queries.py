@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,15 +18,19 @@ from tidemark.plans.formula_sql import formulas_sql
 from tidemark.queries import DIGITS, query, rounded
 from tidemark.sources import store
 from tidemark.sources.market import BARS_SQL, HOURS_SQL, PANEL_SQL, bars_1d, bars_1h, contract_of, panel_1d, table
+from tidemark.sources.staging import application_dir, file_marks
 
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple, str] = {}
 
 
 def stored_bars(spark, d: str) -> DataFrame:
-    """The bars of ``d`` as a stored table (1d by S.., 60 by event type); written once per application."""
-    key = (spark.sparkContext.applicationId, d)
+    """The bars of ``d`` as a stored table (1d by S.., 60 by event type), in the shared folder.
+
+    Written by jobs that run here, once per application and state of the events' files; ``staging.clear_staged`` deletes it.
+    """
+    key = (spark.sparkContext.applicationId, file_marks(spark, f"{d}/events.parquet"))
     if key not in _STORED:
-        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tidemark-bars-{key[0]}-{abs(hash(d))}"
+        path = f"{application_dir(spark)}/bars-{uuid.uuid4().hex}"
         days = bars_1d(spark, d).withColumn("period", F.lit("1d")).withColumn("date", F.col("date").cast("timestamp_ntz"))
         hours = bars_1h(spark, d).withColumn("period", F.lit("60")).withColumn("date", F.col("date").cast("timestamp_ntz"))
         store.write_bars(days.unionByName(hours), path)

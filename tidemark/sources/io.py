@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 TIME_NAMES = ("time", "date", "datetime", "trade_date", "trading_time", "timestamp")
@@ -88,7 +89,23 @@ def read_manifest(spark: SparkSession, path: str, limit: int | None = None) -> D
     return rows if limit is None else rows.orderBy("name").limit(limit)
 
 
-def record_run(spark: SparkSession, path: str, job: str, status: str, rows: int, started, ended) -> None:
+def record_run(spark: SparkSession, path: str, job: str, status: str, rows: int | None, started, ended) -> None:
     """Appends one row to the log of ingestion runs."""
     one = [(job, status, rows, started, ended, (ended - started).total_seconds())]
     spark.createDataFrame(one, "job string, status string, rows long, started timestamp, ended timestamp, seconds double").write.mode("append").parquet(path)
+
+
+def ingest(rows: DataFrame, path: str, runs: str, job: str, mode: str = "append") -> dict:
+    """Writes rows as Parquet and logs the run (its rows, and nulls per column, observed by the write itself) in ``runs``.
+
+    A write that fails is logged as failed, without counts, and raised. Returns what was observed.
+    """
+    seen, started = Observation(), dt.datetime.now()
+    nulls = [F.count(F.when(F.col(f"`{c}`").isNull(), 1)).alias(f"null_{c}") for c in rows.columns]
+    try:
+        rows.observe(seen, F.count(F.lit(1)).alias("rows"), *nulls).write.mode(mode).parquet(path)
+    except Exception:
+        record_run(rows.sparkSession, runs, job, "failed", None, started, dt.datetime.now())
+        raise
+    record_run(rows.sparkSession, runs, job, "success", seen.get["rows"], started, dt.datetime.now())
+    return seen.get

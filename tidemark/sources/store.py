@@ -139,30 +139,6 @@ def build_order(views: list[str]) -> list[str]:
     return order
 
 
-def build_views(builders: dict, views: list[str], path: str, attempts: int = 3, dry_run: bool = False) -> DataFrame:
-    """Builds views in order of need and stores each; one row per view of a run's record. A dry run stores nothing.
-
-    ``builders`` gives a view's rows (date among their columns) from those of the view before it. A view that fails is
-    tried again, as Spark's own retries cover tasks but not, say, a lost connection to the store.
-    """
-    done, runs = {}, []
-    for view in build_order(views):
-        for attempt in range(1, attempts + 1):
-            try:
-                rows = builders[view](done.get(VIEWS[view]))
-                spark = rows.sparkSession
-                if not dry_run:
-                    rows.write.mode("overwrite").parquet(f"{path}/{view}")
-                    rows = spark.read.parquet(f"{path}/{view}")
-                done[view] = rows
-                runs.append((view, attempt, rows.count(), "dry_run" if dry_run else "success"))
-                break
-            except (OSError, RuntimeError) as error:
-                if attempt == attempts:
-                    raise RuntimeError(f"{view} failed {attempts} times") from error
-    return spark.createDataFrame(runs, "view string, attempt int, rows long, status string")
-
-
 def late_start(start, last_success, rolls: DataFrame) -> Column | None:
     """From which date to rebuild: ``start``, or the earliest effective date of rolls recorded after the last success."""
     first = rolls.where(F.col("created_at") > F.lit(last_success)).agg(F.min("effective").alias("d")).first()[0]
