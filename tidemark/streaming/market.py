@@ -16,12 +16,14 @@ def ticks(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def live_bars(stream: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
-    w = F.window("ts", width)
-    return stream.withWatermark("ts", late).groupBy(w.alias("w"), "symbol").agg(F.min_by("value", "ts").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "ts").alias("close"), F.count(F.lit(1)).alias("volume")).select("symbol", F.col("w.start").cast("date").alias("date"), "open", "high", "low", "close", "volume")
+    """Bars of the events so far; events of equal time count in the order of their ids, as in batch bars."""
+    w, order = F.window("ts", width), F.struct("ts", "event_id")
+    return stream.withWatermark("ts", late).groupBy(w.alias("w"), "symbol").agg(F.min_by("value", order).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", order).alias("close"), F.count(F.lit(1)).alias("volume")).select("symbol", F.col("w.start").cast("date").alias("date"), "open", "high", "low", "close", "volume")
 
 
 def latest_quotes(stream: DataFrame) -> DataFrame:
-    return stream.groupBy("symbol").agg(F.max_by(F.struct("value", "ts"), "ts").alias("q")).select("symbol", F.col("q.value").alias("price"), F.col("q.ts").alias("ts"))
+    """The last value per symbol, of equal times the one of highest id."""
+    return stream.groupBy("symbol").agg(F.max_by(F.struct("value", "ts"), F.struct("ts", "event_id")).alias("q")).select("symbol", F.col("q.value").alias("price"), F.col("q.ts").alias("ts"))
 
 
 def alerts_once(stream: DataFrame, alerts: DataFrame) -> DataFrame:
