@@ -59,7 +59,7 @@ _SCORE = "CASE WHEN trade_count = 0 THEN 0 ELSE CAST(round_even(least(greatest(5
 def metrics_sql(run: str, cash: float = 100_000.0) -> str:
     return f"""SELECT *, {_SCORE} FROM (SELECT symbol, (arg_max(equity, date) / {cash} - 1) * 100 AS total_return_pct, CASE WHEN arg_max(equity, date) <= 0 THEN -100.0 ELSE (pow(arg_max(equity, date) / {cash}, 252.0 / count(*)) - 1) * 100 END AS annualized_return_pct, -min(dd) * 100 AS max_drawdown_pct,
  coalesce(avg(r) / (stddev_pop(r) + 1e-12) * sqrt(252), 0.0) AS sharpe, count(reason) AS trade_count, coalesce(100.0 * count(*) FILTER (WHERE pnl > 0) / nullif(count(reason), 0), 0.0) AS win_rate_pct, coalesce(100.0 * count(*) FILTER (WHERE pnl < 0) / nullif(count(reason), 0), 0.0) AS loss_rate_pct,
- coalesce(sum(pnl) FILTER (WHERE pnl > 0) / nullif(abs(sum(pnl) FILTER (WHERE pnl < 0)), 0), CAST(count(*) FILTER (WHERE pnl > 0) AS DOUBLE)) AS profit_factor, coalesce(avg(pnl) FILTER (WHERE pnl > 0) / nullif(abs(avg(pnl) FILTER (WHERE pnl < 0)), 0), 0.0) AS profit_loss_ratio, coalesce(sum(fee), 0.0) AS total_fee, coalesce(avg(fee), 0.0) AS mean_fee
+ coalesce(sum(pnl) FILTER (WHERE pnl > 0) / nullif(abs(sum(pnl) FILTER (WHERE pnl < 0)), 0), CAST(count(*) FILTER (WHERE pnl > 0) AS DOUBLE)) AS profit_factor, coalesce(avg(pnl) FILTER (WHERE pnl > 0) / nullif(abs(avg(pnl) FILTER (WHERE pnl < 0)), 0), CAST(count(*) FILTER (WHERE pnl > 0) AS DOUBLE)) AS profit_loss_ratio, coalesce(sum(fee), 0.0) AS total_fee, coalesce(avg(fee), 0.0) AS mean_fee
  FROM (SELECT *, equity / max(equity) {_W}) - 1 AS dd, equity / lag(equity) {_W}) - 1 AS r FROM ({run})) GROUP BY symbol)"""
 
 
@@ -204,8 +204,10 @@ def walk_forward_runs(spark, d):
     return rounded(_forward(spark, d).select("window_id", "phase", "symbol", "trade_count", "score", "total_return_pct", "sharpe", "max_drawdown_pct"))
 
 
-@query(f"""SELECT *, positive_return_rate >= 0.6 AND sharpe_median >= 0 AS stable FROM (SELECT symbol, count(*) AS windows, {r6('avg(t.total_return_pct) AS return_mean', 'median(t.total_return_pct) AS return_median', 'avg(t.sharpe) AS sharpe_mean', 'median(t.sharpe) AS sharpe_median', 'avg(t.score) AS score_mean', 'avg(CASE WHEN t.total_return_pct > 0 THEN 1.0 ELSE 0.0 END) AS positive_return_rate', 'avg(CASE WHEN t.sharpe > 0 THEN 1.0 ELSE 0.0 END) AS positive_sharpe_rate', 'greatest(0, 100 - avg(abs(i.sharpe - t.sharpe)) * 20) AS consistency')}
- FROM (SELECT * FROM ({_FORWARD}) WHERE phase = 'test') t JOIN (SELECT * FROM ({_FORWARD}) WHERE phase = 'train') i USING (symbol, window_id) GROUP BY symbol)""")
+@query(f"""SELECT *, CASE WHEN failed_windows > 0 THEN 'inconclusive' WHEN positive_return_rate >= 0.6 AND sharpe_median >= 0 THEN 'stable' ELSE 'unstable' END AS validation, CASE WHEN failed_windows > 0 THEN 'failed_windows' END AS reason
+ FROM (SELECT symbol, count(*) AS windows, (SELECT count(DISTINCT window_id) FROM ({_FORWARD})) - count(*) AS failed_windows, {r6('avg(t.total_return_pct) AS return_mean', 'median(t.total_return_pct) AS return_median', 'avg(t.sharpe) AS sharpe_mean', 'median(t.sharpe) AS sharpe_median', 'avg(t.score) AS score_mean', 'avg(CASE WHEN t.total_return_pct > 0 THEN 1.0 ELSE 0.0 END) AS positive_return_rate', 'avg(CASE WHEN t.sharpe > 0 THEN 1.0 ELSE 0.0 END) AS positive_sharpe_rate', 'greatest(0, 100 - avg(abs(i.sharpe - t.sharpe)) * 20) AS consistency')}
+ FROM (SELECT * FROM ({_FORWARD}) WHERE phase = 'test') t JOIN (SELECT * FROM ({_FORWARD}) WHERE phase = 'train') i USING (symbol, window_id) GROUP BY symbol HAVING count(*) >= 2)
+ UNION ALL SELECT symbol, n, (SELECT count(DISTINCT window_id) FROM ({_FORWARD})) - n, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'inconclusive', 'too_few_windows' FROM (SELECT symbol, count(*) FILTER (WHERE phases = 2) AS n FROM (SELECT symbol, window_id, count(DISTINCT phase) AS phases FROM ({_FORWARD}) GROUP BY ALL) GROUP BY symbol) WHERE n < 2""")
 def walk_forward_stability(spark, d):
     return rounded(S.stability(_forward(spark, d)))
 

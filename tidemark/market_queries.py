@@ -342,8 +342,10 @@ def recursive_walk(spark, d):
     return M.children_of(edges, 1).select(F.col("node").cast("long").alias("node"), "depth")
 
 
-@query("""WITH e AS (SELECT user_id AS source, epoch_us(ts) / 1000000.0 AS t, event_id, value <= 60 AS ok FROM events), s AS (SELECT *, NOT ok AND (sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER five = 5 OR (count(*) OVER ten = 10 AND sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER ten >= 5)) AS tripped FROM e WINDOW five AS (PARTITION BY source ORDER BY t, event_id ROWS 4 PRECEDING), ten AS (PARTITION BY source ORDER BY t, event_id ROWS 9 PRECEDING))
- SELECT source, event_id AS call_id, tripped, coalesce(t - max(CASE WHEN tripped THEN t END) OVER (PARTITION BY source ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 200000, false) AS open FROM s""")
+@query("""WITH e AS (SELECT user_id AS source, event_id, value <= 60 AS ok, epoch_us(ts) / 1000000.0 - lag(epoch_us(ts) / 1000000.0) OVER s >= 200000 AS late FROM events WINDOW s AS (PARTITION BY user_id ORDER BY ts, event_id)),
+ c AS (SELECT *, list_reduce(list_prepend({'n': 0, 'ok': true, 'late': false}, list({'n': 0, 'ok': ok, 'late': coalesce(late, false)}) OVER (PARTITION BY source ORDER BY event_order ROWS UNBOUNDED PRECEDING)),
+  lambda s, x: {'n': CASE WHEN x.ok THEN 0 WHEN s.n >= 5 AND s.n < 10 AND x.late THEN 1 ELSE least(s.n + 1, 10) END, 'ok': x.ok, 'late': x.late}).n AS after FROM (SELECT e.*, row_number() OVER (PARTITION BY source ORDER BY ts, e.event_id) AS event_order FROM e JOIN (SELECT event_id, ts FROM events) t USING (event_id)))
+ SELECT source, event_id AS call_id, after >= 5 AS tripped, before >= 10 OR before >= 5 AND NOT coalesce(late, false) AS open FROM (SELECT *, lag(after, 1, 0) OVER (PARTITION BY source ORDER BY event_order) AS before FROM c)""")
 def breaker_states(spark, d):
     calls = table(spark, d, "events").select(F.col("user_id").alias("source"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.col("event_id").alias("call_id"), (F.col("value") <= 60).alias("ok"))
     return M.breaker(calls, 200_000).select("source", "call_id", "tripped", "open")

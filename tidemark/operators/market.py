@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.series import div
+from tidemark.operators.blocks import BLOCK_ROWS, deal
 
 # ---------------------------------------------------------------- cleaning and mapping
 
@@ -133,11 +138,18 @@ def tagged_union(parts: dict[str, DataFrame], key: str, value: str) -> DataFrame
 
 
 def children_of(edges: DataFrame, root, parent: str = "parent", child: str = "child") -> DataFrame:
-    """(node, depth) of all that hangs below ``root``, by a recursive query over a parent and child table."""
-    name = "tidemark_edges"
-    edges.select(F.col(parent).alias("parent"), F.col(child).alias("child")).createOrReplaceTempView(name)
+    """(node, depth) of all that hangs below ``root``, by a recursive query over a parent and child table.
+
+    A node that several paths lead to comes once for each; a path ends where it would come back to one of its own nodes.
+    """
+    spark, name = edges.sparkSession, f"tidemark_edges_{uuid.uuid4().hex}"
     kind = dict(edges.dtypes)[child]
-    return edges.sparkSession.sql(f"WITH RECURSIVE t(node, depth) AS (SELECT CAST({root!r} AS {kind}), 0 UNION ALL SELECT e.child, t.depth + 1 FROM t JOIN {name} e ON e.parent = t.node) SELECT node, depth FROM t")
+    edges.select(F.col(parent).cast(kind).alias("parent"), F.col(child).alias("child")).createOrReplaceTempView(name)
+    try:
+        return spark.sql(f"""WITH RECURSIVE t(node, depth, path) AS (SELECT CAST(:root AS {kind}), 0, array(CAST(:root AS {kind}))
+ UNION ALL SELECT e.child, t.depth + 1, array_append(t.path, e.child) FROM t JOIN {name} e ON e.parent = t.node WHERE NOT array_contains(t.path, e.child)) SELECT node, depth FROM t""", args={"root": root})
+    finally:
+        spark.catalog.dropTempView(name)
 
 
 # ---------------------------------------------------------------- aggregates
@@ -229,13 +241,74 @@ def rehearsal(original: DataFrame, copy: DataFrame, keys: list[str], group: str,
     return out.join(lost, group, "left").fillna(0, ["orphans"])
 
 
-def breaker(calls: DataFrame, cool_down: int = 600) -> DataFrame:
-    """Calls (source, ts in seconds, ok) with ``tripped`` and ``open``: five failures in a row, or half of the last ten,
-    trip the breaker, and it stays open for ``cool_down`` seconds after each trip."""
-    w = Window.partitionBy("source").orderBy("ts", "call_id")
-    ten, five = w.rowsBetween(-9, 0), w.rowsBetween(-4, 0)
-    fail = F.when(F.col("ok"), 0).otherwise(1)
-    tripped = (F.sum(fail).over(five) == 5) | ((F.count(F.lit(1)).over(ten) == 10) & (F.sum(fail).over(ten) >= 5))
-    r = calls.withColumn("tripped", ~F.col("ok") & tripped)
-    last = F.max(F.when(F.col("tripped"), F.col("ts"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return r.withColumn("open", F.coalesce(F.col("ts") - last < cool_down, F.lit(False)))
+#: Failures in a row that open a breaker, and those from which its window of ten results is full of them.
+TRIPS, FULL = 5, 10
+
+
+def breaker_steps(state: np.ndarray, late: bool, ok: bool, opens: np.ndarray | None = None) -> np.ndarray:
+    """The failures counted after a call, from those before it (one number, or all 0 to 10 at once).
+
+    ``late``: the cool-down since the last failure has passed, which starts the count anew, but not once the window of
+    results is full. ``opens`` takes up whether the breaker refuses the call.
+    """
+    tripped = state >= TRIPS
+    stays = tripped & ((state >= FULL) | (not late))
+    if opens is not None:
+        opens[:] = stays
+    if ok:
+        return np.zeros_like(state)
+    return np.minimum(np.where(tripped & ~stays, 0, state) + 1, FULL)
+
+
+def breaker(calls: DataFrame, cool_down: int = 600, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Calls (source, ts in seconds, call_id, ok) with ``tripped`` and ``open``.
+
+    Failures are counted until a success. From the fifth on the breaker is open, until ``cool_down`` seconds have passed
+    since the last one: the next call is let through and the count starts anew. After ten failures without a success the
+    rate of failures keeps it open. ``open`` is what a call finds, ``tripped`` whether it leaves it open by failing.
+
+    The count is a machine of eleven states: a block of calls is a map of them, maps are composed over the blocks of a
+    source in order, and a second pass starts each block from its state. So a source of many calls is spread over tasks.
+    """
+    states = np.arange(FULL + 1)
+    dealt = deal(calls, block_rows, "source", "ts")
+    key = T.StructType([dealt.schema["source"], T.StructField("_block", T.IntegerType())])
+    fields = lambda **types: T.StructType([*key.fields, *[T.StructField(n, t) for n, t in types.items()]])
+
+    def sorted_calls(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+        rows = rows.sort_values(["ts", "call_id"])
+        return rows, np.diff(rows["ts"].to_numpy(dtype=float), prepend=np.nan) >= cool_down, rows["ok"].to_numpy(dtype=bool)
+
+    def maps(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, late, ok = sorted_calls(rows)
+        done = np.flatnonzero(ok[1:])
+        state, first = (np.zeros_like(states), done[-1] + 2) if len(done) else (states, 1)
+        for i in range(first, len(ok)):
+            state = breaker_steps(state, late[i], ok[i])
+        return pd.DataFrame([(rows["source"].iloc[0], rows["_block"].iloc[0], float(rows["ts"].iloc[0]), float(rows["ts"].iloc[-1]), bool(ok[0]), state.tolist())], columns=["source", "_block", "first", "last", "ok", "map"])
+
+    def starts(blocks: pd.DataFrame) -> pd.DataFrame:
+        out, state, last = [], np.zeros(1, dtype=int), None
+        for b in blocks.sort_values("_block").itertuples(index=False):
+            out.append((b[0], b[1], int(state[0]), last))
+            state = breaker_steps(state, last is not None and b[2] - last >= cool_down, b[4])
+            state, last = np.asarray(b[5])[state], b[3]
+        return pd.DataFrame(out, columns=["source", "_block", "state", "last"])
+
+    def run(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        rows, late, ok = sorted_calls(rows)
+        state, last = np.array([int(start["state"].iloc[0])]), start["last"].iloc[0]
+        late[0] = not pd.isna(last) and rows["ts"].iloc[0] - last >= cool_down
+        found, tripped, now = [], [], np.zeros(1, dtype=bool)
+        for was_late, fine in zip(late, ok, strict=True):
+            state = breaker_steps(state, was_late, fine, now)
+            found.append(bool(now[0]))
+            tripped.append(bool(state[0] >= TRIPS))
+        return rows.drop(columns="_block").assign(tripped=tripped, open=found)
+
+    number = T.DoubleType()
+    slim = dealt.select("source", "_block", F.col("ts").cast("double").alias("ts"), "call_id", "ok")
+    mapped = slim.groupBy("source", "_block").applyInPandas(maps, fields(first=number, last=number, ok=T.BooleanType(), map=T.ArrayType(T.IntegerType())))
+    began = mapped.groupBy("source").applyInPandas(starts, fields(state=T.IntegerType(), last=number))
+    out = T.StructType([*calls.schema.fields, T.StructField("tripped", T.BooleanType()), T.StructField("open", T.BooleanType())])
+    return dealt.groupBy("source", "_block").cogroup(began.groupBy("source", "_block")).applyInPandas(run, out)

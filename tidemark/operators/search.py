@@ -86,10 +86,13 @@ def evolve(score: Callable[[list[Individual]], list[float]], bounds: Bounds, siz
 
 
 def suggested(tried: list[Individual], scores: list[float], bounds: Bounds, n: int, seed: int = 1, length: float = 0.3, noise: float = 1e-4) -> list[Individual]:
-    """The n untried individuals of largest expected improvement under a Gaussian process on those tried."""
+    """The n untried individuals of largest expected improvement under a Gaussian process on those tried; fewer, or none,
+    where fewer are left."""
     rng = random.Random(seed)
     unit = lambda xs: np.array([[(x[k] - low) / max(1, high - low) for k, (low, high) in bounds.items()] for x in xs])
     pool = [x for x in distinct([], bounds, 500, rng) if key(x) not in {key(t) for t in tried}]
+    if not pool or not tried:
+        return pool[:n]
     a, b, y = unit(tried), unit(pool), np.array(scores)
     y = (y - y.mean()) / (y.std() or 1.0)
     kernel = lambda p, q: np.exp(-((p[:, None] - q[None]) ** 2).sum(axis=2) / (2 * length**2))

@@ -154,7 +154,7 @@ def equity_metrics(run: DataFrame, initial_cash: float, by: tuple[str, ...] = ("
     m = e.groupBy(*by).agg(
         ((grown - 1) * 100).alias("total_return_pct"), F.when(grown <= 0, -100.0).otherwise((F.pow(grown, 252 / F.count("equity")) - 1) * 100).alias("annualized_return_pct"), (-F.min("_dd") * 100).alias("max_drawdown_pct"),
         F.coalesce(F.avg("_r") / (F.stddev_pop("_r") + 1e-12) * F.sqrt(F.lit(252.0)), F.lit(0.0)).alias("sharpe"), n.alias("trade_count"), per(won).alias("win_rate_pct"), per(lost).alias("loss_rate_pct"), factor.alias("profit_factor"),
-        F.coalesce(div(F.avg(won), F.abs(F.avg(lost))), F.lit(0.0)).alias("profit_loss_ratio"), F.coalesce(F.sum("fee"), F.lit(0.0)).alias("total_fee"), F.coalesce(F.avg("fee"), F.lit(0.0)).alias("mean_fee"))
+        F.coalesce(div(F.avg(won), F.abs(F.avg(lost))), F.count(won).cast("double")).alias("profit_loss_ratio"), F.coalesce(F.sum("fee"), F.lit(0.0)).alias("total_fee"), F.coalesce(F.avg("fee"), F.lit(0.0)).alias("mean_fee"))
     return m.withColumn("score", trade_score(F.col("total_return_pct"), F.col("max_drawdown_pct"), F.col("win_rate_pct"), F.col("profit_factor"), F.col("trade_count")))
 
 
@@ -410,17 +410,25 @@ def walk_forward(bars: DataFrame, windows: DataFrame, signals, rules: Rules) ->
     return m.select(parts[0].cast("int").alias("window_id"), parts[1].alias("phase"), parts[2].alias("symbol"), *[c for c in m.columns if c != "symbol"])
 
 
-def stability(results: DataFrame) -> DataFrame:
-    """Per symbol: out-of-sample means and medians, shares of positive windows, consistency and whether it is stable.
+def stability(results: DataFrame, windows: DataFrame | None = None, least: int = 2) -> DataFrame:
+    """Per symbol: out-of-sample means and medians, shares of positive windows, consistency, and what they say.
 
-    Stable is a strategy with 60 % of test windows in profit and a median test Sharpe that is not negative.
+    ``validation`` is inconclusive with fewer than ``least`` complete windows (of both phases; the figures are null then)
+    or if one of ``windows`` (window_id; default: all in ``results``) is missing; else stable with 60 % of test windows in
+    profit and a median test Sharpe that is not negative; else unstable. ``reason`` says why it is inconclusive.
     """
     test, train = (results.where(F.col("phase") == p).select("symbol", "window_id", *[F.col(c).alias(f"{p}_{c}") for c in ("total_return_pct", "sharpe", "score")]) for p in ("test", "train"))
-    r, sharpe = F.col("test_total_return_pct"), F.col("test_sharpe")
-    s = test.join(train, ["symbol", "window_id"]).groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("windows"), F.avg(r).alias("return_mean"), F.median(r).alias("return_median"), F.avg(sharpe).alias("sharpe_mean"), F.median(sharpe).alias("sharpe_median"), F.avg("test_score").alias("score_mean"),
-        F.avg((r > 0).cast("double")).alias("positive_return_rate"), F.avg((sharpe > 0).cast("double")).alias("positive_sharpe_rate"), F.greatest(F.lit(0.0), 100 - F.avg(F.abs(F.col("train_sharpe") - sharpe)) * 20).alias("consistency"))
-    return s.withColumn("stable", (F.col("positive_return_rate") >= 0.6) & (F.col("sharpe_median") >= 0))
+    r, sharpe = (F.coalesce(F.col(f"test_{c}"), F.lit(0.0)) for c in ("total_return_pct", "sharpe"))
+    figures = {
+        "return_mean": F.avg(r), "return_median": F.median(r), "sharpe_mean": F.avg(sharpe), "sharpe_median": F.median(sharpe), "score_mean": F.avg(F.coalesce("test_score", F.lit(0))),
+        "positive_return_rate": F.avg((r > 0).cast("double")), "positive_sharpe_rate": F.avg((sharpe > 0).cast("double")), "consistency": F.greatest(F.lit(0.0), 100 - F.avg(F.abs(F.coalesce("train_sharpe", F.lit(0.0)) - sharpe)) * 20)}
+    s = test.join(train, ["symbol", "window_id"]).groupBy("symbol").agg(F.count(F.lit(1)).alias("windows"), *[c.alias(n) for n, c in figures.items()])
+    planned = (windows if windows is not None else results).agg(F.countDistinct("window_id").alias("_planned"))
+    s = results.select("symbol").distinct().join(s, "symbol", "left").join(F.broadcast(planned), F.lit(True)).withColumn("windows", F.coalesce("windows", F.lit(0).cast("long")))
+    s = s.withColumn("failed_windows", F.greatest(F.col("_planned") - F.col("windows"), F.lit(0))).withColumns({n: F.when(F.col("windows") >= least, F.col(n)) for n in figures})
+    few, lost = F.col("windows") < least, F.col("failed_windows") > 0
+    good = (F.col("positive_return_rate") >= 0.6) & (F.col("sharpe_median") >= 0)
+    return s.drop("_planned").withColumn("validation", F.when(few | lost, "inconclusive").when(good, "stable").otherwise("unstable")).withColumn("reason", F.when(few, "too_few_windows").when(lost, "failed_windows"))
 
 
 def sensitivity(results: DataFrame, params: list[str], score: str) -> DataFrame:

@@ -59,7 +59,7 @@ def position_size(equity: float, profile: str, entry, stop, multiplier: float =
 
 
 def pareto_front(points: DataFrame, key: str, larger: list[str]) -> DataFrame:
-    """Rows that none dominates; of equal rows all stay.
+    """Rows that none dominates; of equal rows all stay. A row that lacks a measure compares with none and stays too.
 
     For two measures a point is on the front if none with a larger first measure has as large a second: one aggregation
     and one running maximum, without pairs. For more measures each row is held against the distinct points, which suits
@@ -67,10 +67,11 @@ def pareto_front(points: DataFrame, key: str, larger: list[str]) -> DataFrame:
     """
     if len(larger) == 2:
         a, b = larger
-        best = points.groupBy(a).agg(F.max(b).alias("_own"))
+        lacking = points.where(F.col(a).isNull() | F.col(b).isNull())
+        best = points.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a).agg(F.max(b).alias("_own"))
         ahead = Window.orderBy(F.desc(a)).rowsBetween(Window.unboundedPreceding, -1)  # a row per distinct first measure
         front = best.withColumn("_ahead", F.max("_own").over(ahead)).where("_ahead IS NULL OR _own > _ahead").select(F.col(a).alias("_a"), F.col("_own").alias("_b"))
-        return points.join(front, (F.col(a) == F.col("_a")) & (F.col(b) == F.col("_b"))).select(points.columns)
+        return points.join(front, (F.col(a) == F.col("_a")) & (F.col(b) == F.col("_b"))).select(points.columns).union(lacking)
     other = points.select(*[F.col(c).alias(f"_{c}") for c in larger]).distinct()
     geq, gt = F.lit(True), F.lit(False)
     for c in larger:
