@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from tidemark import analysis_queries, block_queries, desk_queries, market_queries  # noqa: F401
+from tidemark import analysis_queries, block_queries, desk_queries, market_queries, text_queries  # noqa: F401
 from tidemark.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
