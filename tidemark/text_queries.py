@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tidemark.functions.table_functions import register
 from tidemark.operators.aliases import with_symbols
 from tidemark.queries import query
 from tidemark.sources.market import BARS_SQL, bars_1d, table
+from tidemark.sources.providers import adapted, dated_lookup
 
 #: Names as they occur in the texts; one is a part of another.
 NAMES = [("tion", "TN"), ("ention", "EN"), ("nder", "ND"), ("under", "UN"), ("ción", "CI"), ("heit", "HT"), ("keit", "KT"), ("ement", "EM"), ("ing", "IG"), ("anding", "AG"), ("ould", "OU"), ("ever", "EV")]
@@ -67,3 +70,42 @@ def sql_bar_issues(spark, d):
     name = _bars_view(spark, d)
     moved = f"SELECT symbol, date, open - 25 AS open, IF(day(date) % 9 = 0, NULL, high - 25) AS high, low - 25 + IF(day(date) % 7 = 0, 60, 0) AS low, close - 25 AS close FROM {name}"
     return spark.sql(f"SELECT * FROM bar_issues(TABLE({moved}))")
+
+
+# ---------------------------------------------------------------- rows of providers
+
+_RAW_SQL = f"""SELECT printf('%s%04d.SHF', substr(symbol, 1, 1) || lower(chr(CAST(65 + CAST(substr(symbol, 2) AS INT) AS INT))), 2400 + CAST(substr(symbol, 2) AS INT)) AS ts_code, symbol, date, close, open, volume,
+ CAST(substr(symbol, 2) AS INT) % 5 AS k FROM ({BARS_SQL})"""
+
+
+def _raw(spark, d):
+    b = bars_1d(spark, d).withColumn("n", F.substring("symbol", 2, 2).cast("int"))
+    return b.select(F.format_string("%s%s%04d.SHF", F.substring("symbol", 1, 1), F.lower(F.char(65 + F.col("n"))), 2400 + F.col("n")).alias("ts_code"), "symbol", "date", "close", "open", "volume", (F.col("n") % 5).alias("k"))
+
+
+@query(f"""SELECT CASE WHEN k = 0 THEN upper(regexp_extract(ts_code, '^[A-Za-z]*')) ELSE symbol END AS symbol, round(close, 2) AS current_price, CAST(trunc(volume * 1.5) AS BIGINT) AS volume,
+ CASE WHEN k = 1 THEN NULL WHEN k = 2 THEN round(open, 2) ELSE round(close - 1, 2) END AS pre_settlement,
+ CASE WHEN k = 1 THEN round((round(close, 2) - round(open, 2)) / round(open, 2) * 100, 2) WHEN k = 2 THEN round((round(close, 2) - round(open, 2)) / round(open, 2) * 100, 2) ELSE round((round(close, 2) - round(close - 1, 2)) / round(close - 1, 2) * 100, 2) END + 0.0 AS change_percent,
+ CAST(date AS TIMESTAMP) + INTERVAL 1 HOUR AS updated_at FROM ({_RAW_SQL}) WHERE close > 2 AND open > 1""")
+def adapted_quotes(spark, d):
+    r = _raw(spark, d).where("close > 2 AND open > 1")
+    text = lambda c: F.round(c, 2).cast("string")
+    raw = r.select("ts_code", F.when(F.col("k") != 0, F.col("symbol")).otherwise("-").alias("symbol"), text("close").alias("close"), text("open").alias("open"), (F.col("volume") * 1.5).cast("string").alias("vol"),
+                   F.when(F.col("k") > 2, text(F.col("close") - 1)).when(F.col("k") == 0, text(F.col("close") - 1)).otherwise("None").alias("pre_close"), F.when(F.col("k") == 2, text("open")).otherwise("").alias("pre_settle"), F.concat(F.date_format("date", "yyyyMMdd"), F.lit(" 09:00:00")).alias("trade_time"))
+    a = adapted(raw, "exchange_quote")
+    return a.select("symbol", "current_price", "volume", "pre_settlement", (F.col("change_percent") + F.lit(0.0)).alias("change_percent"), F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
+
+
+@query("""SELECT upper(c) AS ts_code, CASE WHEN p_partkey % 7 = 1 THEN 'MAIN' WHEN p_partkey % 7 = 2 THEN 'CONTINUOUS' WHEN p_partkey % 3 = 0 THEN 'NORMAL' WHEN p_partkey % 3 = 1 THEN 'CONTINUOUS' ELSE 'MAIN' END AS contract_type, p_partkey % 4 <> 0 AS is_active, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS multiplier
+ FROM (SELECT *, CASE p_partkey % 3 WHEN 0 THEN 'au2506.shf' WHEN 1 THEN 'cul.shf' ELSE 'au.shf' END AS c FROM part)""")
+def adapted_contracts(spark, d):
+    k = F.col("p_partkey")
+    raw = table(spark, d, "part").select(F.when(k % 3 == 0, "au2506.shf").when(k % 3 == 1, "cul.shf").otherwise("au.shf").alias("ts_code"), F.when(k % 7 == 1, "沪金主力").when(k % 7 == 2, "沪金连续").alias("name"), F.when(k % 6 == 0, "nan").otherwise(F.col("p_size").cast("string")).alias("multiplier"), F.when(k % 4 == 0, "20240131").when(k % 4 == 1, "2024-02-02").when(k % 4 == 2, "").alias("delist_date"))
+    return adapted(raw, "contract", F.to_date(F.lit("2024-01-31"))).select("ts_code", "contract_type", "is_active", "multiplier")
+
+
+@query(f"SELECT ts_code, CAST(date AS TIMESTAMP) AS trade_date, round(close, 2) AS settle FROM ({_RAW_SQL}) WHERE ts_code SIMILAR TO 'S[ac].*' AND date <= DATE '2024-01-25' ORDER BY date DESC, ts_code LIMIT 30")
+def settlements_of(spark, d):
+    raw = _raw(spark, d).select("ts_code", F.date_format("date", "yyyy-MM-dd").alias("trade_date"), F.round("close", 2).cast("string").alias("settle"))
+    s = adapted(raw, "settlement").select("ts_code", F.col("trade_date").cast("timestamp_ntz").alias("trade_date"), "settle")
+    return dated_lookup(s, "ts_code", ["Sa", "Sc"], end=dt.datetime(2024, 1, 25), limit=30, prefix=True)
