@@ -50,6 +50,9 @@ KEPT, CONTEXTS = 400_000, 100_000
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Letters that a look-alike may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "*": LETTERS, "#": LETTERS, "~": LETTERS}
+#: Marks at the end of clauses; marks around words.
+ENDS = ".,;:!?"
+OUTER = ".,;:?\"'()[]{}<>-%&"
 #: The first of them, to tell which fragments may belong together.
 LIKELY = str.maketrans({c: x[0] for c, x in LOOKALIKES.items()})
 #: Lower-case letters of other scripts that look like Latin ones.
@@ -68,6 +71,7 @@ MARKS = re.compile(r"[@$!|+(€#*].*[@$!|+(€#*]")
 SPACED = re.compile(r"\s(\S{1,2}(?:\s+\S{1,2}){2,})(?=\s)")
 #: Characters that are not seen; full-width forms.
 HIDDEN, WIDE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]"), re.compile("[\uff01-\uff5e]+")
+UNPLAIN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff\uff01-\uff5e]")
 RUN = re.compile(r"(.)\1+", re.DOTALL)
 GAP = re.compile(r"[.\-_·,;:/ \t]")
 #: Readings of a token with gaps, and of one with a sign for any letter, and the log cost by which they may be worse than
@@ -86,7 +90,7 @@ def crc_fold(doc_id: Column) -> Column:
 def visible(text: str | None) -> str:
     """A text in lower case, full-width forms as their plain ones, without characters that are not seen."""
     text = text or ""
-    if not text.isascii():
+    if not text.isascii() and UNPLAIN.search(text):
         text = WIDE.sub(lambda m: unicodedata.normalize("NFKC", m[0]), HIDDEN.sub("", text))
     return text.lower()
 
@@ -249,14 +253,21 @@ def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: Counter = Counter()
         for t in batch["text"]:
             words.update(set(visible(t).split()))
-        places: Counter = Counter()
+        plain: Counter = Counter()
         for w, n in words.items():
-            w = EDGES.sub("", w)
+            if not w.isalpha():
+                w = EDGES.sub("", w)
             if w.isalpha():
-                c = [0, 0, *map(letter_class, w), 0]
-                for i, j, k in zip(c, c[1:], c[2:], strict=False):
-                    places[(i * SIZE + j) * SIZE + k] += n
-        np.add.at(counts, list(places), list(places.values()))
+                plain[w] += n
+        # all words padded and in a row; the trigrams that begin in a word's last two places belong to none
+        c = np.frombuffer("".join([f"  {w} " for w in plain]).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        c = np.where(c == 32, 0, np.where((c >= 97) & (c <= 122), c - 96, 27 + c % CLASSES))
+        length = np.fromiter(map(len, plain), dtype=np.int64, count=len(plain)) + 3
+        n = np.repeat(np.fromiter(plain.values(), dtype=np.int64, count=len(plain)), length)
+        n[np.cumsum(length) - 1] = n[np.cumsum(length) - 2] = 0
+        if len(c):
+            places = (c[:-2] * SIZE + c[1:-1]) * SIZE + c[2:]
+            counts += np.bincount(places, weights=n[:-2], minlength=SIZE**3).astype(np.int64)
     at = np.flatnonzero(counts)
     yield pd.DataFrame({"place": at, "n": counts[at]})
 
@@ -306,7 +317,13 @@ class ToxicityModel:
         self.values = np.array(list(self.weights.values()), dtype=float)
         self.known: dict[str, tuple[int, ...]] = {}
         self.begun = {f[:n] for f in self.weights for n in range(1, len(f))}
+        self.longest = max(map(len, self.weights), default=0)
         self.singles = {single(f) for f in self.weights}
+        twins: dict[str, list[str]] = {}
+        for t, c in TWINS.items():
+            twins.setdefault(c, [c]).append(t)
+        #: Two letters that a token with a feature begins with, if the first is not doubled.
+        self.heads = {x + y for f in self.weights for x in twins.get(f[0], f[0]) for y in twins.get(f[1], f[1])}
 
     def __getstate__(self):
         return {"letters": self.letters, "weights": self.weights, "bias": self.bias}
@@ -329,10 +346,17 @@ class ToxicityModel:
         cut = single(token)
         return any(cut[:n] in self.singles for n in range(1, len(cut) + 1)) if len(cut) < 64 else True
 
+    def plain(self, token: str) -> bool:
+        """True for tokens of letters that cannot have a feature, by length and beginning."""
+        return token.isalpha() and (len(token) < STEM or token[:2] not in self.heads and token[0] != token[1])
+
     def token(self, token: str) -> tuple[int, ...]:
         """The numbers of the model's features in a token."""
         hit = self.known.get(token)
-        if hit is None:  # most tokens are neither disguised nor begin like a feature
+        if hit is None:  # most tokens are neither disguised nor begin like a feature: these are not worth keeping
+            bare = token.strip(OUTER)
+            if self.plain(bare):
+                return ()
             bare = EDGES.sub("", token)
             words = sorted(readings(bare, self.letters)) if disguised(bare) or self.worth(bare) else (bare,)
             hit = tuple(sorted({f for f in map(self.feature, words) if f is not None}))
@@ -346,10 +370,10 @@ class ToxicityModel:
 
         Whether they are that word is for the letter model to say, against their being words of their own.
         """
-        found, begun = [], self.begun
+        found, begun, most = [], self.begun, self.longest
         for i, t in enumerate(tokens):
-            if t in begun or not t.isalpha() and EDGES.sub("", t).translate(LIKELY) in begun:
-                parts = [EDGES.sub("", t)]
+            if t in begun or t[-1] not in ENDS and not t.isalpha() and len(t) <= most and t.rstrip("-").translate(LIKELY) in begun:
+                parts = [t.rstrip("-")]
                 joined = parts[0].translate(LIKELY)
                 while joined in begun and i + len(parts) < len(tokens):
                     parts.append(EDGES.sub("", tokens[i + len(parts)]))
@@ -363,7 +387,10 @@ class ToxicityModel:
         text = visible(text)
         hits: set[int] = set()
         known, tokens = self.known.get, text.split()
+        heads = self.heads
         for t in set(tokens):
+            if t.isalpha() and (len(t) < STEM or t[:2] not in heads and t[0] != t[1]):  # as ``plain``
+                continue
             hit = known(t)
             if hit is None:
                 hit = self.token(t)
