@@ -140,3 +140,28 @@ def test_order_of_the_files(spark):
 def test_names_with_dots(spark):
     df = spark.createDataFrame([(i, "a", "w", 1) for i in range(5)], "doc_id long, source string, text string, `a.b` int")
     assert M.mix(df, plan_columns=False).columns == df.columns and M.mix(df).count() == 5
+
+
+def test_the_query_binds(spark, documents):
+    """Bisected exponent below 1, whole and partial passes, the budget spent: row by row as by brute force."""
+    from .conftest import DATA
+
+    got = M.op9_source_mixing(spark, DATA).collect()
+    tokens = Counter()
+    for d in documents.collect():
+        tokens[d.source] += len(library_ids(d.text))
+    budget, shares_ = M.QUERY_BUDGET * sum(tokens.values()), Counter()
+    for r in got:
+        shares_[r.source] += r.n_tokens
+    weight = {r.source: r.weight for r in got}
+    passes = {s: weight[s] * budget / tokens[s] for s in weight}
+    entropy = -sum(w * log(w) for w in weight.values()) / log(len(weight))
+    repeated = max(passes.values()) / min(passes.values())
+    assert repeated <= M.REPEAT_LIMIT + 1e-6 and (entropy == pytest.approx(M.QUERY_ENTROPY, abs=2e-6) or repeated == pytest.approx(M.REPEAT_LIMIT, rel=1e-6))
+    assert {r["pass"] for r in got} >= {1, 2} and any(weight[s] != pytest.approx(tokens[s] / sum(tokens.values()), rel=1e-3) for s in weight)
+    longest = max(r.n_tokens for r in got)
+    assert all(weight[s] * budget - longest <= shares_[s] <= weight[s] * budget + 1e-6 for s in weight)
+    times = Counter((r.source, r.doc_id) for r in got)
+    for s in weight:
+        whole = int(weight[s] * budget / tokens[s] + 1e-9)
+        assert {n for (source, _), n in times.items() if source == s} <= {whole, whole + 1}

@@ -99,3 +99,32 @@ def test_rules_from_a_file(spark, tmp_path):
     rules = spark.read.text(str(tmp_path)).withColumnRenamed("value", "rule")
     df = spark.createDataFrame([(1, "http://casino.x/"), (2, "http://x/casino-royale"), (None, None), (4, "http://x/" + "a/" * 100_000 + "casino")], "page_id long, url string")
     assert {r.page_id: r.verdict for r in U.judge_urls(df, host_rules=(), patterns=rules).collect()} == {1: "block", 2: "allow", None: "allow", 4: "block"}
+
+
+def test_rules_parsed_here_and_in_a_table_are_the_same(spark):
+    lines = [*U.PATTERNS, "  ^Shop*deal^ ", "|https://a.b/c?d|", "||x.y^z", "! a comment", "", "*", "a*b", "^a^*^b^", "@@||q^", "a.(b)+[c]{d}$e\\f", "^casino^", None]
+    table_ = {(r.rule, r.allow, r.regex, tuple(r.literals)) for r in U.parse_rules(spark.createDataFrame([(x,) for x in lines], "rule string")).collect()}
+    assert {(*r[:3], tuple(r[3])) for r in U.parse_local(tuple(lines))} == table_
+
+
+def test_a_rule_file(spark, tmp_path):
+    (tmp_path / "rules.txt").write_text("! list\n^forum^spam^\n\n@@^forum^spam^report^\n")
+    pages = spark.createDataFrame([(1, "http://a.de/forum/spam/x"), (2, "http://a.de/forum/spam/report/1"), (3, "http://news.de/spam-report"), (4, None)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in U.judge_urls(pages, patterns=U.read_rules(spark, str(tmp_path / "rules.txt"))).collect()}
+    assert got == {1: "block", 2: "allow", 3: "allow", 4: "allow"}
+
+
+def test_clean_urls_stay(spark):
+    """Words of the rules in the paths of ordinary pages."""
+    clean = ["news.de/spam-report", "school.org/adult-learning", "museum.fr/xxx-century", "blog.de/phishing-explained", "library.io/warez-history", "uni.edu/anti-spam", "paper.com/spam/filter", "shop.de/adult/education"]
+    bad = ["spam.example.org/x", "www.xxx.com/", "porn.site/", "a.de/casino/play", "ads.example.de/ads/1", "a.de/porn/video/1"]
+    pages = spark.createDataFrame(list(enumerate(f"https://{u}" for u in clean + bad)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in U.judge_urls(pages, host_rules=()).collect()}
+    assert [got[i] for i in range(len(got))] == ["allow"] * len(clean) + ["block"] * len(bad)
+
+
+def test_too_many_rules_for_every_url(spark, monkeypatch):
+    monkeypatch.setattr(U, "PLAN_RULES", 2)
+    monkeypatch.setattr(U, "MOST_LOOSE", 3)
+    with pytest.raises(ValueError):
+        U.judge_urls(spark.createDataFrame([(1, "u")], "page_id long, url string"), patterns=("a*", "b*", "c*", "d*"))

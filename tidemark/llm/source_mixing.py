@@ -27,6 +27,8 @@ BLOCKS = 4096
 #: Share of the largest possible entropy, log(number of sources), to reach; most passes of a source for each of another.
 TARGET_ENTROPY, REPEAT_LIMIT = 0.9, 2.0
 SEED = 17
+#: The query's target, which even sources fall short of, and its budget as a multiple of the corpus: whole and partial passes.
+QUERY_ENTROPY, QUERY_BUDGET = 0.9999, 1.5
 #: Exponents judged at once, and rounds: the bisection narrows by 16 a round.
 SECTIONS, ROUNDS = 16, 7
 #: A table of per-source plans is broadcast only up to this many rows (some 10 MB).
@@ -147,5 +149,6 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     counted = cut(docs.select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens")))
-    mixed = mix(counted, tokens_col="n_tokens")
+    budget = QUERY_BUDGET * (counted.agg(F.sum("n_tokens")).first()[0] or 0)
+    mixed = mix(counted, tokens_col="n_tokens", budget=budget, target_entropy=QUERY_ENTROPY)
     return mixed.select("doc_id", "source", "n_tokens", F.col("mix_weight").alias("weight"), F.col("mix_pass").alias("pass"), F.col("mix_block").alias("block_order"), F.col("mix_place").alias("place"))

@@ -12,6 +12,8 @@ narrow pass; any more are a table that is joined by token. A rule without a lite
 
 from __future__ import annotations
 
+import re
+
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,16 +30,18 @@ PATTERNS = (
     # goods and services that are advertised in bulk
     "^pills^", "^viagra^", "^pharma*^discount^", "^payday^loans^", "^buy^followers^", "^seo^backlinks^", "^link^farm^", "^replica^watches^",
     # adult
-    "^adult^", "^porn^", "^xxx^", "||sex^", "@@^adult^education^",
+    "||adult^", "||porn^", "||xxx^", "||sex^", "^porn^video^", "^adult^chat^", "@@^adult^education^",
     # advertising and tracking
     "^ads^", "||adserver^", "||adservice^", "||doubleclick.net^", "^banner^ad^", "^click^track^", "^affiliate^redirect^", "@@^ads.txt|",
     # abuse
-    "^spam^", "@@^anti^spam^", "@@^spam^filter^", "^torrent^*^crack^", "^keygen^", "^warez^", "^phishing^",
+    "||spam^", "@@^anti^spam^", "@@^spam^filter^", "^torrent^*^crack^", "^keygen^", "||warez^", "||phishing^",
 )
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules up to this many are an index in the plan, more are a joined table.
 PLAN_RULES = 1_000
+#: Rules without a literal token run on every url, as part of the plan; more than these are refused.
+MOST_LOOSE = 1_000
 #: Regular expressions for what a separator, and the start of a host's label, are.
 SEPARATOR, LEFT, LABEL = r"(?:[^a-z0-9]|\z)", r"(?:\A|[^a-z0-9])", r"\A[^/?#]*://(?:[^/?#]*[.@])?"
 
@@ -70,6 +74,25 @@ def parse_rules(rules: DataFrame, rule_col: str = "rule") -> DataFrame:
     return rows.select("rule", "allow", F.concat(F.lit("(?s)"), F.when(free, LEFT).otherwise(F.col("start")), body, F.col("end")).alias("regex"), literals.alias("literals"))
 
 
+def parse_local(patterns: tuple) -> list[tuple[str, bool, str, list[str]]]:
+    """The same rows as ``parse_rules``, of a few rules in the program."""
+    out = {}
+    for text in patterns:
+        rule = (text or "").translate(str.maketrans(UPPER, LOWER)).strip(" ")
+        if rule and not rule.startswith("!"):
+            body = rule.removeprefix("@@")
+            core = re.sub(r"^\|+|\|+$", "", body)
+            marked = ("|" if body.startswith("|") else "*") + core + ("|" if body.endswith("|") else "*")
+            literals = list(dict.fromkeys(re.findall(r"(?<=[^a-z0-9*])[a-z0-9]+(?=[^a-z0-9*])", marked)))
+            out[rule] = rule, rule.startswith("@@"), regex_of(rule), literals
+    return list(out.values())
+
+
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """A rule file, a rule a line, as the table that ``judge_urls`` takes."""
+    return spark.read.text(path).withColumnRenamed("value", "rule")
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
@@ -106,11 +129,19 @@ def index_rules(rules: DataFrame, pages: DataFrame, url_col: str) -> DataFrame:
     return rules.join(rarest, "rule").select("token", "regex", "allow")
 
 
+def local_index(rules: list[tuple], pages: DataFrame, url_col: str) -> list[dict]:
+    """The index of a few rules; one job counts their tokens in the urls."""
+    literals = sorted({t for r in rules for t in r[3]})
+    tokens = pages.select(F.explode(F.array_distinct(F.filter(url_tokens(F.col(url_col)), lambda t: t.isin(literals)))).alias("token")) if literals else None
+    often = {r.token: r.n for r in tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()} if literals else {}
+    return [{"token": min(r[3], key=lambda t: (often.get(t, 0), -len(t), t)), "regex": r[2], "allow": r[1]} for r in rules if r[3]]
+
+
 def plan_index(index: list) -> Column:
     """The index as an array of buckets of (token, regex, allow), by a hash of the token."""
     size = 1 << max(4, (2 * len(index)).bit_length())
     buckets: list[list] = [[] for _ in range(size)]
-    for r in sorted(index):
+    for r in sorted(index, key=lambda r: (r["token"], r["regex"], r["allow"])):
         buckets[xxhash.xxh64_intdigest(r["token"].encode(), 42) % size].append(r)
     empty = F.array().cast("array<struct<token:string,regex:string,allow:boolean>>")
     return F.array(*[F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("token", "regex", "allow")]) for r in b]) if b else empty for b in buckets])
@@ -129,23 +160,35 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     host and path, and patterns alone can block it. Urls of any length are matched whole. Null ids stay null; repeated
     rows are judged alike; other columns are ignored. An empty table gives an empty result.
     """
-    spark = pages.sparkSession
+    spark, few = pages.sparkSession, None
     if not isinstance(patterns, DataFrame):
-        patterns = spark.createDataFrame([(p,) for p in patterns], "rule string")
-    rules = staged(parse_rules(patterns), "url-rules")
-    index = index_rules(rules.where("size(literals) > 0"), pages, url_col)
-    loose = rules.where("size(literals) = 0").select("regex", "allow").collect()
+        if len(patterns) <= PLAN_RULES:
+            few = parse_local(patterns)
+        else:
+            patterns = spark.createDataFrame([(p,) for p in patterns], "rule string")
+    if few is None:
+        rules = staged(parse_rules(patterns), "url-rules")
+        if rules.count() <= PLAN_RULES:
+            few = [(r.rule, r.allow, r.regex, list(r.literals)) for r in rules.collect()]
+    if few is not None:
+        loose = [{"regex": r[2], "allow": r[1]} for r in few if not r[3]]
+    else:
+        loose = rules.where("size(literals) = 0").select("regex", "allow").limit(MOST_LOOSE + 1).collect()
+        if len(loose) > MOST_LOOSE:
+            raise ValueError(f"more than {MOST_LOOSE} rules have no literal token, and would run on every url")
     low = lower_ascii(F.coalesce(F.col(url_col), F.lit("")))
     host, path = host_and_path(F.col(url_col))
     id_ = F.col(id_col).alias("page_id")
-    if rules.count() <= PLAN_RULES:
-        held = plan_index(index.collect())
+    if few is not None:
+        held = plan_index(local_index(few, pages, url_col))
         fetched = F.flatten(F.transform(url_tokens(low), lambda t: F.filter(F.element_at(held, (F.pmod(F.xxhash64(t), F.size(held)) + 1).cast("int")), lambda r: r["token"] == t)))
         rows = pages.select(id_, host.alias("host"), path.alias("path"), low.alias("low"), _any(fetched, low, False).alias("bad"), _any(fetched, low, True).alias("good"))
     else:
         rows = staged(pages.select(id_, host.alias("host"), path.alias("path"), low.alias("low"), F.monotonically_increasing_id().alias("row")), "urls")
-        tokens = rows.select("row", "low", F.explode(F.array_distinct(url_tokens(F.col("low")))).alias("token"))
-        hits = tokens.join(staged(index, "url-index"), "token").where("rlike(low, regex)").groupBy("row").agg(F.bool_or(~F.col("allow")).alias("bad"), F.bool_or("allow").alias("good"))
+        index = staged(index_rules(rules.where("size(literals) > 0"), pages, url_col), "url-index")
+        tokens = rows.select("row", F.explode(F.array_distinct(url_tokens(F.col("low")))).alias("token"))
+        fetched = tokens.join(index, "token").select("row", "regex", "allow")  # urls come to the hits, not to every token
+        hits = fetched.join(rows.select("row", "low"), "row").where("rlike(low, regex)").groupBy("row").agg(F.bool_or(~F.col("allow")).alias("bad"), F.bool_or("allow").alias("good"))
         rows = rows.join(hits, "row", "left").withColumn("bad", F.coalesce("bad", F.lit(False))).withColumn("good", F.coalesce("good", F.lit(False)))
     if loose:
         more = F.array(*[F.struct(F.lit(r["regex"]).alias("regex"), F.lit(r["allow"]).alias("allow")) for r in loose])
