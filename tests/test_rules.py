@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import desk as D
 from tidemark.operators import market as M
 from tidemark.operators import search as E
 from tidemark.operators import simulate as S
@@ -103,3 +104,15 @@ def test_a_cycle_ends_and_names_are_values(spark):
     other = spark.createDataFrame([("o'x", "z")], "parent string, child string")
     first, second = M.children_of(edges, "b"), M.children_of(other, "o'x")
     assert sorted(map(tuple, second.collect())) == [("o'x", 0), ("z", 1)] and first.count() == 5
+
+
+@pytest.mark.parametrize(("inner", "outer", "stability"), [(2.0, 1.0, 50.0), (1.0, 3.0, 100.0), (1.0, -1.0, 0.0), (-1.0, -0.5, 50.0), (0.0, 0.0, 100.0), (0.0, 1.0, 0.0), (1.0, None, 0.0), (1.0, "none", 50.0)])
+def test_fitness_out_of_sample(spark, inner, outer, stability):
+    parts = dict.fromkeys(D.FITNESS, 60.0)
+    scored = spark.createDataFrame([("S", inner, *parts.values())], "symbol string, sharpe double, " + ", ".join(f"{c} double" for c in parts))
+    test = spark.createDataFrame([] if outer == "none" else [("S", outer)], "symbol string, sharpe double")
+    r = D.fitness_out_of_sample(scored, test, ["symbol"]).first()
+    weights = {c: w - 0.05 if c in ("win_score", "profit_score") else w for c, w in D.FITNESS.items()}
+    weights = {c: max(0.05, w) for c, w in weights.items()}
+    want = (60 * sum(weights.values()) + stability * 0.25) / (sum(weights.values()) + 0.25)
+    assert r.stability_score == stability and r.fitness == pytest.approx(want, abs=0.0051)

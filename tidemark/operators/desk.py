@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +40,40 @@ def fitness_scores(m: DataFrame, conditions: Column | int = 1, weights: dict[str
     return r.withColumn("fitness", F.round(bounded(total), 2))
 
 
+#: How much stability out of sample counts, and where half of that is taken from.
+STABILITY, LESS = 0.25, {"win_score": 0.05, "profit_score": 0.05}
+
+
+def fitness_out_of_sample(scored: DataFrame, test: DataFrame, keys: list[str]) -> DataFrame:
+    """``scored`` (from ``fitness_scores``, with in-sample ``sharpe``) with ``stability_score`` and ``fitness`` anew.
+
+    Stability is the share of the in-sample Sharpe that ``test`` (keys, sharpe) keeps, in per cent from 0 to 100; without
+    an in-sample one it is 100 if there is none out of sample either, else 0; without a test it is 50. Weights of wins and
+    profits give way, and all are normalised.
+    """
+    weights = {c: max(0.05, w - LESS[c]) if c in LESS else w for c, w in FITNESS.items()} | {"stability_score": STABILITY}
+    total = sum(weights.values())
+    out = test.select(*keys, F.coalesce("sharpe", F.lit(0.0)).alias("_out"), F.lit(True).alias("_tested"))
+    inner = F.coalesce("sharpe", F.lit(0.0))
+    ratio = F.when(F.abs(inner) > 0.01, F.col("_out") / inner).otherwise(F.when(F.abs("_out") < 0.01, 1.0).otherwise(0.0))
+    stable = F.when(F.col("_tested"), F.greatest(F.lit(0.0), F.least(F.lit(100.0), ratio * 100))).otherwise(50.0)
+    r = scored.join(out, keys, "left").withColumn("stability_score", stable).drop("_out", "_tested")
+    fitness = reduce(lambda a, b: a + b, [F.col(c) * (w / total) for c, w in weights.items()])
+    return r.withColumn("fitness", F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), fitness)), 2))
+
+
+def train_and_test(spans: DataFrame, test_share: float = 0.3, least_train: int = 40, least_test: int = 10) -> DataFrame:
+    """``spans`` (first, last: dates) with train_start, train_end, test_start and test_end: the test follows the training by a
+    day and none is drawn at random. All null where there are too few days for both."""
+    days = F.datediff("last", "first")
+    test = F.floor(days * F.lit(test_share)).cast("int")
+    train_end = F.date_add("first", days - test)
+    start = F.date_add(train_end, 1)
+    enough = (days >= least_train * 1.5) & (days - test >= least_train) & (F.datediff("last", start) >= least_test)
+    return spans.withColumns({n: F.when(enough, c) for n, c in {"train_start": F.col("first"), "train_end": train_end, "test_start": start, "test_end": F.col("last")}.items()})
+
+
+
 #: What each part adds to the decay of a strategy, and the scores from which it is no more kept as it is.
 DECAY = {"sharpe": 0.40, "profit_factor": 0.25, "win_rate_pct": 0.15, "trade_count": 0.20}
 DECAY_STEPS = ((20, "active"), (40, "paper"), (70, "degraded"))

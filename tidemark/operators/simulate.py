@@ -330,6 +330,10 @@ def with_parameters(rows: DataFrame, params: list, **values) -> DataFrame:
     return rows.withColumn("_sets", sets).select(*rows.columns, F.inline("_sets"))
 
 
+#: Parameter sets whose sums are columns of one aggregation.
+SUMS = 100
+
+
 def grid_cross_returns(bars: DataFrame, params: DataFrame) -> DataFrame:
     """Per parameter set and symbol: the return of holding while the short average is above the long one, a bar late.
 
@@ -340,8 +344,14 @@ def grid_cross_returns(bars: DataFrame, params: DataFrame) -> DataFrame:
     r = bars.select("symbol", "date", (div(F.col("close"), F.lag("close").over(seq())) - 1).alias("_ret"), *[moving_average(n).alias(f"_ma{n}") for n in lengths])
     before = r.select("symbol", "_ret", *[F.struct(F.col(f"_ma{n}").alias("now"), F.lag(f"_ma{n}").over(seq()).alias("before")).alias(f"_ma{n}") for n in lengths])
     above = lambda p, at: F.coalesce((F.col(f"_ma{p['short']}")[at] > F.col(f"_ma{p['long']}")[at]).cast("int"), F.lit(0))
-    held = with_parameters(before, sets, _in=lambda p: above(p, "now"), _was=lambda p: above(p, "before"))
-    return held.groupBy("param_id", "short", "long", "symbol").agg(F.sum(F.coalesce(F.col("_ret") * F.col("_was"), F.lit(0.0))).alias("total"), F.sum("_in").alias("bars_in"))
+    # a sum per set and symbol, as columns: bars are not multiplied by the sets, only their sums are
+    out = None
+    for i in range(0, len(sets), SUMS):
+        part = sets[i : i + SUMS]
+        sums = [F.struct(*[F.lit(v).alias(k) for k, v in p.asDict().items()], F.sum(F.coalesce(F.col("_ret") * above(p, "before"), F.lit(0.0))).alias("total"), F.sum(above(p, "now")).alias("bars_in")) for p in part]
+        rows = before.groupBy("symbol").agg(F.array(*sums).alias("_sets")).select("symbol", F.inline("_sets")).select("param_id", "short", "long", "symbol", "total", "bars_in")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 # ---------------------------------------------------------------- optimisation and walk-forward

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.continuous import SEGMENT_DAYS
 from tidemark.operators.intervals import interval_join
+from tidemark.sources.staging import read_text, swap_text
 
 #: The names under which bars of a period may be stored.
 PERIODS = {name: group for group in (("1m", "1"), ("5m", "5"), ("15m", "15"), ("30m", "30"), ("1h", "60"), ("1d", "D"), ("1w", "W"), ("M",)) for name in group}
@@ -19,25 +23,24 @@ def candidates(period: str) -> list[str]:
 
 
 def write_bars(bars: DataFrame, path: str) -> None:
-    """Stores bars (period, symbol, date, ...); a rebuild replaces the partitions that it has rows of."""
+    """Stores bars (period, symbol, date, ...) and, beside them, their schema; a rebuild replaces the partitions that it has
+    rows of."""
     ordered = bars.repartition("period", "symbol").sortWithinPartitions("period", "symbol", "date")
     ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period", "symbol").parquet(path)
+    parts = [f for f in bars.schema.fields if f.name not in ("period", "symbol")]
+    swap_text(bars.sparkSession, f"{path}/_schema", T.StructType([*parts, T.StructField("period", T.StringType()), T.StructField("symbol", T.StringType())]).json())
 
 
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
     """Stored bars; period and symbol are text, whatever their values look like (1d would pass for a number)."""
-    found = spark.read.parquet(path).schema
+    kept = read_text(spark, f"{path}/_schema")
+    if kept:
+        return spark.read.schema(T.StructType.fromJson(json.loads(kept))).parquet(path)
+    found = spark.read.parquet(path).schema  # of bars that were stored by others
     text = T.StructType([T.StructField(f.name, T.StringType()) if f.name in ("period", "symbol") else f for f in found])
     return spark.read.schema(text).parquet(path)
 
 
-def first_rank(rows: DataFrame, rank: Column) -> DataFrame:
-    """The rows of the least rank that there is; the rank of a few names is one row."""
-    ranked = rows.withColumn("_rank", rank)
-    best = ranked.agg(F.min("_rank").alias("_best"))
-    return ranked.join(F.broadcast(best), F.col("_rank") == F.col("_best")).drop("_rank", "_best")
-
-
 def lookup(stored: DataFrame, symbol: str, period: str, start=None, end=None, limit: int = 1000, newest_first: bool = True) -> DataFrame:
     """The latest ``limit`` bars of a symbol in a range, under the first name of the period that has any there.
 
@@ -49,8 +52,10 @@ def lookup(stored: DataFrame, symbol: str, period: str, start=None, end=None, li
         rows = rows.where(F.col("date") >= F.lit(start))
     if end is not None:
         rows = rows.where(F.col("date") <= F.lit(end))
-    if len(names) > 1:
-        rows = first_rank(rows, F.array_position(F.array(*map(F.lit, names)), F.col("period")))
+    if len(names) > 1:  # a top-k of each name; of at most three times ``limit`` rows the first name's stay
+        tops = [rows.where(F.col("period") == n).orderBy(F.desc("date")).limit(limit).withColumn("_rank", F.lit(i)) for i, n in enumerate(names)]
+        every = reduce(DataFrame.unionByName, tops)
+        rows = every.withColumn("_best", F.min("_rank").over(Window.partitionBy())).where("_rank = _best").drop("_rank", "_best")
     latest = rows.orderBy(F.desc("date")).limit(limit)
     return latest if newest_first else latest.orderBy("date")
 
@@ -95,8 +100,8 @@ def main_daily(varieties: DataFrame, contracts: DataFrame, daily: DataFrame, bar
     named_source = of(chosen.where("typed IS NOT NULL"), "main_type", 1).unionByName(of(chosen.where("typed IS NULL"), "named", 2))
     aggregated = bars.where(F.col("period").isin("D", "1d")).join(varieties.select("symbol").distinct(), "symbol", "left_semi").select(*price, F.lit(None).cast("string").alias("contract_code"), F.concat(F.lit("bars_"), F.col("period")).alias("source"), F.when(F.col("period") == "D", 4).otherwise(5).alias("rank"))
     every = named_source.unionByName(of(most, "most_rows", 3)).unionByName(aggregated)
-    best = every.groupBy("symbol").agg(F.min("rank").alias("rank"))
-    return every.join(best, ["symbol", "rank"]).drop("rank")
+    best = F.min("rank").over(Window.partitionBy("symbol"))  # the sources are read once
+    return every.withColumn("_best", best).where("rank = _best").drop("rank", "_best")
 
 
 # ---------------------------------------------------------------- panel
@@ -164,3 +169,12 @@ def backfill_contracts(bars: DataFrame, segments: DataFrame) -> DataFrame:
     spans = segments.select("symbol", F.col("contract").alias("_contract"), F.col("start").alias("_start"), F.col("end").alias("_end"))
     j = interval_join(bars, spans, ["symbol"], "date", "_start", "_end", width, "left")
     return j.withColumn("contract", F.coalesce("contract", "_contract")).select(bars.columns)
+
+
+def with_stored_factors(bars: DataFrame, stored: DataFrame, names: list[str]) -> DataFrame:
+    """``bars`` with a column per stored factor, named like it, from (symbol, date, factor, value); null where none is stored.
+
+    Of several values of a factor for a bar the greatest is taken. One shuffle of the values whatever the number of names.
+    """
+    wide = stored.where(F.col("factor").isin(*names)).groupBy("symbol", "date").agg(*[F.max(F.when(F.col("factor") == n, F.col("value"))).alias(n) for n in names])
+    return bars.join(wide, ["symbol", "date"], "left")

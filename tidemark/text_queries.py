@@ -1,4 +1,4 @@
-"""Queries of symbols in texts and of table functions in SQL, added to those of ``queries``."""
+"""Queries of symbols in texts, table functions in SQL, provider rows, catalog and payloads, added to those of ``queries``."""
 
 from __future__ import annotations
 
@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.table_functions import register
 from tidemark.operators.aliases import with_symbols
+from tidemark.operators.catalog import catalog, payload_problem, profile
+from tidemark.operators.desk import train_and_test
 from tidemark.queries import query
 from tidemark.sources.market import BARS_SQL, bars_1d, table
 from tidemark.sources.providers import adapted, dated_lookup
+from tidemark.sources.store import with_stored_factors
 
 #: Names as they occur in the texts; one is a part of another.
 NAMES = [("tion", "TN"), ("ention", "EN"), ("nder", "ND"), ("under", "UN"), ("ción", "CI"), ("heit", "HT"), ("keit", "KT"), ("ement", "EM"), ("ing", "IG"), ("anding", "AG"), ("ould", "OU"), ("ever", "EV")]
@@ -109,3 +112,39 @@ def settlements_of(spark, d):
     raw = _raw(spark, d).select("ts_code", F.date_format("date", "yyyy-MM-dd").alias("trade_date"), F.round("close", 2).cast("string").alias("settle"))
     s = adapted(raw, "settlement").select("ts_code", F.col("trade_date").cast("timestamp_ntz").alias("trade_date"), "settle")
     return dated_lookup(s, "ts_code", ["Sa", "Sc"], end=dt.datetime(2024, 1, 25), limit=30, prefix=True)
+
+
+# ---------------------------------------------------------------- catalog and payloads
+
+_PAYLOAD = """CASE event_id % 9 WHEN 0 THEN '{"n": 1, "n": 2}' WHEN 1 THEN '{"n": 1' WHEN 2 THEN '[1, 2]' WHEN 3 THEN '{"n": 1, "x": {"y": 2}}' WHEN 4 THEN '{"note": "none"}' WHEN 5 THEN '{"n": 1, "note": "' || repeat('long ', CAST(event_id % 20 AS INT)) || '"}' WHEN 6 THEN NULL WHEN 7 THEN '{"n": {"a": 1, "a": 2}}' ELSE props END"""
+
+
+@query("""SELECT problem, count(*) AS n FROM (SELECT CASE WHEN event_id % 9 IN (1, 6) THEN 'malformed' WHEN event_id % 9 IN (0, 7) THEN 'duplicate_key' WHEN event_id % 9 = 2 THEN 'not_object' WHEN event_id % 9 = 5 AND 20 + 5 * (event_id % 20) > 60 THEN 'too_large'
+ WHEN event_id % 9 = 3 THEN 'extra_key' WHEN event_id % 9 = 4 THEN 'key_missing' WHEN event_id % 9 = 8 AND len(list_filter(json_keys(props), lambda x: x NOT IN ('n', 'note'))) > 0 THEN 'extra_key' WHEN event_id % 9 = 8 AND NOT list_contains(json_keys(props), 'n') THEN 'key_missing' END AS problem FROM events) GROUP BY problem""")
+def payload_problems(spark, d):
+    rows = table(spark, d, "events").select(payload_problem(F.expr(_PAYLOAD), ["n", "note"], ["n"], 60).alias("problem"))
+    return rows.groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT 'events' AS dataset, count(*) AS row_count, CAST(min(ts) AS DATE) AS first_date, CAST(max(ts) AS DATE) AS last_date, count(DISTINCT event_type) AS symbol_count, (SELECT string_agg(s, ',' ORDER BY s) FROM (SELECT DISTINCT event_type AS s FROM events ORDER BY s LIMIT 10)) AS sample, 'event_id,ts,user_id,event_type,value,props' AS columns, CASE WHEN count(*) FILTER (WHERE value < 0) > 0 THEN 'bad' ELSE 'good' END AS quality FROM events
+ UNION ALL SELECT 'orders', count(*), CAST(min(o_orderdate) AS DATE), CAST(max(o_orderdate) AS DATE), count(DISTINCT o_custkey), (SELECT string_agg(s, ',' ORDER BY s) FROM (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS s FROM orders ORDER BY s LIMIT 10)), 'o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority', 'good' FROM orders
+ UNION ALL SELECT 'nothing', 0, NULL, NULL, NULL, NULL, 'r_regionkey,r_name', 'empty'""")
+def catalog_profiles(spark, d):
+    e, o, r = (table(spark, d, t) for t in ("events", "orders", "region"))
+    return catalog(profile(e, "events", "ts", "event_type", F.col("value") < 0), profile(o, "orders", "o_orderdate", "o_custkey"), profile(r.where("r_name = 'nowhere'"), "nothing"))
+
+
+@query(f"SELECT symbol, date, close, CASE WHEN day(date) % 3 <> 0 THEN high - low END AS span, CASE WHEN day(date) % 2 = 0 THEN close * 2 END AS double FROM ({BARS_SQL})")
+def stored_factor_columns(spark, d):
+    b = bars_1d(spark, d)
+    stored = b.where(F.dayofmonth("date") % 3 != 0).select("symbol", "date", F.lit("span").alias("factor"), (F.col("high") - F.col("low")).alias("value"))
+    stored = stored.union(b.where(F.dayofmonth("date") % 2 == 0).select("symbol", "date", F.lit("double"), F.col("close") * 2)).union(b.select("symbol", "date", F.lit("other"), F.col("open")))
+    return with_stored_factors(b.select("symbol", "date", "close"), stored, ["span", "double"])
+
+
+@query("""WITH s AS (SELECT o_custkey % 50 AS k, CAST(min(o_orderdate) AS DATE) AS first, CAST(min(o_orderdate) AS DATE) + CAST((o_custkey % 50) * 4 AS INT) AS last FROM orders GROUP BY o_custkey % 50), t AS (SELECT *, last - first AS days, CAST(floor((last - first) * 0.3) AS INT) AS test FROM s)
+ SELECT k, CASE WHEN ok THEN first END AS train_start, CASE WHEN ok THEN first + CAST(days - test AS INT) END AS train_end, CASE WHEN ok THEN first + CAST(days - test AS INT) + 1 END AS test_start, CASE WHEN ok THEN last END AS test_end FROM (SELECT *, days >= 60 AND days - test >= 40 AND test - 1 >= 10 AS ok FROM t)""")
+def train_test_spans(spark, d):
+    k = (F.col("o_custkey") % 50).alias("k")
+    spans = table(spark, d, "orders").groupBy(k).agg(F.to_date(F.min("o_orderdate")).alias("first")).withColumn("last", F.date_add("first", (F.col("k") * 4).cast("int")))
+    return train_and_test(spans).select("k", "train_start", "train_end", "test_start", "test_end")
