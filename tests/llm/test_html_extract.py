@@ -93,3 +93,66 @@ def ancestors(page, node):
 @pytest.mark.parametrize(("source", "want"), [("<svg/><p>a</p>", "a"), ("<button>b<p>a</p>", "b\na"), ("<button>b</button><p>a</p>", "a"), ("x<p title='1>2'>a</p>", "x\na"), ("a < b", "a < b"), ("<!doctype html>a<!-- b -->c", "ac"), ("<p>a<style>b", "a"), ("<p title='it>a</p>", "a")])
 def test_tokens(source, want):
     assert "\n".join(t for _, t in H.parse(source).blocks) == want
+
+
+def least_cost(page, p):
+    """The cheapest labels of a page's nodes among all that do not contradict each other, by trying every one."""
+    import math
+    from itertools import product
+
+    def cost(i, s):
+        q = min(max(p[i], 1e-4), 1 - 1e-4)
+        return {H.NEUTRAL: 0.4 + (1.5 if page.text[i][0] else 0.0), H.ARTICLE: -math.log(q), H.BOILERPLATE: -math.log(1 - q)}[s]
+
+    def fits(label):
+        return all(not (label[up] == H.BOILERPLATE and label[i] != H.BOILERPLATE) and not (label[up] == H.ARTICLE and label[i] == H.NEUTRAL) for i, up in enumerate(page.parent) if up >= 0)
+
+    return min(sum(cost(i, s) for i, s in enumerate(label)) for label in product(range(3), repeat=len(page.kind)) if fits(label)), cost
+
+
+def test_decoding_equals_brute_force():
+    """Every labelling of small trees: the decoder's is as cheap as the cheapest."""
+    rng = random.Random(6)
+    sources = ["<p>a<p>b", "<div><p>a</p><div>b<p>c</p></div></div><p>d", "<ul><li>a<li>b<li>c</ul>", "<nav><p>x</p></nav><article><h1>t</h1><p>y</p></article>", "<div><div><div>deep</div></div></div>", "text"]
+    for source in sources:
+        page = H.parse(source)
+        assert len(page.kind) <= 8
+        for _ in range(25):
+            p = [rng.choice([rng.random(), 0.0, 1.0, 0.5]) for _ in page.kind]
+            best, cost = least_cost(page, p)
+            label = H.decode(page, __import__("numpy").array(p))
+            assert sum(cost(i, s) for i, s in enumerate(label)) == pytest.approx(best, abs=1e-9)
+
+
+def alike(a, b):
+    from collections import Counter
+
+    a, b = Counter(a.split()), Counter(b.split())
+    return 2 * sum((a & b).values()) / max(1, sum(a.values()) + sum(b.values()))
+
+
+def score(trees, family, n=120):
+    rng = random.Random(99)
+    made = [H.generate(rng, family) for _ in range(n)]
+    got = list(H.main_texts([s for s, _ in made], trees))
+    return sum(alike(g, "\n".join(t)) for g, (_, t) in zip(got, made, strict=True)) / n
+
+
+@pytest.mark.parametrize("family", H.FAMILIES)
+def test_every_layout(family):
+    """Share of words in common: new pages of the layouts that were shown."""
+    assert score(H.trained(), family) > 0.9
+
+
+@pytest.mark.parametrize(("family", "least"), [("plain", 0.97), ("cells", 0.97), ("figures", 0.8), ("bare", 0.85), ("foreign", 0.95), ("divisions", 0.35)])
+def test_layouts_never_shown(family, least):
+    """The same of layouts left out of training; text in divisions alone needs to have been shown."""
+    assert score(H.trained(family), family) > least
+
+
+@pytest.mark.parametrize(("source", "want"), [
+    ("<html><body><nav><a href=x>Home</a> <a href=y>News</a></nav><article><div><span>The town has opened a new bridge over the river this week.</span></div><div><span>It took three years to build and cost more than was planned.</span></div></article><footer>&copy; us</footer>", "The town has opened a new bridge over the river this week.\nIt took three years to build and cost more than was planned."),
+    ("<body><div class='inhalt'><h1>Neue Brücke</h1><p>Die Stadt hat eine neue Brücke eröffnet.</p><figure><img><figcaption>Die Brücke am Abend.</figcaption></figure><p>Der Bau dauerte drei Jahre.</p></div><div class='fuss'>Impressum</div>", "Neue Brücke\nDie Stadt hat eine neue Brücke eröffnet.\nDie Brücke am Abend.\nDer Bau dauerte drei Jahre."),
+    ("<body><main><p>It took three years.</p><x-note>years.</x-note><x-note>Work</x-note></main>", "It took three years.\nyears. Work")])
+def test_pages_from_outside(source, want):
+    assert next(H.main_texts([source], H.trained())) == want
