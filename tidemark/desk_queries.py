@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.pack import convert
+from tidemark.functions import registry
+from tidemark.functions.library import INDICATORS
+from tidemark.functions.pack import convert, with_conversions
 from tidemark.functions.series import seq
 from tidemark.operators import desk as D
 from tidemark.operators import quality as Q
@@ -122,6 +124,25 @@ def pack_factors(spark, d):
     return rounded(with_formulas(panel_1d(spark, d), f).select("symbol", "date", *f), 6)
 
 
+#: Pack expressions by the row's type, the formulas they stand for and their categories.
+DIALECT = [("delta({})", "ts_delta({}, 1)", "momentum"), ("neg(ts_std({}, 5))", "(0 - ts_std({}, 5))", "volatility"), ("add({}, delay(open, 2), gap)", "(({} + ts_delay(open, 2)) + (open / ts_delay(close, 1) - 1))", "momentum"), ("log({})", "signed_log({})", "technical"), ("unheard({})", None, "technical"), ("mul({}, volume", None, "volume_price")]
+_PICK = "CASE event_id % 6 {} END".format
+_CASES = [" ".join(f"WHEN {i} THEN " + ("NULL" if x[k] is None else f"replace('{x[k]}', '{{}}', event_type)" if k < 2 else f"'{x[k]}'") for i, x in enumerate(DIALECT)) for k in range(3)]
+
+
+@query(f"SELECT expression, formula, CASE WHEN formula IS NULL THEN 'unsupported' ELSE 'converted' END AS status, category, count(*) AS uses FROM (SELECT {_PICK(_CASES[0])} AS expression, {_PICK(_CASES[1])} AS formula, {_PICK(_CASES[2])} AS category FROM events) GROUP BY ALL")
+def pack_conversions(spark, d):
+    texts = F.array(*[F.lit(x[0]) for x in DIALECT])
+    e = table(spark, d, "events").select(F.replace(texts[(F.col("event_id") % 6).cast("int")], F.lit("{}"), F.col("event_type")).alias("expression"))
+    e = e.groupBy("expression").agg(F.count(F.lit(1)).alias("uses"))  # each expression is read once
+    return with_conversions(e).select("expression", "formula", "status", "category", "uses")
+
+
+@query(formulas_sql(PANEL_SQL, {k: INDICATORS[k] for k in ("ma5", "rsi6", "atr14")}, 5).replace("symbol, date", "symbol, date, " + ", ".join(f"round({c}, 5) + 0.0 AS {c}" for c in registry.BAR[2:]), 1))
+def chosen_indicators(spark, d):
+    return rounded(registry.chosen_indicators(panel_1d(spark, d), [" MA5", "rsi6", "ATR14", "close"]), 5)
+
+
 @query(f"""SELECT symbol, date, CASE WHEN lots = prev THEN 'hold' WHEN prev = 0 THEN 'entry' WHEN lots = 0 THEN 'exit' WHEN sign(lots) <> sign(prev) THEN 'flip' ELSE 'rebalance' END AS label FROM (
  SELECT symbol, date, lots, lag(lots, 1, 0) {_W}) AS prev FROM (SELECT symbol, date, CAST(floor(close) % 5 - 2 AS INT) AS lots FROM ({BARS_SQL})))""")
 def order_labels(spark, d):

@@ -94,6 +94,23 @@ def plugin_factors(n: int = 5) -> dict[str, str]:
     }
 
 
+#: The factors that a new store begins with, by name: category and formula.
+SEEDS = {
+    "price_vol_20": ("量价", "ts_std(close, 20)"),
+    "ma_displaced_20": ("动量", "close / ts_delay(ts_mean(close, 40), 20) - 1"),
+    "c_ret_10": ("反转", "ts_delay(close / ts_delay(close, 20) - 1, 10)"),
+    "mtm_hcm_20": ("动量", "ts_mean(close / ts_delay(close, 20) - 1, 20) / (close / ts_mean(close, 20)) - 1"),
+    "alpha95_v2_10": ("波动", "ts_std(close, 10) * ts_std(close, 20) * ts_std(close, 40)"),
+    "sroc_20": ("动量", "(ts_mean(close, 20) - ts_delay(ts_mean(close, 20), 40)) / ts_delay(ts_mean(close, 20), 40)"),
+    "mak_v2_20": ("动量", "ts_mean((ts_mean(close, 20) / ts_delay(ts_mean(close, 20), 1) - 1) * 1000, 20)"),
+    "mm_20": ("动量", "ts_mean(close, 20) / ts_mean(close, 100) - 1"),
+    "po_20": ("动量", "(ts_mean(close, 20) - ts_mean(close, 60)) / ts_mean(close, 60) * 100"),
+    "trv_20": ("趋势", "ts_mean(100 * (ts_mean(close, 20) - ts_delay(ts_mean(close, 20), 20)) / ts_delay(ts_mean(close, 20), 20), 20)"),
+    "g_161": ("波动", "ts_mean(max_df(max_df(high - low, abs(ts_delay(close, 1) - high)), abs(ts_delay(close, 1) - low)), 12)"),
+    "copp_atr_20": ("波动", "ts_mean(100 * ((close - ts_delay(close, 20)) / ts_delay(close, 20) + (close - ts_delay(close, 40)) / ts_delay(close, 40)), 20) * (ts_mean(tr(high, low, close), 20) / ts_mean(close, 20))"),
+    "wc_20": ("趋势", "ts_mean((high + low + 2 * close) / 4, 20) / ts_mean((high + low + 2 * close) / 4, 40) - 1"),
+}
+
 #: Templates that a search expands over windows.
 TEMPLATES = {"momentum": "close / ts_delay(close, {n}) - 1", "reversal": "0 - (close / ts_delay(close, {n}) - 1)", "volatility": "ts_std(close / ts_delay(close, 1) - 1, {n})", "volume_surge": "volume / ts_mean(volume, {n})", "range_position": "ts_maxmin(close, {n})", "price_volume": "ts_corr(close, volume, {n})", "trend": "ts_zscore(close, {n})", "skewness": "ts_skew(close / ts_delay(close, 1) - 1, {n})"}
 

@@ -6,8 +6,12 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.functions.library import INDICATORS, SEEDS
 from tidemark.plans.formula import parse, with_formulas
 
+#: Columns of bars that a choice of indicators keeps.
+BAR = ("symbol", "date", "open", "high", "low", "close", "volume")
+
 
 @dataclass
 class Registry:
@@ -31,6 +35,14 @@ class Registry:
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(n, f, c) for n, (f, c) in sorted(self.factors.items())], "name string, formula string, category string")
 
+    @classmethod
+    def seeded(cls) -> Registry:
+        """The factors that a new store begins with."""
+        out = cls()
+        for name, (category, formula) in SEEDS.items():
+            out.add(name, formula, category)
+        return out
+
     @classmethod
     def load(cls, rows: DataFrame) -> Registry:
         """From a table (name, formula, category), such as a manifest; a registry is small."""
@@ -38,3 +50,16 @@ class Registry:
         for r in rows.collect():
             out.add(r["name"], r["formula"], r["category"])
         return out
+
+
+def chosen_indicators(panel: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Bars with the indicators of these names (default: all), in the library's order; only these are computed.
+
+    Case and outer blanks of names do not matter, columns of bars may be among them, and a name that is neither is
+    refused before anything runs.
+    """
+    wanted = {n.lower().strip() for n in names} if names else set(INDICATORS)
+    if unknown := sorted(wanted - set(INDICATORS) - set(BAR)):
+        raise ValueError(f"unknown indicators: {', '.join(unknown)}")
+    formulas = {n: f for n, f in INDICATORS.items() if n in wanted}
+    return with_formulas(panel, formulas).select(*BAR, *formulas)

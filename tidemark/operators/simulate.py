@@ -6,9 +6,12 @@ groups run in parallel. Signals, parameter grids, windows and metrics are DataFr
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 from math import floor
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,14 +82,19 @@ def stop_levels(rules: Rules, entry: float, atr: float) -> tuple[float | None, f
 
 
 def walk(bars: pd.DataFrame, rules: Rules) -> list[tuple]:
-    """Per bar after the first of one key: equity, and the trade that closed at it if one did (``RUN``).
+    """``fills`` of the bars of one key, with their columns entry and exit."""
+    bars = bars.sort_values("date")
+    return fills(bars.to_dict("records"), bars["entry"].tolist(), bars["exit"].tolist(), rules)
+
+
+def fills(rows: list[dict], entry: list, exit: list, rules: Rules) -> list[tuple]:
+    """Per bar after the first, in order: equity, and the trade that closed at it if one did (``RUN``).
 
     A signal at a bar's close fills at the next open; a stop comes before a target.
     """
     sign, cash, size = (1 if rules.direction == "long" else -1), rules.initial_cash, rules.quantity * rules.multiplier
     held, since, out = None, None, []
-    rows = bars.sort_values("date").to_dict("records")
-    for before, bar in zip(rows, rows[1:], strict=False):
+    for enter, leave, bar in zip(entry, exit, rows[1:], strict=False):
         price, reason, closed = bar["open"], None, (None,) * 6
         if held is not None:
             stop, target = stop_levels(rules, held, bar["atr"])
@@ -96,9 +104,9 @@ def walk(bars: pd.DataFrame, rules: Rules) -> list[tuple]:
             elif target is not None and sign * (best - target) >= 0:
                 reason, price = "take_profit", sign * max(sign * bar["open"], sign * target)
         if held is None:
-            if before["entry"]:
+            if enter:
                 held, since = bar["open"], bar["date"]
-        elif reason or before["exit"]:
+        elif reason or leave:
             fee = (held + price) * size * rules.fee_rate
             pnl = sign * (price - held) * size - fee
             cash += pnl
@@ -142,20 +150,44 @@ def backtest_trades(signals: DataFrame, rules: Rules) -> DataFrame:
     return trades_of(backtest(with_atr(signals), rules))
 
 
+#: What the metrics of a run are made of.
+FACTS = "last double, bars long, worst double, mean_return double, spread double, trade_count long, wins long, win_sum double, losses long, loss_sum double, total_fee double, mean_fee double"
+
+
 def equity_metrics(run: DataFrame, initial_cash: float, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Return, drawdown, Sharpe and trade statistics per key of a run: windows for peaks and returns, one aggregation."""
     seq = Window.partitionBy(*by).orderBy("date")
     peak = F.max("equity").over(seq.rowsBetween(Window.unboundedPreceding, 0))
     e = run.withColumn("_dd", div(F.col("equity"), peak) - 1).withColumn("_r", div(F.col("equity"), F.lag("equity").over(seq)) - 1)
-    grown = F.max_by("equity", "date") / initial_cash
     won, lost = F.when(F.col("pnl") > 0, F.col("pnl")), F.when(F.col("pnl") < 0, F.col("pnl"))
-    n, per = F.count("reason"), lambda c: F.coalesce(F.try_divide(F.count(c), F.count("reason")) * 100, F.lit(0.0))
-    factor = F.coalesce(div(F.sum(won), F.abs(F.sum(lost))), F.count(won).cast("double"))
-    m = e.groupBy(*by).agg(
-        ((grown - 1) * 100).alias("total_return_pct"), F.when(grown <= 0, -100.0).otherwise((F.pow(grown, 252 / F.count("equity")) - 1) * 100).alias("annualized_return_pct"), (-F.min("_dd") * 100).alias("max_drawdown_pct"),
-        F.coalesce(F.avg("_r") / (F.stddev_pop("_r") + 1e-12) * F.sqrt(F.lit(252.0)), F.lit(0.0)).alias("sharpe"), n.alias("trade_count"), per(won).alias("win_rate_pct"), per(lost).alias("loss_rate_pct"), factor.alias("profit_factor"),
-        F.coalesce(div(F.avg(won), F.abs(F.avg(lost))), F.count(won).cast("double")).alias("profit_loss_ratio"), F.coalesce(F.sum("fee"), F.lit(0.0)).alias("total_fee"), F.coalesce(F.avg("fee"), F.lit(0.0)).alias("mean_fee"))
-    return m.withColumn("score", trade_score(F.col("total_return_pct"), F.col("max_drawdown_pct"), F.col("win_rate_pct"), F.col("profit_factor"), F.col("trade_count")))
+    values = [F.max_by("equity", "date"), F.count("equity"), F.min("_dd"), F.avg("_r"), F.stddev_pop("_r"), F.count("reason"), F.count(won), F.sum(won), F.count(lost), F.sum(lost), F.sum("fee"), F.avg("fee")]
+    return metrics_of(e.groupBy(*by).agg(*[v.alias(f.split()[0]) for v, f in zip(values, FACTS.split(", "), strict=True)]), initial_cash, by)
+
+
+def facts_of(run: list[tuple]) -> tuple:
+    """The ``FACTS`` of the fills of one key, of which there is one at least."""
+    equity = np.array([r[1] for r in run], dtype=float)
+    pnl, fee = (np.array([r[k] for r in run if r[8] is not None], dtype=float) for k in (6, 7))
+    peak = np.fmax.accumulate(equity)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        fall, change = np.where(peak == 0, np.nan, equity / peak - 1), np.where(equity[:-1] == 0, np.nan, equity[1:] / equity[:-1] - 1)
+    fall, change = fall[~np.isnan(fall)], change[~np.isnan(change)]
+    won, lost = pnl[pnl > 0], pnl[pnl < 0]
+    of = lambda x, f: float(f(x)) if len(x) else None
+    return (float(equity[-1]), int((~np.isnan(equity)).sum()), of(fall, np.min), of(change, np.mean), of(change, np.std), len(pnl), len(won), of(won, np.sum), len(lost), of(lost, np.sum), of(fee, np.sum), of(fee, np.mean))
+
+
+def metrics_of(facts: DataFrame, initial_cash: float, by: tuple[str, ...]) -> DataFrame:
+    """The metrics and score of runs from their ``FACTS``."""
+    grown, c = F.col("last") / initial_cash, F.col
+    per = lambda n: F.coalesce(F.try_divide(n, c("trade_count")) * 100, F.lit(0.0))
+    wins = c("wins").cast("double")
+    m = facts.select(
+        *by, ((grown - 1) * 100).alias("total_return_pct"), F.when(grown <= 0, -100.0).otherwise((F.pow(grown, 252 / c("bars")) - 1) * 100).alias("annualized_return_pct"), (-c("worst") * 100).alias("max_drawdown_pct"),
+        F.coalesce(c("mean_return") / (c("spread") + 1e-12) * F.sqrt(F.lit(252.0)), F.lit(0.0)).alias("sharpe"), "trade_count", per(c("wins")).alias("win_rate_pct"), per(c("losses")).alias("loss_rate_pct"),
+        F.coalesce(div(c("win_sum"), F.abs("loss_sum")), wins).alias("profit_factor"), F.coalesce(div(div(c("win_sum"), c("wins")), F.abs(div(c("loss_sum"), c("losses")))), wins).alias("profit_loss_ratio"),
+        F.coalesce("total_fee", F.lit(0.0)).alias("total_fee"), F.coalesce("mean_fee", F.lit(0.0)).alias("mean_fee"))
+    return m.withColumn("score", trade_score(c("total_return_pct"), c("max_drawdown_pct"), c("win_rate_pct"), c("profit_factor"), c("trade_count")))
 
 
 def trade_score(ret: Column, drawdown: Column, win: Column, factor: Column, trades: Column) -> Column:
@@ -321,13 +353,36 @@ def grid(spark, **values: list) -> DataFrame:
     return out.withColumn("param_id", F.concat_ws("_", *values))
 
 
-def with_parameters(rows: DataFrame, params: list, **values) -> DataFrame:
-    """Each row once per parameter set (at most 1000), with its fields and columns that depend on it.
+#: Parameter sets whose signals travel in one number.
+SETS = 60
 
-    ``values`` are functions of a parameter set that give Columns over ``rows``; what sets share is computed once.
+
+def backtest_sets(rows: DataFrame, sets: list, entry: Callable, exit: Callable, rules: Rules) -> DataFrame:
+    """Metrics per parameter set (at most 1000, each with a ``param_id``) and symbol, each a backtest of its own.
+
+    ``rows`` are bars with all that ``entry`` and ``exit`` need, which give a Column for a parameter set. The signals of
+    ``SETS`` sets are the bits of two numbers, so bars move once for so many sets; a task runs the sets of a symbol one
+    after the other and gives a row for each, never its equity. Symbols of a single bar have no run and no row.
     """
-    sets = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in p.asDict().items()], *[f(p).alias(k) for k, f in values.items()]) for p in params])
-    return rows.withColumn("_sets", sets).select(*rows.columns, F.inline("_sets"))
+    parts = [sets[i : i + SETS] for i in range(0, len(sets), SETS)]
+    bits = lambda signal, part: reduce(Column.bitwiseOR, [F.when(signal(p), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, p in enumerate(part)])
+    slim = rows if "atr" in rows.columns else rows.withColumn("atr", F.lit(None).cast("double"))
+    signals = F.array(*[F.struct(F.lit(k).alias("part"), bits(entry, p).alias("entry"), bits(exit, p).alias("exit")) for k, p in enumerate(parts)])
+    slim = slim.withColumn("_signals", signals).select("symbol", "date", "open", "high", "low", "close", "atr", F.inline("_signals")).repartition("symbol", "part")
+    ids = [[p["param_id"] for p in part] for part in parts]
+    names = ["param_id", "symbol", *(f.split()[0] for f in FACTS.split(", "))]
+
+    def run(bars: pd.DataFrame) -> pd.DataFrame:
+        bars, out = bars.sort_values("date"), []
+        symbol, part, enter, leave = bars["symbol"].iloc[0], bars["part"].iloc[0], bars["entry"].to_numpy(), bars["exit"].to_numpy()
+        records = bars.to_dict("records")
+        for i, param in enumerate(ids[part]):
+            one = fills(records, ((enter >> i) & 1).tolist(), ((leave >> i) & 1).tolist(), rules)
+            out += [(param, symbol, *facts_of(one))] if one else []
+        return pd.DataFrame(out, columns=names)
+
+    facts = slim.groupBy("symbol", "part").applyInPandas(run, f"param_id string, symbol {dict(rows.dtypes)['symbol']}, {FACTS}")
+    return metrics_of(facts, rules.initial_cash, ("param_id", "symbol"))
 
 
 #: Parameter sets whose sums are columns of one aggregation.
@@ -371,7 +426,7 @@ def composite_score(weights: dict[str, float] | None = None) -> Column:
 def optimise_cross(bars: DataFrame, params: DataFrame, rules: Rules, weights: dict[str, float] | None = None) -> DataFrame:
     """Metrics and score of a moving-average cross for every parameter set and symbol, each a backtest of its own.
 
-    Averages are computed once per distinct length; the sets of a symbol run as groups in parallel.
+    Averages are computed once per distinct length; see ``backtest_sets``.
     """
     sets = params.collect()  # at most 1000 rows
     lengths = sorted({p[c] for p in sets for c in ("short", "long")})
@@ -386,9 +441,7 @@ def optimise_cross(bars: DataFrame, params: DataFrame, rules: Rules, weights: di
         return column
 
     enter, leave = (cross(True), cross(False)) if rules.direction == "long" else (cross(False), cross(True))
-    runs = backtest(with_parameters(r, sets, entry=enter, exit=leave), rules, ("param_id", "symbol"))
-    scored = equity_metrics(runs, rules.initial_cash, ("param_id", "symbol")).withColumn("composite", composite_score(weights))
-    return scored
+    return backtest_sets(r, sets, enter, leave, rules).withColumn("composite", composite_score(weights))
 
 
 def best_parameters(scored: DataFrame, n: int = 5) -> DataFrame:

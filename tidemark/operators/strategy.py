@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.library import TR_SKIP, TYPICAL, _rsi, _rsv
-from tidemark.operators.simulate import Rules, backtest, compare, composite_score, equity_metrics, with_atr, with_parameters
+from tidemark.operators.simulate import Rules, backtest_sets, compare, composite_score, with_atr
 from tidemark.plans.formula import with_formulas
 
 FIELDS = ("open", "high", "low", "close", "volume", "amount")
@@ -105,7 +105,7 @@ def with_values(part, values: dict):
 def optimise(bars: DataFrame, template: dict, params: DataFrame, rules: Rules) -> DataFrame:
     """Metrics and composite score of a strategy document with ``{parameters}``, per parameter set (at most 1000) and symbol.
 
-    Every indicator that any set uses is computed once; the sets of a symbol are backtested as groups in parallel.
+    Every indicator that any set uses is computed once; see ``backtest_sets``.
     """
     sets = params.collect()
     documents = {p["param_id"]: with_values(template, p.asDict()) for p in sets}
@@ -115,8 +115,7 @@ def optimise(bars: DataFrame, template: dict, params: DataFrame, rules: Rules) -
     def signal(side: str):
         return lambda p: combine(documents[p["param_id"]].get(side, {}).get("conditions", []), documents[p["param_id"]].get(side, {}).get("logic", "and"))
 
-    runs = backtest(with_parameters(rows, sets, entry=signal("entry"), exit=signal("exit")), rules, ("param_id", "symbol"))
-    return equity_metrics(runs, rules.initial_cash, ("param_id", "symbol")).withColumn("composite", composite_score())
+    return backtest_sets(rows, sets, signal("entry"), signal("exit"), rules).withColumn("composite", composite_score())
 
 
 def fee_rate(stored: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.library import BACKTEST_INDICATORS, FACTORS, INDICATORS, TEMPLATES, expand, plugin_factors
+from tidemark.functions.library import BACKTEST_INDICATORS, FACTORS, INDICATORS, SEEDS, TEMPLATES, expand, plugin_factors
 from tidemark.functions.series import corr, div, seq
 from tidemark.operators import continuous as C
 from tidemark.operators import quality as Q
@@ -64,6 +64,7 @@ _formula_queries("bt_indicators", BACKTEST_INDICATORS, together=True, digits=5)
 _formula_queries("factor", FACTORS, digits=4)
 _formula_queries("plugin_factors", {k: v for k, v in plugin_factors().items() if k not in ("ax10",)}, together=True, digits=5)
 _formula_queries("plugin_ax10", {"ax10": plugin_factors()["ax10"]}, together=True, digits=1)
+_formula_queries("seeded_factors", {n: f for n, (_, f) in SEEDS.items()}, together=True, digits=5)
 _formula_queries("template_factors", expand(TEMPLATES, [5, 10]), together=True)
 
 # ---------------------------------------------------------------- bars and panel
