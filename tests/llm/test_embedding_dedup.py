@@ -51,6 +51,14 @@ def test_odd_vectors(spark):
     assert {(None, 4, 1, False), (None, 0, None, False), (2, 4, 1, False), (2**60 + 1, 4, 1, False), (2**60 + 2, 0, 2**60 + 2, True)} <= got
 
 
+def test_zeros_of_either_sign(spark):
+    """Vectors that differ in the sign of a zero are equal, and each row finds its vector."""
+    rows = [(1, [1.0, 0.0], 1), (2, [1.0, -0.0], 1), (3, [-0.0, 1.0], 1), (4, [0.0, 1.0], 1), (5, [0.0, 1.0], 2)]
+    for kind in ("float", "double"):
+        got = sorted(map(tuple, E.embedding_groups(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int")).collect()))
+        assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True)]
+
+
 def test_spread_leaves_out_near_pivots():
     p = np.eye(4)
     assert len(E.spread(np.vstack([p, p]))) == 4
