@@ -59,6 +59,30 @@ def test_zeros_of_either_sign(spark):
         assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True)]
 
 
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_bits_lose_no_pair(least):
+    """Candidate pairs of units against every pair looked at one by one, with many pivots on few bits."""
+    rng = np.random.default_rng(least)
+    rows = []
+    for unit in range(60):
+        for node in range(int(rng.integers(2, 30))):
+            pivots = np.append(rng.choice(np.setdiff1d(np.arange(0, 2048, 64), [640]), 5, replace=False), 640)
+            rng.shuffle(pivots)
+            rows.append((1, 4, 640, unit, unit, 0, unit * 100 + node, 1, pivots.astype("i4"), rng.uniform(0.5, 0.9, 6).astype("f4")))
+    t = pd.DataFrame(rows, columns=["label", "dim", "pivot", "ublock", "vblock", "own", "node", "copies", "pivots", "angles"])
+    units = E._Units(t, 0.98, least)
+    got = sorted((int(a), int(b)) for x, y in units.pairs() for a, b in zip(x, y, strict=True))
+    want = []
+    for a in range(len(t)):
+        for b in range(a + 1, len(t)):
+            if t.ublock[a] == t.ublock[b]:
+                one, two = (dict(zip(t.pivots[k].tolist(), t.angles[k].tolist(), strict=True)) for k in (a, b))
+                both = one.keys() & two.keys()
+                if len(both) >= least and min(both) == 640 and all(abs(one[p] - two[p]) <= units.most for p in both):
+                    want.append((a, b))
+    assert got == want and want
+
+
 def test_spread_leaves_out_near_pivots():
     p = np.eye(4)
     assert len(E.spread(np.vstack([p, p]))) == 4

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from math import isqrt
 
 import numpy as np
@@ -40,6 +41,8 @@ APART = 0.8
 #: Cells of a matrix of pairs, or pairs, that are held at once; rounding that an angle may have. Units of up to SMALL
 #: vectors are searched together, larger ones strip by strip.
 CELLS, SLACK, SMALL = 1 << 20, 1e-5, 128
+#: Words of 64 bits that a vector's pivots beyond its list's are hashed to.
+WORDS = 4
 UNIT = ["label", "dim", "pivot", "ublock", "vblock"]
 
 
@@ -119,14 +122,22 @@ class _Units:
         self.here = self.angles[self.pivots == self.pivot[:, None]]  # the angle to the list's pivot, which each row has
         self.least = min(self.least_shared, self.pivots.shape[1])
         self.most = float(np.arccos(self.cosine)) + SLACK
+        beyond, word, bit = self.pivots > self.pivot[:, None], self.pivots % WORDS, np.uint64(1) << (self.pivots // WORDS % 64).astype(np.uint64)
+        self.bits = [np.bitwise_or.reduce(np.where(beyond & (word == w), bit, np.uint64(0)), axis=1) for w in range(WORDS)]
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The candidate pairs of all small units, a part at a time."""
+        """The candidate pairs of all small units, a part at a time.
+
+        A pair belongs to the list of the least pivot it shares, so one of several shared pivots is beyond the list's: most
+        pairs have no bit of such a pivot in common and are told by that; the pivots of the others are compared.
+        """
         small = self.size[self.group] <= SMALL
         for d in range(1, int(self.size[self.size <= SMALL].max(initial=1))):
             i = np.flatnonzero((self.group[d:] == self.group[:-d]) & small[d:])
             i = i[np.abs(self.here[i] - self.here[i + d]) <= self.most]
             i = i[~self.cross[i] | (self.own[i] != self.own[i + d])]
+            if self.least > 1:
+                i = i[reduce(np.bitwise_or, [b[i] & b[i + d] for b in self.bits]) != 0]
             for k in range(0, len(i), CELLS >> 4):
                 a = i[k : k + (CELLS >> 4)]
                 shared = self.pivots[a][:, :, None] == self.pivots[a + d][:, None, :]
