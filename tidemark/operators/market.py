@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.series import div
-from tidemark.operators.blocks import BLOCK_ROWS, deal
+from tidemark.operators.blocks import BLOCK_ROWS, deal_with_cuts
 
 # ---------------------------------------------------------------- cleaning and mapping
 
@@ -260,6 +262,33 @@ def breaker_steps(state: np.ndarray, late: bool, ok: bool, opens: np.ndarray | N
     return np.minimum(np.where(tripped & ~stays, 0, state) + 1, FULL)
 
 
+def failures_before(late: np.ndarray, ok: np.ndarray, first: np.ndarray, start: np.ndarray, carried: int) -> np.ndarray:
+    """The failures counted before each call, of sources one after the other in the order of their calls.
+
+    ``first`` marks the calls that start from ``start``; ``carried`` is the count before the very first call if that is
+    not one. A count climbs from call to call until a success; only one that trips is followed a call at a time.
+    """
+    begins = first.copy()
+    begins[1:] |= ok[:-1]
+    begins[0] = True
+    at = np.flatnonzero(begins)
+    length = np.diff(at, append=len(ok))
+    state = np.where(first[at], start[at], 0)
+    if not first[0]:
+        state[0] = carried
+    before = np.arange(len(ok)) + np.repeat(state - at, length)
+    for i in np.flatnonzero(state + length > TRIPS):
+        low, end = at[i] + max(TRIPS - state[i], 0), at[i] + length[i]
+        count = before[low]
+        for j in range(low, end):
+            if count >= FULL:
+                before[j:end] = FULL
+                break
+            before[j] = count
+            count = 1 if count >= TRIPS and late[j] else count + 1
+    return before
+
+
 def breaker(calls: DataFrame, cool_down: int = 600, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Calls (source, ts in seconds, call_id, ok) with ``tripped`` and ``open``.
 
@@ -267,23 +296,24 @@ def breaker(calls: DataFrame, cool_down: int = 600, block_rows: int = BLOCK_ROWS
     since the last one: the next call is let through and the count starts anew. After ten failures without a success the
     rate of failures keeps it open. ``open`` is what a call finds, ``tripped`` whether it leaves it open by failing.
 
-    The count is a machine of eleven states: a block of calls is a map of them, maps are composed over the blocks of a
-    source in order, and a second pass starts each block from its state. So a source of many calls is spread over tasks.
+    The calls of all sources are sorted within partitions and pass through the workers as they come, batch after batch,
+    so a source costs nothing of its own. The count is a machine of eleven states: of a source of very many calls a block
+    is a map of them, maps are composed over its blocks in order, and each block starts from its state. So such a source
+    is spread over tasks; sources of one block need none of this.
     """
     states = np.arange(FULL + 1)
-    dealt = deal(calls, block_rows, "source", "ts")
+    dealt = deal_with_cuts(calls, block_rows, "source", "ts")
     key = T.StructType([dealt.schema["source"], T.StructField("_block", T.IntegerType())])
     fields = lambda **types: T.StructType([*key.fields, *[T.StructField(n, t) for n, t in types.items()]])
 
-    def sorted_calls(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
-        rows = rows.sort_values(["ts", "call_id"])
-        return rows, np.diff(rows["ts"].to_numpy(dtype=float), prepend=np.nan) >= cool_down, rows["ok"].to_numpy(dtype=bool)
-
     def maps(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, late, ok = sorted_calls(rows)
+        rows = rows.sort_values(["ts", "call_id"])
+        late, ok = np.diff(rows["ts"].to_numpy(dtype=float), prepend=np.nan) >= cool_down, rows["ok"].to_numpy(dtype=bool)
         done = np.flatnonzero(ok[1:])
         state, first = (np.zeros_like(states), done[-1] + 2) if len(done) else (states, 1)
         for i in range(first, len(ok)):
+            if state.min() >= FULL:
+                break
             state = breaker_steps(state, late[i], ok[i])
         return pd.DataFrame([(rows["source"].iloc[0], rows["_block"].iloc[0], float(rows["ts"].iloc[0]), float(rows["ts"].iloc[-1]), bool(ok[0]), state.tolist())], columns=["source", "_block", "first", "last", "ok", "map"])
 
@@ -293,22 +323,33 @@ def breaker(calls: DataFrame, cool_down: int = 600, block_rows: int = BLOCK_ROWS
             out.append((b[0], b[1], int(state[0]), last))
             state = breaker_steps(state, last is not None and b[2] - last >= cool_down, b[4])
             state, last = np.asarray(b[5])[state], b[3]
-        return pd.DataFrame(out, columns=["source", "_block", "state", "last"])
-
-    def run(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        rows, late, ok = sorted_calls(rows)
-        state, last = np.array([int(start["state"].iloc[0])]), start["last"].iloc[0]
-        late[0] = not pd.isna(last) and rows["ts"].iloc[0] - last >= cool_down
-        found, tripped, now = [], [], np.zeros(1, dtype=bool)
-        for was_late, fine in zip(late, ok, strict=True):
-            state = breaker_steps(state, was_late, fine, now)
-            found.append(bool(now[0]))
-            tripped.append(bool(state[0] >= TRIPS))
-        return rows.drop(columns="_block").assign(tripped=tripped, open=found)
-
-    number = T.DoubleType()
-    slim = dealt.select("source", "_block", F.col("ts").cast("double").alias("ts"), "call_id", "ok")
+        return pd.DataFrame(out, columns=["source", "_block", "_state", "_last"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            late, ok, first, start = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_late", "_fine", "_first", "_start"))
+            before = failures_before(late, ok, first, start, carried)
+            tripped = before >= TRIPS
+            stays = tripped & (~late | (before >= FULL))
+            after = np.where(ok, 0, np.minimum(np.where(tripped & ~stays, 0, before) + 1, FULL))
+            carried = int(after[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:own], pa.array(after >= TRIPS), pa.array(stays)], names=[*batch.schema.names[:own], "tripped", "open"])
+
+    number, own = T.DoubleType(), len(calls.columns)
+    slim = dealt.where("_cuts IS NOT NULL").select("source", "_block", F.col("ts").cast("double").alias("ts"), "call_id", "ok")
     mapped = slim.groupBy("source", "_block").applyInPandas(maps, fields(first=number, last=number, ok=T.BooleanType(), map=T.ArrayType(T.IntegerType())))
-    began = mapped.groupBy("source").applyInPandas(starts, fields(state=T.IntegerType(), last=number))
+    began = mapped.groupBy("source").applyInPandas(starts, fields(_state=T.IntegerType(), _last=number))
+    few = began.where("_block > 0").select(F.col("source").alias("_of"), F.col("_block").alias("_at"), "_state", "_last")  # a row per block of many rows
+    placed = dealt.drop("_cuts").join(F.broadcast(few), F.col("source").eqNullSafe(F.col("_of")) & (F.col("_block") == F.col("_at")), "left")
+    order = [F.asc_nulls_last("ts"), F.asc_nulls_last("call_id")]
+    calls_in_order = placed.repartition("source", "_block").sortWithinPartitions("source", "_block", *order)
+    w = Window.partitionBy("source", "_block").orderBy(*order)
+    before, first = F.lag(F.col("ts").cast("double")).over(w), F.row_number().over(w) == 1
+    gap = F.col("ts").cast("double") - F.when(first, F.col("_last")).otherwise(before)
+    late = F.coalesce((gap >= cool_down) & ~F.isnan(gap), F.lit(False))
+    ready = calls_in_order.select(*calls.columns, late.alias("_late"), F.coalesce("ok", F.lit(False)).alias("_fine"), first.alias("_first"), F.coalesce("_state", F.lit(0)).alias("_start"))
     out = T.StructType([*calls.schema.fields, T.StructField("tripped", T.BooleanType()), T.StructField("open", T.BooleanType())])
-    return dealt.groupBy("source", "_block").cogroup(began.groupBy("source", "_block")).applyInPandas(run, out)
+    return ready.mapInArrow(run, out)
