@@ -101,3 +101,16 @@ def test_a_chain_whose_ends_differ(spark):
 def test_odd_rows_have_classes(odd):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert sorted(map(tuple, M.near_duplicates(odd).collect()), key=str) == classes(rows)
+
+
+def test_rows_without_a_near_fingerprint_fetch_no_shingles():
+    """Of a unit of 3 near texts and 300 that only share a band, only the near ones go on, whatever the batches."""
+    base = [f"w{i}" for i in range(400)]
+    near = [" ".join([*base[: 400 - 4 * k], *[f"x{k}y{i}" for i in range(4 * k)]]) for k in range(3)]
+    far = [" ".join(f"z{k}y{i}" for i in range(60)) for k in range(300)]
+    rows = [(0, 7, 0, 0, 0, t.encode(), t.encode(), bytes.fromhex(M.fingerprint(t))) for t in [*far[:150], *near, *far[150:]]]
+    frame = M.pd.DataFrame(rows, columns=[f.split()[0] for f in M.UNIT_ROWS.split(", ")])
+    for size in (1_000, 40):
+        parts = (frame[i : i + size] for i in range(0, len(frame), size))
+        got = [k for some in M._with_partners(parts) for k in some["key"]]
+        assert sorted(got) == sorted(t.encode() for t in near)

@@ -262,34 +262,62 @@ def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+UNIT_KEYS = ["band", "bucket", "ublock", "vblock"]
+UNIT_ROWS = "band int, bucket long, ublock int, vblock int, own int, key binary, component binary, print binary"
+
+
+def _partners(i: int, prints: np.ndarray, bands: np.ndarray, part: np.ndarray, own: np.ndarray, one_block: bool) -> np.ndarray:
+    """The later rows of a unit that row i is to be compared with: in another component, with a fingerprint that is near
+    enough, and not met in an earlier band."""
+    at = np.flatnonzero((part[i + 1 :] != part[i]) & ((own[i + 1 :] != own[i]) | one_block)) + i + 1
+    at = at[(prints[at] == prints[i]).mean(axis=1) >= LEAST_ESTIMATE]
+    return at[~(bands[at] == bands[i]).all(axis=2).any(axis=1)]
+
+
+def _units(some: pd.DataFrame) -> Iterator[tuple]:
+    """The place and the arrays of each unit of a batch of whole units."""
+    prints, part, own = np.frombuffer(b"".join(some["print"]), ">u2").reshape(len(some), -1), pd.factorize(some["component"])[0], some["own"].to_numpy()
+    places = [some[k].to_numpy() for k in UNIT_KEYS]
+    edges = np.flatnonzero(np.any([p[1:] != p[:-1] for p in places], axis=0)) + 1
+    for low, high in zip([0, *edges], [*edges, len(some)], strict=True):
+        band, rows = int(places[0][low]), slice(low, high)
+        bands = np.ascontiguousarray(prints[rows, : band * BAND_NUMBERS]).reshape(high - low, band, BAND_NUMBERS)
+        yield rows, prints[rows], bands, part[rows].copy(), own[rows], bool(places[2][low] == places[3][low])
+
+
+def _with_partners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of units that are to be compared with any other of their unit: most of a bucket's meet by chance."""
+    for some in whole_groups(batches, UNIT_KEYS):
+        kept = np.zeros(len(some), dtype=bool)
+        for rows, *unit in _units(some):
+            mine = kept[rows]
+            for i in range(len(mine) - 1):
+                at = _partners(i, *unit)
+                mine[at] = True
+                mine[i] |= len(at) > 0
+        yield some[kept]
+
+
 def _unit_links(similarity: float):
     """A spanning forest of the verified links in each unit of ``deal_groups``, over the components known before.
 
     A pair is looked at in the first band that it shares and if its fingerprints are near enough; pairs that are
     connected already are not verified.
     """
-    keys = ["band", "bucket", "ublock", "vblock"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for some in whole_groups(batches, keys):
-            for (band, _, u, v), unit in some.groupby(keys, sort=False):
-                prints = np.frombuffer(b"".join(unit["print"]), ">u2").reshape(len(unit), -1)
-                bands = np.ascontiguousarray(prints[:, : band * BAND_NUMBERS]).reshape(len(unit), band, BAND_NUMBERS)
-                sets = [np.frombuffer(x, "<u8") for x in unit["shingles"]]
-                own, key, part = unit["own"].to_numpy(), unit["key"].to_numpy(), pd.factorize(unit["component"])[0]
-                found = []
-                for i in range(len(unit) - 1):
-                    near = (part[i + 1 :] != part[i]) & ((own[i + 1 :] != own[i]) | (u == v))
-                    at = np.flatnonzero(near) + i + 1
-                    at = at[(prints[at] == prints[i]).mean(axis=1) >= LEAST_ESTIMATE]
-                    at = at[~(bands[at] == bands[i]).all(axis=2).any(axis=1)]
-                    for j in at:
+        for some in whole_groups(batches, UNIT_KEYS):
+            every, keys, found = [np.frombuffer(x, "<u8") for x in some["shingles"]], some["key"].to_numpy(), []
+            for rows, prints, bands, part, own, one_block in _units(some):
+                sets, key = every[rows], keys[rows]
+                for i in range(len(key) - 1):
+                    for j in _partners(i, prints, bands, part, own, one_block):
                         if part[j] != part[i]:
                             both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                             if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
                                 part[part == part[j]] = part[i]
                                 found.append((min(key[i], key[j]), max(key[i], key[j])))
-                yield pd.DataFrame(found, columns=["a", "b"])
+            yield pd.DataFrame(found, columns=["a", "b"])
 
     return run
 
@@ -300,7 +328,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two texts are linked if the Jaccard similarity of their sets of shingles is ``similarity`` or more; this is verified
     for every link. Texts of the same words are one node. A band of fingerprints that agree is a bucket; each node is
     first tried with the least of its bucket, and only buckets whose nodes are in several components then look at their
-    pairs, in units of bounded size. Pairs that no band finds are lost, 1 in 20,000 at 0.8.
+    pairs, in units of bounded size: first by fingerprints, then those rows with a near one by their shingles. Pairs that
+    no band finds are lost, 1 in 20,000 at 0.8.
 
     Texts without words are copies of each other. A null id stays null and names no component (one of null ids alone has
     a null). Repeated rows give repeated rows. Other columns are ignored. An empty table gives an empty result.
@@ -327,9 +356,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = cut(placed.select("band", "bucket", "key", "component"))
     open_buckets = cut(placed.groupBy("band", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "bucket"))
     units = deal_groups(placed.join(open_buckets, ["band", "bucket"]), ["band", "bucket"], "key", UNIT)
-    units = units.join(nodes.select("key", "print"), "key").join(sets, "key")
-    keys = ["band", "bucket", "ublock", "vblock"]
-    more = units.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_unit_links(similarity), struct("a binary, b binary")).distinct()
+    units = units.join(nodes.select("key", "print"), "key").select(*[f.split()[0] for f in UNIT_ROWS.split(", ")])
+    together = lambda rows: rows.repartition(*UNIT_KEYS).sortWithinPartitions(*UNIT_KEYS)
+    near = cut(together(units).mapInPandas(_with_partners, struct(UNIT_ROWS)))  # shingles are fetched for these rows only
+    more = together(near.join(sets, "key")).mapInPandas(_unit_links(similarity), struct("a binary, b binary")).distinct()
     links = cut(links.union(more))
     groups = cut(nodes.select("key", "doc_id").join(components(links).withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")))
     named = groups.groupBy("component").agg(F.min("doc_id").alias("component_id"))
