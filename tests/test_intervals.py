@@ -33,3 +33,17 @@ def test_joins_lists_and_never_gathers_points(spark):
     joined.collect()
     plan = joined._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "Generate inline" in plan and "SortMergeJoin" in plan and "BuildLeft" not in plan.split("Generate inline")[1].split("\n")[1]
+
+
+def test_rows_of_near_points_repeat_the_same_intervals(spark, monkeypatch):
+    """However many intervals a bucket has, neighbours in the result share theirs, so files stay small; pairs are unfolded one by one."""
+    monkeypatch.setattr(I, "LIST_ROWS", 10)
+    p = spark.range(100).selectExpr("id AS p", "1 AS k", "CAST(id % 9 AS INT) AS at")
+    s = spark.range(500).selectExpr("id AS s", "1 AS k", "CAST(NULL AS INT) AS a", "CAST(NULL AS INT) AS z")
+    joined = I.interval_join(p, s, ["k"], "at", "a", "z", 9.0)
+    got = [(r.p, r.s) for r in joined.collect()]
+    assert sorted(got) == [(i, j) for i in range(100) for j in range(500)]
+    for i in range(0, len(got), 100):
+        assert len({j for _, j in got[i : i + 100]}) == 10 and len({j for j, _ in got[i : i + 100]}) == 10
+    plan = joined._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Project [_points" in plan and ") Project [_points" not in plan  # a part of the join's or the unfolding's loop would hold all pairs of a list
